@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textscore.corpus import Corpus
-from textscore.functions.vectors import argmax
+from textscore.functions.vectors import argmax, dot
 from textscore.operators.bpe import encode_text
 from textscore.operators.sampling import filter_load
 from textscore.operators.scoring import (
@@ -61,14 +61,6 @@ def ig_factors(pooled: DataFrame, id: str, weights: DataFrame, dim: int, slope=_
     return scored.select(id, "n_tokens", "z", "y_pred", factor.alias("factor"))
 
 
-def product_sum(a: Column, b: Column, dim: int) -> Column:
-    """Dot product written out by dimension, so that it compiles to plain code."""
-    terms = [F.get(a, F.lit(d)).cast("double") * F.get(b, F.lit(d)) for d in range(dim)]
-    while len(terms) > 1:
-        terms = [sum(terms[i + 1:i + 2], terms[i]) for i in range(0, len(terms), 2)]
-    return terms[0]
-
-
 def _ig(docs: DataFrame, id: str, ids: str, tokens: str | None, vecs: DataFrame, weights: DataFrame,
         dim: int, slope) -> DataFrame:
     pooled = mean_pool(docs, id, ids, vecs, dim)
@@ -78,12 +70,13 @@ def _ig(docs: DataFrame, id: str, ids: str, tokens: str | None, vecs: DataFrame,
     parts = [F.col(ids).alias("id")] + ([F.col(tokens).alias("token")] if tokens else [])
     rows = (
         docs.select(id, F.arrays_zip(*parts).alias("_t")).join(factors, id)
-        .select(id, "factor", F.posexplode("_t").alias("pos", "_t"))
+        .select(id, "factor", F.posexplode_outer("_t").alias("pos", "_t"))
+        .where(F.col("pos").isNotNull())
         .select(id, "pos", "factor", "_t.*")
     )
     named = ["token"] if tokens else []
     return lookup_vectors(rows, vecs, F.col("pos")).select(
-        id, "pos", "id", *named, product_sum(F.col("v"), F.col("factor"), dim).alias("score")
+        id, "pos", "id", *named, dot(F.col("v"), F.col("factor")).alias("score")
     )
 
 
@@ -166,15 +159,16 @@ def highlight_html(docs: DataFrame, colored: DataFrame, id: str, x: str, mode: s
     ``docs`` has the text, ``tokens`` and ``offsets``. Mode ``full`` marks the
     original text, escapes it and keeps what follows the last token; mode
     ``reference`` marks the normalised token, escapes nothing and stops there.
+    The text is cut into characters once, so a cut does not walk through it.
     """
     if mode not in ("full", "reference"):
         raise ValueError(f"unknown mode: {mode}")
     full = mode == "full"
-    text, offsets = F.col(x), F.col("offsets")
+    letters, offsets = F.col("_letters"), F.col("offsets")
     safe = _escape if full else (lambda c: c)
 
     def cut(start: Column, end: Column) -> Column:
-        return safe(F.substring(text, start + 1, F.greatest(end - start, F.lit(0))))
+        return safe(F.array_join(F.slice(letters, start + 1, F.greatest(end - start, F.lit(0))), ""))
 
     def before(i: Column) -> Column:
         return F.when(i > 0, F.get(offsets, i - 1)["end"]).otherwise(F.lit(0))
@@ -193,10 +187,13 @@ def highlight_html(docs: DataFrame, colored: DataFrame, id: str, x: str, mode: s
     )
     html = F.array_join(F.transform(F.arrays_zip("tokens", "color"), mark), "")
     if full:
-        html = F.concat(html, cut(before(F.size(offsets)), F.length(text)))
-    return docs.join(shades, id, "left").withColumn(
-        "color", F.coalesce("color", F.array().cast("array<string>"))
-    ).select(*docs.columns, html.alias("html"))
+        html = F.concat(html, cut(before(F.size(offsets)), F.size(letters)))
+    return (
+        docs.join(shades, id, "left")
+        .withColumn("color", F.coalesce("color", F.array().cast("array<string>")))
+        .withColumn("_letters", F.split(F.coalesce(x, F.lit("")), ""))
+        .select(*docs.columns, html.alias("html"))
+    )
 
 
 def explain_sample(

@@ -43,8 +43,12 @@ def fit_ordinal(
     df: DataFrame, ids: str, y: str, vocab_size: int, k: int, weight: str | None = None,
     reg: float = 0.01, max_iter: int = 20,
 ) -> list[Model]:
-    """K-1 binary models, one per question "is the class above j?"."""
+    """K-1 binary models, one per question "is the class above j?".
+
+    The feature vectors are kept over the K-1 fits.
+    """
     rows, _ = _features(df, ids, vocab_size)
+    rows = rows.select("features", y, *([weight] if weight else [])).persist()
     models = []
     for j in range(k - 1):
         fitter = LogisticRegression(
@@ -54,6 +58,7 @@ def fit_ordinal(
         if weight:
             fitter = fitter.setWeightCol(weight)
         models.append(fitter.fit(rows.withColumn("_above", (F.col(y) > j).cast("double"))))
+    rows.unpersist()
     return models
 
 

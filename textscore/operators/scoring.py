@@ -34,7 +34,12 @@ def lookup_vectors(tokens: DataFrame, vecs: DataFrame, spread: Column) -> DataFr
 
 
 def explode_ids(docs: DataFrame, id: str, ids: str) -> DataFrame:
-    return docs.select(id, F.posexplode(ids).alias("pos", "id"))
+    """One row per token.
+
+    The outer form keeps the optimizer from adding a filter on the array,
+    which would compute the expression behind it twice.
+    """
+    return docs.select(id, F.posexplode_outer(ids).alias("pos", "id")).where(F.col("pos").isNotNull())
 
 
 def embed_tokens(tokens: DataFrame, vecs: DataFrame) -> DataFrame:

@@ -24,6 +24,27 @@ def pretokenize(df: DataFrame, x: str, lowercase: bool = True, keep: Sequence[st
     return df.select(*keep, F.posexplode(_words(F.col(x), lowercase)).alias("pos", "word"))
 
 
+def pretoken_offsets(df: DataFrame, id: str, x: str, lowercase: bool = True) -> DataFrame:
+    """One row per pretoken with its place ``start`` to ``end`` in the original text.
+
+    Words and the blanks between them cover the text, so a place is the sum of the
+    lengths before it, within one document.
+    """
+    pieces = df.select(id, F.posexplode(pretokens(F.col(x), gaps=True)).alias("_i", "_piece"))
+    ahead = Window.partitionBy(id).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    is_word = ~F.col("_piece").rlike(r"(?U)^\s")
+    placed = (
+        pieces
+        .withColumn("end", F.sum(F.length("_piece")).over(ahead).cast("int"))
+        .withColumn("pos", (F.sum(is_word.cast("int")).over(ahead) - 1).cast("int"))
+        .where(is_word)
+    )
+    word = lower_by_char(F.col("_piece")) if lowercase else F.col("_piece")
+    return placed.select(
+        id, "pos", word.alias("word"), (F.col("end") - F.length("_piece")).alias("start"), "end"
+    )
+
+
 def word_lists(df: DataFrame, x: str, lowercase: bool = True, out: str = "words") -> DataFrame:
     return df.withColumn(out, _words(F.col(x), lowercase))
 

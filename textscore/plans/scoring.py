@@ -6,10 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from textscore.operators import explain, labels, metrics, models, scoring
-from textscore.operators.bpe import encode_text
+from textscore.operators.tokens import pretoken_offsets
 from textscore.plans import views
 from textscore.plans.registry import query
-from textscore.plans.tokens import VOCAB_SIZE, trained
+from textscore.plans.tokens import VOCAB_SIZE, encoded_reviews, trained
 from textscore.session import scratch_path
 from textscore.streaming.running import running_confusion_stream
 
@@ -111,9 +111,7 @@ def cross_entropy(spark, d):
 # ---------------------------------------------------------------- fits
 
 def _train_rows(spark, d):
-    vocab, merges = trained(spark, d)
-    rows = views.reviews(spark, d).withColumn("y", (F.col("overall") - 1).cast("double"))
-    return encode_text(rows.select("row_id", "reviewText", "y", "overall"), "reviewText", vocab, merges, offsets=False)
+    return encoded_reviews(spark, d).select("row_id", "ids", "overall", (F.col("overall") - 1).cast("double").alias("y"))
 
 
 def _with_weights(spark, d, rows):
@@ -383,27 +381,25 @@ def _shade_sql() -> str:
     three = [channel(*c) for c in zip(explain.RED, explain.WHITE, explain.GREEN)]
     shades = ", ".join(f"round_even({c}, 0)::INT AS c{i}" for i, c in enumerate(three))
     return f"""
-    WITH bounds AS (SELECT doc_id, min(score) AS low, median(score) AS mid, max(score) AS high FROM v_scores GROUP BY doc_id),
+    WITH rounded AS (SELECT doc_id, pos, round(score, 12) AS score FROM v_scores ),
+    bounds AS (SELECT doc_id, min(score) AS low, median(score) AS mid, max(score) AS high FROM rounded GROUP BY doc_id),
     places AS (
         SELECT s.doc_id, s.pos, high > low AS spread, (mid - low) / nullif(high - low, 0) AS center,
                least(floor((score - low) / nullif(high - low, 0) * 256), 255) / 255.0::DOUBLE AS place
-        FROM v_scores s JOIN bounds USING (doc_id)),
+        FROM rounded s JOIN bounds USING (doc_id)),
     shades AS (SELECT doc_id, pos, spread, {shades} FROM places)
     SELECT doc_id, pos::INT AS pos,
            CASE WHEN spread THEN format('#{{:02x}}{{:02x}}{{:02x}}', c0, c1, c2) ELSE '#ffffff' END AS color FROM shades"""
 
 
-@query("score_colors")
+@query("score_colors", _shade_sql())
 def score_colors(spark, d):
-    """The palette place is a floor of a float ratio, so the last bit of a score
-    may decide it; the rule is tested against a plain computation instead."""
-    return explain.score_colors(_scores(spark, d), "doc_id").select("doc_id", "pos", "color")
+    """Scores are rounded first, as their last bit may decide the palette place."""
+    return explain.score_colors(_rounded_scores(_scores(spark, d)), "doc_id").select("doc_id", "pos", "color")
 
 
 def _explain_input(spark, d):
-    vocab, merges = trained(spark, d)
-    docs = encode_text(views.reviews(spark, d).select("row_id", "reviewText", "overall"), "reviewText", vocab, merges)
-    return docs, views.vectors(spark, d), views.class_weight(spark, d)
+    return encoded_reviews(spark, d), views.vectors(spark, d), views.class_weight(spark, d)
 
 
 @query("highlight_html")
@@ -413,6 +409,33 @@ def highlight_html(spark, d):
     return explain.highlight_html(docs, colored, "row_id", "reviewText").select("row_id", "html")
 
 
+def _escaped(expr: str) -> str:
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        expr = f"replace({expr}, '{raw}', '{safe}')"
+    return expr
+
+
+_HTML = _shade_sql().replace("\n    SELECT doc_id, pos::INT AS pos,", ",\n    colors AS (SELECT doc_id, pos,", 1) + f""")
+    SELECT p.doc_id, string_agg(
+        CASE WHEN g THEN {_escaped('p')}
+             ELSE '<mark style="margin: 0; padding: 0; background-color:' || color || '">' || {_escaped('p')} || '</mark>' END,
+        '' ORDER BY i) AS html
+    FROM v_pieces p LEFT JOIN colors c ON c.doc_id = p.doc_id AND c.pos = p.pos AND NOT g GROUP BY p.doc_id"""
+
+
+@query("highlight_html_words", _HTML)
+def highlight_html_words(spark, d):
+    """The same marks around words, whose ids are a hash instead of a vocabulary."""
+    spans = pretoken_offsets(views.documents(spark, d), "doc_id", "text")
+    lists = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "start", "end", "word"))).alias("t"))
+    docs = views.documents(spark, d).select("doc_id", "text").join(lists, "doc_id").select(
+        "doc_id", "text", F.col("t.word").alias("tokens"),
+        F.transform("t", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("offsets"),
+    )
+    colored = explain.score_colors(_rounded_scores(_scores(spark, d)), "doc_id")
+    return explain.highlight_html(docs, colored, "doc_id", "text").select("doc_id", "html")
+
+
 @query("prediction_vs_actual", """
     SELECT r.row_id, (y.class + 1)::INT AS pred, r.overall AS actual FROM v_doc_pred y JOIN v_reviews r ON r.row_id = y.doc_id""")
 def prediction_vs_actual(spark, d):

@@ -9,18 +9,24 @@ from textscore.operators import batches, bpe, tokens
 from textscore.plans import views
 from textscore.plans.registry import query
 from textscore.plans.views_sql import key
+from textscore.session import made_once, via_table
 
 VOCAB_SIZE = 400
 SPECIAL = (PADDING_TOKEN, *ENTITY_TAGS)
-_trained: dict = {}
 
 
 def trained(spark, d):
     """The review vocabulary of a data folder; trained once per session."""
-    where = (spark.sparkContext.applicationId, d)
-    if where not in _trained:
-        _trained[where] = bpe.bpe_train(views.reviews(spark, d), "reviewText", VOCAB_SIZE)
-    return _trained[where]
+    return made_once(
+        spark, ("vocab", d), lambda: bpe.bpe_train(views.reviews(spark, d), "reviewText", VOCAB_SIZE)
+    )
+
+
+def encoded_reviews(spark, d):
+    """Reviews with ids, tokens and offsets, encoded once and kept as a table."""
+    return made_once(spark, ("encoded", d), lambda: via_table(
+        bpe.encode_text(views.reviews(spark, d), "reviewText", *trained(spark, d)), "encoded"
+    ))
 
 
 @query("normalize_lower", "SELECT row_id, lower(reviewText) AS reviewText FROM v_reviews")
@@ -33,6 +39,12 @@ def pretokenize(spark, d):
     return tokens.pretokenize(views.documents(spark, d), "text", keep=["doc_id"])
 
 
+@query("pretoken_offsets", """
+    SELECT doc_id, pos, lower(p) AS word, "end" - length(p)::INT AS start, "end" FROM v_pieces WHERE NOT g""")
+def pretoken_offsets(spark, d):
+    return tokens.pretoken_offsets(views.documents(spark, d), "doc_id", "text")
+
+
 _COUNTS = """
     WITH counts AS (SELECT token AS word, count(*) AS n FROM v_tokens GROUP BY token),
     symbols AS (SELECT word, n, string_split(word, '') AS s FROM counts)
@@ -90,6 +102,32 @@ def _encoded(spark, d):
     return bpe.encode_text(views.reviews(spark, d).select("row_id", "reviewText"), "reviewText", vocab, merges)
 
 
+SHORT_VOCAB = 100
+
+
+@query("bpe_merges", f"""
+    WITH RECURSIVE counts AS (SELECT token AS word, count(*) AS n FROM v_tokens GROUP BY token),
+    goal AS (SELECT {SHORT_VOCAB} - 1 - count(DISTINCT c) AS merges FROM (SELECT unnest(string_split(word, '')) AS c FROM counts)),
+    w AS (
+        SELECT 0 AS step, word AS s, n, '' AS pair FROM counts
+        UNION ALL
+        SELECT step + 1, replace(s, b.pair, chr(983040 + step)), n, b.pair
+        FROM w, (SELECT pair FROM (
+                     SELECT unnest(list_transform(range(1, length(s)), lambda i: s[i:i + 1])) AS pair, n
+                     FROM w WHERE length(s) >= 2)
+                 GROUP BY pair ORDER BY sum(n) DESC, pair LIMIT 1) b
+        WHERE step < (SELECT merges FROM goal)),
+    m AS (SELECT DISTINCT step, pair FROM w WHERE step > 0),
+    d AS (
+        SELECT (SELECT max(step) FROM m) AS k, step, pair[1] AS l, pair[2] AS r FROM m
+        UNION ALL
+        SELECT k - 1, d.step, replace(l, chr((983039 + k)::INT), m.pair), replace(r, chr((983039 + k)::INT), m.pair)
+        FROM d JOIN m ON m.step = d.k)
+    SELECT (step - 1)::INT AS rank, l AS "left", r AS "right" FROM d WHERE k = 0""")
+def bpe_merges(spark, d):
+    return bpe.bpe_train(views.reviews(spark, d), "reviewText", SHORT_VOCAB)[1]
+
+
 @query("encode_text")
 def encode_text(spark, d):
     return _encoded(spark, d).select(
@@ -98,6 +136,13 @@ def encode_text(spark, d):
     )
 
 
+@query("encode_text_rejoined", """
+    SELECT doc_id AS row_id, regexp_replace(lower(text), '\\s+', '', 'g') AS tokens FROM documents""")
+def encode_text_rejoined(spark, d):
+    """The pieces of a text in order give the text back, without its blanks."""
+    return _encoded(spark, d).select("row_id", F.array_join("tokens", "").alias("tokens"))
+
+
 @query("encode_offsets")
 def encode_offsets(spark, d):
     return _encoded(spark, d).select("row_id", F.posexplode(F.arrays_zip("tokens", "offsets")).alias("pos", "t")).select(

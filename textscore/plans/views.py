@@ -13,6 +13,7 @@ from textscore.corpus import Corpus, essays_corpus, reviews_corpus
 from textscore.functions.hashing import hash_int, key_to_int
 from textscore.operators.selection import column_order, positions
 from textscore.operators.tokens import word_lists
+from textscore.session import made_once, spread_small, via_table
 
 REVIEW_CLASSES = 5
 ESSAY_CLASSES = 4
@@ -29,7 +30,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread_small(table(spark, d, "documents"), "doc_id")
 
 
 def _doc_hash(seed: str) -> Column:
@@ -99,10 +100,16 @@ def logits(spark: SparkSession, d: str, k: int = REVIEW_CLASSES) -> DataFrame:
 
 
 def token_docs(spark: SparkSession, d: str) -> DataFrame:
-    """One row per document with its words and a hashed id per word."""
-    words = word_lists(documents(spark, d).select("doc_id", "text"), "text")
-    ids = F.transform("words", lambda w: (key_to_int(F.md5(w)) % TOKEN_IDS).cast("int"))
-    return words.select("doc_id", "words", ids.alias("ids"))
+    """One row per document with its words and a hashed id per word.
+
+    Tokens are made once and kept as a table, as an encoded corpus would be.
+    """
+    def build() -> DataFrame:
+        words = word_lists(documents(spark, d).select("doc_id", "text"), "text")
+        ids = F.transform("words", lambda w: (key_to_int(F.md5(w)) % TOKEN_IDS).cast("int"))
+        return via_table(words.select("doc_id", "words", ids.alias("ids")), "tokens")
+
+    return made_once(spark, ("token_docs", d), build)
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:

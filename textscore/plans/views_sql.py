@@ -86,6 +86,13 @@ VIEWS = {
     "v_tokens": f"""
         SELECT doc_id, pos, token, ({h('token')} % 500)::BIGINT AS id
         FROM (SELECT doc_id, unnest(words) AS token, generate_subscripts(words, 1) - 1 AS pos FROM v_words)""",
+    "v_pieces": f"""
+        SELECT doc_id, i, p, g, (sum(CASE WHEN g THEN 0 ELSE 1 END) OVER before - 1)::INT AS pos,
+               (sum(length(p)) OVER before)::INT AS "end"
+        FROM (SELECT doc_id, p, i, regexp_matches(p, '^\\s') AS g
+              FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i
+                    FROM (SELECT doc_id, regexp_extract_all(text, '\\s+|{WORD}') AS ps FROM documents)))
+        WINDOW before AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)""",
     "v_vec": "SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings",
     "v_dims": "SELECT id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS d FROM v_vec",
     "v_class_weight": "SELECT id AS class, v AS w, 0.01::DOUBLE * id AS b FROM v_vec WHERE id < 5",
@@ -155,6 +162,7 @@ def with_views(body: str) -> str:
         return body
     ctes = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in ordered)
     body = body.strip()
-    if body.upper().startswith("WITH "):
-        return f"WITH {ctes},\n{body[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(start):
+            return f"{start}{ctes},\n{body.removeprefix(start)}"
     return f"WITH {ctes}\n{body}"

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALL_ROWS = 100_000
 
+_made: dict = {}
+
 
 def parallelism(spark: SparkSession) -> int:
     """Number of shuffle partitions the session is set up for."""
@@ -47,13 +50,12 @@ def via_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Mark a stored table for broadcast if a count shows that it is small.
-
-    A larger table comes back unmarked; Spark then picks a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def made_once(spark: SparkSession, key: tuple, build: Callable):
+    """The result of ``build()``, made once per application and key."""
+    where = (spark.sparkContext.applicationId, *key)
+    if where not in _made:
+        _made[where] = build()
+    return _made[where]
 
 
 def pin_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
@@ -66,3 +68,18 @@ def pin_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     if table.num_rows > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(table, df.schema))
+
+
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Deal a table that only a few tasks would read over all cores.
+
+    A small table often lies in one file with one row group, and then all
+    work on its texts would run in one task. A table with more pieces than cores
+    comes back as it is, so large input is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() > 4 * cores:
+        return df
+    if df.select(F.spark_partition_id()).distinct().count() >= cores:
+        return df
+    return df.repartition(max(cores, parallelism(df.sparkSession)), key)
