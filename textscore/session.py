@@ -64,10 +64,10 @@ def pin_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     At most ``max_rows + 1`` rows reach the driver. A result that is larger is
     not used from the driver at all: the lazy frame comes back unchanged.
     """
-    table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
         return df
-    return F.broadcast(df.sparkSession.createDataFrame(table, df.schema))
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def spread_small(df: DataFrame, key: str) -> DataFrame:
