@@ -65,7 +65,7 @@ def test_training_and_encoding_equal_the_public_package(spark, texts, size, spec
     for r in encoded.collect():
         want = tok.encode(r.text)
         assert r.ids == want.ids and r.tokens == want.tokens
-        if set(want.normalized if hasattr(want, "normalized") else r.text.lower() if lowercase else r.text) - {" ", "\t", "\n"} <= set(got_vocab):
+        if all(set(ch.lower() if lowercase else ch) <= set(got_vocab) for ch in r.text if not ch.isspace()):
             assert [tuple(o) for o in r.offsets] == want.offsets
 
 

@@ -67,7 +67,7 @@ def _ig(docs: DataFrame, id: str, ids: str, tokens: str | None, vecs: DataFrame,
     if "y_pred" in docs.columns:
         pooled = pooled.join(docs.select(id, "y_pred"), id)
     factors = ig_factors(pooled, id, weights, dim, slope).select(id, "factor")
-    parts = [F.col(ids).alias("id")] + ([F.col(tokens).alias("token")] if tokens else [])
+    parts = [F.col(ids).alias("token_id")] + ([F.col(tokens).alias("token")] if tokens else [])
     rows = (
         docs.select(id, F.arrays_zip(*parts).alias("_t")).join(factors, id)
         .select(id, "factor", F.posexplode_outer("_t").alias("pos", "_t"))
@@ -76,7 +76,7 @@ def _ig(docs: DataFrame, id: str, ids: str, tokens: str | None, vecs: DataFrame,
     )
     named = ["token"] if tokens else []
     return lookup_vectors(rows, vecs, F.col("pos")).select(
-        id, "pos", "id", *named, dot(F.col("v"), F.col("factor")).alias("score")
+        id, "pos", "token_id", *named, dot(F.col("v"), F.col("factor")).alias("score")
     )
 
 

@@ -1,7 +1,7 @@
 """Apply text classifiers: mean-pooled embeddings, logits, decoding, losses.
 
 Documents carry their token ids as an array, one row per document. Token
-vectors live in a table ``(id, v)``; it is joined by broadcast when a count
+vectors live in a table ``(token_id, v)``; it is joined by broadcast when a count
 shows that it is small and by a salted join otherwise, since a frequent token
 may hold a large share of all occurrences.
 """
@@ -19,18 +19,18 @@ VECTOR_ROWS = 200_000
 
 
 def lookup_vectors(tokens: DataFrame, vecs: DataFrame, spread: Column) -> DataFrame:
-    """Join token rows to their vectors on ``id``.
+    """Join token rows to their vectors on ``token_id``.
 
     ``spread`` is any column that differs between occurrences of one token;
     it picks the copy of the vector in the salted join.
     """
     n = vecs.limit(VECTOR_ROWS + 1).count()
     if n <= VECTOR_ROWS:
-        return tokens.join(F.broadcast(vecs), "id")
+        return tokens.join(F.broadcast(vecs), "token_id")
     salts = min(64, parallelism(tokens.sparkSession))
     copies = vecs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = tokens.withColumn("_salt", F.pmod(F.hash(spread), F.lit(salts)))
-    return salted.join(copies, ["id", "_salt"]).drop("_salt")
+    return salted.join(copies, ["token_id", "_salt"]).drop("_salt")
 
 
 def explode_ids(docs: DataFrame, id: str, ids: str) -> DataFrame:
@@ -39,11 +39,11 @@ def explode_ids(docs: DataFrame, id: str, ids: str) -> DataFrame:
     The outer form keeps the optimizer from adding a filter on the array,
     which would compute the expression behind it twice.
     """
-    return docs.select(id, F.posexplode_outer(ids).alias("pos", "id")).where(F.col("pos").isNotNull())
+    return docs.select(id, F.posexplode_outer(ids).alias("pos", "token_id")).where(F.col("pos").isNotNull())
 
 
 def embed_tokens(tokens: DataFrame, vecs: DataFrame) -> DataFrame:
-    """Token rows ``(…, pos, id)`` with their vector ``v``."""
+    """Token rows ``(…, pos, token_id)`` with their vector ``v``."""
     return lookup_vectors(tokens, vecs, F.col("pos"))
 
 
@@ -55,7 +55,7 @@ def mean_pool(docs: DataFrame, id: str, ids: str, vecs: DataFrame, dim: int, ski
     """
     tokens = explode_ids(docs, id, ids)
     if skip_pad:
-        tokens = tokens.where(F.col("id") != PADDING_ID)
+        tokens = tokens.where(F.col("token_id") != PADDING_ID)
     sums = embed_tokens(tokens, vecs).groupBy(id).agg(
         sum_vectors(F.col("v"), dim).alias("_s"), F.count(F.lit(1)).alias("n_tokens")
     )

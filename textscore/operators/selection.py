@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -137,18 +137,29 @@ def split_at(
         marks.append(F.max(F.when(F.col("cut") == i, F.col("_last"))).alias(f"_last{i}"))
         marks.append(F.max((F.col("cut") == i) & F.col("_last").isNull()).alias(f"_none{i}"))
     empty = hit.where("need <= 0").select(*by, "cut")
-    cuts = pin_small(
-        last_keys.unionByName(empty, allowMissingColumns=True).groupBy(*by).agg(*marks)
-    )
-    passed = sum(
-        (
-            F.coalesce(F.col(f"_none{i}"), F.lit(False))
-            | F.coalesce(order.key > F.col(f"_last{i}"), F.lit(False))
-        ).cast("int")
-        for i in range(len(ranks))
-    )
+    cuts = last_keys.unionByName(empty, allowMissingColumns=True).groupBy(*by).agg(*marks)
     columns = [c for c in df.columns if c != GROUP]
-    return df.join(cuts, by, "left").select(*columns, passed.alias(part))
+    if by == [GROUP]:
+        found = cuts.first()
+        known = [
+            (_literal(found and found[f"_none{i}"]), _literal(found and found[f"_last{i}"]))
+            for i in range(len(ranks))
+        ]
+    else:
+        df = df.join(pin_small(cuts), by, "left")
+        known = [(F.col(f"_none{i}"), F.col(f"_last{i}")) for i in range(len(ranks))]
+    passed = F.lit(0)
+    for none, last in known:
+        behind = F.lit(False) if last is None else F.coalesce(order.key > last, F.lit(False))
+        passed = passed + (F.coalesce(F.lit(False) if none is None else none, F.lit(False)) | behind).cast("int")
+    return df.select(*columns, passed.alias(part))
+
+
+def _literal(value) -> Column | None:
+    """A fetched key as a literal; a struct key field by field."""
+    if isinstance(value, Row):
+        return F.struct(*[F.lit(v).alias(k) for k, v in value.asDict().items()])
+    return None if value is None else F.lit(value)
 
 
 def keep_first(df: DataFrame, by: Sequence[str], order: RowOrder, n: Column | int) -> DataFrame:

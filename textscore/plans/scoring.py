@@ -35,7 +35,7 @@ def embed_tokens(spark, d):
     tokens = scoring.explode_ids(_docs(spark, d), "doc_id", "ids")
     sums = views.vectors(spark, d).withColumn("s", scoring.array_sum(F.col("v").cast("array<double>")))
     return scoring.embed_tokens(tokens, sums).select(
-        "doc_id", "pos", "id", F.round(F.get("v", F.lit(0)).cast("double"), 6).alias("v_first"),
+        "doc_id", "pos", F.col("token_id").alias("id"), F.round(F.get("v", F.lit(0)).cast("double"), 6).alias("v_first"),
         F.round(F.get("v", F.lit(63)).cast("double"), 6).alias("v_last"), F.round("s", 6).alias("v_sum"),
     )
 
@@ -324,7 +324,7 @@ def _scores(spark, d, how=explain.ig_scores):
 
 
 def _rounded_scores(scores):
-    return scores.select("doc_id", "pos", "id", "token", F.round("score", 12).alias("score"))
+    return scores.select("doc_id", "pos", F.col("token_id").alias("id"), "token", F.round("score", 12).alias("score"))
 
 
 @query("ig_scores", "SELECT doc_id, pos::INT AS pos, id::INT AS id, token, round(score, 12) AS score FROM v_scores")

@@ -113,7 +113,7 @@ def token_docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("id"), F.col("embedding").alias("v"))
+    return table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("token_id"), F.col("embedding").alias("v"))
 
 
 def class_weight(spark: SparkSession, d: str, k: int = REVIEW_CLASSES) -> DataFrame:
