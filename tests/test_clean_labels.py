@@ -108,3 +108,14 @@ def test_class_index_types(spark):
 def test_class_weights(spark):
     df = spark.createDataFrame([(1,)] * 3 + [(2,)], "y int")
     assert {r.y: r.weight for r in labels.class_weights(df, "y").collect()} == {1: 4 / 3, 2: 4.0}
+
+
+def test_label_modes(spark):
+    df = spark.createDataFrame([(5, 0), (5, 4), (5, 3)], "essay_set int, domain1_score int")
+    got = {m: [r.domain1_score for r in labels.label_essays(df, score_type=m).collect()]
+           for m in ("categorical", "standardized", "binary")}
+    assert got == {"categorical": [1, 4, 3], "standardized": [-1.0, 1.0, 0.5], "binary": [0, 1, 1]}
+    reviews = spark.createDataFrame([(4,), (5,)], "overall int")
+    assert [r.overall for r in labels.label_reviews(reviews, score_type="binary").collect()] == [0, 1]
+    with pytest.raises(NotImplementedError):
+        labels.label_reviews(reviews, score_type="standardized")

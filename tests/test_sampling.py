@@ -83,10 +83,9 @@ def test_range_bucket(spark, limits):
     assert got == [sum(v <= i for v in limits) for i in range(-2, 105)]
 
 
-def test_sample_n_large_and_small_agree(spark, skewed, monkeypatch):
-    small = {r.id for r in sampling.sample_n(skewed, 300, "id", 4).collect()}
-    monkeypatch.setattr(sampling, "TOP_N", 10)
-    assert {r.id for r in sampling.sample_n(skewed, 300, "id", 4).collect()} == small and len(small) == 300
+def test_sample_n(spark, skewed):
+    got = {r.id for r in sampling.sample_n(skewed, 300, "id", 4).collect()}
+    assert got == set(sorted(range(2000), key=lambda i: key(i, 4))[:300])
 
 
 def test_sample_per_group_excludes(spark, skewed):
@@ -101,12 +100,15 @@ def test_undersample(spark, skewed):
     assert Counter(r.g for r in rows) == {g: min(sizes.values()) for g in sizes}
 
 
-def test_oversample(spark, skewed, monkeypatch):
+@pytest.mark.parametrize("per_copy", [1, 7, 1000])
+def test_oversample(spark, skewed, monkeypatch, per_copy):
     monkeypatch.setattr(sampling, "DRAW_BLOCK", 100)
+    monkeypatch.setattr(sampling, "DRAWS_PER_COPY", per_copy)
     sizes = Counter(r.g for r in skewed.collect())
     rows = sampling.oversample(skewed, "g", "id", 3).collect()
     assert Counter(r.g for r in rows) == {g: max(sizes.values()) for g in sizes}
     assert len({r.id for r in rows if r.g == "hot"}) < sizes["hot"]
+    assert all(sorted(r.draw for r in rows if r.g == g) == list(range(max(sizes.values()))) for g in sizes)
     member = {i: g for g, ids in groups(skewed).items() for i in ids}
     assert all(member[r.id] == r.g for r in rows)
 

@@ -44,7 +44,7 @@ def test_pool_and_logits(world):
 def test_salted_lookup_gives_the_same(world, monkeypatch):
     *_, docs, vecs, _ = world
     wanted = {r.doc: r.m for r in scoring.mean_pool(docs, "doc", "ids", vecs, DIM).collect()}
-    monkeypatch.setattr(scoring, "VECTOR_ROWS", 3)
+    monkeypatch.setattr(scoring, "VECTOR_NUMBERS", 3)
     for r in scoring.mean_pool(docs, "doc", "ids", vecs, DIM).collect():
         np.testing.assert_allclose(r.m, wanted[r.doc], atol=1e-12)
 

@@ -22,6 +22,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 FIRST_MERGE_SYMBOL = 0xF0000
 TOP_PAIRS = 256
 MERGES_PER_TABLE = 32
+MERGES_PER_PLAN = 16
 
 
 # ---------------------------------------------------------------- training
@@ -97,15 +98,15 @@ def _word_table(words: DataFrame) -> DataFrame:
 def _apply(table: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
     """Replace pairs by their symbols, one merge after the other.
 
-    The merges are one array value, so the plan keeps its shape (and its
-    compiled code) from round to round.
+    Literals are not part of generated code, so the code depends only on the
+    number of merges; idle ones fill it up, and few plans are ever compiled.
     """
     if not merges:
         return table
-    rules = F.regexp_extract_all(F.lit("".join(pair + symbol for pair, symbol in merges)), F.lit("(?s)..."), F.lit(0))
-    merged = F.aggregate(
-        rules, F.col("s"), lambda acc, m: F.replace(acc, F.substring(m, 1, 2), F.substring(m, 3, 1))
-    )
+    merged = F.col("s")
+    idle = -len(merges) % MERGES_PER_PLAN
+    for pair, symbol in merges + [("", "")] * idle:
+        merged = F.replace(merged, F.lit(pair), F.lit(symbol))
     return table.select(merged.alias("s"), "n").where(F.length("s") >= 2)
 
 

@@ -129,7 +129,7 @@ def standardize_by_group(
     scaled = 2 * F.try_divide((F.col(col) - F.col("_lo")).cast("double"), span) - 1
     if binarize is not None:
         scaled = (scaled > binarize).cast("int")
-    return df.join(limits, by).select(*columns, scaled.alias(out))
+    return df.join(limits, by).select(*[c for c in columns if c != out], scaled.alias(out))
 
 
 def standardize_binarize(df: DataFrame, col: str, by: str, threshold: float = 0.0, out: str = "label") -> DataFrame:
@@ -155,3 +155,26 @@ def class_weights(df: DataFrame, y: str) -> DataFrame:
     return counts.select(y, "n", (total / F.col("n")).alias("weight"))
 
 
+
+
+def label_reviews(df: DataFrame, col: str = "overall", score_type: str = "categorical", threshold: float = 4) -> DataFrame:
+    """Review scores as they are, or 1 above the threshold and 0 up to it."""
+    if score_type == "categorical":
+        return df
+    if score_type == "binary":
+        return binarize_label(df, col, threshold)
+    raise NotImplementedError(f"review scores have no {score_type} form")
+
+
+def label_essays(
+    df: DataFrame, col: str = "domain1_score", by: str = "essay_set", score_type: str = "categorical",
+    threshold: float = 0.0,
+) -> DataFrame:
+    """Essay scores as classes 1..4, scaled to [-1, 1], or 1 above a scaled threshold."""
+    if score_type == "categorical":
+        return categorize_by_set(df, col=col, by=by)
+    if score_type == "standardized":
+        return standardize_by_group(df, col, by, out=col)
+    if score_type == "binary":
+        return standardize_by_group(df, col, by, binarize=threshold, out=col)
+    raise ValueError(f"unknown score type: {score_type}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textscore.functions.vectors import argmax
+from textscore.operators.batches import BATCH_SIZE
+from textscore.operators.metrics import metrics_report
 from textscore.operators.scoring import ordinal_class
 
 
@@ -90,6 +92,36 @@ def score_batches(df: DataFrame, model: PipelineModel | Model | Callable, schema
     return df.mapInPandas(model, schema)
 
 
+def fit_epochs_table(
+    train: DataFrame, valid: DataFrame, ids: str, y: str, vocab_size: int, k: int,
+    epochs: Sequence[int] = (2, 5, 10), losses: Sequence[str] = ("cross_entropy", "ordinal"),
+    weight: str | None = None, batch_size: int = BATCH_SIZE, reg: float = 0.01,
+) -> DataFrame:
+    """Validation metrics per run and epoch: ``(run, epoch, accuracy, f1)``.
+
+    A run is a loss; an epoch is a number of passes of its optimiser over the
+    training rows. ``best_by_metric`` then picks the model to keep. ``valid`` has a
+    column ``batch_id`` that numbers its batches.
+    """
+    rows = None
+    for loss in losses:
+        for n in epochs:
+            if loss == "cross_entropy":
+                pred = predict_classifier(
+                    valid, fit_classifier(train, ids, y, vocab_size, weight, reg, n), ids, vocab_size
+                )
+            elif loss == "ordinal":
+                pred = predict_ordinal(
+                    valid, fit_ordinal(train, ids, y, vocab_size, k, weight, reg, n), ids, vocab_size
+                )
+            else:
+                raise ValueError(f"unknown loss: {loss}")
+            report = metrics_report(pred.withColumn("y_true", F.col(y)), k, batch_size)
+            row = report.select(F.lit(loss).alias("run"), F.lit(n).alias("epoch"), "accuracy", "f1")
+            rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
 def best_by_metric(runs: DataFrame, metric: str, run: str = "run", epoch: str = "epoch") -> DataFrame:
     """Best epoch of each run: greatest metric above 0, the first one on a tie.
 

@@ -7,17 +7,16 @@ from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from textscore.corpus import Corpus
-from textscore.functions.hashing import HASH_RANGE_BITS, hash_int, hash_key
+from textscore.functions.hashing import HASH_RANGE_BITS, hash_int
 from textscore.operators.selection import (
     column_order, group_sizes, hash_order, keep_first, positions, split_at,
 )
 from textscore.session import parallelism, pin_small
 
-TOP_N = 10_000
 DRAW_BLOCK = 65_536
+DRAWS_PER_COPY = 1_000
 
 # Length presets in characters.
 LENGTH_PRESETS = {"short": (0, 1000), "long": (1000, 6000), "custom": (0, 10000)}
@@ -111,9 +110,11 @@ def filter_load(
 # ---------------------------------------------------------------- samples
 
 def sample_n(df: DataFrame, n: int, id: str, seed: int = 0) -> DataFrame:
-    """``n`` rows without replacement; few rows by top-n, many by cut-off."""
-    if n <= TOP_N:
-        return df.orderBy(hash_key(F.col(id), seed), id).limit(n)
+    """``n`` rows without replacement.
+
+    A cut-off, not a sorted limit: the latter would bring ``n`` whole rows of
+    every task to one place.
+    """
     return keep_first(df, [], hash_order(df, id, seed), n)
 
 
@@ -144,29 +145,42 @@ def oversample(df: DataFrame, y: str, id: str, seed: int = 0) -> DataFrame:
     """Every class drawn with replacement to the size of the largest.
 
     The largest class is drawn as well, so it too loses some of its rows and
-    repeats others. Column ``draw`` numbers the draws of a class from 0. The draws are made in
-    blocks spread over the cluster, then meet the rows by (class, position),
-    a key that no two rows share.
+    repeats others. Column ``draw`` numbers the draws of a class from 0.
+
+    The draws are made in blocks spread over the cluster. Keys alone are ranked
+    and drawn; the rows themselves move once, to meet the picked keys. A row
+    of a rare class is drawn very often, so such rows are copied under a salt
+    and the draws are dealt over the copies.
     """
     kept = df.where(F.col(y).isNotNull())
     sizes = group_sizes(kept, y)
-    largest = sizes.agg(F.max("_total")).first()[0] or 0
-    blocks = max(1, -(-int(largest) // DRAW_BLOCK))
-    starts = F.sequence(F.lit(0), F.lit(blocks - 1).cast("bigint"))
+    largest = int(sizes.agg(F.max("_total")).first()[0] or 0)
+    copies = F.ceil(F.lit(largest) / (F.col("_total") * DRAWS_PER_COPY)).cast("bigint")
+    sizes = pin_small(sizes.withColumn("_copies", copies))
+    blocks = max(1, -(-largest // DRAW_BLOCK))
+    starts = F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))
     first = F.col("_block") * DRAW_BLOCK
-    last = F.least(first + DRAW_BLOCK, F.lit(largest)) - 1
-    block_rows = sizes.select(y, "_total", F.explode(starts).alias("_block"))
+    last = F.least(first + DRAW_BLOCK, F.lit(largest).cast("bigint")) - 1
+    block_rows = sizes.select("*", F.explode(starts).alias("_block"))
     if blocks > 1:
         block_rows = block_rows.repartition(parallelism(df.sparkSession), y, "_block")
+    drawn = F.concat_ws("-", F.col(y).cast("string"), F.col("draw").cast("string"))
     draws = (
-        block_rows
-        .select(y, "_total", F.explode(F.sequence(first, last)).alias("draw"))
+        block_rows.select(y, "_total", "_copies", F.explode(F.sequence(first, last)).alias("draw"))
         .where(F.lit(largest) > 0)
-        .withColumn("_pick", hash_int(F.concat_ws("-", F.col(y).cast("string"), F.col("draw").cast("string")), seed))
-        .select(y, "draw", (F.col("_pick") % F.col("_total")).alias("_pos"))
+        .select(
+            y, "draw", (hash_int(drawn, seed) % F.col("_total")).alias("_pos"),
+            (F.col("draw") % F.col("_copies")).alias("_salt"),
+        )
     )
-    ranked = positions(kept, hash_order(kept, id, seed), [y], "_pos")
-    return draws.join(ranked, [y, "_pos"]).select(*df.columns, "draw")
+
+    def salted(rows: DataFrame) -> DataFrame:
+        salts = F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1)
+        return rows.join(sizes, y).withColumn("_salt", F.explode(salts)).drop("_total", "_copies")
+
+    ranked = positions(kept.select(y, id), hash_order(kept, id, seed), [y], "_pos")
+    picks = draws.join(salted(ranked), [y, "_pos", "_salt"]).select(id, "_salt", "draw")
+    return salted(kept).join(picks, [id, "_salt"]).select(*df.columns, "draw")
 
 
 # ---------------------------------------------------------------- splits

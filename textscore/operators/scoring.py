@@ -1,8 +1,8 @@
 """Apply text classifiers: mean-pooled embeddings, logits, decoding, losses.
 
 Documents carry their token ids as an array, one row per document. Token
-vectors live in a table ``(token_id, v)``; it is joined by broadcast when a count
-shows that it is small and by a salted join otherwise, since a frequent token
+vectors live in a table ``(token_id, v)``; it is joined by broadcast when the
+numbers in it are few and by a salted join otherwise, since a frequent token
 may hold a large share of all occurrences.
 """
 
@@ -15,7 +15,7 @@ from textscore.functions.text import PADDING_ID
 from textscore.functions.vectors import argmax, array_sum, dot, log_sum_exp, sum_vectors
 from textscore.session import parallelism
 
-VECTOR_ROWS = 200_000
+VECTOR_NUMBERS = 16_000_000
 
 
 def lookup_vectors(tokens: DataFrame, vecs: DataFrame, spread: Column) -> DataFrame:
@@ -24,8 +24,8 @@ def lookup_vectors(tokens: DataFrame, vecs: DataFrame, spread: Column) -> DataFr
     ``spread`` is any column that differs between occurrences of one token;
     it picks the copy of the vector in the salted join.
     """
-    n = vecs.limit(VECTOR_ROWS + 1).count()
-    if n <= VECTOR_ROWS:
+    numbers = vecs.agg(F.sum(F.size("v"))).first()[0] or 0
+    if numbers <= VECTOR_NUMBERS:
         return tokens.join(F.broadcast(vecs), "token_id")
     salts = min(64, parallelism(tokens.sparkSession))
     copies = vecs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from textscore.operators import explain, labels, metrics, models, scoring
+from textscore.operators import batches, explain, labels, metrics, models, sampling, scoring
 from textscore.operators.tokens import pretoken_offsets
 from textscore.plans import views
 from textscore.plans.registry import query
@@ -144,9 +144,11 @@ def score_batches(spark, d):
     return models.score_batches(views.logits(spark, d).select("row_id", "z"), argmax_batches, "row_id bigint, y_pred bigint")
 
 
-@query("fit_epochs_table", "SELECT run, epoch, accuracy FROM v_runs")
+@query("fit_epochs_table")
 def fit_epochs_table(spark, d):
-    return views.runs(spark, d)
+    train, valid = sampling.balanced_train_input(_train_rows(spark, d), "y", "row_id", 0.2, 1, under=True)
+    placed = batches.bucket_batches(valid, "ids", "row_id", views.BATCH, shuffle=True, seed=1)
+    return models.fit_epochs_table(train, placed, "ids", "y", VOCAB_SIZE, K, epochs=(2, 5))
 
 
 @query("best_by_metric", """
