@@ -155,6 +155,7 @@ def test_pin_small_leaves_large_results_alone(spark):
 
 def test_spread_small(spark):
     cores = spark.sparkContext.defaultParallelism
-    assert spread_small(spark.range(100, numPartitions=1), "id").rdd.getNumPartitions() == cores
+    assert spread_small(spark.range(1000, numPartitions=1), "id").rdd.getNumPartitions() == cores
+    assert spread_small(spark.range(45, numPartitions=1), "id").rdd.getNumPartitions() == 2
     many = spark.range(100, numPartitions=5 * cores)
     assert spread_small(many, "id") is many

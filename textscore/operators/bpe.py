@@ -23,6 +23,7 @@ FIRST_MERGE_SYMBOL = 0xF0000
 TOP_PAIRS = 256
 MERGES_PER_TABLE = 32
 MERGES_PER_PLAN = 16
+WORDS_PER_PIECE = 10_000
 
 
 # ---------------------------------------------------------------- training
@@ -90,9 +91,10 @@ def merge_rules(words: DataFrame, vocab_size: int, special: Sequence[str]):
 
 
 def _word_table(words: DataFrame) -> DataFrame:
-    """Write the word table; words that became one symbol have no pairs left."""
+    """Write the word table and keep it, in as many pieces as its size asks for."""
     written = via_table(words, "bpe-words")
-    return written.repartition(parallelism(words.sparkSession)).persist()
+    pieces = min(parallelism(words.sparkSession), written.count() // WORDS_PER_PIECE + 1)
+    return written.repartition(pieces).persist()
 
 
 def _apply(table: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:

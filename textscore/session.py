@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALL_ROWS = 100_000
+ROWS_PER_PIECE = 20
 
 _made: dict = {}
 
@@ -80,6 +81,6 @@ def spread_small(df: DataFrame, key: str) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() > 4 * cores:
         return df
-    if df.select(F.spark_partition_id()).distinct().count() >= cores:
-        return df
-    return df.repartition(max(cores, parallelism(df.sparkSession)), key)
+    pieces = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    wanted = min(cores, sum(pieces) // ROWS_PER_PIECE)
+    return df if len(pieces) >= wanted else df.repartition(wanted, key)
