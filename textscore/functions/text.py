@@ -7,13 +7,15 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The code points that count as blanks, written as a regex class
-# that the Java and RE2 dialects both accept.
+# The code points that count as blanks (those of ``str.isspace``),
+# written as a regex class that the Java and RE2 dialects both accept.
 BLANK = (
     r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 
+BLANK_CHARS = [ch for ch in map(chr, range(0x3001)) if ch.isspace()]
+
 # The entity tags of the essay corpus.
 ENTITY_TAGS = (
     "@CAPS", "@CITY", "@DATE", "@DR", "@EMAIL", "@LOCATION", "@MONEY",
