@@ -9,7 +9,8 @@ from textscore.operators import batches, bpe, tokens
 from textscore.plans import views
 from textscore.plans.registry import query
 from textscore.plans.views_sql import key
-from textscore.session import made_once, via_table
+from textscore.session import made_once, scratch_path, via_table
+from textscore.sources import readers, writers
 
 VOCAB_SIZE = 400
 SPECIAL = (PADDING_TOKEN, *ENTITY_TAGS)
@@ -29,6 +30,10 @@ def encoded_reviews(spark, d):
     ))
 
 
+def _joined(ids):
+    return F.array_join(F.col(ids).cast("array<string>"), " ").alias("ids")
+
+
 @query("normalize_lower", "SELECT row_id, lower(reviewText) AS reviewText FROM v_reviews")
 def normalize_lower(spark, d):
     return tokens.normalize_lower(views.reviews(spark, d).select("row_id", "reviewText"), "reviewText")
@@ -105,13 +110,16 @@ def _encoded(spark, d):
 SHORT_VOCAB = 100
 
 
-@query("bpe_merges", f"""
+# A short vocabulary can be trained and applied in SQL too: the words are rewritten
+# merge by merge, with one code point per symbol as in the library.
+_SHORT = f"""
     WITH RECURSIVE counts AS (SELECT token AS word, count(*) AS n FROM v_tokens GROUP BY token),
-    goal AS (SELECT {SHORT_VOCAB} - 1 - count(DISTINCT c) AS merges FROM (SELECT unnest(string_split(word, '')) AS c FROM counts)),
+    chars AS (SELECT DISTINCT unnest(string_split(word, '')) AS c FROM counts),
+    goal AS (SELECT {SHORT_VOCAB} - 1 - count(*) AS merges FROM chars),
     w AS (
-        SELECT 0 AS step, word AS s, n, '' AS pair FROM counts
+        SELECT 0 AS step, word, word AS s, n, '' AS pair FROM counts
         UNION ALL
-        SELECT step + 1, replace(s, b.pair, chr(983040 + step)), n, b.pair
+        SELECT step + 1, word, replace(s, b.pair, chr(983040 + step)), n, b.pair
         FROM w, (SELECT pair FROM (
                      SELECT unnest(list_transform(range(1, length(s)), lambda i: s[i:i + 1])) AS pair, n
                      FROM w WHERE length(s) >= 2)
@@ -122,10 +130,69 @@ SHORT_VOCAB = 100
         SELECT (SELECT max(step) FROM m) AS k, step, pair[1] AS l, pair[2] AS r FROM m
         UNION ALL
         SELECT k - 1, d.step, replace(l, chr((983039 + k)::INT), m.pair), replace(r, chr((983039 + k)::INT), m.pair)
-        FROM d JOIN m ON m.step = d.k)
-    SELECT (step - 1)::INT AS rank, l AS "left", r AS "right" FROM d WHERE k = 0""")
+        FROM d JOIN m ON m.step = d.k),
+    rules AS (SELECT step, l, r FROM d WHERE k = 0),
+    symbols AS (
+        SELECT c AS symbol, row_number() OVER (ORDER BY c) AS id, c AS token FROM chars
+        UNION ALL
+        SELECT chr((983039 + step)::INT), (SELECT count(*) FROM chars) + step, l || r FROM rules),
+    coded AS (
+        SELECT word, j, id, length(token) AS n, sum(length(token)) OVER (PARTITION BY word ORDER BY j) AS e
+        FROM (SELECT word, unnest(string_split(s, '')) AS symbol, generate_subscripts(string_split(s, ''), 1) AS j
+              FROM w WHERE step = (SELECT merges FROM goal)) JOIN symbols USING (symbol))
+"""
+
+
+def _short(spark, d):
+    return made_once(
+        spark, ("short vocab", d), lambda: bpe.bpe_train(views.reviews(spark, d), "reviewText", SHORT_VOCAB)
+    )
+
+
+def _encoded_short(spark, d):
+    return bpe.encode_text(views.reviews(spark, d).select("row_id", "reviewText"), "reviewText", *_short(spark, d))
+
+
+_MERGES = _SHORT + 'SELECT (step - 1)::INT AS rank, l AS "left", r AS "right" FROM rules'
+
+
+@query("bpe_merges", _MERGES)
 def bpe_merges(spark, d):
-    return bpe.bpe_train(views.reviews(spark, d), "reviewText", SHORT_VOCAB)[1]
+    return _short(spark, d)[1]
+
+
+@query("encode_text_short", _SHORT + """,
+    words AS (SELECT word, string_agg(id::VARCHAR, ' ' ORDER BY j) AS ids FROM coded GROUP BY word)
+    SELECT doc_id AS row_id, string_agg(ids, ' ' ORDER BY pos) AS ids FROM v_tokens JOIN words ON token = word
+    GROUP BY doc_id""")
+def encode_text_short(spark, d):
+    return _encoded_short(spark, d).select("row_id", _joined("ids"))
+
+
+@query("encode_offsets_short", _SHORT + """
+    SELECT doc_id AS row_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1)::INT AS pos, id::INT AS id,
+           ("end" - length(p) + e - n)::INT AS start, ("end" - length(p) + e)::INT AS "end"
+    FROM v_pieces JOIN coded ON lower(p) = word WHERE NOT g""")
+def encode_offsets_short(spark, d):
+    rows = _encoded_short(spark, d).select("row_id", F.posexplode(F.arrays_zip("ids", "offsets")).alias("pos", "t"))
+    return rows.select("row_id", "pos", F.col("t.ids").alias("id"), "t.offsets.start", "t.offsets.end")
+
+
+def _saved(spark, d, vocab, merges):
+    path = scratch_path(spark, "vocab")
+    writers.vocab_save(vocab, merges, path)
+    return readers.vocab_load(spark, path)
+
+
+@query("vocab_save", _alphabet((PADDING_TOKEN,)) + "SELECT token, id FROM vocab")
+def vocab_save(spark, d):
+    words = tokens.word_counts(views.documents(spark, d), "text")
+    return _saved(spark, d, tokens.alphabet(words), _short(spark, d)[1])[0]
+
+
+@query("vocab_load", _MERGES)
+def vocab_load(spark, d):
+    return _saved(spark, d, *_short(spark, d))[1]
 
 
 @query("encode_text")
@@ -153,10 +220,6 @@ def encode_offsets(spark, d):
 _IDS = "WITH docs AS (SELECT doc_id, list(id ORDER BY pos) AS ids FROM v_tokens GROUP BY doc_id)"
 
 
-def _joined(ids):
-    return F.array_join(F.col(ids).cast("array<string>"), " ").alias("ids")
-
-
 @query("pad_truncate", _IDS + """
     SELECT doc_id, array_to_string(list_transform(range(1, 513), lambda i: coalesce(ids[i], 0)), ' ') AS ids FROM docs""")
 def pad_truncate(spark, d):
