@@ -1,6 +1,5 @@
 import gzip
 import json
-import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,12 +138,22 @@ def test_streamed_confusion_equals_batch(spark, tmp_path):
     assert got == {(i, j): want.get((i, j), 0) for i in range(4) for j in range(4)}
 
 
-def test_scratch_folder_follows_the_session(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert os.path.dirname(scratch_path(spark, "x")) == str(tmp_path)
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+class NamedFolder:
+    """A session as far as the scratch folder is concerned."""
+
+    def __init__(self, folder, master="yarn"):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = self
+        self.master = master
+
+    def getCheckpointDir(self):
+        return None
+
+
+def test_scratch_folder_follows_the_session():
+    assert scratch_path(NamedFolder("hdfs://shared/dir/"), "x").startswith("hdfs://shared/dir/x-")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_path(NamedFolder(None), "x")
 
 
 def test_pin_small_leaves_large_results_alone(spark):

@@ -25,6 +25,8 @@ from textscore.operators.scoring import (
 RED, WHITE, GREEN = (206, 35, 35), (255, 255, 255), (22, 206, 16)
 PALETTE_STEPS = 256
 PATH_STEPS = 50
+# What stands before and after a coloured token.
+MARK_OPEN, MARK_CLOSE = '<mark style="margin: 0; padding: 0; background-color:', "</mark>"
 
 
 def _mean_slope_exact(m: Column) -> Column:
@@ -178,8 +180,7 @@ def highlight_html(docs: DataFrame, colored: DataFrame, id: str, x: str, mode: s
         inner = cut(span["start"], span["end"]) if full else t["tokens"]
         return F.concat(
             cut(before(i), span["start"]),
-            F.lit('<mark style="margin: 0; padding: 0; background-color:'), t["color"], F.lit('">'),
-            inner, F.lit("</mark>"),
+            F.lit(MARK_OPEN), t["color"], F.lit('">'), inner, F.lit(MARK_CLOSE),
         )
 
     shades = colored.groupBy(id).agg(
