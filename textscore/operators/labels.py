@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textscore.operators.quantiles import exact_quantiles
 from textscore.session import pin_small
 
 # How each essay set turns its score into a class 1..4.
@@ -48,19 +49,14 @@ def shift_label(df: DataFrame, col: str, by: int = 1, out: str = "label") -> Dat
 def quantile_edges(df: DataFrame, col: str, q: int, by: str, exact: bool = True) -> DataFrame:
     """One row per group with the ``q + 1`` edges as an array.
 
-    The exact percentile is combined on the map side as value counts, so its
-    state is as large as the number of distinct scores. For a column without
-    that bound ``exact=False`` gives the approximate sketch.
+    ``exact=False`` gives the approximate sketch in one pass.
     """
     probs = [i / q for i in range(q + 1)]
     if exact:
-        agg = F.percentile(F.col(col), F.array(*[F.lit(p) for p in probs]))
-    else:
-        agg = F.percentile_approx(F.col(col), probs, 100_000).cast("array<double>")
-    return (
-        df.where(F.col(col).isNotNull() & F.col(by).isNotNull())
-        .groupBy(by).agg(agg.alias("edges"))
-    )
+        return exact_quantiles(df, [by], col, probs, "edges")
+    sketch = F.percentile_approx(F.col(col), probs, 100_000).cast("array<double>")
+    rows = df.where(F.col(col).isNotNull() & F.col(by).isNotNull())
+    return rows.groupBy(by).agg(sketch.alias("edges"))
 
 
 def _checked_edges(df: DataFrame, col: str, q: int, by: str, exact: bool) -> DataFrame:

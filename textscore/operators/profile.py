@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textscore.corpus import Corpus
 from textscore.functions.text import BLANK_CHARS, ENTITY_TOKEN, ENTITY_TYPE, split_blanks
 from textscore.operators.labels import binarize_label
+from textscore.operators.quantiles import exact_quantiles
 from textscore.session import pin_small
 
 ALL = "all"
@@ -192,8 +193,7 @@ def describe_by_group(df: DataFrame, by: str, cols: Sequence[str]) -> DataFrame:
     """One row per (group, column): count, mean, std, extremes and quartiles.
 
     All columns are aggregated in one pass and the short result is turned
-    into rows, so the data is not multiplied by the number of columns. The
-    quartiles are exact and keep value counts, which suits score columns.
+    into rows; the quartiles are exact and come from counts of equal values.
     A column without any value in a group has NULL everywhere.
     """
     aggs = []
@@ -202,20 +202,24 @@ def describe_by_group(df: DataFrame, by: str, cols: Sequence[str]) -> DataFrame:
         aggs += [
             F.count(v).alias(f"{c}#n"), F.avg(v).alias(f"{c}#mean"), F.stddev_samp(v).alias(f"{c}#std"),
             F.min(v).alias(f"{c}#min"), F.max(v).alias(f"{c}#max"),
-            F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{c}#q"),
         ]
     wide = df.where(F.col(by).isNotNull()).groupBy(by).agg(*aggs)
-    rows = F.array(*[
+    stats = wide.select(by, F.inline(F.array(*[
         F.struct(
             F.lit(c).alias("column"),
             F.when(F.col(f"{c}#n") > 0, F.col(f"{c}#n")).cast("double").alias("count"),
-            F.col(f"{c}#mean").alias("mean"), F.col(f"{c}#std").alias("std"), F.col(f"{c}#min").alias("min"),
-            F.get(f"{c}#q", F.lit(0)).alias("p25"), F.get(f"{c}#q", F.lit(1)).alias("p50"),
-            F.get(f"{c}#q", F.lit(2)).alias("p75"), F.col(f"{c}#max").alias("max"),
+            *[F.col(f"{c}#{m}").alias(m) for m in ("mean", "std", "min", "max")],
         )
         for c in cols
-    ])
-    return wide.select(by, F.inline(rows))
+    ])))
+    cells = df.select(by, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_value")) for c in cols
+    ])))
+    quartiles = exact_quantiles(cells, [by, "column"], "_value", [0.25, 0.5, 0.75])
+    return stats.join(quartiles, [by, "column"], "left").select(
+        by, "column", "count", "mean", "std", "min",
+        *[F.get("q", F.lit(i)).alias(p) for i, p in enumerate(("p25", "p50", "p75"))], "max",
+    )
 
 
 def describe_report(
