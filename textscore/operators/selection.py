@@ -16,6 +16,7 @@ The bucket limits decide only how even the cells are, never the result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textscore.functions.hashing import HASH_RANGE_BITS, hash_key, key_to_int
+from textscore.functions.hashing import hash_key
 from textscore.session import parallelism, pin_small
 
 MAX_RANGE_BUCKETS = 1024
@@ -39,11 +40,10 @@ class RowOrder:
 
 
 def hash_order(df: DataFrame, id: str, seed: int | str) -> RowOrder:
-    """Seeded random order. Hash prefixes are even, so they are the buckets."""
+    """Seeded random order. The leading digits of the hash are the buckets."""
     key = hash_key(F.col(id), seed)
-    n = parallelism(df.sparkSession)
-    bucket = F.shiftright(key_to_int(key) * F.lit(n).cast("bigint"), HASH_RANGE_BITS)
-    return RowOrder(F.struct(key.alias("h"), F.col(id).alias("id")), bucket.cast("int"))
+    digits = max(1, round(math.log(parallelism(df.sparkSession), 16)))
+    return RowOrder(F.struct(key.alias("h"), F.col(id).alias("id")), F.substring(key, 1, digits))
 
 
 def column_order(df: DataFrame, col: str) -> RowOrder:
