@@ -4,6 +4,7 @@ import check_oracle
 import pytest
 
 import __spark_entry__ as entry
+from textscore.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -11,7 +12,7 @@ def con(sf):
     return check_oracle.connect(sf)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, con, sf, name):
     outcome = check_oracle.compare(spark, con, sf, name)
     assert not outcome.startswith("FAIL"), outcome
@@ -26,7 +27,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_plans_have_no_row_python_and_no_pairing(spark, sf, name):
     plan = plan_of(entry.queries()[name](spark, sf))
     assert "BatchEvalPython" not in plan
