@@ -75,3 +75,20 @@ def sorted_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[p
         rest = [frame.iloc[cuts[-1]:]]
     if rest:
         yield pd.concat(rest) if len(rest) > 1 else rest[0]
+
+
+def held_out(id_col: str, folds: int, fold: int) -> Column:
+    """Whether a row belongs to the fold that learning must not see; false for a null id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
+
+
+def label_sample(labels: DataFrame, id_col: str, label_col: str, folds: int, fold: int, most: int) -> DataFrame:
+    """At most ``most`` labelled rows outside the held-out fold, the first by a hash of the id: ``id, label``.
+
+    Labels other than 0 and 1, null ids and ids with contradicting labels teach nothing.
+    """
+    rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col, folds, fold))
+    rows = rows.groupBy(F.col(id_col).cast("long").alias("id")).agg(
+        F.min(label_col).cast("int").alias("label"), F.max(label_col).cast("int").alias("other"))
+    rows = rows.where("label = other").select("id", "label")
+    return rows.orderBy(F.xxhash64("id"), "id").limit(most)
