@@ -10,6 +10,7 @@ from textscore.llm.common import table
 from textscore.llm.quality_model import quality_scores
 from textscore.llm.quality_rules import quality_rules
 from textscore.llm.simhash import simhash_near_dedup
+from textscore.llm.toxicity import toxicity_scores
 from textscore.llm.vectors import embedding_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +40,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
