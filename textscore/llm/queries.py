@@ -7,12 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from textscore.llm.byte_bpe import corpus_bpe
 from textscore.llm.common import table
 from textscore.llm.licenses import license_scan
 from textscore.llm.packing import pack_documents
 from textscore.llm.quality_model import quality_scores
 from textscore.llm.quality_rules import quality_rules
 from textscore.llm.simhash import simhash_near_dedup
+from textscore.llm.token_counts import token_counts
 from textscore.llm.toxicity import toxicity_scores
 from textscore.llm.vectors import embedding_near_dedup
 
@@ -58,3 +60,14 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return corpus_bpe(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
