@@ -14,6 +14,7 @@ from textscore.llm.packing import pack_documents
 from textscore.llm.quality_model import quality_scores
 from textscore.llm.quality_rules import quality_rules
 from textscore.llm.simhash import simhash_near_dedup
+from textscore.llm.suffixes import suffix_dedup
 from textscore.llm.token_counts import token_counts
 from textscore.llm.toxicity import toxicity_scores
 from textscore.llm.vectors import embedding_near_dedup
@@ -71,3 +72,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return corpus_bpe(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
