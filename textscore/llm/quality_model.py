@@ -6,12 +6,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textscore.llm import boosted
-from textscore.llm.common import held_out, label_sample, slices, whole_text, written
+from textscore.llm.common import ROWS_AT_ONCE, held_out, label_sample, slices, whole_text
 
 FOLDS, HELD_FOLD = 4, 2
 KEEP_FROM = 0.7
@@ -64,50 +65,63 @@ def text_statistics(text: str) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id`` and ``x`` (the statistics) of every row; one pass, no shuffle."""
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                label_col: str = "quality") -> boosted.Forest | None:
+    """Trees fitted on at most ``MAX_TRAIN`` labelled rows, the first by a hash of their id, none of the held-out fold.
+
+    Labels of one class, or fewer than ``LEAST_ROWS``, give their smoothed rate as score; no labels give no model.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x = [text_statistics(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(x, pa.list_(pa.float64()))], ["id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(x, pa.list_(pa.float64()))], ["id", "label", "x"])
 
+    sample = label_sample(labels, id_col, label_col, FOLDS, HELD_FOLD, MAX_TRAIN)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, x array<double>")
-
-
-def fit_forest(rows: DataFrame, sample: DataFrame) -> boosted.Forest | None:
-    """Trees fitted on the sampled rows, of which there are at most ``MAX_TRAIN``; None without any."""
-    train = rows.join(F.broadcast(sample), "id").select("id", "x", "label").limit(MAX_TRAIN).toPandas()  # the sample is bounded
+    rows = rows.join(F.broadcast(sample), "id").select("id", "text", "label")  # at most MAX_TRAIN rows of two numbers
+    train = rows.mapInArrow(run, "id long, label int, x array<double>").limit(MAX_TRAIN).toPandas()  # ids may repeat
     if not len(train):
         return None
-    train = train.sort_values("id", kind="stable")
-    y = train["label"].to_numpy().astype(float)
+    x, y = np.stack(train["x"].to_numpy()), train["label"].to_numpy().astype(float)
+    order = np.lexsort((*x.T, train["id"].to_numpy()))
+    x, y = x[order], y[order]
     if len(train) < LEAST_ROWS or y.min() == y.max():
         return boosted.constant((y.sum() + 0.5) / (len(y) + 1))
-    return boosted.fit(np.stack(train["x"].to_numpy()), y)
+    return boosted.fit(x, y)
+
+
+def score_texts(spark: SparkSession, model: boosted.Forest | None):
+    """A function of the text column that gives the score."""
+    sent = spark.sparkContext.broadcast(model)  # arrays of at most trees * 2 ** (depth + 1) nodes
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            out = np.ones(len(part))
+            if sent.value is not None:
+                for at in range(0, len(part), ROWS_AT_ONCE):
+                    x = np.array([text_statistics(t) for t in part.iloc[at:at + ROWS_AT_ONCE]])
+                    out[at:at + ROWS_AT_ONCE] = sent.value.scores(x)
+            yield pd.Series(out)
+
+    return score
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """Probability that a text is of good quality, for every row.
 
-    Returns ``id_col``, ``held_out``, ``score`` and ``predicted`` (score at least 0.7). Trees are fitted on at most ``MAX_TRAIN``
-    labelled rows, the first by a hash of their id, none of them of the held-out fold; the statistics of every row are
-    computed once and written. Inputs of the score are statistics of the text only. Null and empty texts have zeros
-    as statistics. With labels of one class, or fewer than ``LEAST_ROWS``, the score is their smoothed rate; without labels it
-    is 1, as nothing speaks against a text. Repeated rows score alike. Other columns are left out. No rows give no rows.
+    Returns ``id_col``, ``held_out``, ``score`` and ``predicted`` (score at least 0.7). Inputs of the score are statistics of the
+    whole text only; for the model see :func:`fit_quality`. One pass without a shuffle. Null and empty texts have zeros as
+    statistics. Without labels the score is 1, as nothing speaks against a text. Repeated rows score alike. Other
+    columns are left out. No rows give no rows.
     """
-    spark = docs.sparkSession
-    rows = written(with_statistics(docs, id_col, text_col), "statistics")
-    forest = fit_forest(rows, label_sample(labels, id_col, label_col, FOLDS, HELD_FOLD, MAX_TRAIN))
-    sent = spark.sparkContext.broadcast(forest)  # arrays of at most trees * 2 ** (depth + 1) nodes
+    score = score_texts(docs.sparkSession, fit_quality(docs, labels, id_col, text_col, label_col))
+    scored = docs.select(F.col(id_col).cast("long").alias(id_col), held_out(id_col, FOLDS, HELD_FOLD).alias("held_out"),
+                         score(whole_text(text_col)).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= KEEP_FROM).cast("int"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        for batch in slices(batches, 4096):
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(FEATURES))
-            score = np.ones(len(x)) if model is None else model.scores(x)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score)], ["id", "score"])
-
-    scored = rows.mapInArrow(run, "id long, score double")
-    return scored.select(F.col("id").alias(id_col), held_out("id", FOLDS, HELD_FOLD).alias("held_out"), "score",
-                         (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of ``docs`` whose score is at least 0.7, with all their columns."""
+    score = score_texts(docs.sparkSession, fit_quality(docs, labels, id_col, text_col, label_col))
+    return docs.where(score(whole_text(text_col)) >= KEEP_FROM)

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -308,24 +309,24 @@ def _intervals(found: DataFrame) -> DataFrame:
     return found.where("kind > 0").select("doc", "sub", "low", high.alias("high"))
 
 
-def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with ``doc`` and ``sub``, by which texts are ordered and told apart, and ``text``.
+def identified(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """``row`` (a struct of the columns ``keep``), ``text``, and ``doc`` and ``sub`` by which texts are ordered and told apart.
 
     ``sub`` is 0 where an id stands once, else a hash of the text, so that rows repeating id and text are one document. A null
     id comes after all others.
     """
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
-    several = docs.groupBy(doc.alias("several_id")).count().where("count > 1").select("several_id")
-    rows = docs.withColumns({"dedup_doc": doc, "dedup_text": whole_text(text_col)})
+    rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), whole_text(text_col).alias("text"),
+                       F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"))
+    several = rows.groupBy("doc").count().where("count > 1").select("doc", F.lit(True).alias("several"))
     if several.isEmpty():
-        return rows.withColumn("dedup_sub", F.lit(0).cast("long"))
-    rows = rows.join(several, rows["dedup_doc"] == several["several_id"], "left")
-    return rows.withColumn("dedup_sub", F.when(F.col("several_id").isNotNull(), F.xxhash64("dedup_text")).otherwise(F.lit(0))).drop("several_id")
+        return rows.withColumn("sub", F.lit(0).cast("long"))
+    return rows.join(several, "doc", "left").select(
+        "row", "text", "doc", F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("sub"))
 
 
 def repeated_intervals(rows: DataFrame) -> DataFrame:
-    """``doc, sub`` and the merged-by-task intervals of bytes that stand earlier, over ``rows`` of :func:`identified`."""
-    texts = rows.select(F.col("dedup_doc").alias("doc"), F.col("dedup_sub").alias("sub"), F.col("dedup_text").alias("text"))
+    """``doc, sub`` and the merged-by-task intervals of bytes that stand earlier, over rows of :func:`identified`."""
+    texts = rows.select("doc", "sub", "text")
     runs = written(_dealt(texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_find_runs, ROW)), "runs")
     listed = runs.where("kind = 0").groupBy("doc", "sub").agg(F.collect_list(F.struct("low", "size", "bucket")).alias("runs"))
     windows = texts.join(listed, ["doc", "sub"]).mapInArrow(_find_windows, ROW)
@@ -344,11 +345,11 @@ def _cut(text: bytes, spans: list | None) -> tuple[bytes, int, int]:
     return b"".join(text[a:b] for a, b in zip(ends, starts)), int((high - low).sum()), len(low)
 
 
-def with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with ``dedup_text`` and ``spans``, the repeated intervals of the text."""
-    rows = identified(docs, id_col, text_col)
+def with_spans(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """``row`` (a struct of the columns ``keep``), ``text`` and ``spans``, the repeated intervals of the text."""
+    rows = identified(docs, id_col, text_col, keep)
     spans = repeated_intervals(rows).groupBy("doc", "sub").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    return rows.join(spans, (rows["dedup_doc"] == spans["doc"]) & (rows["dedup_sub"] == spans["sub"]), "left").drop("doc", "sub")
+    return rows.join(spans, ["doc", "sub"], "left").select("row", "text", "spans")
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -371,7 +372,20 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
                                              ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    rows = with_spans(docs, id_col, text_col)
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col("dedup_text").alias("text"), "spans")
+    rows = with_spans(docs, id_col, text_col, [id_col])
+    rows = rows.select(F.col("row")[id_col].cast("long").alias("id"), "text", "spans")
     types = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return rows.mapInArrow(run, types).withColumnRenamed("id", id_col)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with every text cut to the bytes that :func:`suffix_dedup` keeps, and all other columns as they are.
+
+    A character of which only some bytes are kept goes whole. A null text becomes empty, and so does one that stands elsewhere.
+    """
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else _cut(t.encode("utf-8", "surrogatepass"), list(s))[0].decode("utf-8", "ignore") for t, s in zip(texts, spans)])
+
+    rows = with_spans(docs, id_col, text_col, docs.columns)
+    return rows.select(*[cut("text", "spans").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

@@ -8,11 +8,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textscore.llm.common import held_out, label_sample, slices, whole_text, written
+from textscore.llm.common import dropped, held_out, label_sample, slices, whole_text, written
 
 FOLDS, HELD_FOLD = 3, 1
 REJECT_FROM = 0.7
@@ -158,8 +159,8 @@ def features(tokens: list[str], hits: dict[str, tuple[int, bool]], lexicon: Lexi
             float(np.log1p(reported)), float(np.log1p(addressed)), float(np.log1p(misspelt)), severity]
 
 
-def term_counts(docs: DataFrame, id_col: str, text_col: str, sample: DataFrame) -> DataFrame:
-    """Labelled texts with and without toxicity that hold each word and each stem: ``term, stem, toxic, clean``."""
+def term_counts(rows: DataFrame) -> DataFrame:
+    """Rows of ``(text, label)`` with and without toxicity that hold each word and each stem: ``term, stem, toxic, clean``."""
     def flush(toxic: Counter, clean: Counter) -> pa.RecordBatch:
         names = list(toxic.keys() | clean.keys())
         return pa.RecordBatch.from_arrays(
@@ -181,21 +182,19 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str, sample: DataFrame)
         if toxic or clean:
             yield flush(toxic, clean)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    rows = rows.join(F.broadcast(sample), "id").select("text", "label")  # at most MAX_TRAIN rows of two numbers
-    counted = rows.mapInArrow(run, "term string, stem boolean, toxic long, clean long")
+    counted = rows.select("text", "label").mapInArrow(run, "term string, stem boolean, toxic long, clean long")
     return counted.groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def learn_lexicon(docs: DataFrame, id_col: str, text_col: str, sample: DataFrame) -> Lexicon:
+def learn_lexicon(rows: DataFrame) -> Lexicon:
     """At most ``MAX_TERMS`` words and stems that stand in toxic texts and hardly in others."""
-    counted = term_counts(docs, id_col, text_col, sample)
+    counted = term_counts(rows)
     likely = counted.where((F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") >= LEAST_SHARE * (F.col("toxic") + F.col("clean"))))
-    rows = likely.orderBy(F.desc("toxic"), "stem", F.desc(F.length("term")), "term").limit(MAX_CANDIDATES).collect()
+    terms = likely.orderBy(F.desc("toxic"), "stem", F.desc(F.length("term")), "term").limit(MAX_CANDIDATES).collect()
     words: dict[str, float] = {}
     stems: dict[str, float] = {}
     held: dict[str, int] = {}
-    for row in rows:
+    for row in terms:
         term, toxic = row["term"], row["toxic"]
         weight = float(np.log((toxic + 0.5) / (row["clean"] + 0.5)))
         if len(words) + len(stems) >= MAX_TERMS or any(term[:n] in stems for n in STEM_LENGTHS):
@@ -211,32 +210,24 @@ def learn_lexicon(docs: DataFrame, id_col: str, text_col: str, sample: DataFrame
     return Lexicon(words, stems)
 
 
-def with_features(docs: DataFrame, id_col: str, text_col: str, lexicon: Lexicon) -> DataFrame:
-    """``id`` and ``x`` (the features) of every row; one pass, no shuffle. Words are matched once while a memo holds them."""
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most MAX_TERMS terms
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        memo: dict[str, tuple[int, bool] | None] = {}
-        for batch in slices(batches):
-            x = []
-            for text in batch.column("text").to_pylist():
-                tokens = text.lower().split()
-                hits = {}
-                for token in set(tokens):
-                    if token in memo:
-                        hit = memo[token]
-                    else:
-                        hit = memo[token] = known.match(token)
-                    if hit is not None:
-                        hits[token] = hit
-                x.append(features(tokens, hits, known) if hits else [0.0] * len(FEATURES))
-                if len(memo) > MEMO:
-                    memo.clear()
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(x, pa.list_(pa.float64()))], ["id", "x"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, x array<double>")
+def text_features(texts: list[str], lexicon: Lexicon, memo: dict) -> np.ndarray:
+    """Features of some texts. A word is matched once while the memo, which is bounded, holds it."""
+    x = np.zeros((len(texts), len(FEATURES)))
+    for row, text in enumerate(texts):
+        tokens = text.lower().split()
+        hits = {}
+        for token in set(tokens):
+            if token in memo:
+                hit = memo[token]
+            else:
+                hit = memo[token] = lexicon.match(token)
+            if hit is not None:
+                hits[token] = hit
+        if hits:
+            x[row] = features(tokens, hits, lexicon)
+        if len(memo) > MEMO:
+            memo.clear()
+    return x
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -255,19 +246,35 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray
     return w
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """Probability that a text is toxic, for every row.
+@dataclass
+class Model:
+    """A lexicon, and the weights of the features with the intercept last."""
+
+    lexicon: Lexicon
+    weights: np.ndarray
+
+    def scores(self, texts: list[str], memo: dict) -> np.ndarray:
+        return 1 / (1 + np.exp(-(text_features(texts, self.lexicon, memo) @ self.weights[:-1] + self.weights[-1])))
 
-    Returns ``id_col``, ``held_out``, ``score``, ``predicted`` (score at least 0.7) and ``features``. Lexicon and weights are learnt from at
-    most ``MAX_TRAIN`` labelled rows, the first by a hash of their id, none of them of the held-out fold. Whole texts are
-    read; null and empty texts have no hit. With labels of one class, or fewer than ``LEAST_ROWS``, the score is their smoothed
-    rate; without labels it is 0, as nothing speaks against a text. Repeated rows score alike. Other columns are
-    left out. No rows give no rows.
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Lexicon and weights learnt from at most ``MAX_TRAIN`` labelled rows, the first by a hash of their id, none of the held-out fold.
+
+    Labels of one class, or fewer than ``LEAST_ROWS``, give their smoothed rate as score; no labels give score 0.
     """
-    spark = docs.sparkSession
-    sample = written(label_sample(labels, id_col, label_col, FOLDS, HELD_FOLD, MAX_TRAIN), "sample")
-    rows = written(with_features(docs, id_col, text_col, learn_lexicon(docs, id_col, text_col, sample)), "features")
-    train = rows.join(F.broadcast(sample), "id").select("id", "x", "label").limit(MAX_TRAIN).toPandas().sort_values("id", kind="stable")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict = {}
+        for batch in slices(batches):
+            x = text_features(batch.column("text").to_pylist(), sent.value, memo)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["id", "label", "x"])
+
+    sample = label_sample(labels, id_col, label_col, FOLDS, HELD_FOLD, MAX_TRAIN)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
+    rows = written(rows.join(F.broadcast(sample), "id").select("id", "text", "label"), "sample")  # at most MAX_TRAIN rows of two numbers
+    lexicon = learn_lexicon(rows)
+    sent = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most MAX_TERMS terms
+    train = rows.mapInArrow(run, "id long, label int, x array<double>").limit(MAX_TRAIN).toPandas()  # ids may repeat
+    dropped(rows)
     y = train["label"].to_numpy().astype(float)
     weights = np.zeros(len(FEATURES) + 1)
     if not len(y):
@@ -275,18 +282,39 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     elif len(y) < LEAST_ROWS or y.min() == y.max():
         weights[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     else:
-        weights = fit_logistic(np.stack(train["x"].to_numpy()), y)
+        x = np.stack(train["x"].to_numpy())
+        order = np.lexsort((*x.T, train["id"].to_numpy()))
+        weights = fit_logistic(x[order], y[order])
+    return Model(lexicon, weights)
 
-    sent = spark.sparkContext.broadcast(weights)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = sent.value
-        for batch in slices(batches, 4096):
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(FEATURES))
-            score = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score), batch.column("x")], ["id", "score", "x"])
-
-    scored = rows.mapInArrow(run, "id long, score double, x array<double>")
-    return scored.select(
-        F.col("id").alias(id_col), held_out("id", FOLDS, HELD_FOLD).alias("held_out"), "score",
-        (F.col("score") >= REJECT_FROM).cast("int").alias("predicted"), F.col("x").alias("features"))
+def score_texts(spark: SparkSession, model: Model):
+    """A function of the text column that gives the score."""
+    sent = spark.sparkContext.broadcast(model)  # at most MAX_TERMS terms and a few weights
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memo: dict = {}
+        for part in texts:
+            yield pd.Series(sent.value.scores(part.tolist(), memo))
+
+    return score
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """Probability that a text is toxic, for every row.
+
+    Returns ``id_col``, ``held_out``, ``score`` and ``predicted`` (score at least 0.7). Whole texts are read in one pass without a shuffle; for the
+    model see :func:`fit_toxicity`. Null and empty texts have no hit. Without labels the score is 0, as nothing speaks
+    against a text. Repeated rows score alike. Other columns are left out. No rows give no rows.
+    """
+    score = score_texts(docs.sparkSession, fit_toxicity(docs, labels, id_col, text_col, label_col))
+    scored = docs.select(F.col(id_col).cast("long").alias(id_col), held_out(id_col, FOLDS, HELD_FOLD).alias("held_out"),
+                         score(whole_text(text_col)).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= REJECT_FROM).cast("int"))
+
+
+def keep_civil(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The rows of ``docs`` whose score is below 0.7, with all their columns."""
+    score = score_texts(docs.sparkSession, fit_toxicity(docs, labels, id_col, text_col, label_col))
+    return docs.where(score(whole_text(text_col)) < REJECT_FROM)
