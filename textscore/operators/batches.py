@@ -13,13 +13,17 @@ from textscore.operators.selection import column_order, positions_after
 BATCH_SIZE = 16
 
 
+def _size(ids: str) -> Column:
+    return F.coalesce(F.size(ids), F.lit(0))
+
+
 def length_order(df: DataFrame, ids: str, id: str, name: str = "pos") -> DataFrame:
-    """Position in the stable ascending order of token counts.
+    """Position in the stable ascending order of token counts. NULL counts as no tokens.
 
     The result has the position of each row and is itself not globally
     sorted; ``orderBy(name)`` shows it in order.
     """
-    sized = df.withColumn("n_tokens", F.size(ids))
+    sized = df.withColumn("n_tokens", _size(ids))
     return positions_after(sized, "n_tokens", column_order(sized, id), name)
 
 
@@ -52,12 +56,13 @@ def batch_count(df: DataFrame, batch_size: int = BATCH_SIZE) -> DataFrame:
 
 
 def _padded(ids: Column, length: Column) -> Column:
-    return F.concat(ids, F.array_repeat(F.lit(PADDING_ID).cast("int"), length - F.size(ids)))
+    known = F.coalesce(ids, F.array().cast("array<int>"))
+    return F.concat(known, F.array_repeat(F.lit(PADDING_ID).cast("int"), length - F.size(known)))
 
 
 def pad_to_batch_max(df: DataFrame, ids: str, batch: str = "batch_id", out: str | None = None) -> DataFrame:
     """Pad every row to the longest of its batch. A batch is small by design."""
-    longest = F.max(F.size(ids)).over(Window.partitionBy(batch))
+    longest = F.max(_size(ids)).over(Window.partitionBy(batch))
     return (
         df.withColumn("_longest", longest)
         .withColumn(out or ids, _padded(F.col(ids), F.col("_longest")))

@@ -14,6 +14,8 @@ from textscore.operators.selection import column_order, positions
 
 # Cells that stand for a missing value.
 NULL_TOKENS = ("", "<NA>")
+DIGITS = r"^[+-]?[0-9]+$"
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def null_tokens(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
@@ -27,9 +29,13 @@ def null_tokens(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS) -> DataFrame
 
 
 def to_whole_number(col: Column) -> Column:
-    """Number in text to BIGINT; NULL if it cannot be read or has a fraction."""
-    value = col.cast("string").try_cast("double")
-    return F.when(value == F.floor(value), value.try_cast("bigint"))
+    """Number in text to BIGINT; NULL if it cannot be read or has a fraction.
+
+    Digits alone are read as they are, however many; only other forms go through a floating number.
+    """
+    text = F.trim(col.cast("string"))
+    value = F.when(text.rlike(NUMBER), text).try_cast("double")
+    return F.coalesce(F.when(text.rlike(DIGITS), text).try_cast("bigint"), F.when(value == F.floor(value), value.try_cast("bigint")))
 
 
 def coerce_numeric(df: DataFrame, except_: Sequence[str] = ("essay",)) -> DataFrame:
@@ -42,7 +48,8 @@ def coerce_numeric(df: DataFrame, except_: Sequence[str] = ("essay",)) -> DataFr
 def count_nonintegral(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """How many cells per column are numbers with a fraction (they become NULL)."""
     def fractional(c: str) -> Column:
-        value = F.col(c).cast("string").try_cast("double")
+        text = F.trim(F.col(c).cast("string"))
+        value = F.when(text.rlike(NUMBER), text).try_cast("double")
         return F.count_if(value != F.floor(value)).alias(c)
 
     return df.agg(*[fractional(c) for c in cols])

@@ -108,7 +108,8 @@ def categorize_by_set(
 
 
 def binarize_label(df: DataFrame, col: str, threshold: float = 4, out: str | None = None) -> DataFrame:
-    return df.withColumn(out or col, (F.col(col) > threshold).cast("int"))
+    """1 above the threshold, else 0, also where there is no score."""
+    return df.withColumn(out or col, F.coalesce(F.col(col) > threshold, F.lit(False)).cast("int"))
 
 
 def standardize_by_group(
@@ -117,14 +118,14 @@ def standardize_by_group(
     """Scale to [-1, 1] by the least and greatest score of the group.
 
     A group with a single score value has no range and gives NULL. With
-    ``binarize`` the scaled score becomes 1 above that threshold, else 0.
+    ``binarize`` the scaled score becomes 1 above that threshold, else 0, also where there is no range or no score.
     """
     columns = df.columns
     limits = pin_small(df.groupBy(by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi")))
     span = (F.col("_hi") - F.col("_lo")).cast("double")
     scaled = 2 * F.try_divide((F.col(col) - F.col("_lo")).cast("double"), span) - 1
     if binarize is not None:
-        scaled = (scaled > binarize).cast("int")
+        scaled = F.coalesce(scaled > binarize, F.lit(False)).cast("int")
     return df.join(limits, by).select(*[c for c in columns if c != out], scaled.alias(out))
 
 

@@ -18,8 +18,15 @@ from textscore.operators.scoring import (
 RUN_BLOCK = 65_536
 
 
+def checked_class(name: str, k: int) -> Column:
+    """The class; fails where it is not one of the K classes, so that no row is lost without a word."""
+    wrong = F.concat(F.lit(f"{name} is no class from 0 to {k - 1}: "), F.coalesce(F.col(name).cast("string"), F.lit("NULL")))
+    return F.when(F.col(name).between(0, k - 1), F.col(name)).otherwise(F.raise_error(wrong)).alias(name)
+
+
 def fill_grid(counts: DataFrame, k: int) -> DataFrame:
-    """All K x K cells, zeros kept."""
+    """All K x K cells, zeros kept. A label or prediction outside the classes, or NULL, fails."""
+    counts = counts.select(checked_class("y_true", k), checked_class("y_pred", k), "n")
     grid = counts.sparkSession.range(k * k, numPartitions=1).select(
         F.floor(F.col("id") / k).cast("int").alias("y_true"), (F.col("id") % k).cast("int").alias("y_pred")
     )

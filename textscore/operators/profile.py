@@ -15,15 +15,21 @@ from textscore.session import pin_small
 
 ALL = "all"
 NO_CATEGORY = "\0"
+WHOLE = "_whole"
 
 
 def _all_and_groups(c: Corpus, df: DataFrame, *aggs: Column) -> DataFrame:
     """Aggregates for the whole table and for each category, in one pass."""
+    return _flagged(c, df, *aggs).drop(WHOLE)
+
+
+def _flagged(c: Corpus, df: DataFrame, *aggs: Column) -> DataFrame:
+    """The same, with the mark that tells the whole table from a category of its name."""
     return (
-        df.rollup(c.cat).agg(*aggs, F.grouping(c.cat).alias("_g"))
-        .withColumn("dataset", F.when(F.col("_g") == 1, F.lit(ALL)).otherwise(F.col(c.cat).cast("string")))
+        df.rollup(c.cat).agg(*aggs, (F.grouping(c.cat) == 1).alias(WHOLE))
+        .withColumn("dataset", F.when(F.col(WHOLE), F.lit(ALL)).otherwise(F.col(c.cat).cast("string")))
         .where(F.col("dataset").isNotNull())
-        .drop("_g", c.cat)
+        .drop(c.cat)
     )
 
 
@@ -58,7 +64,8 @@ def _per_group_and_all(pairs: DataFrame, counts: Column, out: str) -> DataFrame:
         pairs.groupBy("item").agg(F.count(F.lit(1)).alias("_k"))
         .agg(F.count_if((F.col("_k") > 0) & counts).alias(out))
     )
-    return groups.unionByName(whole.select(F.lit(ALL).alias("dataset"), out))
+    groups = groups.withColumn(WHOLE, F.lit(False))
+    return groups.unionByName(whole.select(F.lit(ALL).alias("dataset"), out, F.lit(True).alias(WHOLE)))
 
 
 def unique_words(c: Corpus, approx: bool = False) -> DataFrame:
@@ -66,8 +73,11 @@ def unique_words(c: Corpus, approx: bool = False) -> DataFrame:
     if approx:
         words = c.df.select(c.cat, F.explode(F.array_distinct(split_blanks(F.col(c.x)))).alias("word"))
         return _all_and_groups(c, words, F.approx_count_distinct("word").alias("unique_words"))
-    is_word = ~F.col("item").isin(*BLANK_CHARS)
-    return _per_group_and_all(_distinct_pieces(c), is_word, "unique_words")
+    return _words(c).drop(WHOLE)
+
+
+def _words(c: Corpus) -> DataFrame:
+    return _per_group_and_all(_distinct_pieces(c), ~F.col("item").isin(*BLANK_CHARS), "unique_words")
 
 
 def unique_chars(c: Corpus) -> DataFrame:
@@ -76,6 +86,10 @@ def unique_chars(c: Corpus) -> DataFrame:
     They come from the distinct words and blanks, so no row per character of
     text is ever made.
     """
+    return _chars(c).drop(WHOLE)
+
+
+def _chars(c: Corpus) -> DataFrame:
     letters = F.explode(F.array_distinct(F.split("item", ""))).alias("item")
     chars = _distinct_pieces(c).select("dataset", letters).distinct()
     return _per_group_and_all(chars, F.col("item") != "", "unique_chars")
@@ -87,15 +101,15 @@ def corpus_summary(c: Corpus) -> DataFrame:
     measures = c.df.select(
         c.cat, F.coalesce(F.length(c.x), F.lit(0)).alias("_length"), F.col(c.y).cast("double").alias("_score")
     )
-    rows = _all_and_groups(
+    rows = _flagged(
         c, measures,
         F.count(F.lit(1)).alias("n_rows"),
         F.avg("_length").alias("mean_length"),
         F.avg("_score").alias("mean_score"),
     )
     return (
-        rows.join(unique_words(c), "dataset", "left")
-        .join(unique_chars(c), "dataset", "left")
+        rows.join(_words(c), [WHOLE, "dataset"], "left")
+        .join(_chars(c), [WHOLE, "dataset"], "left")
         .select(
             "dataset", "n_rows",
             F.coalesce("unique_words", F.lit(0)).alias("unique_words"),

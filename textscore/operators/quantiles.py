@@ -9,26 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textscore.operators.selection import column_order
-from textscore.session import pin_small
+from textscore.session import pin_small, via_table
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float], out: str = "q") -> DataFrame:
     """One row per group with its quantiles as an array.
 
     Equal values are counted first, on the map side, so a value that most rows
-    share costs one row. Scores have few values, and their counts are all
-    that is left to look at. Only a column with very many values takes the way by ranks.
+    share costs one row; the counts are written once. Ranks are then found range by
+    range, by the same steps and the same formula at every size.
     """
     by = list(by)
     value = F.col(col).cast("double")
     rows = df.select(*by, value.alias("_v")).where(F.col("_v").isNotNull())
     for name in by:
         rows = rows.where(F.col(name).isNotNull())
-    counts = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    few = pin_small(counts)
-    if few is not counts:
-        shares = F.array(*[F.lit(float(p)) for p in probs])
-        return few.groupBy(*by).agg(F.percentile("_v", shares, F.col("_n")).alias(out))
+    counts = via_table(rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")), "counts")
     return _by_ranks(counts, by, probs, out)
 
 

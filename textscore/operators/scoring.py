@@ -22,15 +22,21 @@ def lookup_vectors(tokens: DataFrame, vecs: DataFrame, spread: Column) -> DataFr
     """Join token rows to their vectors on ``token_id``.
 
     ``spread`` is any column that differs between occurrences of one token;
-    it picks the copy of the vector in the salted join.
+    it picks the copy of the vector in the salted join. A token without a vector
+    fails, as leaving it out would change every mean it is part of.
     """
     numbers = vecs.agg(F.sum(F.size("v"))).first()[0] or 0
     if numbers <= VECTOR_NUMBERS:
-        return tokens.join(F.broadcast(vecs), "token_id")
+        return _with_vector(tokens.join(F.broadcast(vecs), "token_id", "left"))
     salts = min(64, parallelism(tokens.sparkSession))
     copies = vecs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = tokens.withColumn("_salt", F.pmod(F.hash(spread), F.lit(salts)))
-    return salted.join(copies, ["token_id", "_salt"]).drop("_salt")
+    return _with_vector(salted.join(copies, ["token_id", "_salt"], "left").drop("_salt"))
+
+
+def _with_vector(rows: DataFrame) -> DataFrame:
+    missing = F.raise_error(F.concat(F.lit("no vector for token id "), F.coalesce(F.col("token_id").cast("string"), F.lit("NULL"))))
+    return rows.withColumn("v", F.coalesce("v", missing))
 
 
 def explode_ids(docs: DataFrame, id: str, ids: str) -> DataFrame:

@@ -107,7 +107,8 @@ def split_at(
 
     ``ranks`` are counts of rows before each cut; as columns they may use
     ``_total``, the size of the group. The input is read three times (count,
-    boundary cells, result), which is cheaper than one sort of it.
+    boundary cells, result), which is cheaper than one sort of it. A cut between
+    two rows of one key fails, as it could not keep exactly as many rows as asked for.
     """
     df, by = _grouped(df, by)
     rows = df.select(*by, order.bucket.alias("_bucket"), order.key.alias("_key"))
@@ -126,11 +127,12 @@ def split_at(
     )
     hit = pin_small(hit)
     inside = Window.partitionBy(*by, "_bucket", "cut").orderBy("_key")
+    tied = F.raise_error(F.lit("the order key is not unique at a cut"))
     last_keys = (
         rows.join(hit.where("need > 0"), [*by, "_bucket"])
-        .withColumn("_rn", F.row_number().over(inside))
+        .withColumn("_rn", F.row_number().over(inside)).withColumn("_next", F.lead("_key").over(inside))
         .where(F.col("_rn") == F.col("need"))
-        .select(*by, "cut", F.col("_key").alias("_last"))
+        .select(*by, "cut", F.when(F.coalesce(F.col("_key") != F.col("_next"), F.lit(True)), F.col("_key")).otherwise(tied).alias("_last"))
     )
     marks = []
     for i in range(len(ranks)):

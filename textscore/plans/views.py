@@ -19,7 +19,6 @@ REVIEW_CLASSES = 5
 ESSAY_CLASSES = 4
 BATCH = 16
 DIM = 64
-TOKEN_IDS = 500
 
 # Lowest score and number of scores of each essay set.
 SCORE_RANGES = {1: (2, 11), 2: (1, 6), 3: (0, 4), 4: (0, 4), 5: (0, 5), 6: (0, 5), 7: (2, 23), 8: (10, 51)}
@@ -61,7 +60,10 @@ def essays_raw(spark: SparkSession, d: str) -> DataFrame:
         F.when(doc % 37 == 0, "").when(doc % 41 == 0, "<NA>").when(doc % 43 == 0, "x1")
         .otherwise(score.cast("string"))
     )
-    second = F.when(essay_set == 2, (1 + _doc_hash("score2") % 4).cast("string")).otherwise("")
+    second = (
+        F.when(essay_set == 2, (1 + _doc_hash("score2") % 4).cast("string")).when(doc % 53 == 0, "9007199254740993")
+        .when(doc % 59 == 0, "3d").when(doc % 61 == 0, "4.0").otherwise("")
+    )
     return documents(spark, d).select(
         doc.cast("string").alias("essay_id"), essay_set.cast("string").alias("essay_set"),
         F.concat(F.lit("@CAPS"), 1 + doc % 3, F.lit(" "), F.col("text"), F.lit(" @DRIVER")).alias("essay"),
@@ -100,13 +102,14 @@ def logits(spark: SparkSession, d: str, k: int = REVIEW_CLASSES) -> DataFrame:
 
 
 def token_docs(spark: SparkSession, d: str) -> DataFrame:
-    """One row per document with its words and a hashed id per word.
+    """One row per document with its words and a hashed id per word, up to the number of vectors.
 
     Tokens are made once and kept as a table, as an encoded corpus would be.
     """
     def build() -> DataFrame:
         words = word_lists(documents(spark, d).select("doc_id", "text"), "text")
-        ids = F.transform("words", lambda w: (key_to_int(F.md5(w)) % TOKEN_IDS).cast("int"))
+        n = table(spark, d, "embeddings").count()
+        ids = F.transform("words", lambda w: (key_to_int(F.md5(w)) % n).cast("int"))
         return via_table(words.select("doc_id", "words", ids.alias("ids")), "tokens")
 
     return made_once(spark, ("token_docs", d), build)

@@ -23,8 +23,10 @@ _SCORE = " ".join(f"WHEN {s} THEN {lo} + {h('doc_id', 'score')} % {n}" for s, (l
 
 def number(col: str) -> str:
     """Text to BIGINT, NULL if unreadable or not whole."""
-    v = f"try_cast({col} AS DOUBLE)"
-    return f"CASE WHEN {v} = floor({v}) THEN {v}::BIGINT END"
+    t = f"trim({col})"
+    v = f"CASE WHEN regexp_full_match({t}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast({t} AS DOUBLE) END"
+    whole = f"CASE WHEN regexp_full_match({t}, '[+-]?[0-9]+') THEN try_cast({t} AS BIGINT) END"
+    return f"coalesce({whole}, CASE WHEN ({v}) = floor({v}) THEN try_cast({v} AS BIGINT) END)"
 
 
 def null_token(col: str) -> str:
@@ -53,7 +55,8 @@ VIEWS = {
                '@CAPS' || (1 + doc_id % 3) || ' ' || text || ' @DRIVER' AS essay,
                CASE WHEN doc_id % 37 = 0 THEN '' WHEN doc_id % 41 = 0 THEN '<NA>' WHEN doc_id % 43 = 0 THEN 'x1'
                     ELSE (CASE essay_set {_SCORE} END)::VARCHAR END AS domain1_score,
-               CASE WHEN essay_set = 2 THEN (1 + {h('doc_id', 'score2')} % 4)::VARCHAR ELSE '' END AS domain2_score
+               CASE WHEN essay_set = 2 THEN (1 + {h('doc_id', 'score2')} % 4)::VARCHAR WHEN doc_id % 53 = 0 THEN '9007199254740993'
+                    WHEN doc_id % 59 = 0 THEN '3d' WHEN doc_id % 61 = 0 THEN '4.0' ELSE '' END AS domain2_score
         FROM (SELECT *, 1 + doc_id % 8 AS essay_set FROM documents)""",
     "v_essays_clean": f"""
         SELECT {number('essay_id')} AS essay_id, {number('essay_set')} AS essay_set,
@@ -84,7 +87,7 @@ VIEWS = {
         FROM v_predictions""",
     "v_words": f"SELECT doc_id, text, regexp_extract_all(lower(text), '{WORD}') AS words FROM documents",
     "v_tokens": f"""
-        SELECT doc_id, pos, token, ({h('token')} % 500)::BIGINT AS id
+        SELECT doc_id, pos, token, ({h('token')} % (SELECT count(*) FROM embeddings))::BIGINT AS id
         FROM (SELECT doc_id, unnest(words) AS token, generate_subscripts(words, 1) - 1 AS pos FROM v_words)""",
     "v_pieces": f"""
         SELECT doc_id, i, p, g, (sum(CASE WHEN g THEN 0 ELSE 1 END) OVER before - 1)::INT AS pos,

@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 
 from textscore.operators.metrics import confusion_cells, fill_grid
 from textscore.session import scratch_path
 
 
-def running_confusion_stream(stream: DataFrame, k: int) -> DataFrame:
+def running_confusion_stream(stream: DataFrame, k: int, folder: str | None = None) -> DataFrame:
     """Run the stream over everything that has arrived and return the matrix.
 
-    State and result are the K x K cell counts. Offsets and state are kept in the shared
-    folder of the session, so a query that fails goes on from there.
+    ``folder`` keeps offsets, state and the latest cell counts. A later call with the same folder, also after a failure
+    or in another session, goes on from there and reads only what has arrived since. Without it a
+    fresh folder in the shared scratch space is taken. Cells of the K x K matrix are all that is kept.
     """
     spark = stream.sparkSession
-    name = f"confusion_{uuid.uuid4().hex}"
+    folder = folder or scratch_path(spark, "confusion")
+    cells = f"{folder}/cells"
+
+    def keep(counts: DataFrame, _: int) -> None:
+        counts.write.mode("overwrite").parquet(cells)
+
     query = (
-        confusion_cells(stream).writeStream.format("memory").queryName(name).outputMode("complete")
-        .option("checkpointLocation", scratch_path(spark, "confusion"))
-        .trigger(availableNow=True).start()
+        confusion_cells(stream).writeStream.foreachBatch(keep).outputMode("complete")
+        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return fill_grid(spark.table(name), k)
+    return fill_grid(spark.read.schema("y_true int, y_pred int, n bigint").parquet(cells), k)
