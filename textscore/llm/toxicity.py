@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -51,8 +52,8 @@ class Lexicon:
         self.names = sorted(self.words) + sorted(self.stems)
         self.place = {name: i for i, name in enumerate(self.names)}
         self.trie: dict = {}
-        self.heads: set[str] = set()
-        self.tails: set[str] = set()
+        self.heads: dict[int, dict[str, set[int]]] = {}  # by size, the halves of terms and how long a word with them may be
+        self.tails: dict[int, dict[str, set[int]]] = {}
         self.stem_sizes = sorted({len(s) for s in self.stems})
         for word in self.words:
             if len(word) >= FUZZY_FROM:
@@ -61,10 +62,9 @@ class Lexicon:
                     node = node.setdefault(c, {})
                 node[""] = word
                 half = len(word) // 2
-                self.heads.add(word[:half])
-                self.tails.add(word[half:])
-        self.head_sizes = sorted({len(h) for h in self.heads})
-        self.tail_sizes = sorted({len(t) for t in self.tails})
+                sizes = range(len(word) - EDITS, len(word) + EDITS + 1)
+                for halves, part in ((self.heads, word[:half]), (self.tails, word[half:])):
+                    halves.setdefault(len(part), {}).setdefault(part, set()).update(sizes)
 
     def near(self, word: str) -> str | None:
         """A term at most ``EDITS`` insertions, deletions or substitutions away.
@@ -102,17 +102,29 @@ class Lexicon:
         if word in self.words:
             return self.place[word], False
         for n in self.stem_sizes:
-            if word[:n] in self.stems and len(word) >= n:
+            if word[:n] in self.stems:
                 return self.place[word[:n]], False
-        if len(word) >= FUZZY_FROM - EDITS and (  # one edit leaves one half of the term where it is
-                any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes)):
+        if self.may_be_near(word):
             term = self.near(word)
             if term is not None:
                 return self.place[term], True
         return None
 
+    def may_be_near(self, word: str) -> bool:
+        """One edit leaves one half of the term where it is, and the length nearly so."""
+        size = len(word)
+        for n, heads in self.heads.items():
+            if size in heads.get(word[:n], ()):
+                return True
+        for n, tails in self.tails.items():
+            if size in tails.get(word[-n:], ()):
+                return True
+        return False
+
     def match(self, token: str) -> tuple[int, bool] | None:
         """Place of the term that a lower-case token holds, and whether misspelt; marks inside a token may be left out."""
+        if token.isalpha():
+            return self.part(token)
         parts = LETTERS.findall(token)
         for word in parts:
             hit = self.part(word)
@@ -160,36 +172,47 @@ def features(tokens: list[str], hits: dict[str, tuple[int, bool]], lexicon: Lexi
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
-    """Rows of ``(text, label)`` with and without toxicity that hold each word and each stem: ``term, stem, toxic, clean``."""
-    def flush(toxic: Counter, clean: Counter) -> pa.RecordBatch:
+    """Rows of ``(text, label)`` with and without toxicity that hold each word and each stem: ``term, stem, toxic, clean``.
+
+    ``places`` counts the different words that stand before it in toxic texts: a term turns up anywhere, while a
+    rare word that many copies of one text share always follows the same one.
+    """
+    def flush(toxic: Counter, clean: Counter, before: dict) -> pa.RecordBatch:
         names = list(toxic.keys() | clean.keys())
         return pa.RecordBatch.from_arrays(
             [pa.array([n[0] for n in names]), pa.array([n[1] for n in names]),
-             pa.array([toxic[n] for n in names], pa.int64()), pa.array([clean[n] for n in names], pa.int64())],
-            ["term", "stem", "toxic", "clean"])
+             pa.array([toxic[n] for n in names], pa.int64()), pa.array([clean[n] for n in names], pa.int64()),
+             pa.array([sorted(before.get(n, ())) for n in names], pa.list_(pa.int64()))],
+            ["term", "stem", "toxic", "clean", "before"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, clean = Counter(), Counter()
+        toxic, clean, before = Counter(), Counter(), {}
         for batch in slices(batches):
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                words = set(LETTERS.findall(text.lower()))
+                words = LETTERS.findall(text.lower())
                 held = {(w, False) for w in words if len(w) >= STEM_LENGTHS[0]}
-                held |= {(w[:n], True) for w in words for n in STEM_LENGTHS if len(w) > n}
+                held |= {(w[:n], True) for w in set(words) for n in STEM_LENGTHS if len(w) > n}
                 (toxic if label else clean).update(held)
+                if label:
+                    for last, word in zip(["", *words], words):
+                        place = zlib.crc32(last.encode("utf-8", "surrogatepass"))
+                        for name in [(word, False), *((word[:n], True) for n in STEM_LENGTHS if len(word) > n)]:
+                            before.setdefault(name, set()).add(place)
             if len(toxic) + len(clean) > COUNTED_AT_ONCE:
-                yield flush(toxic, clean)
-                toxic, clean = Counter(), Counter()
+                yield flush(toxic, clean, before)
+                toxic, clean, before = Counter(), Counter(), {}
         if toxic or clean:
-            yield flush(toxic, clean)
+            yield flush(toxic, clean, before)
 
-    counted = rows.select("text", "label").mapInArrow(run, "term string, stem boolean, toxic long, clean long")
-    return counted.groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = rows.select("text", "label").mapInArrow(run, "term string, stem boolean, toxic long, clean long, before array<long>")
+    places = F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.size("before") > 0, F.col("before"))))))
+    return counted.groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), places.alias("places"))
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
     """At most ``MAX_TERMS`` words and stems that stand in toxic texts and hardly in others."""
     counted = term_counts(rows)
-    likely = counted.where((F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") >= LEAST_SHARE * (F.col("toxic") + F.col("clean"))))
+    likely = counted.where((F.col("places") >= LEAST_TEXTS) & (F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") >= LEAST_SHARE * (F.col("toxic") + F.col("clean"))))
     terms = likely.orderBy(F.desc("toxic"), "stem", F.desc(F.length("term")), "term").limit(MAX_CANDIDATES).collect()
     words: dict[str, float] = {}
     stems: dict[str, float] = {}
@@ -200,13 +223,13 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
         if len(words) + len(stems) >= MAX_TERMS or any(term[:n] in stems for n in STEM_LENGTHS):
             continue
         if row["stem"]:
-            if held.get(term, 0) >= 0.8 * toxic:  # one accepted word stands behind the stem
+            if held.get(term, 0) >= 0.8 * toxic:  # an accepted word or longer stem stands behind it
                 continue
             stems[term] = weight
         else:
             words[term] = weight
-            for n in STEM_LENGTHS:
-                held[term[:n]] = max(held.get(term[:n], 0), toxic)
+        for n in STEM_LENGTHS:
+            held[term[:n]] = max(held.get(term[:n], 0), toxic)
     return Lexicon(words, stems)
 
 
