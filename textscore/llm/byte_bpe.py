@@ -30,6 +30,7 @@ BLOCK_BYTES = 4 << 20
 MAX_BUCKETS = 1024
 MEMO = 500_000
 PLAIN_MERGE = 48
+NO_RANK = 1 << 62
 IDS_AT_ONCE = 1 << 18
 
 
@@ -44,17 +45,16 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     if word in ranks:
         return [ranks[word]]
     if len(word) <= PLAIN_MERGE:
-        parts = [word[i:i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            best, at = None, 0
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
-                break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        cuts = list(range(len(word) + 1))
+        joined = [ranks.get(word[i:i + 2], NO_RANK) for i in range(len(word) - 1)]  # rank of each part with the next one
+        while joined and (best := min(joined)) < NO_RANK:
+            at = joined.index(best)
+            del joined[at], cuts[at + 1]
+            if at < len(joined):
+                joined[at] = ranks.get(word[cuts[at]:cuts[at + 2]], NO_RANK)
+            if at:
+                joined[at - 1] = ranks.get(word[cuts[at - 1]:cuts[at + 1]], NO_RANK)
+        return [ranks[word[a:b]] for a, b in zip(cuts, cuts[1:])]
     ends = list(range(1, len(word) + 1))  # end of the part that starts at each byte; 0 where a part was taken in
     before = list(range(-1, len(word) - 1))
 
@@ -106,7 +106,7 @@ class Block:
             often.update(words)
         self.words: list[list[bytes]] = [[] for _ in range(buckets)]
         number: dict[str, int] = {}
-        for word in sorted(often, key=lambda w: (-often[w], w)):
+        for word, _ in often.most_common():  # of equal counts the one that comes first
             raw = word.encode("utf-8", "surrogatepass")
             bucket = zlib.crc32(raw) % buckets
             number[word] = len(self.words[bucket]) * buckets + bucket
@@ -117,11 +117,13 @@ class Block:
 def blocks(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Iterator[Block]:
     """Blocks of about ``BLOCK_BYTES``, named by their content, the same whenever a task reads the same rows."""
     compiled = regex.compile(pattern)
+    if compiled.groups:
+        raise ValueError("the pattern must match whole words and have no groups")
     ids, found, size, content = [], [], 0, xxhash.xxh64()
     for batch in slices(batches, 64):
         for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
             ids.append(i)
-            found.append([m.group() for m in compiled.finditer(text)])
+            found.append(compiled.findall(text))
             raw = text.encode("utf-8", "surrogatepass")
             content.update(f"{i} {len(raw)} ")
             content.update(raw)
