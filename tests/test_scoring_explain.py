@@ -88,10 +88,8 @@ def test_scores_sum_to_the_gain_and_equal_quadrature(world):
         z = logits(e, w, b, seq)
         total = sum(exact[i, p] for p in range(len(seq))) * DIM
         assert total == pytest.approx(z.max() - b[z.argmax()])
-    pooled = scoring.mean_pool(docs, "doc", "ids", vecs, DIM)
-    factors = explain.ig_factors(pooled, "doc", weights, DIM)
-    scores = explain.ig_scores(docs, "doc", "ids", vecs, weights, DIM)
-    for r in explain.ig_completeness(scores, factors, "doc", weights, DIM).collect():
+    scored = explain.token_scores(docs, "doc", "ids", vecs, weights, DIM)
+    for r in explain.ig_completeness(scored, "doc", weights, DIM).collect():
         assert r.attributed == pytest.approx(r.gain)
 
 
@@ -199,3 +197,38 @@ def test_explain_sample(spark, world):
     got = explain.explain_sample(corpus, vocab, merges, vecs, weights, DIM, n=4, length=[1, 40], score=[1, 2])
     rows = got.collect()
     assert len(rows) == 4 and all(r.actual in (1, 2) and 1 <= r.pred <= K and "<mark" in r.html for r in rows)
+
+
+@pytest.mark.parametrize("steps", [None, 50])
+def test_scores_by_pairs_and_in_place_are_the_same(world, monkeypatch, steps):
+    *_, docs, vecs, weights = world
+    for frame in (docs, docs.withColumn("y_pred", F.lit(1))):
+        inside = {r.doc: r for r in explain.token_scores(frame, "doc", "ids", vecs, weights, DIM, steps).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(scoring, "VECTOR_NUMBERS", 3)
+            m.setattr(explain, "TOKENS_AT_ONCE", 2)
+            for r in explain.token_scores(frame, "doc", "ids", vecs, weights, DIM, steps).collect():
+                np.testing.assert_allclose(r.scores, inside[r.doc].scores, atol=1e-12)
+                assert r.y_pred == inside[r.doc].y_pred
+
+
+def test_explanations_take_no_shuffle(world):
+    *_, docs, vecs, weights = world
+    colored = explain.color_lists(explain.token_scores(docs, "doc", "ids", vecs, weights, DIM))
+    assert "Exchange" not in colored._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_without_tokens_and_tokens_without_vectors(spark, world):
+    *_, vecs, weights = world
+    frame = spark.createDataFrame([(1, []), (2, None), (3, [1])], "doc int, ids array<int>")
+    got = {r.doc: r.scores for r in explain.token_scores(frame, "doc", "ids", vecs, weights, DIM).collect()}
+    assert got[1] == [] and not got[2] and len(got[3]) == 1
+    with pytest.raises(Exception, match="no vector for token id 77"):
+        explain.token_scores(spark.createDataFrame([(1, [1, 77])], "doc int, ids array<int>"), "doc", "ids", vecs, weights, DIM).collect()
+
+
+def test_a_colour_that_is_missing_moves_no_other(marked):
+    docs, colored = marked
+    whole = {r.doc: r.html for r in explain.highlight_html(docs, colored, "doc", "text").collect()}
+    some = {r.doc: r.html for r in explain.highlight_html(docs, colored.where("pos <> 1"), "doc", "text").collect()}
+    assert strip(some[1]) == strip(whole[1]) and some[1].count("<mark") == whole[1].count("<mark") - 1

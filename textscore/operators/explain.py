@@ -9,22 +9,24 @@ dimensions of ``e * w * tanh(m) / (m T)``; at ``m = 0`` the fraction is 1.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textscore.corpus import Corpus
-from textscore.functions.vectors import argmax, dot
+from textscore.functions.vectors import argmax, array_sum, dot
+from textscore.operators import scoring
 from textscore.operators.bpe import encode_text
 from textscore.operators.sampling import filter_load
-from textscore.operators.scoring import (
-    dan_logit_arrays, lookup_vectors, mean_pool, model_column,
-)
+from textscore.operators.scoring import dan_logit_arrays, model_column
+from textscore.session import via_table
 
 # Colours at the least, the median and the greatest score.
 RED, WHITE, GREEN = (206, 35, 35), (255, 255, 255), (22, 206, 16)
 PALETTE_STEPS = 256
 PATH_STEPS = 50
+TOKENS_AT_ONCE = 65_536
 # What stands before and after a coloured token.
 MARK_OPEN, MARK_CLOSE = '<mark style="margin: 0; padding: 0; background-color:', "</mark>"
 
@@ -63,47 +65,160 @@ def ig_factors(pooled: DataFrame, id: str, weights: DataFrame, dim: int, slope=_
     return scored.select(id, "n_tokens", "z", "y_pred", factor.alias("factor"))
 
 
-def _ig(docs: DataFrame, id: str, ids: str, tokens: str | None, vecs: DataFrame, weights: DataFrame,
-        dim: int, slope) -> DataFrame:
-    pooled = mean_pool(docs, id, ids, vecs, dim)
+class TokenMatrix:
+    """Token vectors as one matrix, with the ids of its rows in ascending order."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.rows = ids[order], rows[order]
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """Rows of token ids. An id without a vector fails."""
+        at = np.minimum(np.searchsorted(self.ids, ids), max(0, len(self.ids) - 1))
+        missing = np.flatnonzero(self.ids[at] != ids) if len(self.ids) else np.arange(len(ids))
+        if len(missing):
+            raise ValueError(f"no vector for token id {ids[missing[0]]}")
+        return at
+
+
+def _slopes(m: np.ndarray, steps: int | None) -> np.ndarray:
+    if steps is None:
+        return np.where(m == 0, 1.0, np.tanh(m) / np.where(m == 0, 1.0, m))
+    at, weight = np.polynomial.legendre.leggauss(steps)
+    return sum(w / 2 * (1 - np.tanh((a + 1) / 2 * m) ** 2) for a, w in zip(at, weight))
+
+
+def score_lists(ids: pa.ListArray, target: np.ndarray | None, matrix: TokenMatrix, w: np.ndarray, b: np.ndarray,
+                steps: int | None) -> pa.StructArray:
+    """Scores, predicted class and logits of a batch of id lists, a bounded number of tokens at a time."""
+    lengths = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = ids.flatten()
+    if flat.null_count:
+        raise ValueError("no vector for token id NULL")
+    places = matrix.places(flat.to_numpy(zero_copy_only=False).astype(np.int64))
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    parts = [slice(i, i + TOKENS_AT_ONCE) for i in range(0, len(places), TOKENS_AT_ONCE)]
+    sums = np.zeros((len(lengths), w.shape[1]))
+    for part in parts:
+        first = np.flatnonzero(np.concatenate(([True], np.diff(doc[part]) != 0)))
+        sums[doc[part][first]] += np.add.reduceat(matrix.rows[places[part]], first, axis=0)
+    n = np.maximum(lengths, 1)[:, None]
+    m = sums / n
+    z = np.tanh(m) @ w.T + b
+    chosen = z.argmax(axis=1) if target is None else target
+    factor = w[chosen] * _slopes(m, steps) / n / w.shape[1]
+    scores = [np.einsum("ij,ij->i", matrix.rows[places[part]], factor[doc[part]]) for part in parts]
+    ends = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
+    each = pa.array(np.arange(len(lengths) + 1) * len(b), pa.int32())
+    return pa.StructArray.from_arrays(
+        [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0), *scores]))), pa.array(chosen, pa.int32()),
+         pa.ListArray.from_arrays(each, pa.array(z.ravel()))], ["scores", "y_pred", "z"])
+
+
+def token_scores(docs: DataFrame, id: str, ids: str, vecs: DataFrame, weights: DataFrame, dim: int,
+                 steps: int | None = None) -> DataFrame:
+    """Add ``scores`` (one per token), ``y_pred`` and ``z`` to every document.
+
+    The target is the class of the greatest logit, unless ``docs`` has a column ``y_pred`` that
+    names it. All a document needs lies in its row, so this is one map without a shuffle; the matrix of
+    vectors travels to the tasks after its numbers were counted. A larger matrix is
+    joined to the distinct tokens of each document, and one number per pair comes back.
+    ``steps`` takes the integral by quadrature instead of its closed form.
+    """
+    numbers = vecs.agg(F.sum(F.size("v"))).first()[0] or 0
+    if numbers > scoring.VECTOR_NUMBERS:
+        return _scores_by_pairs(docs, id, ids, vecs, weights, dim, steps)
+    rows = vecs.select("token_id", F.col("v").cast("array<double>").alias("v")).toPandas()
+    classes = weights.select("class", F.col("w").cast("array<double>").alias("w"), "b").toPandas().sort_values("class")
+    sent = docs.sparkSession.sparkContext.broadcast((
+        TokenMatrix(rows["token_id"].to_numpy(np.int64), np.stack(rows["v"].to_numpy()) if len(rows) else np.zeros((0, dim))),
+        np.stack(classes["w"].to_numpy()), classes["b"].to_numpy(float),
+    ))
+    kind = "struct<scores:array<double>,y_pred:int,z:array<double>>"
+
+    @F.arrow_udf(kind)
+    def best(lists: pa.Array) -> pa.Array:
+        return score_lists(lists, None, *sent.value, steps)
+
+    @F.arrow_udf(kind)
+    def named(lists: pa.Array, target: pa.Array) -> pa.Array:
+        return score_lists(lists, target.to_numpy(zero_copy_only=False).astype(np.int64), *sent.value, steps)
+
+    given = "y_pred" in docs.columns
+    lists = F.col(ids).cast("array<int>")
+    found = docs.withColumn("_scored", named(lists, F.col("y_pred").cast("int")) if given else best(lists))
+    kept = [c for c in docs.columns if c not in ("scores", "y_pred", "z")]
+    return found.select(*kept, "_scored.scores", "_scored.y_pred", "_scored.z")
+
+
+def _scores_by_pairs(docs: DataFrame, id: str, ids: str, vecs: DataFrame, weights: DataFrame, dim: int, steps: int | None) -> DataFrame:
+    pooled = scoring.mean_pool(docs, id, ids, vecs, dim)
     if "y_pred" in docs.columns:
         pooled = pooled.join(docs.select(id, "y_pred"), id)
-    factors = ig_factors(pooled, id, weights, dim, slope).select(id, "factor")
+    slope = _mean_slope_exact if steps is None else _mean_slope_numeric(steps)
+    factors = ig_factors(pooled, id, weights, dim, slope)
+    pairs = docs.select(id, F.explode_outer(F.array_distinct(ids)).alias("token_id")).where(F.col("token_id").isNotNull())
+    pairs = scoring.lookup_vectors(pairs.join(factors.select(id, "factor"), id), vecs, F.col(id))
+    by_token = pairs.groupBy(id).agg(
+        F.map_from_entries(F.collect_list(F.struct("token_id", dot(F.col("v"), F.col("factor")).alias("s")))).alias("_by_token"))
+    kept = [c for c in docs.columns if c not in ("scores", "y_pred", "z")]
+    return docs.select(*kept).join(factors.select(id, "y_pred", "z"), id, "left").join(by_token, id, "left").select(
+        *kept, F.transform(ids, lambda i: F.element_at("_by_token", i)).alias("scores"), "y_pred", "z")
+
+
+def explode_scores(scored: DataFrame, id: str, ids: str, tokens: str | None = None, *more: str) -> DataFrame:
+    """One row per token: ``(id, pos, token_id, token, score)`` and other arrays of the same length."""
     parts = [F.col(ids).alias("token_id")] + ([F.col(tokens).alias("token")] if tokens else [])
-    rows = (
-        docs.select(id, F.arrays_zip(*parts).alias("_t")).join(factors, id)
-        .select(id, "factor", F.posexplode_outer("_t").alias("pos", "_t"))
-        .where(F.col("pos").isNotNull())
-        .select(id, "pos", "factor", "_t.*")
-    )
-    named = ["token"] if tokens else []
-    return lookup_vectors(rows, vecs, F.col("pos")).select(
-        id, "pos", "token_id", *named, dot(F.col("v"), F.col("factor")).alias("score")
-    )
+    parts += [F.col("scores").alias("score"), *[F.col(c) for c in more]]
+    rows = scored.select(id, F.posexplode(F.arrays_zip(*parts)).alias("pos", "_t"))
+    return rows.select(id, "pos", "_t.*")
 
 
 def ig_scores(docs: DataFrame, id: str, ids: str, vecs: DataFrame, weights: DataFrame, dim: int,
               tokens: str | None = None) -> DataFrame:
-    """One row per token: ``(id, pos, token id, token, score)``.
-
-    The documents meet their factors while their tokens are still one array;
-    only then are they exploded, so no token row is shuffled.
-    """
-    return _ig(docs, id, ids, tokens, vecs, weights, dim, _mean_slope_exact)
+    """One row per token: ``(id, pos, token id, token, score)``."""
+    return explode_scores(token_scores(docs, id, ids, vecs, weights, dim), id, ids, tokens)
 
 
 def ig_scores_numeric(docs: DataFrame, id: str, ids: str, vecs: DataFrame, weights: DataFrame, dim: int,
                       tokens: str | None = None, steps: int = PATH_STEPS) -> DataFrame:
     """The same by quadrature along the path; a check on the closed form."""
-    return _ig(docs, id, ids, tokens, vecs, weights, dim, _mean_slope_numeric(steps))
+    return explode_scores(token_scores(docs, id, ids, vecs, weights, dim, steps), id, ids, tokens)
 
 
-def ig_completeness(scores: DataFrame, factors: DataFrame, id: str, weights: DataFrame, dim: int) -> DataFrame:
-    """Sum of the attributions next to the gain in the logit; they are equal."""
-    attributed = scores.groupBy(id).agg((F.sum("score") * dim).alias("attributed"))
+def ig_completeness(scored: DataFrame, id: str, weights: DataFrame, dim: int) -> DataFrame:
+    """Sum of the attributions next to the gain in the logit; they are equal. Of documents with tokens."""
     at_zero = F.get(model_column(weights), F.col("y_pred"))["b"]
-    gain = factors.select(id, (F.get("z", F.col("y_pred")) - at_zero).alias("gain"))
-    return attributed.join(gain, id)
+    return scored.where(F.size("scores") > 0).select(
+        id, (array_sum(F.col("scores")) * dim).alias("attributed"), (F.get("z", F.col("y_pred")) - at_zero).alias("gain"))
+
+
+def _bounds(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least, median and greatest number of each list; NaN where it is empty."""
+    doc = np.repeat(np.arange(len(counts)), counts)
+    ordered = np.append(flat[np.lexsort((flat, doc))], np.nan)
+    start = np.cumsum(counts) - counts
+    some = counts > 0
+
+    def at(place: np.ndarray) -> np.ndarray:
+        return np.where(some, ordered[np.where(some, start + place, -1)], np.nan)
+
+    return at(0 * counts), (at((counts - 1) // 2) + at(counts // 2)) / 2, at(counts - 1)
+
+
+def _numbers(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(float), counts
+
+
+def bound_lists(scored: DataFrame) -> DataFrame:
+    """Add ``low``, ``mid`` and ``high`` of the ``scores`` of each document; null without tokens."""
+    @F.arrow_udf("struct<low:double,mid:double,high:double>")
+    def bounds(lists: pa.Array) -> pa.Array:
+        each = [pa.array(b, pa.float64(), from_pandas=True) for b in _bounds(*_numbers(lists))]
+        return pa.StructArray.from_arrays(each, ["low", "mid", "high"])
+
+    return scored.withColumn("_bounds", bounds("scores")).select(*scored.columns, "_bounds.*")
 
 
 def score_bounds(scores: DataFrame, id: str) -> DataFrame:
@@ -137,7 +252,7 @@ def color_of(score: Column, low: Column, mid: Column, high: Column, steps: int |
 
 
 def score_colors(scores: DataFrame, id: str, steps: int | None = PALETTE_STEPS) -> DataFrame:
-    """Add the colour of each token within its document."""
+    """Add the colour of each token within its document, to a table of token rows."""
     doc = Window.partitionBy(id)
     return (
         scores
@@ -149,52 +264,76 @@ def score_colors(scores: DataFrame, id: str, steps: int | None = PALETTE_STEPS)
     )
 
 
-def _escape(text: Column) -> Column:
+def shade_lists(lists: pa.ListArray, steps: int | None) -> pa.ListArray:
+    """The colours of :func:`color_of` for all scores of a batch of documents."""
+    flat, counts = _numbers(lists)
+    low, mid, high = (np.repeat(b, counts) for b in _bounds(flat, counts))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        place, center = (flat - low) / (high - low), (mid - low) / (high - low)
+        if steps:
+            place = np.minimum(np.floor(place * steps), steps - 1) / (steps - 1)
+        shade = np.zeros(len(flat), np.int64)
+        for red, white, green in zip(RED, WHITE, GREEN):
+            channel = np.where(place <= center, red + (white - red) * place / center, white + (green - white) * (place - center) / (1 - center))
+            channel = np.rint(np.where(place <= 0, red, np.where(place >= 1, green, channel)))
+            shade = shade * 256 + np.where(high > low, channel, 255).astype(np.int64)
+    used, which = np.unique(shade, return_inverse=True)
+    names = pa.array([f"#{c:06x}" for c in used.tolist()], pa.string()).take(pa.array(which.ravel()))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), names)
+
+
+def color_lists(scored: DataFrame, steps: int | None = PALETTE_STEPS, out: str = "colors") -> DataFrame:
+    """Add the colours of all tokens of a document from its ``scores``; nothing leaves the row."""
+    shade = F.arrow_udf(lambda lists: shade_lists(lists, steps), "array<string>")
+    return scored.withColumn(out, shade("scores"))
+
+
+def _escape(text: str) -> str:
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        text = F.replace(text, F.lit(raw), F.lit(safe))
+        text = text.replace(raw, safe)
     return text
 
 
+def marked_text(text: str, tokens: list[str], offsets: list[dict], colors: list[str | None], full: bool) -> str:
+    """The text with a coloured mark around each token that has a colour."""
+    out, at = [], 0
+    for token, span, color in zip(tokens, offsets, colors):
+        inner = _escape(text[span["start"]:span["end"]]) if full else token
+        gap = text[at:span["start"]]
+        out += [_escape(gap) if full else gap, inner if color is None else f'{MARK_OPEN}{color}">{inner}{MARK_CLOSE}']
+        at = span["end"]
+    return "".join([*out, _escape(text[at:])] if full else out)
+
+
 def highlight_html(docs: DataFrame, colored: DataFrame, id: str, x: str, mode: str = "full") -> DataFrame:
     """One HTML string per document with a coloured mark around each token.
 
-    ``docs`` has the text, ``tokens`` and ``offsets``. Mode ``full`` marks the
-    original text, escapes it and keeps what follows the last token; mode
+    ``colored`` has a row per token with ``pos`` and ``color``; a token without such a row gets no colour
+    and moves no other token's. See :func:`highlight_lists`.
+    """
+    shades = colored.groupBy(id).agg(F.map_from_entries(F.collect_list(F.struct("pos", "color"))).alias("_shades"))
+    placed = docs.join(shades, id, "left").withColumn(
+        "_colors", F.transform("tokens", lambda t, i: F.element_at("_shades", i)))
+    return highlight_lists(placed, x, "_colors", mode).select(*docs.columns, "html")
+
+
+def highlight_lists(docs: DataFrame, x: str, colors: str = "colors", mode: str = "full") -> DataFrame:
+    """Add ``html`` from the text, ``tokens``, ``offsets`` and the array of colours.
+
+    Mode ``full`` marks the original text, escapes it and keeps what follows the last token; mode
     ``reference`` marks the normalised token, escapes nothing and stops there.
-    The text is cut into characters once, so a cut does not walk through it.
+    A null colour leaves the token unmarked; a null text is empty.
     """
     if mode not in ("full", "reference"):
         raise ValueError(f"unknown mode: {mode}")
     full = mode == "full"
-    letters, offsets = F.col("_letters"), F.col("offsets")
-    safe = _escape if full else (lambda c: c)
 
-    def cut(start: Column, end: Column) -> Column:
-        return safe(F.array_join(F.slice(letters, start + 1, F.greatest(end - start, F.lit(0))), ""))
+    @F.arrow_udf("string")
+    def marked(text: pa.Array, tokens: pa.Array, offsets: pa.Array, shades: pa.Array) -> pa.Array:
+        return pa.array([marked_text(row[0].as_py(), *(v.as_py() or [] for v in row[1:]), full) if row[0].is_valid else ""
+                         for row in zip(text, tokens, offsets, shades)], pa.string())
 
-    def before(i: Column) -> Column:
-        return F.when(i > 0, F.get(offsets, i - 1)["end"]).otherwise(F.lit(0))
-
-    def mark(t: Column, i: Column) -> Column:
-        span = F.get(offsets, i)
-        inner = cut(span["start"], span["end"]) if full else t["tokens"]
-        return F.concat(
-            cut(before(i), span["start"]),
-            F.lit(MARK_OPEN), t["color"], F.lit('">'), inner, F.lit(MARK_CLOSE),
-        )
-
-    shades = colored.groupBy(id).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "color"))), lambda s: s["color"]).alias("color")
-    )
-    html = F.array_join(F.transform(F.arrays_zip("tokens", "color"), mark), "")
-    if full:
-        html = F.concat(html, cut(before(F.size(offsets)), F.size(letters)))
-    return (
-        docs.join(shades, id, "left")
-        .withColumn("color", F.coalesce("color", F.array().cast("array<string>")))
-        .withColumn("_letters", F.split(F.coalesce(x, F.lit("")), ""))
-        .select(*docs.columns, html.alias("html"))
-    )
+    return docs.withColumn("html", marked(F.col(x), F.col("tokens"), F.col("offsets"), F.col(colors)))
 
 
 def explain_sample(
@@ -206,11 +345,6 @@ def explain_sample(
     Gives key, predicted class (from 1), actual label and HTML.
     """
     picked = filter_load(c, n=n, seed=seed, **filters)
-    docs = encode_text(picked, c.x, vocab, merges, special, lowercase)
-    pooled = mean_pool(docs, c.id, "ids", vecs, dim)
-    pred = ig_factors(pooled, c.id, weights, dim).select(c.id, "y_pred")
-    scores = ig_scores(docs, c.id, "ids", vecs, weights, dim)
-    shown = highlight_html(docs, score_colors(scores, c.id), c.id, c.x, mode)
-    return shown.join(pred, c.id).select(
-        c.id, (F.col("y_pred") + 1).alias("pred"), F.col(c.y).alias("actual"), "html"
-    )
+    docs = via_table(encode_text(picked, c.x, vocab, merges, special, lowercase), "explained")
+    shown = highlight_lists(color_lists(token_scores(docs, c.id, "ids", vecs, weights, dim)), c.x, mode=mode)
+    return shown.select(c.id, (F.col("y_pred") + 1).alias("pred"), F.col(c.y).alias("actual"), "html")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textscore.functions.text import PADDING_ID, PADDING_TOKEN, lower_by_char, pretokens
+from textscore.functions.text import BLANK, PADDING_ID, PADDING_TOKEN, lower_by_char, pretokens
 
 
 def normalize_lower(df: DataFrame, x: str) -> DataFrame:
@@ -25,24 +28,32 @@ def pretokenize(df: DataFrame, x: str, lowercase: bool = True, keep: Sequence[st
 
 
 def pretoken_offsets(df: DataFrame, id: str, x: str, lowercase: bool = True) -> DataFrame:
-    """One row per pretoken with its place ``start`` to ``end`` in the original text.
-
-    Words and the blanks between them cover the text, so a place is the sum of the
-    lengths before it, within one document.
-    """
-    pieces = df.select(id, F.posexplode(pretokens(F.col(x), gaps=True)).alias("_i", "_piece"))
-    ahead = Window.partitionBy(id).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    is_word = ~F.col("_piece").rlike(r"(?U)^\s")
-    placed = (
-        pieces
-        .withColumn("end", F.sum(F.length("_piece")).over(ahead).cast("int"))
-        .withColumn("pos", (F.sum(is_word.cast("int")).over(ahead) - 1).cast("int"))
-        .where(is_word)
-    )
-    word = lower_by_char(F.col("_piece")) if lowercase else F.col("_piece")
-    return placed.select(
-        id, "pos", word.alias("word"), (F.col("end") - F.length("_piece")).alias("start"), "end"
-    )
+    """One row per pretoken with its place ``start`` to ``end`` in the original text."""
+    spans = pretoken_spans(df.select(id, x), x).select(id, x, F.posexplode("offsets").alias("pos", "_s"))
+    piece = F.substring(F.col(x), F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start"))
+    return spans.select(id, "pos", (lower_by_char(piece) if lowercase else piece).alias("word"), "_s.start", "_s.end")
+
+
+def _spans_of(pieces: pa.Array) -> pa.Array:
+    """Places of the words among pieces that cover a text: sums of the lengths before them."""
+    counts = pieces.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pieces.flatten()
+    lengths = pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(lengths)
+    first = np.cumsum(counts) - counts
+    base = np.repeat(np.concatenate(([0], ends))[first], counts)
+    is_word = ~pc.match_substring_regex(flat, "^" + BLANK).to_numpy(zero_copy_only=False).astype(bool)
+    doc = np.repeat(np.arange(len(counts)), counts)[is_word]
+    spans = pa.StructArray.from_arrays(
+        [pa.array((ends - lengths - base)[is_word], pa.int32()), pa.array((ends - base)[is_word], pa.int32())], ["start", "end"])
+    per_text = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(counts)))))
+    return pa.ListArray.from_arrays(pa.array(per_text, pa.int32()), spans)
+
+
+def pretoken_spans(df: DataFrame, x: str, out: str = "offsets") -> DataFrame:
+    """Add the places of all pretokens of a text as one array. Nothing leaves the row."""
+    spans = F.arrow_udf(_spans_of, "array<struct<start:int,end:int>>")
+    return df.withColumn(out, spans(pretokens(F.coalesce(F.col(x), F.lit("")), gaps=True)))
 
 
 def word_lists(df: DataFrame, x: str, lowercase: bool = True, out: str = "words") -> DataFrame:

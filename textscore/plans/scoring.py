@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from textscore.operators import batches, explain, labels, metrics, models, sampling, scoring
-from textscore.operators.tokens import pretoken_offsets
+from textscore.operators.tokens import pretoken_spans
 from textscore.plans import views
 from textscore.plans.registry import query
 from textscore.plans.tokens import VOCAB_SIZE, encoded_reviews, trained
@@ -320,18 +320,23 @@ def confusion_stream(spark, d):
 
 # ---------------------------------------------------------------- explanations
 
-def _scores(spark, d, how=explain.ig_scores):
-    docs = _docs(spark, d)
-    return how(docs, "doc_id", "ids", views.vectors(spark, d), views.class_weight(spark, d), DIM, tokens="words")
+def _scored(spark, d, steps=None):
+    return explain.token_scores(_docs(spark, d), "doc_id", "ids", views.vectors(spark, d), views.class_weight(spark, d), DIM, steps)
 
 
-def _rounded_scores(scores):
-    return scores.select("doc_id", "pos", F.col("token_id").alias("id"), "token", F.round("score", 12).alias("score"))
+def _rounded_lists(spark, d):
+    """Scores are rounded before they are coloured, as their last bit may decide the palette place."""
+    return _scored(spark, d).withColumn("scores", F.transform("scores", lambda s: F.round(s, 12)))
+
+
+def _score_rows(scored):
+    rows = explain.explode_scores(scored, "doc_id", "ids", "words")
+    return rows.select("doc_id", "pos", F.col("token_id").alias("id"), "token", F.round("score", 12).alias("score"))
 
 
 @query("ig_scores", "SELECT doc_id, pos::INT AS pos, id::INT AS id, token, round(score, 12) AS score FROM v_scores")
 def ig_scores(spark, d):
-    return _rounded_scores(_scores(spark, d))
+    return _score_rows(_scored(spark, d))
 
 
 def _path_sql() -> str:
@@ -351,16 +356,14 @@ def _path_sql() -> str:
 
 @query("ig_scores_numeric", _path_sql())
 def ig_scores_numeric(spark, d):
-    return _rounded_scores(_scores(spark, d, explain.ig_scores_numeric))
+    return _score_rows(_scored(spark, d, explain.PATH_STEPS))
 
 
 @query("ig_completeness", """
     SELECT s.doc_id, round(sum(score) * 64, 9) AS attributed, round(any_value(y.logit) - any_value(c.b), 9) AS gain
     FROM v_scores s JOIN v_doc_pred y USING (doc_id) JOIN v_class_weight c ON c.class = y.class GROUP BY s.doc_id""")
 def ig_completeness(spark, d):
-    weights = views.class_weight(spark, d)
-    factors = explain.ig_factors(_pooled(spark, d), "doc_id", weights, DIM)
-    both = explain.ig_completeness(_scores(spark, d), factors, "doc_id", weights, DIM)
+    both = explain.ig_completeness(_scored(spark, d), "doc_id", views.class_weight(spark, d), DIM)
     return both.select("doc_id", F.round("attributed", 9).alias("attributed"), F.round("gain", 9).alias("gain"))
 
 
@@ -368,7 +371,7 @@ def ig_completeness(spark, d):
     SELECT doc_id, round(min(score), 12) AS low, round(median(score), 12) AS mid, round(max(score), 12) AS high
     FROM v_scores GROUP BY doc_id""")
 def score_bounds(spark, d):
-    bounds = explain.score_bounds(_scores(spark, d), "doc_id")
+    bounds = explain.bound_lists(_scored(spark, d)).where(F.col("mid").isNotNull())
     return bounds.select("doc_id", *[F.round(c, 12).alias(c) for c in ("low", "mid", "high")])
 
 
@@ -396,8 +399,7 @@ def _shade_sql() -> str:
 
 @query("score_colors", _shade_sql())
 def score_colors(spark, d):
-    """Scores are rounded first, as their last bit may decide the palette place."""
-    return explain.score_colors(_rounded_scores(_scores(spark, d)), "doc_id").select("doc_id", "pos", "color")
+    return explain.color_lists(_rounded_lists(spark, d)).select("doc_id", F.posexplode("colors").alias("pos", "color"))
 
 
 def _explain_input(spark, d):
@@ -407,8 +409,8 @@ def _explain_input(spark, d):
 @query("highlight_html")
 def highlight_html(spark, d):
     docs, vecs, weights = _explain_input(spark, d)
-    colored = explain.score_colors(explain.ig_scores(docs, "row_id", "ids", vecs, weights, DIM), "row_id")
-    return explain.highlight_html(docs, colored, "row_id", "reviewText").select("row_id", "html")
+    colored = explain.color_lists(explain.token_scores(docs, "row_id", "ids", vecs, weights, DIM))
+    return explain.highlight_lists(colored, "reviewText").select("row_id", "html")
 
 
 def _escaped(expr: str) -> str:
@@ -428,14 +430,10 @@ _HTML = _shade_sql().replace("\n    SELECT doc_id, pos::INT AS pos,", ",\n    co
 @query("highlight_html_words", _HTML)
 def highlight_html_words(spark, d):
     """The same marks around words, whose ids are a hash instead of a vocabulary."""
-    spans = pretoken_offsets(views.documents(spark, d), "doc_id", "text")
-    lists = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "start", "end", "word"))).alias("t"))
-    docs = views.documents(spark, d).select("doc_id", "text").join(lists, "doc_id").select(
-        "doc_id", "text", F.col("t.word").alias("tokens"),
-        F.transform("t", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("offsets"),
-    )
-    colored = explain.score_colors(_rounded_scores(_scores(spark, d)), "doc_id")
-    return explain.highlight_html(docs, colored, "doc_id", "text").select("doc_id", "html")
+    texts = views.documents(spark, d).select("doc_id", "text")
+    docs = _rounded_lists(spark, d).join(pretoken_spans(texts, "text"), "doc_id")
+    colored = explain.color_lists(docs.withColumnRenamed("words", "tokens"))
+    return explain.highlight_lists(colored, "text").select("doc_id", "html")
 
 
 @query("prediction_vs_actual", """
