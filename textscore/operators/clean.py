@@ -114,19 +114,19 @@ def head_rows(df: DataFrame, id: str, n: int = 5) -> DataFrame:
     return df.orderBy(id).limit(n)
 
 
-def preprocess_essays(df: DataFrame, plan=None) -> DataFrame:
-    """Raw essay table to labelled essays: clean, separate tags, bin scores."""
+def preprocess_essays(df: DataFrame, keep: Sequence[str] = (), plan=None) -> DataFrame:
+    """Raw essay table to labelled essays: clean, separate tags, bin scores. Columns ``keep`` stay as they are."""
     from textscore.operators.labels import ESSAY_PLAN, categorize_by_set
 
-    cleaned = clean_essays(df)
+    cleaned = clean_essays(df, keep)
     return categorize_by_set(cleaned, ESSAY_PLAN if plan is None else plan)
 
 
-def clean_essays(df: DataFrame) -> DataFrame:
+def clean_essays(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """The part of the preparation that looks at one row at a time."""
     return (
         df.transform(null_tokens)
-        .transform(coerce_numeric)
+        .transform(coerce_numeric, ("essay", *keep))
         .transform(drop_incomplete, ["essay", "domain1_score"])
         .transform(split_entity_tags, "essay")
     )

@@ -90,7 +90,7 @@ def filter_load(
     if fmt not in ("index", "raw", "encoding", "train"):
         raise NotImplementedError(f"unsupported format: {fmt}")
     kept = filter_rows(c, category, length, score, columns, standardized)
-    if kept.limit(n).count() < n:
+    if kept.agg(F.count(F.lit(1))).first()[0] < n:
         raise ValueError(f"cannot take {n} rows: the filters leave fewer")
     picked = sample_n(kept, n, c.id, seed)
     if fmt == "index":

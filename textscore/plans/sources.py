@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textscore.operators import metrics
-from textscore.operators.sampling import reduce_per_category
-from textscore.operators.tokens import corpus_text_iter
+from textscore.functions.hashing import key_to_int
+from textscore.operators.sampling import filter_columns, filter_load, reduce_per_category
+from textscore.operators.tokens import corpus_text_iter, word_counts, word_lists
 from textscore.plans import views
 from textscore.plans.registry import query
 from textscore.plans.tokens import trained
+from textscore.plans.views_sql import WORD, h, key, number
 from textscore.session import scratch_path
+from textscore.sources.schemas import ALL_REVIEW_SCHEMA
 from textscore.sources import readers, writers
 
 SOURCES = [f"src{i}" for i in range(20)]
@@ -36,17 +39,79 @@ def load_reviews_jsonl(spark, d):
     return readers.load_reviews_jsonl(spark, [_review_files(spark, d, "-5core.json")]).drop("file")
 
 
-@query("load_essays", "SELECT essay_id, essay_set, domain1_score, domain2_score, 'train' AS split FROM v_essays")
-def load_essays(spark, d):
+@query("load_reviews_arrays", _REVIEWS)
+def load_reviews_arrays(spark, d):
+    """Each category as one JSON array, as in the default form."""
+    path = scratch_path(spark, "reviews")
+    rows = views.reviews(spark, d).groupBy(F.concat("type", F.lit(".json")).alias("file")).agg(
+        F.to_json(F.collect_list(F.struct("reviewText", "overall"))).alias("value"))
+    rows.write.partitionBy("file").text(path)
+    return readers.load_reviews(spark, [path]).drop("file")
+
+
+_ASIN = "'B' || (row_id % 97)"
+
+
+@query("load_reviews_all_columns", f"""
+    SELECT reviewText, overall::DOUBLE AS overall, type, {_ASIN} AS asin, row_id % 3 = 0 AS verified,
+           CASE WHEN row_id % 5 = 0 THEN NULL ELSE (row_id % 11)::VARCHAR END AS vote FROM v_reviews WHERE type = 'src3'""")
+def load_reviews_all_columns(spark, d):
+    """Fields besides text and score, picked by one of them afterwards."""
+    path = scratch_path(spark, "reviews")
+    rows = views.reviews(spark, d).withColumns({
+        "asin": F.concat(F.lit("B"), F.col("row_id") % 97), "verified": F.col("row_id") % 3 == 0,
+        "vote": F.when(F.col("row_id") % 5 != 0, (F.col("row_id") % 11).cast("string")),
+        "file": F.concat("type", F.lit(".json"))})
+    rows.drop("type", "row_id").write.partitionBy("file").json(path)
+    loaded = readers.load_reviews(spark, [path], ALL_REVIEW_SCHEMA, arrays=False)
+    return filter_columns(loaded, {"type": "src3"}).select("reviewText", "overall", "type", "asin", "verified", "vote")
+
+
+def _sorted_files(spark, d, suffix: str, **options) -> str:
+    """One file for each category with its rows in the order of their ids."""
+    path = scratch_path(spark, "reviews")
+    rows = views.reviews(spark, d).withColumn("file", F.concat("type", F.lit(suffix)))
+    rows = rows.repartition("file").sortWithinPartitions("file", "row_id").select("reviewText", "overall", "file")
+    rows.write.options(**options).partitionBy("file").json(path)
+    return path
+
+
+@query("load_reviews_jsonl_first", _REVIEWS + " QUALIFY row_number() OVER (PARTITION BY type ORDER BY row_id) <= 7")
+def load_reviews_jsonl_first(spark, d):
+    return readers.load_reviews_jsonl(spark, [_sorted_files(spark, d, "-5core.json")], nrows_per_type=7).drop("file")
+
+
+@query("load_reviews_indexed", """
+    SELECT reviewText, overall::DOUBLE AS overall, type, row_number() OVER (ORDER BY type || '-', row_id) - 1 AS row_id FROM v_reviews""")
+def load_reviews_indexed(spark, d):
+    return readers.load_reviews_jsonl(spark, [_sorted_files(spark, d, "-5core.json")], index="row_id").drop("file")
+
+
+def _essay_file(spark, d) -> str:
     path = scratch_path(spark, "essays")
     views.essays_raw(spark, d).write.csv(
         path, sep="\t", header=True, encoding="ISO-8859-1", quote='"', escape='"', quoteAll=True
     )
-    return readers.load_essays(spark, train=path).select(
-        "essay_id", "essay_set", "domain1_score", "domain2_score", "split"
+    return path
+
+
+@query("load_essays", "SELECT essay_id, essay_set, essay, domain1_score, domain2_score, 'train' AS split FROM v_essays")
+def load_essays(spark, d):
+    return readers.load_essays(spark, train=_essay_file(spark, d)).select(
+        "essay_id", "essay_set", "essay", "domain1_score", "domain2_score", "split"
     )
 
 
+@query("load_essays_splits", f"""
+    SELECT essay_id, essay_set, domain1_score, domain2_score, 'train' AS split FROM v_essays
+    UNION ALL
+    SELECT {number('essay_id')}, {number('essay_set')}, {number('domain1_score')}, {number('domain2_score')}, s.split
+    FROM v_essays_raw CROSS JOIN (VALUES ('valid'), ('test')) s(split)""")
+def load_essays_splits(spark, d):
+    path = _essay_file(spark, d)
+    return readers.load_essays(spark, path, path, path).select("essay_id", "essay_set", "domain1_score", "domain2_score", "split")
+
+
 @query("load_essays_json", "SELECT *, 'valid' AS split FROM v_essays_clean")
 def load_essays_json(spark, d):
     path = scratch_path(spark, "essays")
@@ -61,6 +126,56 @@ def read_gzip_jsonl(spark, d):
     return readers.read_gzip_jsonl(spark, path)
 
 
+@query("read_gzip_jsonl_limit", """
+    SELECT reviewText, overall::DOUBLE AS overall FROM v_reviews QUALIFY row_number() OVER (ORDER BY row_id) <= 150""")
+def read_gzip_jsonl_limit(spark, d):
+    path = scratch_path(spark, "reviews")
+    rows = views.reviews(spark, d).repartitionByRange(4, "row_id").sortWithinPartitions("row_id")
+    rows.select("reviewText", "overall").write.option("compression", "gzip").json(path)
+    return readers.read_gzip_jsonl(spark, path, limit=150)
+
+
+_FILTERED = "v_reviews WHERE type = 'src3' AND overall BETWEEN 4 AND 5"
+
+
+@query("filter_load_index", f"SELECT row_id FROM {_FILTERED} ORDER BY {key('row_id', 1)} LIMIT 3")
+def filter_load_index(spark, d):
+    return filter_load(views.review_corpus(spark, d), "src3", score=[4, 5], n=3, fmt="index", seed=1)
+
+
+def _word_ids(rows):
+    return word_lists(rows, "reviewText").withColumn("ids", F.transform("words", lambda w: (key_to_int(F.md5(w)) % 1000).cast("int")))
+
+
+_IDS = f"array_to_string(list_transform(regexp_extract_all(lower(reviewText), '{WORD}'), lambda w: {h('w')} % 1000), ' ') AS ids"
+
+
+@query("filter_load_encoding", f"""
+    SELECT row_id, reviewText, overall, {_IDS} FROM {_FILTERED} ORDER BY {key('row_id', 1)} LIMIT 3""")
+def filter_load_encoding(spark, d):
+    rows = filter_load(views.review_corpus(spark, d), "src3", score=[4, 5], n=3, fmt="encoding", seed=1, encoder=_word_ids)
+    return rows.select("row_id", "reviewText", "overall", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
+@query("filter_load_train", f"SELECT row_id, {_IDS}, overall - 1 AS y FROM {_FILTERED} ORDER BY {key('row_id', 1)} LIMIT 3")
+def filter_load_train(spark, d):
+    rows = filter_load(views.review_corpus(spark, d), "src3", score=[4, 5], n=3, fmt="train", seed=1, encoder=_word_ids)
+    return rows.select("row_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), "y")
+
+
+@query("vocab_load_json", "SELECT DISTINCT word, n, length(word)::INT AS rank_length FROM v_word_counts")
+def vocab_load_json(spark, d):
+    """A tokenizer file whose vocabulary is the words of the corpus with their counts as ids."""
+    path = scratch_path(spark, "tokenizer") + ".json"
+    words = word_counts(views.documents(spark, d), "text").where(F.length("word") > 1)
+    pairs = F.struct(F.map_from_entries(F.collect_list(F.struct("word", F.col("n").cast("int")))).alias("vocab"),
+                     F.collect_list(F.concat_ws(" ", F.substring("word", 1, 1), F.col("word").substr(F.lit(2), F.length("word")))).alias("merges"))
+    words.agg(F.to_json(F.struct(pairs.alias("model"))).alias("value")).write.text(path)
+    vocab, merges = readers.vocab_load(spark, path)
+    made = merges.select(F.concat("left", "right").alias("token"), F.length(F.concat("left", "right")).alias("rank_length"))
+    return vocab.join(made, "token").select(F.col("token").alias("word"), F.col("id").cast("bigint").alias("n"), "rank_length")
+
+
 @query("category_allowlist", "SELECT row_id, type, overall FROM v_reviews WHERE type IN ('src1', 'src3', 'src12')")
 def category_allowlist(spark, d):
     rows = views.reviews(spark, d).select("row_id", "type", "overall")

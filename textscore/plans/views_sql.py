@@ -86,6 +86,8 @@ VIEWS = {
                [{', '.join(f"({h('row_id', j)} % 2001 - 1000) / 250.0::DOUBLE" for j in range(5))}] AS z
         FROM v_predictions""",
     "v_words": f"SELECT doc_id, text, regexp_extract_all(lower(text), '{WORD}') AS words FROM documents",
+    "v_word_counts": """
+        SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM v_words) WHERE length(word) > 1 GROUP BY word""",
     "v_tokens": f"""
         SELECT doc_id, pos, token, ({h('token')} % (SELECT count(*) FROM embeddings))::BIGINT AS id
         FROM (SELECT doc_id, unnest(words) AS token, generate_subscripts(words, 1) - 1 AS pos FROM v_words)""",

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from textscore.operators.clean import (
     clean_essays, coerce_numeric, drop_incomplete, null_tokens, preprocess_essays, union_sources,
 )
-from textscore.operators.selection import RowOrder, keep_first
+from textscore.operators.selection import RowOrder, keep_first, positions
 from textscore.session import parallelism
 from textscore.sources.schemas import ESSAY_SCHEMA, REVIEW_SCHEMA
 
@@ -36,30 +36,49 @@ def _category(pattern: str) -> Column:
     return F.regexp_extract(path, pattern, 1)
 
 
-def _read_reviews(spark, paths, schema: T.StructType, pattern: str, **options) -> DataFrame:
-    rows = spark.read.schema(schema).options(**options).json(list(paths))
-    return rows.withColumn("type", _category(pattern)).where(F.col("type") != "")
+def _placed(rows: DataFrame) -> DataFrame:
+    """Add the place of every row: its file, the block of the file and its number among the rows of a task."""
+    number = F.monotonically_increasing_id().bitwiseAND(2**33 - 1)
+    return rows.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_line": number})
+
+
+def _file_order() -> RowOrder:
+    return RowOrder(F.struct("_file", "_block", "_line"), F.struct("_file", "_block"))
+
+
+def _indexed(placed: DataFrame, index: str | None) -> DataFrame:
+    """Number the rows in the order of files and lines, block by block, and drop their places."""
+    if index:
+        placed = positions(placed, _file_order(), name=index)
+    return placed.drop("_file", "_block", "_line")
+
+
+def _read_reviews(spark, paths, schema: T.StructType, pattern: str, index: str | None, **options) -> DataFrame:
+    rows = _placed(spark.read.schema(schema).options(**options).json(list(paths)))
+    rows = rows.withColumn("type", _category(pattern)).where(F.col("type") != "")
+    return _indexed(drop_incomplete(rows, ["reviewText", "overall"]), index)
 
 
 def load_reviews(
-    spark: SparkSession, paths: Sequence[str], schema: T.StructType = REVIEW_SCHEMA, arrays: bool = True
+    spark: SparkSession, paths: Sequence[str], schema: T.StructType = REVIEW_SCHEMA, arrays: bool = True,
+    index: str | None = None,
 ) -> DataFrame:
     """Reviews from ``<category>.json`` files or folders of such name.
 
     ``arrays`` reads a file as one JSON array; such a file cannot be split, so
     for large input store newline JSON and pass ``arrays=False``. Files whose
     second name part is not ``json`` are left out, as are rows without text or
-    score.
+    score. ``index`` names a column that numbers the rows from 0 in the order of files and lines;
+    ``schema`` names the fields to keep, ``ALL_REVIEW_SCHEMA`` all of them.
     """
-    rows = _read_reviews(
-        spark, paths, schema, r"/(?:[^/=]+=)?([^/.=]+)\.json(?:\.gz)?(?:/|$)", multiLine=str(arrays).lower()
+    return _read_reviews(
+        spark, paths, schema, r"/(?:[^/=]+=)?([^/.=]+)\.json(?:\.gz)?(?:/|$)", index, multiLine=str(arrays).lower()
     )
-    return drop_incomplete(rows, ["reviewText", "overall"])
 
 
 def load_reviews_jsonl(
     spark: SparkSession, paths: Sequence[str], nrows_per_type: int | None = None,
-    schema: T.StructType = REVIEW_SCHEMA,
+    schema: T.StructType = REVIEW_SCHEMA, index: str | None = None,
 ) -> DataFrame:
     """Reviews from newline JSON; the category is the name part before ``-``.
 
@@ -69,55 +88,60 @@ def load_reviews_jsonl(
     """
     pattern = r"/(?:[^/=]+=)?([^/=-]+)-[^/]*\.json[^/]*(?:/|$)"
     if nrows_per_type is None:
-        return drop_incomplete(_read_reviews(spark, paths, schema, pattern), ["reviewText", "overall"])
-    line_number = F.monotonically_increasing_id().bitwiseAND(2**33 - 1)
+        return _read_reviews(spark, paths, schema, pattern, index)
     lines = (
-        spark.read.text(list(paths))
-        .select(
-            "value", _category(pattern).alias("type"), F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_block"), line_number.alias("_line"),
-        )
+        _placed(spark.read.text(list(paths))).withColumn("type", _category(pattern))
         .where((F.col("type") != "") & (F.trim("value") != ""))
     )
     order = RowOrder(F.struct("_block", "_line"), F.col("_block"))
     kept = keep_first(lines, ["_file"], order, nrows_per_type)
-    rows = kept.select(F.from_json("value", schema).alias("row"), "type").select("row.*", "type")
-    return drop_incomplete(rows, ["reviewText", "overall"])
+    rows = kept.withColumn("row", F.from_json("value", schema)).select("row.*", "type", "_file", "_block", "_line")
+    return _indexed(drop_incomplete(rows, ["reviewText", "overall"]), index)
 
 
 def read_gzip_jsonl(
     spark: SparkSession, path: str, limit: int | None = None, schema: T.StructType = REVIEW_SCHEMA
 ) -> DataFrame:
-    """Newline JSON in gzip, at most ``limit`` leading lines.
+    """Newline JSON in gzip, at most ``limit`` leading lines in the order of files.
 
-    A gzip file is read by one task; the rows are then spread out.
+    A gzip file is read by one task; the rows are then spread out. Lines are cut where they are
+    read, and no task gathers them.
     """
-    rows = spark.read.schema(schema).json(path)
-    if limit is not None:
-        rows = rows.limit(limit)
-    return rows.repartition(parallelism(spark))
+    if limit is None:
+        return spark.read.schema(schema).json(path).repartition(parallelism(spark))
+    lines = keep_first(_placed(spark.read.text(path)).where(F.trim("value") != ""), [], _file_order(), limit)
+    return lines.select(F.from_json("value", schema).alias("row")).select("row.*").repartition(parallelism(spark))
 
 
 def load_essays(
     spark: SparkSession, train: str | None = None, valid: str | None = None, test: str | None = None,
-    schema: T.StructType = ESSAY_SCHEMA,
+    schema: T.StructType = ESSAY_SCHEMA, index: str | None = None,
 ) -> DataFrame:
     """Essay tables from TSV with a header, marked by column ``split``.
 
     The training part is cleaned and its score is binned; the others are kept as
-    they are, as numbers where they are numbers.
+    they are, as numbers where they are numbers. ``index`` names a column that numbers the rows of
+    each part from 0, after cleaning.
     """
     def read(path: str) -> DataFrame:
         return spark.read.schema(schema).csv(
             path, sep="\t", header=True, encoding="ISO-8859-1", multiLine=True, quote='"', escape='"'
         )
 
+    def numbered(path: str, clean) -> DataFrame:
+        rows = read(path)
+        if not index:
+            return clean(rows)
+        keep = ["_file", "_block", "_line"]
+        return _indexed(clean(_placed(rows), keep), index)
+
     parts = []
     if train:
-        parts.append(preprocess_essays(read(train)).withColumn("split", F.lit("train")))
+        parts.append(numbered(train, preprocess_essays).withColumn("split", F.lit("train")))
     for path, name in ((valid, "valid"), (test, "test")):
         if path:
-            parts.append(coerce_numeric(null_tokens(read(path))).withColumn("split", F.lit(name)))
+            part = numbered(path, lambda rows, keep=(): coerce_numeric(null_tokens(rows), ("essay", *keep)))
+            parts.append(part.withColumn("split", F.lit(name)))
     if not parts:
         raise ValueError("name at least one of train, valid, test")
     return union_sources(*parts)
