@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textscore.session import scratch_path, scratch_root
+from textscore.session import scratch_path
 
 ROWS_AT_ONCE = 256
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,12 +27,17 @@ def whole_text(text_col: str) -> Column:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared scratch folder: later reads do not compute it again.
 
-    Files on shared storage outlive executors, so a lost one costs its running tasks only.
+    Files on shared storage outlive executors, so a lost one costs its running tasks only. Shuffle files of the
+    write are of no use once it has ended and go at once.
     """
     spark = df.sparkSession
-    scratch_root(spark)
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

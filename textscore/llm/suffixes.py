@@ -180,11 +180,16 @@ def collapse(bucket, name, doc, sub, low, size) -> Iterator[pa.RecordBatch]:
         yield _known(doc[again], sub[again], low[again], low[again] + size[again] + LENGTH - 1)
 
 
-def _known(doc, sub, low, high) -> pa.RecordBatch:
-    """Merged intervals; they carry a name of their own, which spreads them."""
+def _merged(doc, sub, low, high) -> tuple[np.ndarray, ...]:
+    """Merged intervals of documents that two numbers name."""
     keys, number = np.unique(np.stack((doc, sub), 1), axis=0, return_inverse=True)
     which, low, high = merged(number.ravel(), low, high)
-    doc, sub = keys[which, 0], keys[which, 1]
+    return keys[which, 0], keys[which, 1], low, high
+
+
+def _known(doc, sub, low, high) -> pa.RecordBatch:
+    """Merged intervals; they carry a name of their own, which spreads them."""
+    doc, sub, low, high = _merged(doc, sub, low, high)
     spread = mixed(doc.view(np.uint64), low.astype(np.int64).view(np.uint64))
     return _batch(1, spread, spread, doc, sub, low, high - low)
 
@@ -249,10 +254,10 @@ def _find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 OUT = "kind int, bucket long, doc long, sub long, low long, size long"
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], firsts: bool) -> Iterator[pa.RecordBatch]:
     """Rows sorted by kind, bucket, name, document and place: what is not the first of its name is a repeat.
 
-    The first ones of a bucket with several names come out as kind 0. Only the first row of the open bucket and of the open name is
+    Repeats come out as intervals, and if ``firsts``, the first ones of a bucket with several names as kind 0. Only the first row of the open bucket and of the open name is
     carried from batch to batch, so a bucket of any size passes.
     """
     def out(kind: int, c: dict[str, np.ndarray], rows: np.ndarray) -> pa.RecordBatch:
@@ -282,7 +287,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = index >= carried
         again = ~new_name & ~same & fresh
         if again.any():
-            yield out(2, c, again)
+            doc, sub, low, high = _merged(*(c[f][again] for f in ("doc", "sub", "low")), (c["low"] + c["size"] + LENGTH - 1)[again])
+            spans = {"bucket": doc, "doc": doc, "sub": sub, "low": low, "size": high - low}
+            yield out(1, spans, np.ones(len(doc), bool))
         later = new_name & ~new_bucket
         starts = np.flatnonzero(new_bucket)
         several = np.add.reduceat((later & fresh).astype(np.int64), starts) > 0
@@ -291,22 +298,20 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not waiting and carried:
             heads = heads[heads >= carried]  # the carried head is out already, or stands for no run
         wanted[heads] = True
-        if wanted.any():
+        if firsts and wanted.any():
             yield out(0, c, wanted)
         waiting = (waiting if carried and starts[-1] == 0 else True) and not several[-1]
         keep = np.array([starts[-1], owner[-1]])
         before = {f: v[keep] for f, v in c.items()}
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
+def _compared(rows: DataFrame, firsts: bool) -> DataFrame:
     order = ["kind", "bucket", "name", "doc", "sub", "low"]
-    return rows.repartition("bucket").sortWithinPartitions(*order).mapInArrow(_compare, OUT)
+    return rows.repartition("bucket").sortWithinPartitions(*order).mapInArrow(lambda batches: _compare(batches, firsts), OUT)
 
 
 def _intervals(found: DataFrame) -> DataFrame:
-    """Repeated intervals: those known as such, and the windows of repeated runs."""
-    high = F.col("low") + F.col("size") + F.when(F.col("kind") == 2, LENGTH - 1).otherwise(0)
-    return found.where("kind > 0").select("doc", "sub", "low", high.alias("high"))
+    return found.where("kind = 1").select("doc", "sub", "low", (F.col("low") + F.col("size")).alias("high"))
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
@@ -327,10 +332,10 @@ def identified(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) ->
 def repeated_intervals(rows: DataFrame) -> DataFrame:
     """``doc, sub`` and the merged-by-task intervals of bytes that stand earlier, over rows of :func:`identified`."""
     texts = rows.select("doc", "sub", "text")
-    runs = written(_dealt(texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_find_runs, ROW)), "runs")
+    runs = written(_compared(texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_find_runs, ROW), True), "runs")
     listed = runs.where("kind = 0").groupBy("doc", "sub").agg(F.collect_list(F.struct("low", "size", "bucket")).alias("runs"))
     windows = texts.join(listed, ["doc", "sub"]).mapInArrow(_find_windows, ROW)
-    compared = written(_dealt(windows), "windows")
+    compared = written(_compared(windows, False), "windows")
     return _intervals(runs).unionByName(_intervals(compared))
 
 
