@@ -20,6 +20,7 @@ from textscore.session import parallelism, via_table
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FIRST_MERGE_SYMBOL = 0xF0000
+CACHED_WORDS = 200_000
 TOP_PAIRS = 256
 MERGES_PER_TABLE = 32
 MERGES_PER_PLAN = 16
@@ -222,6 +223,8 @@ class PieceTable:
                             symbols.append(self.vocab[low])
                             origin.append(i)
                 found = [(t, origin[a], origin[b - 1] + 1) for t, a, b in merge_word(symbols, self.rules)]
+            if len(self.cache) >= CACHED_WORDS:
+                self.cache.clear()
             self.cache[word] = found
         return found
 

@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textscore.functions.vectors import argmax
-from textscore.operators.batches import BATCH_SIZE
-from textscore.operators.metrics import metrics_report
+from textscore.functions.text import PADDING_ID
+from textscore.operators.batches import BATCH_SIZE, bucket_batches, pad_to_batch_max
+from textscore.operators.metrics import class_report, confusion_counts, metrics_report
 from textscore.operators.scoring import ordinal_class
+from textscore.session import via_table
+from textscore.sources.writers import vocab_save
 
 
 def _features(df: DataFrame, ids: str, vocab_size: int) -> tuple[DataFrame, CountVectorizerModel]:
@@ -81,6 +87,80 @@ def predict_ordinal(df: DataFrame, models: list[Model], ids: str, vocab_size: in
     return scored.select(*df.columns, "z", ordinal_class(F.col("z")).alias("y_pred"))
 
 
+ORDINAL, PLAIN = "ordinal", "plain"
+
+
+def save_model(model: Model | list[Model], vocab: DataFrame, merges: DataFrame, out_dir: str) -> None:
+    """A fitted model with the vocabulary that its features are counts of."""
+    steps = model if isinstance(model, list) else [model]
+    kind = ORDINAL if isinstance(model, list) else PLAIN
+    for i, step in enumerate(steps):
+        step.write().overwrite().save(f"{out_dir}/step={i}")
+    vocab_save(vocab, merges, out_dir)
+    about = vocab.sparkSession.createDataFrame([(kind, len(steps))], "kind string, steps int")
+    about.write.mode("overwrite").json(f"{out_dir}/about")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[Model | list[Model], DataFrame, DataFrame]:
+    """Model, vocabulary and merges written by :func:`save_model`."""
+    about = spark.read.schema("kind string, steps int").json(f"{path}/about").first()
+    steps = [LogisticRegressionModel.load(f"{path}/step={i}") for i in range(about["steps"])]
+    vocab, merges = spark.read.parquet(f"{path}/vocab"), spark.read.parquet(f"{path}/merges")
+    return (steps if about["kind"] == ORDINAL else steps[0]), vocab, merges
+
+
+def predict(df: DataFrame, model: Model | list[Model], ids: str, vocab_size: int) -> DataFrame:
+    """Logits ``z`` and class ``y_pred`` by a plain or an ordinal model."""
+    return (predict_ordinal if isinstance(model, list) else predict_classifier)(df, model, ids, vocab_size)
+
+
+@dataclass(frozen=True)
+class Evaluation:
+    """What a model does on labelled rows: predictions in batches, the matrix, the class table and the report."""
+
+    predictions: DataFrame
+    confusion: DataFrame
+    classes: DataFrame
+    report: DataFrame
+
+
+def evaluate_model(df: DataFrame, model: Model | list[Model], id: str, ids: str, y: str, vocab_size: int, k: int,
+                   batch_size: int = BATCH_SIZE) -> Evaluation:
+    """Apply a model to length-bucketed, padded batches and measure it.
+
+    Rows are batched by length as a network would take them; a batch is padded with the padding
+    id, which counts nothing. Predictions are written once and read by all measures.
+    """
+    placed = pad_to_batch_max(bucket_batches(df, ids, id, batch_size, shuffle=False), ids, out="_padded")
+    real = F.filter("_padded", lambda i: i != PADDING_ID)
+    scored = predict(placed.withColumn("_real", real), model, "_real", vocab_size)
+    kept = scored.select(id, F.col(y).cast("int").alias("y_true"), "y_pred", "z", "batch_id", "n_tokens")
+    pred = via_table(kept, "predictions")
+    cm = confusion_counts(pred, k)
+    return Evaluation(pred, cm, class_report(cm), metrics_report(pred, k, batch_size))
+
+
+def explain_model(df: DataFrame, model: Model, ids: str, vocab_size: int) -> DataFrame:
+    """Add ``scores`` (one per token), ``y_pred`` and ``z`` by a fitted plain classifier.
+
+    For a linear model on token counts the integral of gradients is closed: the score of a token is its
+    coefficient in the predicted class, and scores and intercept add up to the logit. The coefficients,
+    classes x vocabulary numbers, travel to the tasks; the frame is mapped, not shuffled.
+    """
+    sent = df.sparkSession.sparkContext.broadcast(model.coefficientMatrix.toArray())
+
+    @F.arrow_udf("array<double>")
+    def scores(lists: pa.Array, chosen: pa.Array) -> pa.Array:
+        counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        rows = np.repeat(chosen.to_numpy(zero_copy_only=False).astype(np.int64), counts)
+        at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(sent.value[rows, at]))
+
+    found = predict_classifier(df, model, ids, vocab_size)
+    return found.withColumn("scores", scores(F.col(ids).cast("array<int>"), F.col("y_pred").cast("int")))
+
+
 def score_batches(df: DataFrame, model: PipelineModel | Model | Callable, schema: str | None = None) -> DataFrame:
     """Apply a fitted model to every row.
 
@@ -101,8 +181,10 @@ def fit_epochs_table(
 
     A run is a loss; an epoch is a number of passes of its optimiser over the
     training rows. ``best_by_metric`` then picks the model to keep. ``valid`` has a
-    column ``batch_id`` that numbers its batches.
+    column ``batch_id`` that numbers its batches. Both inputs are written once and read by every fit.
     """
+    train = via_table(train.select(ids, y, *([weight] if weight else [])), "train")
+    valid = via_table(valid.select(ids, y, "batch_id"), "valid")
     rows = None
     for loss in losses:
         for n in epochs:

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from textscore.operators import batches, explain, labels, metrics, models, sampling, scoring
 from textscore.operators.tokens import pretoken_spans
+from textscore.functions.hashing import hash_int
 from textscore.plans import views
 from textscore.plans.registry import query
 from textscore.plans.tokens import VOCAB_SIZE, encoded_reviews, trained
+from textscore.plans.views_sql import h
 from textscore.session import scratch_path
 from textscore.streaming.running import running_confusion_stream
 
@@ -133,6 +135,55 @@ def fit_ordinal(spark, d):
     return models.predict_ordinal(rows, fitted, "ids", VOCAB_SIZE).select("row_id", "y", "y_pred")
 
 
+MARKER_REPEATS = 12
+
+
+def _marked_docs(spark, d):
+    """Documents whose label some of their tokens decide: an id per class is added to the hashed words."""
+    words = table_size(spark, d)
+    y = (hash_int(F.col("doc_id"), "marked") % K).cast("int")
+    ids = F.concat(F.transform("ids", lambda i: i + 1), F.array_repeat(y + words + 1, MARKER_REPEATS))
+    return _docs(spark, d).select("doc_id", y.alias("y"), ids.alias("ids")), words + K + 1
+
+
+def table_size(spark, d):
+    return views.table(spark, d, "embeddings").count()
+
+
+_MARKED = f"SELECT doc_id, ({h('doc_id', 'marked')} % {K})::INT AS y FROM documents"
+
+
+@query("fit_save_evaluate", f"SELECT y AS y_true, y AS y_pred, count(*) AS n FROM ({_MARKED}) GROUP BY y")
+def fit_save_evaluate(spark, d):
+    """A classifier is fitted, saved with its vocabulary, loaded and measured on padded batches."""
+    rows, size = _marked_docs(spark, d)
+    vocab = spark.range(size).select(F.col("id").cast("string").alias("token"), F.col("id").cast("int").alias("id"))
+    merges = vocab.limit(0).select(F.lit(0).alias("rank"), F.col("token").alias("left"), F.col("token").alias("right"))
+    path = scratch_path(spark, "model")
+    models.save_model(models.fit_classifier(rows, "ids", "y", size, reg=0.001), vocab, merges, path)
+    model, vocab, _ = models.load_model(spark, path)
+    found = models.evaluate_model(rows, model, "doc_id", "ids", "y", vocab.count(), K, views.BATCH)
+    return found.confusion.where("n > 0")
+
+
+@query("fit_ordinal_evaluate", f"SELECT y AS y_true, y AS y_pred, count(*) AS n FROM ({_MARKED}) GROUP BY y")
+def fit_ordinal_evaluate(spark, d):
+    rows, size = _marked_docs(spark, d)
+    fitted = models.fit_ordinal(rows, "ids", "y", size, K, reg=0.001)
+    return models.evaluate_model(rows, fitted, "doc_id", "ids", "y", size, K, views.BATCH).confusion.where("n > 0")
+
+
+@query("explain_model", f"SELECT doc_id, y AS y_pred, true AS adds_up FROM ({_MARKED})")
+def explain_model(spark, d):
+    """Scores of the tokens and the intercept add up to the logit of the predicted class, in every document."""
+    rows, size = _marked_docs(spark, d)
+    model = models.fit_classifier(rows, "ids", "y", size, reg=0.001)
+    scored = models.explain_model(rows, model, "ids", size)
+    bias = F.get(F.array(*[F.lit(float(b)) for b in model.interceptVector]), F.col("y_pred"))
+    gap = F.abs(scoring.array_sum(F.col("scores")) + bias - F.get("z", F.col("y_pred")))
+    return scored.select("doc_id", "y_pred", (gap < 1e-6).alias("adds_up"))
+
+
 @query("score_batches", """
     SELECT row_id, (list_position(z, list_max(z)) - 1)::BIGINT AS y_pred FROM v_logits""")
 def score_batches(spark, d):
