@@ -79,3 +79,18 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
     arrive([(3, 1, 1)])
     assert run() == {(0, 0): 1, (0, 1): 1, (1, 0): 0, (1, 1): 1}
     assert run()[1, 1] == 1
+
+
+def test_scratch_tables_are_deleted_on_request(spark):
+    import os
+
+    from textscore import session
+
+    session.clear_scratch(spark)
+    kept = session.via_table(spark.range(5), "numbers")
+    path = session._paths[-1].removeprefix("file:")
+    assert os.path.exists(path) and kept.count() == 5
+    made = session.made_once(spark, ("x",), lambda: 1)
+    assert session.made_once(spark, ("x",), lambda: 2) == made == 1
+    assert session.clear_scratch(spark) == 1 and not os.path.exists(path)
+    assert session.made_once(spark, ("x",), lambda: 2) == 2

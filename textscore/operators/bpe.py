@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from textscore.functions.text import PADDING_TOKEN, pretokens
 from textscore.operators.tokens import special_rows, word_counts
-from textscore.session import parallelism, via_table
+from textscore.session import delete_path, parallelism, scratch_path
 
 # The helpers below travel with the task, so executors need no installed copy.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -85,17 +85,27 @@ def merge_rules(words: DataFrame, vocab_size: int, special: Sequence[str]):
             pending.append((pair, symbol_of[merged]))
         if len(pending) >= MERGES_PER_TABLE and len(tokens) < vocab_size:
             previous, table = table, _word_table(_apply(table, pending))
-            previous.unpersist()
+            _forget(previous)
             pending = []
-    table.unpersist()
+    _forget(table)
     return tokens, merges
 
 
 def _word_table(words: DataFrame) -> DataFrame:
     """Write the word table and keep it, in as many pieces as its size asks for."""
-    written = via_table(words, "bpe-words")
+    path = scratch_path(words.sparkSession, "bpe-words")
+    words.write.parquet(path)
+    written = words.sparkSession.read.schema(words.schema).parquet(path)
     pieces = min(parallelism(words.sparkSession), written.count() // WORDS_PER_PIECE + 1)
-    return written.repartition(pieces).persist()
+    table = written.repartition(pieces).persist()
+    table.scratch = path
+    return table
+
+
+def _forget(table: DataFrame) -> None:
+    """Drop a word table, in memory and in the shared folder."""
+    table.unpersist()
+    delete_path(table.sparkSession, table.scratch)
 
 
 def _apply(table: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:

@@ -124,14 +124,14 @@ def _with_weights(spark, d, rows):
 @query("fit_classifier")
 def fit_classifier(spark, d):
     rows = _with_weights(spark, d, _train_rows(spark, d))
-    model = models.fit_classifier(rows, "ids", "y", VOCAB_SIZE, weight="weight", max_iter=10)
+    model = models.fit_classifier(rows, "ids", "y", VOCAB_SIZE, weight="weight")
     return models.predict_classifier(rows, model, "ids", VOCAB_SIZE).select("row_id", "y", "y_pred")
 
 
 @query("fit_ordinal")
 def fit_ordinal(spark, d):
     rows = _train_rows(spark, d)
-    fitted = models.fit_ordinal(rows, "ids", "y", VOCAB_SIZE, K, max_iter=10)
+    fitted = models.fit_ordinal(rows, "ids", "y", VOCAB_SIZE, K)
     return models.predict_ordinal(rows, fitted, "ids", VOCAB_SIZE).select("row_id", "y", "y_pred")
 
 
@@ -199,7 +199,7 @@ def score_batches(spark, d):
 def fit_epochs_table(spark, d):
     train, valid = sampling.balanced_train_input(_train_rows(spark, d), "y", "row_id", 0.2, 1, under=True)
     placed = batches.bucket_batches(valid, "ids", "row_id", views.BATCH, shuffle=True, seed=1)
-    return models.fit_epochs_table(train, placed, "ids", "y", VOCAB_SIZE, K, epochs=(2, 5))
+    return models.fit_epochs_table(train, placed, "ids", "y", VOCAB_SIZE, K)
 
 
 @query("best_by_metric", """

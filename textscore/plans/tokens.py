@@ -19,13 +19,13 @@ SPECIAL = (PADDING_TOKEN, *ENTITY_TAGS)
 def trained(spark, d):
     """The review vocabulary of a data folder; trained once per session."""
     return made_once(
-        spark, ("vocab", d), lambda: bpe.bpe_train(views.reviews(spark, d), "reviewText", VOCAB_SIZE)
+        spark, ("vocab", views.stamp(spark, d, "documents")), lambda: bpe.bpe_train(views.reviews(spark, d), "reviewText", VOCAB_SIZE)
     )
 
 
 def encoded_reviews(spark, d):
     """Reviews with ids, tokens and offsets, encoded once and kept as a table."""
-    return made_once(spark, ("encoded", d), lambda: via_table(
+    return made_once(spark, ("encoded", views.stamp(spark, d, "documents")), lambda: via_table(
         bpe.encode_text(views.reviews(spark, d), "reviewText", *trained(spark, d)), "encoded"
     ))
 
@@ -145,7 +145,7 @@ _SHORT = f"""
 
 def _short(spark, d):
     return made_once(
-        spark, ("short vocab", d), lambda: bpe.bpe_train(views.reviews(spark, d), "reviewText", SHORT_VOCAB)
+        spark, ("short vocab", views.stamp(spark, d, "documents")), lambda: bpe.bpe_train(views.reviews(spark, d), "reviewText", SHORT_VOCAB)
     )
 
 

@@ -28,6 +28,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def stamp(spark: SparkSession, d: str, name: str) -> tuple:
+    """Folder, files and times of a table: another stamp means other content."""
+    files = table(spark, d, name).select("_metadata.file_path", "_metadata.file_modification_time").distinct()
+    return d, *files.agg(F.count("file_path"), F.max("file_modification_time")).first()
+
+
 def documents(spark: SparkSession, d: str) -> DataFrame:
     return spread_small(table(spark, d, "documents"), "doc_id")
 
@@ -112,7 +118,7 @@ def token_docs(spark: SparkSession, d: str) -> DataFrame:
         ids = F.transform("words", lambda w: (key_to_int(F.md5(w)) % n).cast("int"))
         return via_table(words.select("doc_id", "words", ids.alias("ids")), "tokens")
 
-    return made_once(spark, ("token_docs", d), build)
+    return made_once(spark, ("token_docs", stamp(spark, d, "documents"), stamp(spark, d, "embeddings")), build)
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:

@@ -13,6 +13,7 @@ SMALL_ROWS = 100_000
 ROWS_PER_PIECE = 20
 
 _made: dict = {}
+_paths: list[str] = []
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -41,7 +42,26 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _paths.append(f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder wherever Spark can write."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete all intermediate tables of this session and forget what was kept in them.
+
+    Frames that still read such a table cannot be used afterwards. Gives the number of paths.
+    """
+    _made.clear()
+    gone = len(_paths)
+    while _paths:
+        delete_path(spark, _paths.pop())
+    return gone
 
 
 def via_table(df: DataFrame, name: str) -> DataFrame:
@@ -52,7 +72,7 @@ def via_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def made_once(spark: SparkSession, key: tuple, build: Callable):
-    """The result of ``build()``, made once per application and key."""
+    """The result of ``build()``, made once per application and key. :func:`clear_scratch` forgets it."""
     where = (spark.sparkContext.applicationId, *key)
     if where not in _made:
         _made[where] = build()
