@@ -29,3 +29,10 @@ def test_stages_take_no_rows_and_odd_rows(spark, sf, stage):
     assert stage(spark, docs.limit(0), sf).count() == 0
     odd = spark.createDataFrame([(1, None, None, None, None), (None, "", "en", "s", 0), (2, " ", "en", "s", 1), (2, " ", "en", "s", 1)], docs.schema)
     assert stage(spark, odd, sf).count() <= 4
+
+
+@pytest.mark.parametrize("name", ["op9_embedding_near_dedup", "op10_quality_rules"])
+def test_queries_equal_their_sql(spark, sf, name):
+    import check_oracle
+
+    assert check_oracle.compare(spark, check_oracle.connect(sf), sf, name).startswith("ok")

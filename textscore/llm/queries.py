@@ -13,6 +13,7 @@ from textscore.llm.licenses import license_scan
 from textscore.llm.packing import pack_documents
 from textscore.llm.quality_model import quality_scores
 from textscore.llm.quality_rules import quality_rules
+from textscore.llm.queries_sql import NEAR_VECTORS, QUALITY_RULES
 from textscore.llm.simhash import simhash_near_dedup
 from textscore.llm.suffixes import suffix_dedup
 from textscore.llm.token_counts import token_counts
@@ -28,16 +29,27 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+def in_sql(sql: str):
+    """The SQL that gives the same rows as the query below it."""
+    def register(fn):
+        ORACLES[fn.__name__] = sql
+        return fn
+
+    return register
+
+
 @query
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+@in_sql(NEAR_VECTORS)
 @query
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+@in_sql(QUALITY_RULES)
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
