@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textscore.corpus import Corpus
-from textscore.operators import bpe, explain, models, scoring
+from textscore.operators import bpe, explain, matrix, models, scoring
 
 DIM, K, V = 6, 3, 12
 
@@ -206,7 +206,7 @@ def test_scores_by_pairs_and_in_place_are_the_same(world, monkeypatch, steps):
         inside = {r.doc: r for r in explain.token_scores(frame, "doc", "ids", vecs, weights, DIM, steps).collect()}
         with monkeypatch.context() as m:
             m.setattr(scoring, "VECTOR_NUMBERS", 3)
-            m.setattr(explain, "TOKENS_AT_ONCE", 2)
+            m.setattr(matrix, "TOKENS_AT_ONCE", 2)
             for r in explain.token_scores(frame, "doc", "ids", vecs, weights, DIM, steps).collect():
                 np.testing.assert_allclose(r.scores, inside[r.doc].scores, atol=1e-12)
                 assert r.y_pred == inside[r.doc].y_pred

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from textscore.corpus import Corpus
 from textscore.functions.vectors import argmax, array_sum, dot
 from textscore.operators import scoring
+from textscore.operators.matrix import TokenMatrix, ids_of, token_parts
 from textscore.operators.bpe import encode_text
 from textscore.operators.sampling import filter_load
 from textscore.operators.scoring import dan_logit_arrays, model_column
@@ -26,7 +27,6 @@ from textscore.session import via_table
 RED, WHITE, GREEN = (206, 35, 35), (255, 255, 255), (22, 206, 16)
 PALETTE_STEPS = 256
 PATH_STEPS = 50
-TOKENS_AT_ONCE = 65_536
 # What stands before and after a coloured token.
 MARK_OPEN, MARK_CLOSE = '<mark style="margin: 0; padding: 0; background-color:', "</mark>"
 
@@ -65,22 +65,6 @@ def ig_factors(pooled: DataFrame, id: str, weights: DataFrame, dim: int, slope=_
     return scored.select(id, "n_tokens", "z", "y_pred", factor.alias("factor"))
 
 
-class TokenMatrix:
-    """Token vectors as one matrix, with the ids of its rows in ascending order."""
-
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.rows = ids[order], rows[order]
-
-    def places(self, ids: np.ndarray) -> np.ndarray:
-        """Rows of token ids. An id without a vector fails."""
-        at = np.minimum(np.searchsorted(self.ids, ids), max(0, len(self.ids) - 1))
-        missing = np.flatnonzero(self.ids[at] != ids) if len(self.ids) else np.arange(len(ids))
-        if len(missing):
-            raise ValueError(f"no vector for token id {ids[missing[0]]}")
-        return at
-
-
 def _slopes(m: np.ndarray, steps: int | None) -> np.ndarray:
     if steps is None:
         return np.where(m == 0, 1.0, np.tanh(m) / np.where(m == 0, 1.0, m))
@@ -91,23 +75,15 @@ def _slopes(m: np.ndarray, steps: int | None) -> np.ndarray:
 def score_lists(ids: pa.ListArray, target: np.ndarray | None, matrix: TokenMatrix, w: np.ndarray, b: np.ndarray,
                 steps: int | None) -> pa.StructArray:
     """Scores, predicted class and logits of a batch of id lists, a bounded number of tokens at a time."""
-    lengths = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = ids.flatten()
-    if flat.null_count:
-        raise ValueError("no vector for token id NULL")
-    places = matrix.places(flat.to_numpy(zero_copy_only=False).astype(np.int64))
+    flat, lengths = ids_of(ids)
+    places = matrix.places(flat)
     doc = np.repeat(np.arange(len(lengths)), lengths)
-    parts = [slice(i, i + TOKENS_AT_ONCE) for i in range(0, len(places), TOKENS_AT_ONCE)]
-    sums = np.zeros((len(lengths), w.shape[1]))
-    for part in parts:
-        first = np.flatnonzero(np.concatenate(([True], np.diff(doc[part]) != 0)))
-        sums[doc[part][first]] += np.add.reduceat(matrix.rows[places[part]], first, axis=0)
     n = np.maximum(lengths, 1)[:, None]
-    m = sums / n
+    m = matrix.sums(places, doc, len(lengths)) / n
     z = np.tanh(m) @ w.T + b
     chosen = z.argmax(axis=1) if target is None else target
     factor = w[chosen] * _slopes(m, steps) / n / w.shape[1]
-    scores = [np.einsum("ij,ij->i", matrix.rows[places[part]], factor[doc[part]]) for part in parts]
+    scores = [np.einsum("ij,ij->i", matrix.rows[places[part]], factor[doc[part]]) for part in token_parts(len(places))]
     ends = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
     each = pa.array(np.arange(len(lengths) + 1) * len(b), pa.int32())
     return pa.StructArray.from_arrays(
@@ -125,15 +101,11 @@ def token_scores(docs: DataFrame, id: str, ids: str, vecs: DataFrame, weights: D
     joined to the distinct tokens of each document, and one number per pair comes back.
     ``steps`` takes the integral by quadrature instead of its closed form.
     """
-    numbers = vecs.agg(F.sum(F.size("v"))).first()[0] or 0
-    if numbers > scoring.VECTOR_NUMBERS:
+    matrix = scoring.small_matrix(vecs, dim)
+    if matrix is None:
         return _scores_by_pairs(docs, id, ids, vecs, weights, dim, steps)
-    rows = vecs.select("token_id", F.col("v").cast("array<double>").alias("v")).toPandas()
     classes = weights.select("class", F.col("w").cast("array<double>").alias("w"), "b").toPandas().sort_values("class")
-    sent = docs.sparkSession.sparkContext.broadcast((
-        TokenMatrix(rows["token_id"].to_numpy(np.int64), np.stack(rows["v"].to_numpy()) if len(rows) else np.zeros((0, dim))),
-        np.stack(classes["w"].to_numpy()), classes["b"].to_numpy(float),
-    ))
+    sent = docs.sparkSession.sparkContext.broadcast((matrix, np.stack(classes["w"].to_numpy()), classes["b"].to_numpy(float)))
     kind = "struct<scores:array<double>,y_pred:int,z:array<double>>"
 
     @F.arrow_udf(kind)

@@ -8,11 +8,14 @@ may hold a large share of all occurrences.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textscore.functions.text import PADDING_ID
 from textscore.functions.vectors import argmax, array_sum, dot, log_sum_exp, sum_vectors
+from textscore.operators.matrix import TokenMatrix, ids_of
 from textscore.session import parallelism
 
 VECTOR_NUMBERS = 16_000_000
@@ -54,11 +57,15 @@ def embed_tokens(tokens: DataFrame, vecs: DataFrame) -> DataFrame:
 
 
 def mean_pool(docs: DataFrame, id: str, ids: str, vecs: DataFrame, dim: int, skip_pad: bool = False) -> DataFrame:
-    """Mean vector ``m`` per document, padding included unless ``skip_pad``.
+    """Mean vector ``m`` and ``n_tokens`` per document with tokens, padding included unless ``skip_pad``.
 
-    All tokens of a document come from one row, so its sums are finished on
+    With a matrix of checked size this is one map over the documents. A larger one is joined to the
+    tokens; all of a document come from one row, so its sums are finished on
     the map side and the shuffle carries one row per document.
     """
+    matrix = small_matrix(vecs, dim)
+    if matrix is not None:
+        return _pool_in_place(docs, id, ids, matrix, skip_pad)
     tokens = explode_ids(docs, id, ids)
     if skip_pad:
         tokens = tokens.where(F.col("token_id") != PADDING_ID)
@@ -68,6 +75,34 @@ def mean_pool(docs: DataFrame, id: str, ids: str, vecs: DataFrame, dim: int, ski
     return sums.select(id, "n_tokens", F.transform("_s", lambda s: s / F.col("n_tokens")).alias("m"))
 
 
+def small_matrix(vecs: DataFrame, dim: int) -> TokenMatrix | None:
+    """The vectors as a matrix on the driver, if their numbers are few; they are counted first."""
+    numbers = vecs.agg(F.sum(F.size("v"))).first()[0] or 0
+    if numbers > VECTOR_NUMBERS:
+        return None
+    rows = vecs.select("token_id", F.col("v").cast("array<double>").alias("v")).toPandas()
+    return TokenMatrix(rows["token_id"].to_numpy(np.int64), np.stack(rows["v"].to_numpy()) if len(rows) else np.zeros((0, dim)))
+
+
+def _pool_in_place(docs: DataFrame, id: str, ids: str, matrix: TokenMatrix, skip_pad: bool) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(matrix)  # at most VECTOR_NUMBERS numbers
+
+    @F.arrow_udf("struct<n_tokens:long,m:array<double>>")
+    def pool(lists: pa.Array) -> pa.Array:
+        flat, lengths = ids_of(lists)
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        if skip_pad:
+            flat, doc = flat[flat != PADDING_ID], doc[flat != PADDING_ID]
+            lengths = np.bincount(doc, minlength=len(lengths))
+        means = sent.value.sums(sent.value.places(flat), doc, len(lengths)) / np.maximum(lengths, 1)[:, None]
+        ends = pa.array(np.arange(len(lengths) + 1) * means.shape[1], pa.int32())
+        return pa.StructArray.from_arrays([pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(means.ravel()))], ["n_tokens", "m"])
+
+    pool = pool.asNondeterministic()  # else the filter below would compute it a second time
+    pooled = docs.select(id, pool(F.col(ids).cast("array<int>")).alias("_pooled"))
+    return pooled.select(id, "_pooled.n_tokens", "_pooled.m").where(F.col("n_tokens") > 0)
+
+
 def model_column(weights: DataFrame) -> Column:
     """Class weights ``(class, w, b)`` as one array value, in class order.
 

@@ -27,7 +27,8 @@ from pyspark.sql.window import Window
 from textscore.functions.hashing import hash_key
 from textscore.session import parallelism, pin_small
 
-MAX_RANGE_BUCKETS = 1024
+MAX_RANGE_BUCKETS = 16_384
+ROWS_PER_BUCKET = 1_000_000
 GROUP = "_group"
 
 
@@ -40,9 +41,10 @@ class RowOrder:
 
 
 def hash_order(df: DataFrame, id: str, seed: int | str) -> RowOrder:
-    """Seeded random order. The leading digits of the hash are the buckets."""
+    """Seeded random order. The leading digits of the hash are the buckets, the more of them the more rows there are."""
     key = hash_key(F.col(id), seed)
-    digits = max(1, round(math.log(parallelism(df.sparkSession), 16)))
+    buckets = max(parallelism(df.sparkSession), df.count() // ROWS_PER_BUCKET)
+    digits = max(1, round(math.log(buckets, 16)))
     return RowOrder(F.struct(key.alias("h"), F.col(id).alias("id")), F.substring(key, 1, digits))
 
 
@@ -50,11 +52,14 @@ def column_order(df: DataFrame, col: str) -> RowOrder:
     """Ascending order of a numeric key column.
 
     Bucket limits are approximate quantiles, fetched once and then fixed as
-    literals, so that every later pass over the data deals it the same way.
+    literals, so that every later pass over the data deals it the same way. There are as many buckets as
+    the session has shuffle partitions, and more where they would hold very many rows.
     """
-    n = min(MAX_RANGE_BUCKETS, parallelism(df.sparkSession))
+    rows = df.agg(F.count(col)).first()[0]
+    n = min(MAX_RANGE_BUCKETS, max(parallelism(df.sparkSession), rows // ROWS_PER_BUCKET))
     probs = [i / n for i in range(1, n)]
-    limits = df.agg(F.percentile_approx(col, probs, 10_000)).first()[0] or []
+    limits = df.agg(F.percentile_approx(col, probs, 10 * max(n, 1000))).first()[0] if probs else []
+    limits = limits or []
     return RowOrder(F.col(col), range_bucket(F.col(col), sorted(set(limits))))
 
 
