@@ -29,10 +29,14 @@ RULES = {
 
 @dataclass(frozen=True)
 class Risk:
-    """False rejections of good texts: at most ``share`` by each rule in each stratum, all at confidence ``1 - delta``."""
+    """False rejections of good texts: at most ``share`` by each rule in each stratum, all at confidence ``1 - delta``.
+
+    Among cutoffs that keep to this, a good text lost weighs as much as ``cost`` bad ones caught.
+    """
 
     share: float = 0.01
     delta: float = 0.05
+    cost: int = 10
 
 
 def statistics(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
@@ -105,8 +109,8 @@ def cutoffs(labelled: DataFrame, stratum: str, label: str, risk: Risk = Risk())
     ``labelled`` has the statistics and the labels of the holdout. For each stratum, rule and candidate, the hypothesis "more than
     ``risk.share`` of good texts are rejected" is tested by its exact binomial tail; a candidate is certified when the
     tail is at most ``risk.delta`` divided by the number of all tests (Bonferroni), so that all certified cutoffs hold
-    together with confidence ``1 - risk.delta``. Of the certified ones the one that rejects the most bad texts is
-    taken, then the loosest. Where none is certified, as with few labels, the rule rejects nothing.
+    together with confidence ``1 - risk.delta``. Of the certified ones the one with the most bad texts rejected, less
+    ``risk.cost`` for each good one, is taken, then the loosest. Where none is certified, as with few labels, the rule rejects nothing.
     """
     candidates = F.explode(F.array(*[
         F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), (F.col(rule) > c).alias("over"))
@@ -119,7 +123,7 @@ def cutoffs(labelled: DataFrame, stratum: str, label: str, risk: Risk = Risk())
     strata = labelled.agg(F.count_distinct(F.coalesce(F.col(stratum).cast("string"), F.lit("")))).first()[0]
     tests = max(1, strata) * sum(map(len, RULES.values()))
     certified = counted.where(log_binomial_tail(F.col("good_over"), F.col("good"), risk.share) <= math.log(risk.delta / tests))
-    best = F.max_by(F.struct("cutoff", "good", "good_over", "bad_over"), F.struct("bad_over", "cutoff"))
+    best = F.max_by(F.struct("cutoff", "good", "good_over", "bad_over"), F.struct(F.col("bad_over") - risk.cost * F.col("good_over"), F.col("cutoff")))
     return certified.groupBy(stratum, "rule").agg(best.alias("best")).select(stratum, "rule", "best.*")
 
 

@@ -52,13 +52,13 @@ QUALITY_RULES = f"""
         SELECT lang, rule, cutoff, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 1 AND over) AS k,
                count(*) FILTER (quality = 0 AND over) AS bad FROM ({_TESTS}) GROUP BY lang, rule, cutoff),
     tails AS (
-        SELECT lang, rule, cutoff, bad, CASE WHEN any_value(k) >= any_value(good) THEN 1 ELSE
+        SELECT lang, rule, cutoff, bad - {_RISK.cost} * any_value(k) AS gain, CASE WHEN any_value(k) >= any_value(good) THEN 1 ELSE
                sum(exp(lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + i * ln({_RISK.share}) + (good - i) * ln(1 - {_RISK.share}))) END AS p
         FROM tested, LATERAL (SELECT unnest(range(0, k + 1)) AS i) GROUP BY lang, rule, cutoff, bad),
     chosen AS (
         SELECT lang, rule, cutoff FROM tails
         WHERE p <= {_RISK.delta} / ((SELECT count(DISTINCT coalesce(lang, '')) FROM holdout) * {sum(map(len, RULES.values()))})
-        QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY bad DESC, cutoff DESC) = 1),
+        QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY gain DESC, cutoff DESC) = 1),
     judged AS (SELECT *, list_filter([{_FAILED}], lambda x: x IS NOT NULL) AS failed FROM shares s)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(failed) = 0 AS kept,
            array_to_string(failed, ',') AS failed_rules FROM judged"""
