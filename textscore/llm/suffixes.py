@@ -320,7 +320,7 @@ def identified(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) ->
     ``sub`` is 0 where an id stands once, else a hash of the text, so that rows repeating id and text are one document. A null
     id comes after all others.
     """
-    rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), whole_text(text_col).alias("text"),
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), whole_text(text_col).alias("text"),
                        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"))
     several = rows.groupBy("doc").count().where("count > 1").select("doc", F.lit(True).alias("several"))
     if several.isEmpty():
