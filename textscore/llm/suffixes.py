@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from textscore.llm.common import slices, whole_text, written
 
 LENGTH = 100
-GRAM = 32
+GRAM = 50
 CHUNK_BYTES = 1 << 19
 COLLAPSE_ROWS = 1 << 18
 LAST_ID = (1 << 63) - 1
@@ -59,13 +59,13 @@ class Names:
 
 
 def bucket_names(data: np.ndarray) -> Names:
-    """The first names are the next 8 bytes themselves; then depths 16, 32 (the q-gram), 64 and, by an overlap, 100."""
+    """The first names are the next 8 bytes themselves; then depths 16, 32, by an overlap 50 (the q-gram), and 100."""
     eight = np.empty(len(data) - 7, "<u8")
     for k in range(8):
         eight[k::8] = data[k:k + (len(data) - k) // 8 * 8].view("<u8")
     eight = mixed(eight, eight)
-    gram = refined(refined(eight, 8), 16)
-    window = refined(refined(gram, GRAM), LENGTH - 2 * GRAM)
+    gram = refined(refined(refined(eight, 8), 16), GRAM - 32)
+    window = refined(gram, LENGTH - GRAM)
     return Names(gram, window)
 
 
