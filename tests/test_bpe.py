@@ -138,3 +138,18 @@ def test_frequent_symbols_merge_several_pairs_per_round(spark, monkeypatch):
     _, merges = bpe.bpe_train(df, "text", 60)
     assert len(rounds) < merges.count()
     assert merges.select(F.max("rank")).first()[0] == merges.count() - 1
+
+
+def test_too_few_symbols_fail_before_training(spark):
+    df = spark.createDataFrame([(1, "ab\U0010FFFF ab")], "id int, text string")
+    with pytest.raises(ValueError, match="symbols above the alphabet"):
+        bpe.bpe_train(df, "text", 50)
+    assert bpe.bpe_train(df, "text", 3)[0].count() >= 3
+
+
+def test_a_vocabulary_of_any_size_is_not_sent(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "low lower")], "id int, text string")
+    vocab, merges = bpe.bpe_train(df, "text", 12)
+    monkeypatch.setattr(bpe, "MAX_VOCABULARY", 5)
+    with pytest.raises(ValueError, match="too large"):
+        bpe.encode_text(df, "text", vocab, merges)

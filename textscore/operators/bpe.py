@@ -21,6 +21,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FIRST_MERGE_SYMBOL = 0xF0000
 CACHED_WORDS = 200_000
+MAX_VOCABULARY = 2_000_000
 TOP_PAIRS = 256
 MERGES_PER_TABLE = 32
 MERGES_PER_PLAN = 16
@@ -62,6 +63,9 @@ def merge_rules(words: DataFrame, vocab_size: int, special: Sequence[str]):
     symbol_of = dict(text_of)
     known = set(tokens)
     next_symbol = max(FIRST_MERGE_SYMBOL, ord(alphabet[-1]) + 1 if alphabet else 0)
+    free = sys.maxunicode + 1 - next_symbol
+    if vocab_size - len(tokens) > free:
+        raise ValueError(f"vocabulary of {vocab_size} needs {vocab_size - len(tokens)} symbols above the alphabet, {free} are free")
     merges: list[tuple[str, str]] = []
     pending: list[tuple[str, str]] = []
 
@@ -287,6 +291,9 @@ def encode_text(
     text can overload a task. Only the vocabulary travels to the executors.
     """
     spark = df.sparkSession
+    size = vocab.count()
+    if size > MAX_VOCABULARY:
+        raise ValueError(f"vocabulary of {size} tokens is too large to send to every task")
     rows = vocab.collect()
     shipped = spark.sparkContext.broadcast((
         {r["token"]: r["id"] for r in rows},
