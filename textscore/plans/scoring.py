@@ -454,7 +454,7 @@ def score_colors(spark, d):
 
 
 def _explain_input(spark, d):
-    return encoded_reviews(spark, d), views.vectors(spark, d), views.class_weight(spark, d)
+    return encoded_reviews(spark, d), views.vocabulary_vectors(spark, d, VOCAB_SIZE), views.class_weight(spark, d)
 
 
 @query("highlight_html")
@@ -499,6 +499,6 @@ def prediction_vs_actual(spark, d):
 def explain_sample(spark, d):
     vocab, merges = trained(spark, d)
     return explain.explain_sample(
-        views.review_corpus(spark, d), vocab, merges, views.vectors(spark, d), views.class_weight(spark, d), DIM,
+        views.review_corpus(spark, d), vocab, merges, views.vocabulary_vectors(spark, d, VOCAB_SIZE), views.class_weight(spark, d), DIM,
         n=5, seed=1, length=[0, 6000],
     )

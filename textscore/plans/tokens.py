@@ -12,7 +12,7 @@ from textscore.plans.views_sql import key
 from textscore.session import made_once, scratch_path, via_table
 from textscore.sources import readers, writers
 
-VOCAB_SIZE = 400
+VOCAB_SIZE = 1000
 SPECIAL = (PADDING_TOKEN, *ENTITY_TAGS)
 
 

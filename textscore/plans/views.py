@@ -125,6 +125,13 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("token_id"), F.col("embedding").alias("v"))
 
 
+def vocabulary_vectors(spark: SparkSession, d: str, size: int) -> DataFrame:
+    """A vector for each id of a vocabulary: the vectors there are, in turn."""
+    n = table(spark, d, "embeddings").count()
+    ids = spark.range(size).select(F.col("id").cast("int").alias("id"), (F.col("id") % n).cast("int").alias("token_id"))
+    return ids.join(vectors(spark, d), "token_id").select(F.col("id").alias("token_id"), "v")
+
+
 def class_weight(spark: SparkSession, d: str, k: int = REVIEW_CLASSES) -> DataFrame:
     return table(spark, d, "embeddings").where(F.col("vec_id") < k).select(
         F.col("vec_id").cast("int").alias("class"), F.col("embedding").alias("w"), (0.01 * F.col("vec_id")).alias("b")
