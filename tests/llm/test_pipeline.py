@@ -31,7 +31,7 @@ def test_stages_take_no_rows_and_odd_rows(spark, sf, stage):
     assert stage(spark, odd, sf).count() <= 4
 
 
-@pytest.mark.parametrize("name", ["op9_embedding_near_dedup", "op10_quality_rules"])
+@pytest.mark.parametrize("name", ["op2_suffix_dedup", "op9_embedding_near_dedup", "op10_quality_rules"])
 def test_queries_equal_their_sql(spark, sf, name):
     import check_oracle
 

@@ -13,7 +13,7 @@ from textscore.llm.licenses import license_scan
 from textscore.llm.packing import pack_documents
 from textscore.llm.quality_model import quality_scores
 from textscore.llm.quality_rules import quality_rules
-from textscore.llm.queries_sql import NEAR_VECTORS, QUALITY_RULES
+from textscore.llm.queries_sql import NEAR_VECTORS, QUALITY_RULES, REPEATED_STRINGS
 from textscore.llm.simhash import simhash_near_dedup
 from textscore.llm.suffixes import suffix_dedup
 from textscore.llm.token_counts import token_counts
@@ -86,6 +86,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_bpe(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
 
 
+@in_sql(REPEATED_STRINGS)
 @query
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")

@@ -62,3 +62,22 @@ QUALITY_RULES = f"""
     judged AS (SELECT *, list_filter([{_FAILED}], lambda x: x IS NOT NULL) AS failed FROM shares s)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(failed) = 0 AS kept,
            array_to_string(failed, ',') AS failed_rules FROM judged"""
+
+REPEATED_STRINGS = """
+    WITH texts AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+    starts AS (SELECT doc_id, b, unnest(range(1, n - 98)) AS i FROM texts WHERE n >= 100),
+    strings AS (SELECT doc_id, i, b[i:i + 99] AS s FROM starts),
+    repeats AS (SELECT doc_id, i FROM strings QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+    marked AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 100, true) AS new FROM repeats),
+    numbered AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM marked),
+    spans AS (SELECT doc_id, k, min(i) AS low, max(i) + 100 AS high FROM numbered GROUP BY doc_id, k),
+    cuts AS (
+        SELECT doc_id, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 1) AS a, low AS z FROM spans
+        UNION ALL
+        SELECT t.doc_id, coalesce(max(high), 1), any_value(n) + 1 FROM texts t LEFT JOIN spans s ON s.doc_id = t.doc_id GROUP BY t.doc_id),
+    kept AS (
+        SELECT doc_id, list_reduce(list(CASE WHEN z > a THEN b[a:z - 1] ELSE ''::BLOB END ORDER BY a), lambda x, y: x || y) AS rest
+        FROM cuts JOIN texts USING (doc_id) GROUP BY doc_id),
+    removed AS (SELECT doc_id, sum(high - low)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+    SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(rest) AS kept_sha256
+    FROM texts JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)"""
