@@ -72,5 +72,14 @@ def pretokens(x: Column, special=(), gaps: bool = False) -> Column:
 
 
 def separate_tags(x: Column, tags=ENTITY_TAGS) -> Column:
-    """Put a blank after each tag: ``@CAPS1`` becomes ``@CAPS 1``."""
-    return F.regexp_replace(x, "(" + "|".join(tags) + ")", "$1 ")
+    """Put a blank after each tag: ``@CAPS1`` becomes ``@CAPS 1``.
+
+    A first character that all tags share stands before the alternatives, so that other places fail at once,
+    and texts without it are left as they are.
+    """
+    first = {t[:1] for t in tags}
+    if len(first) != 1 or not all(tags):
+        return F.regexp_replace(x, "(" + "|".join(tags) + ")", "$1 ")
+    head = first.pop()
+    found = F.regexp_replace(x, re.escape(head) + "(" + "|".join(t[1:] for t in tags) + ")", head.replace("$", r"\$") + "$1 ")
+    return F.when(F.contains(x, F.lit(head)), found).otherwise(x)

@@ -91,7 +91,7 @@ def filter_load(
         raise NotImplementedError(f"unsupported format: {fmt}")
     kept = filter_rows(c, category, length, score, columns, standardized)
     if kept.agg(F.count(F.lit(1))).first()[0] < n:
-        raise ValueError(f"cannot take {n} rows: the filters leave fewer")
+        raise ValueError(f"fewer than {n} rows pass the filters")
     picked = sample_n(kept, n, c.id, seed)
     if fmt == "index":
         return picked.select(c.id)

@@ -8,7 +8,7 @@ from textscore.operators import clean, labels
 from textscore.operators.profile import bin_distribution
 from textscore.plans import views
 from textscore.plans.registry import query
-from textscore.plans.views_sql import binned, null_token, number, quartile_class
+from textscore.plans.views_sql import TAGS, binned, null_token, number, quartile_class
 
 
 @query("null_tokens", f"""
@@ -47,7 +47,7 @@ def row_id(spark, d):
 
 
 @query("split_entity_tags", f"""
-    SELECT essay_id, regexp_replace(essay, '(@CAPS|@CITY|@DATE|@DR|@EMAIL|@LOCATION|@MONEY|@MONTH|@NUM|@ORGANIZATION|@PERCENT|@PERSON|@STATE|@TIME)', '\\1 ', 'g') AS essay
+    SELECT essay_id, regexp_replace(essay, '({TAGS})', '\\1 ', 'g') AS essay
     FROM v_essays_raw""")
 def split_entity_tags(spark, d):
     return clean.split_entity_tags(views.essays_raw(spark, d).select("essay_id", "essay"), "essay")
@@ -107,14 +107,17 @@ def head_rows(spark, d):
 
 # ---------------------------------------------------------------- labels
 
+FIRST_EDGES = labels.ESSAY_PLAN[1][1]
+
+
 def _scores(spark, d):
     return views.essays_clean(spark, d).select("essay_id", "essay_set", "domain1_score")
 
 
 @query("bin_fixed_edges", f"""
-    SELECT essay_id, essay_set, domain1_score, {binned('domain1_score', (1, 7, 8, 9, 12))} AS label FROM v_essays_clean""")
+    SELECT essay_id, essay_set, domain1_score, {binned('domain1_score', FIRST_EDGES)} AS label FROM v_essays_clean""")
 def bin_fixed_edges(spark, d):
-    return labels.bin_fixed_edges(_scores(spark, d), "domain1_score", (1, 7, 8, 9, 12))
+    return labels.bin_fixed_edges(_scores(spark, d), "domain1_score", FIRST_EDGES)
 
 
 @query("shift_label", "SELECT essay_id, essay_set, domain1_score, domain1_score + 1 AS label FROM v_essays_clean")
@@ -161,6 +164,22 @@ def standardize_binarize(spark, d):
     return rows.select("essay_id", "essay_set", "label")
 
 
+@query("label_reviews", """
+    SELECT row_id, overall, CASE WHEN overall > 4 THEN 1 ELSE 0 END AS binary FROM v_reviews""")
+def label_reviews(spark, d):
+    rows = labels.label_reviews(views.reviews(spark, d).select("row_id", "overall"))
+    return rows.join(labels.label_reviews(rows, score_type="binary").withColumnRenamed("overall", "binary"), "row_id")
+
+
+@query("label_essays", _STD + """
+    SELECT essay_id, e.domain1_score AS categorical, round(s, 6) AS standardized, CASE WHEN s > 0 THEN 1 ELSE 0 END AS "binary"
+    FROM scaled JOIN v_essays e USING (essay_id)""")
+def label_essays(spark, d):
+    rows = _scores(spark, d)
+    forms = [labels.label_essays(rows, score_type=t).select("essay_id", F.col("domain1_score").alias(t)) for t in ("categorical", "standardized", "binary")]
+    return forms[0].join(forms[1], "essay_id").join(forms[2], "essay_id").withColumn("standardized", F.round("standardized", 6))
+
+
 @query("class_index", "SELECT row_id, overall, overall - 1 AS y FROM v_reviews")
 def class_index(spark, d):
     return labels.class_index(views.reviews(spark, d).select("row_id", "overall"), "overall")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from textscore.functions.text import ENTITY_TAGS
 from textscore.plans.views import SCORE_RANGES
 
 
@@ -16,7 +17,7 @@ def key(expr: str, seed: str | int = 0) -> str:
 
 
 WORD = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+"
-TAGS = "@CAPS|@CITY|@DATE|@DR|@EMAIL|@LOCATION|@MONEY|@MONTH|@NUM|@ORGANIZATION|@PERCENT|@PERSON|@STATE|@TIME"
+TAGS = "|".join(ENTITY_TAGS)
 
 _SCORE = " ".join(f"WHEN {s} THEN {lo} + {h('doc_id', 'score')} % {n}" for s, (lo, n) in SCORE_RANGES.items())
 
