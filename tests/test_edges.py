@@ -81,12 +81,13 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert run()[1, 1] == 1
 
 
-def test_scratch_tables_are_deleted_on_request(spark):
+def test_scratch_tables_are_deleted_on_request(spark, monkeypatch):
     import os
 
     from textscore import session
 
-    session.clear_scratch(spark)
+    monkeypatch.setattr(session, "_paths", [])
+    monkeypatch.setattr(session, "_made", {})
     kept = session.via_table(spark.range(5), "numbers")
     path = session._paths[-1].removeprefix("file:")
     assert os.path.exists(path) and kept.count() == 5

@@ -83,11 +83,12 @@ def pin_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """Run a small summary once and hand it on as a local, broadcast table.
 
     At most ``max_rows + 1`` rows reach the driver. A result that is larger is
-    not used from the driver at all: the lazy frame comes back unchanged.
+    not used from the driver at all: it is written once and comes back as a table. Joins with it then
+    shuffle, and adaptive execution splits the partition of a group that holds many rows.
     """
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
-        return df
+        return via_table(df, "summary")
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
