@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -219,6 +218,15 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]
             yield doc, sub, text.encode("utf-8", "surrogatepass")
 
 
+def _structs(lists: pa.ListArray, fields: tuple[str, ...]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of each list of structs the fields as number arrays; a null list is empty. No Python object is made per struct."""
+    flat = lists.flatten()
+    columns = [flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields]
+    ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)).tolist()
+    for a, b in zip([0, *ends], ends):
+        yield tuple(c[a:b] for c in columns)
+
+
 def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = Collapser()
     for group in pieces(_texts(batches)):
@@ -232,22 +240,20 @@ def _find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Every window of the runs that are listed with a text."""
     held = Collapser()
     for batch in slices(batches):
-        for row in batch.to_pylist():
-            text = row["text"].encode("utf-8", "surrogatepass")
-            listed = sorted((r["low"], r["size"], r["bucket"]) for r in row["runs"])
-            for at in range(0, len(listed), CHUNK_BYTES // 256):
-                some = listed[at:at + CHUNK_BYTES // 256]
-                spans = [text[low:low + size + LENGTH - 1] for low, size, _ in some]
+        runs = _structs(batch.column("runs"), ("low", "size", "bucket"))
+        for (doc, sub, text), (lows, sizes_, buckets) in zip(_texts([batch]), runs):
+            for at in range(0, len(lows), CHUNK_BYTES // 256):
+                some = slice(at, at + CHUNK_BYTES // 256)
+                sizes = sizes_[some]
+                spans = [text[low:low + size + LENGTH - 1] for low, size in zip(lows[some].tolist(), sizes.tolist())]
                 lengths = np.array([len(s) for s in spans])
                 windows = bucket_names(np.frombuffer(b"".join(spans), np.uint8)).window
-                sizes = np.array([size for _, size, _ in some])
                 within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 place = np.repeat(np.cumsum(lengths) - lengths, sizes) + within
-                low = np.repeat(np.array([low for low, _, _ in some]), sizes) + within
-                bucket = np.repeat(np.array([b for _, _, b in some], np.int64).view(np.uint64), sizes)
+                low = np.repeat(lows[some], sizes) + within
+                bucket = np.repeat(buckets[some].view(np.uint64), sizes)
                 n = len(low)
-                yield from held.add(bucket, windows[place], np.full(n, row["doc"], np.int64), np.full(n, row["sub"], np.int64),
-                                    low, np.ones(n, np.int64))
+                yield from held.add(bucket, windows[place], np.full(n, doc, np.int64), np.full(n, sub, np.int64), low, np.ones(n, np.int64))
     yield from held.rest()
 
 
@@ -339,11 +345,10 @@ def repeated_intervals(rows: DataFrame) -> DataFrame:
     return _intervals(runs).unionByName(_intervals(compared))
 
 
-def _cut(text: bytes, spans: list | None) -> tuple[bytes, int, int]:
+def _cut(text: bytes, low: np.ndarray, high: np.ndarray) -> tuple[bytes, int, int]:
     """What is left of a text, how many bytes went, and in how many runs."""
-    if not spans:
+    if not len(low):
         return text, 0, 0
-    low, high = np.array([s["low"] for s in spans], np.int64), np.array([s["high"] for s in spans], np.int64)
     _, low, high = merged(np.zeros(len(low), np.int64), low, high)
     ends = np.concatenate(([0], high)).tolist()
     starts = np.concatenate((low, [len(text)])).tolist()
@@ -369,9 +374,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             out = []
-            for i, text, spans in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "spans"))):
+            spans = _structs(batch.column("spans"), ("low", "high"))
+            for i, text, (low, high) in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), spans):
                 raw = text.encode("utf-8", "surrogatepass")
-                kept, removed, runs = _cut(raw, spans)
+                kept, removed, runs = _cut(raw, low, high)
                 out.append((i, len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), kept))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
@@ -388,9 +394,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A character of which only some bytes are kept goes whole. A null text becomes empty, and so does one that stands elsewhere.
     """
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None else _cut(t.encode("utf-8", "surrogatepass"), list(s))[0].decode("utf-8", "ignore") for t, s in zip(texts, spans)])
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        each = zip(texts, _structs(spans, ("low", "high")))
+        return pa.array([_cut(t.as_py().encode("utf-8", "surrogatepass"), low, high)[0].decode("utf-8", "ignore") for t, (low, high) in each], pa.string())
 
     rows = with_spans(docs, id_col, text_col, docs.columns)
     return rows.select(*[cut("text", "spans").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
