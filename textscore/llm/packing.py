@@ -95,8 +95,9 @@ def pack(rests: list[Piece], atoms: list[list[int]], window: int, loose: int = L
 
     A remainder belongs to the tier of the smallest power of two that holds it. Tiers are packed from the longest
     down: the longest piece opens a window, and the gap is filled with the longest pieces that still fit, which come
-    from the shorter tiers. Windows that stay open by more than ``loose`` tokens, the last ones, are dissolved: their
-    documents are cut into powers of two, which fill windows exactly and need no padding in shorter ones.
+    from the shorter tiers. Where windows stay open by more than ``loose`` tokens, the last of them are dissolved: their
+    documents are cut into powers of two, which fill the gaps of the others. What is left of them fills windows
+    exactly, the last ones shorter, and needs no padding.
     """
     by_size: dict[int, list[Piece]] = {}
     for piece in rests:
@@ -104,7 +105,7 @@ def pack(rests: list[Piece], atoms: list[list[int]], window: int, loose: int = L
     for pieces in by_size.values():
         pieces.reverse()
     sizes = sorted(by_size)
-    sequences, dissolved = [], []
+    sequences, open_ = [], []
     while sizes:
         gap, sequence = window, []
         while (k := bisect_right(sizes, gap)) > 0:
@@ -114,16 +115,35 @@ def pack(rests: list[Piece], atoms: list[list[int]], window: int, loose: int = L
             if not by_size[size]:
                 sizes.pop(k - 1)
         filled = window - gap
-        if gap > loose and filled & (filled - 1):
-            dissolved += sequence
+        (open_ if gap > loose and filled & (filled - 1) else sequences).append(sequence)
+    pool: dict[int, list[Piece]] = {}  # pieces of powers of two, by size
+
+    def dissolve(pieces: list[Piece]) -> None:
+        for piece in pieces:
+            at = piece.start
+            for size, crc in zip(atoms_of(piece.length), atoms[piece.doc]):
+                pool.setdefault(size, []).append(Piece(piece.doc, at, size, crc))
+                at += size
+
+    while open_:
+        sequence = open_.pop(0)
+        gap, added = window - sum(p.length for p in sequence), []
+        while gap > loose:
+            fitting = [size for size, pieces in pool.items() if pieces and size <= gap]
+            if fitting:
+                added.append(pool[max(fitting)].pop())
+                gap -= added[-1].length
+            elif open_:
+                dissolve(open_.pop())
+            else:
+                break
+        if gap > loose:
+            dissolve(sequence)
+            for piece in added:
+                pool[piece.length].append(piece)
         else:
-            sequences.append(sequence)
-    cut: list[Piece] = []
-    for piece in dissolved:
-        at = piece.start
-        for size, crc in zip(atoms_of(piece.length), atoms[piece.doc]):
-            cut.append(Piece(piece.doc, at, size, crc))
-            at += size
+            sequences.append(sequence + added)
+    cut = [piece for pieces in pool.values() for piece in pieces]
     cut.sort(key=lambda p: (-p.length, p.doc, p.start))
     left = sum(p.length for p in cut)
     sequence, room = [], 0
