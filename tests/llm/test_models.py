@@ -140,6 +140,26 @@ def test_notices_are_found_within_their_edits(notice):
     assert not known.find("some other words that grant nothing at all") and not known.find("")
 
 
+@pytest.mark.parametrize("notice", licenses.NOTICES)
+def test_adjacent_notices_with_unequal_edits_are_all_found(notice):
+    label, text = notice
+    known = licenses.Notices((notice,))
+    rng = np.random.default_rng(len(text))
+    for _ in range(4):
+        edits = [int(e) for e in rng.integers(0, known.edits[0] + 1, 7)] + [0]
+        copies = []
+        for n in edits:
+            broken = text
+            for at in sorted(rng.choice(np.arange(1, len(text) - 1), n, replace=False))[::-1]:
+                broken = broken[:at] + "q" + broken[at + 1:]
+            copies.append(broken)
+        hits = known.find(" ".join(copies))
+        starts = np.cumsum([0] + [len(c.split()) for c in copies[:-1]])
+        assert [(h.label, h.first_word, h.edits) for h in hits] == [(label, s, n) for s, n in zip(starts, edits)]
+    hits = licenses.Notices().find(" ".join(["released undr the mit license"] * 5 + ["released under the mit license"]))
+    assert [(h.first_word, h.edits) for h in hits] == [(0, 1), (5, 1), (10, 1), (15, 1), (20, 1), (25, 0)]
+
+
 def test_rule_statistics_equal_brute_force(messy, nothing, labelled):
     expected = []
     for r in messy.collect():

@@ -54,6 +54,12 @@ class Hit:
     length: int
 
 
+def word_end(joined: str, at: int) -> int:
+    """The first word end from a place on."""
+    end = joined.find(" ", at)
+    return len(joined) if end < 0 else end
+
+
 class Notices:
     """Notices with their seeds in one automaton and a bounded-error pattern each.
 
@@ -70,12 +76,35 @@ class Notices:
             for a, b in zip(cuts, cuts[1:]):
                 seeds.setdefault(text[a:b], []).append((i, a))
             self.edits.append(k)
-            self.patterns.append(regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(text, literal_spaces=True)}){{e<={k}}}(?![^ ])"))
+            pattern = rf"(?<![^ ])(?:{regex.escape(text, literal_spaces=True)}){{e<={k}}}(?![^ ])"
+            self.patterns.append((regex.compile(pattern), regex.compile("(?b)" + pattern)))
         self.seeds = ahocorasick.Automaton()
         for seed, places in seeds.items():
             self.seeds.add_word(seed, (len(seed), places))
         self.seeds.make_automaton()
 
+    def places(self, i: int, joined: str, low: int, high: int) -> Iterator[tuple[int, int, int, int]]:
+        """Edits, start, end and ``i`` of every place of notice ``i`` between two word limits.
+
+        The first match is refined near itself only, as the best of the whole part may stand far behind worse places.
+        """
+        anywhere, best = self.patterns[i]
+        size, k = len(self.notices[i][1]), self.edits[i]
+        while first := anywhere.search(joined, low, high):
+            m, begin = first, first.start()
+            while True:
+                reach = min(high, word_end(joined, m.end() + size + k + 1))
+                better = best.search(joined, begin, reach)
+                while better and better.start() >= m.end():  # a place of its own, which has its turn later
+                    better = best.search(joined, begin, better.start())
+                if not better or sum(better.fuzzy_counts) >= sum(m.fuzzy_counts):
+                    break
+                m = better
+            if m.start() - begin >= size - k:
+                yield from self.places(i, joined, begin, m.start())
+            yield sum(m.fuzzy_counts), m.start(), m.end(), i
+            low = max(m.end(), low + 1)
+
     def find(self, joined: str) -> list[Hit]:
         """Hits in words joined by single blanks; where hits overlap, those with the fewest edits, once for a label."""
         windows: dict[int, list[list[int]]] = {}
@@ -92,10 +121,7 @@ class Notices:
         found: list[tuple[int, int, int, int]] = []
         for i, spans in windows.items():
             for low, high in spans:
-                at, high = max(0, low), min(len(joined), high)
-                while m := self.patterns[i].search(joined, at, high):
-                    found.append((sum(m.fuzzy_counts), m.start(), m.end(), i))
-                    at = max(m.end(), at + 1)
+                found += self.places(i, joined, max(0, low), word_end(joined, high))
         hits: list[Hit] = []
         taken: list[tuple[int, int, int, str]] = []
         for edits, start, end, i in sorted(found):
