@@ -110,6 +110,43 @@ def test_quotation_is_no_abuse():
     assert said["abuse"] == 0 and said["reported"] > 0
 
 
+def unlabelled(spark, labelled, texts):
+    """The labelled texts and some others, whose ids start at 20,000."""
+    docs, labels = labelled
+    rows = [(20_000 + i, t, "en", "s", 1, *["x"] * 11) for i, t in enumerate(texts)]
+    return docs.union(spark.createDataFrame(rows, docs.schema)), labels
+
+
+def prose_with(terms, seed):
+    rng = np.random.default_rng(seed)
+    words = [w for w in "river walks under bright lamps near old water turns slowly night wind carries sand across plain".split() for _ in range(5)]
+    rng.shuffle(words)
+    for term in terms:
+        words.insert(int(rng.integers(0, len(words))), term)
+    return " ".join(words)
+
+
+def test_texts_with_an_edit_in_every_term_are_rejected(spark, labelled):
+    terms = [["blokhead", "dimwiited"], ["bloockhead", "dimwitte"], ["blockheed", "blockhed", "dimwittted"], ["dimvitted", "blockheads"]]
+    texts = [prose_with(t, i) for i, t in enumerate(terms)] + [prose_with([], i) for i in range(4)]
+    docs, labels = unlabelled(spark, labelled, texts)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(docs, labels).where("doc_id >= 20000").collect()}
+    assert all(scores[20_000 + i] >= 0.7 for i in range(4)) and all(scores[20_000 + i] < 0.7 for i in range(4, 8))
+
+
+def test_words_of_clean_texts_near_a_term_count_little():
+    lexicon = toxicity.Lexicon({"moron": 2.0, "blockhead": 2.0}, {})
+    place = lexicon.place["moron"]
+    counts = [dict(word="oron", place=place, misspelt=True, toxic=20, clean=100), dict(word=None, place=place, misspelt=True, toxic=0, clean=10),
+              dict(word="", place=place, misspelt=False, toxic=100, clean=0)]
+    lexicon = toxicity.with_chances(lexicon, counts)
+
+    def weight(token):
+        return lexicon.weight(token, lexicon.match(token))
+
+    assert weight("moron!") == 1 and weight("oron,") < 0.01 and weight("oron") < weight("morron") < weight("blokhead") < 1
+
+
 def test_licenses_equal_brute_force(messy, nothing):
     import regex
     word = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
