@@ -147,6 +147,45 @@ def test_words_of_clean_texts_near_a_term_count_little():
     assert weight("moron!") == 1 and weight("oron,") < 0.01 and weight("oron") < weight("morron") < weight("blokhead") < 1
 
 
+def test_misspelt_words_behind_a_stem_swaps_and_long_terms_are_met(spark, labelled):
+    rows = [dict(term="stup", stem=True, toxic=90, clean=0), *(dict(term=t, stem=False, toxic=n, clean=0) for t, n in (
+        ("idiot", 80), ("stupid", 50), ("scum", 45), ("contemptible", 40), ("stupidly", 20)))]
+    lexicon = toxicity.chosen(rows)
+    for word, term, edits in (("stupid", "stupid", 0), ("stupor", "stup", 0), ("stipid", "stupid", 1), ("idoit", "idiot", 1), ("scmu", "scum", 1),
+                              ("contmeptible", "contemptible", 1), ("cntemptibel", "contemptible", 2), ("kontemptibble", "contemptible", 2)):
+        place, found = lexicon.part(word)
+        assert (lexicon.names[place], found) == (term, edits)
+    for word in ("idtoi", "idxtoi", "contamtibl", "sucmm", "river"):
+        assert lexicon.part(word) is None
+    texts = [prose_with(["zrogan", "zorgle", "blokchead"], i) for i in range(3)]
+    docs, labels = unlabelled(spark, labelled, texts)
+    assert all(r["score"] >= 0.7 for r in toxicity.toxicity_scores(docs, labels).where("doc_id >= 20000").collect())
+
+
+def test_near_words_equal_brute_force_with_swaps():
+    def swapped(a, b):
+        d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    terms = ["scum", "idiot", "noodle", "contemptible", "blockheaded", "unspeakables"]
+    lexicon = toxicity.Lexicon(dict.fromkeys(terms, 1.0), swaps=True)
+    rng = np.random.default_rng(2)
+    for term in terms:
+        for _ in range(300):
+            word = term
+            for _ in range(int(rng.integers(0, 4))):
+                at, letter = int(rng.integers(0, len(word))), "abdeilmnx"[int(rng.integers(0, 9))]
+                word = [word[:at] + letter + word[at:], word[:at] + word[at + 1:], word[:at] + word[at + 1:at + 2] + word[at:at + 1] + word[at + 2:]][int(rng.integers(0, 3))]
+            near = [swapped(word, t) for t in terms if swapped(word, t) <= toxicity.edits_for(t)]
+            hit = lexicon.part(word)
+            assert (hit and hit[1]) == min(near, default=None)
+
+
 def test_licenses_equal_brute_force(messy, nothing):
     import regex
     word = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

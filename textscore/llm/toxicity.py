@@ -26,8 +26,8 @@ MAX_CANDIDATES = 20_000
 LEAST_TEXTS = 5
 LEAST_SHARE = 0.9
 STEM_LENGTHS = (4, 5, 6)
-FUZZY_FROM = 5
-LONG_FROM = 1_000  # letters from which a term may have two edits
+FUZZY_FROM = 4
+LONG_FROM = 10  # letters from which a term may have two edits
 WINDOW = 6
 DISCOUNT = 0.8  # what an edit leaves of a hit
 MISSPELT_SHARE = 0.1  # misspelt texts expected for each text that has the term itself
@@ -270,7 +270,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
 
 
 def chosen(terms: list) -> Lexicon:
-    """The lexicon of candidates, the most frequent first."""
+    """The lexicon of candidates, the most frequent first. Words behind a stem stay in it, as only words are met with edits."""
     words: dict[str, float] = {}
     stems: dict[str, float] = {}
     held: dict[str, int] = {}
@@ -280,6 +280,8 @@ def chosen(terms: list) -> Lexicon:
         if len(words) + len(stems) >= MAX_TERMS:
             continue
         if any(term[:n] in stems for n in STEM_LENGTHS):
+            if not row["stem"]:
+                words[term] = weight
             continue
         if row["stem"]:
             if held.get(term, 0) >= 0.8 * toxic:  # an accepted word or longer stem stands behind it
@@ -289,7 +291,7 @@ def chosen(terms: list) -> Lexicon:
             words[term] = weight
         for n in STEM_LENGTHS:
             held[term[:n]] = max(held.get(term[:n], 0), toxic)
-    return Lexicon(words, stems)
+    return Lexicon(words, stems, swaps=True)
 
 
 def met_words(text: str, lexicon: Lexicon, memo: dict) -> set[tuple[str, int, bool]]:
