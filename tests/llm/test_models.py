@@ -186,6 +186,11 @@ def test_near_words_equal_brute_force_with_swaps():
             assert (hit and hit[1]) == min(near, default=None)
 
 
+def test_lexicon_keeps_every_term_that_passes():
+    rows = [dict(term=f"term{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{'x' * (i // 676)}", stem=False, toxic=9, clean=0) for i in range(1000)]
+    assert len(toxicity.chosen(rows).words) == 1000
+
+
 def test_licenses_equal_brute_force(messy, nothing):
     import regex
     word = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -21,8 +21,6 @@ REJECT_FROM = 0.7
 MAX_TRAIN = 20_000
 LEAST_ROWS = 20
 
-MAX_TERMS = 400
-MAX_CANDIDATES = 20_000
 LEAST_TEXTS = 5
 LEAST_SHARE = 0.9
 STEM_LENGTHS = (4, 5, 6)
@@ -265,7 +263,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     """Every word and stem that stands in toxic texts and hardly in others, and what the words near them are worth."""
     counted = term_counts(rows)
     likely = counted.where((F.col("places") >= LEAST_TEXTS) & (F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") >= LEAST_SHARE * (F.col("toxic") + F.col("clean"))))
-    lexicon = chosen(likely.orderBy(F.desc("toxic"), "stem", F.desc(F.length("term")), "term").limit(MAX_CANDIDATES).collect())
+    lexicon = chosen(likely.orderBy(F.desc("toxic"), "stem", F.desc(F.length("term")), "term").collect())
     return with_chances(lexicon, met_counts(rows, lexicon))
 
 
@@ -277,8 +275,6 @@ def chosen(terms: list) -> Lexicon:
     for row in terms:
         term, toxic = row["term"], row["toxic"]
         weight = float(np.log((toxic + 0.5) / (row["clean"] + 0.5)))
-        if len(words) + len(stems) >= MAX_TERMS:
-            continue
         if any(term[:n] in stems for n in STEM_LENGTHS):
             if not row["stem"]:
                 words[term] = weight
