@@ -49,6 +49,17 @@ def test_plain_rows(plain):
     assert padded <= 0.02 * sum(lengths)
 
 
+def test_added_tokens_are_read_as_the_library_does_by_default(plain, spark):
+    library = Tokenizer.from_file(PATH)
+    coder = packing.Encoder(packing.read_byte_bpe(PATH), public.PATTERN, packing.read_added_tokens(PATH))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "a <|endoftext|><|endoftext|> b\n\n<|endoftext|>\n c", "<|endoftext|", "x  <|endoftext|>  y", ""]
+    for text in texts:
+        assert coder.ids(text) == library.encode(text, add_special_tokens=False).ids
+    assert coder.ids("a<|endoftext|>b") == [64, 50256, 65]
+    expected = {r["doc_id"]: np.array([*library.encode(r["text"] or "", add_special_tokens=False).ids, 1], "<u4") for r in plain.collect()}
+    check(packing.pack_documents(plain, PATH, public.PATTERN, added=True).collect(), expected)
+
+
 def test_repeated_rows_null_ids_and_no_rows(messy, nothing, monkeypatch):
     monkeypatch.setattr(packing, "DOCS_IN_SHARD", 7)
     encode = encoder()

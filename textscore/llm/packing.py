@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -42,27 +43,57 @@ def read_byte_bpe(path: str) -> dict[bytes, int]:
     return {bytes(letters[c] for c in token): i for token, i in data["model"]["vocab"].items() if token not in special}
 
 
+def read_added_tokens(path: str) -> list[dict]:
+    """Added tokens of a file of the ``tokenizers`` library."""
+    with open(path, encoding="utf-8") as file:
+        return json.load(file).get("added_tokens", [])
+
+
+class Encoder:
+    """Ids of a byte-level BPE file; with ``added`` its added tokens are read in texts too, as the library does by default."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, added: list[dict]) -> None:
+        if any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in added):
+            raise ValueError("added tokens that look at their neighbours are not supported")
+        self.coder = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.added = {t["content"]: t["id"] for t in added}
+        names = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
+
+    def ids(self, text: str) -> list[int]:
+        if not self.cut or not any(name in text for name in self.added):
+            return self.coder.encode_ordinary(text)
+        out: list[int] = []
+        for k, part in enumerate(self.cut.split(text)):
+            if k % 2:
+                out.append(self.added[part])
+            elif part:
+                out += self.coder.encode_ordinary(part)
+        return out
+
+
 def atoms_of(length: int) -> list[int]:
     """Powers of two that add up to a length, the largest first."""
     return [1 << b for b in reversed(range(length.bit_length())) if length >> b & 1]
 
 
-def tokenized(docs: DataFrame, id_col: str, text_col: str, path: str, pattern: str, window: int) -> DataFrame:
+def tokenized(docs: DataFrame, id_col: str, text_col: str, path: str, pattern: str, window: int, added: bool) -> DataFrame:
     """Of every row its number of ids and checksums of the pieces it may be cut into; the ids themselves stay in the task.
 
     ``whole``: checksums of its full windows; ``rest``: length of what remains, ``rest_crc`` its checksum, ``atoms`` those of the
     powers of two that it may be cut into; ``salt``: a running number, which deals rows evenly.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(read_byte_bpe(path))  # a vocabulary of fixed size
+    sent = spark.sparkContext.broadcast((read_byte_bpe(path), read_added_tokens(path) if added else []))  # a vocabulary of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=sent.value, special_tokens={})
+        ranks, names = sent.value
+        coder = Encoder(ranks, pattern, names)
         count = 0
         for batch in slices(batches):
             rows = []
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.array([*coder.encode_ordinary(text), END_ID], "<u4")
+                ids = np.array([*coder.ids(text), END_ID], "<u4")
                 full = len(ids) // window * window
                 crcs = [zlib.crc32(ids[a:a + window]) for a in range(0, full, window)]
                 atoms, at = [], full
@@ -204,17 +235,17 @@ def _shards(window: int):
 
 
 def pack_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-                   window: int = WINDOW) -> DataFrame:
+                   window: int = WINDOW, added: bool = False) -> DataFrame:
     """Every id of every row in exactly one piece of a sequence of at most ``window`` ids.
 
     Returns ``id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and ``tier`` (length that the sequence is padded
-    to) and ``step_id`` (group of sequences of nearly equal tokens). Ids are those of the ``tokenizers`` file at ``path``, special
-    tokens read as text, and an end id for each row. A document's full windows are sequences of their own; remainders, one
+    to) and ``step_id`` (group of sequences of nearly equal tokens). Ids are those of the ``tokenizers`` file at ``path`` and an end id
+    for each row; added tokens that stand in a text are read as text, or with ``added`` as their ids, as the library does by default. A document's full windows are sequences of their own; remainders, one
     per document, are dealt evenly into shards of bounded size and packed there, so a task holds one shard. A null text
     counts as empty and has the end id only. Rows that repeat an id are documents of their own; a null id stays
     null. Other columns are left out. No rows give no rows.
     """
-    rows = written(tokenized(docs, id_col, text_col, path, pattern, window), "tokenized")
+    rows = written(tokenized(docs, id_col, text_col, path, pattern, window, added), "tokenized")
     shards = max(1, -(-rows.count() // DOCS_IN_SHARD))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "salt", "rest_crc"), F.lit(shards)))
     dealt = dealt.repartition("shard").sortWithinPartitions("shard")
