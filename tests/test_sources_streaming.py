@@ -29,6 +29,20 @@ def test_load_reviews_arrays(spark, tmp_path):
     assert got == [("books", f"text {i}") for i in range(4)] + [("gift_cards", "text 10"), ("gift_cards", "text 11")]
 
 
+def test_array_and_vocabulary_files_are_bounded(spark, sf, monkeypatch):
+    from textscore.plans import sources
+
+    whole = {name: sorted(map(str, getattr(sources, name)(spark, sf).collect())) for name in ("load_reviews_arrays", "vocab_load_json")}
+    monkeypatch.setattr(sources, "ARRAY_BYTES", 4000)
+    monkeypatch.setattr(sources, "VOCAB_WORDS", 50)
+    for name, rows in whole.items():
+        assert rows and sorted(map(str, getattr(sources, name)(spark, sf).collect())) == rows
+    arrays = spark.read.text(sources._array_files(spark, sf)).select(F.length("value").alias("n"), "file", "part")
+    assert arrays.groupBy("file").count().agg(F.max("count")).first()[0] > 1
+    words = spark.read.schema("model struct<vocab: map<string,int>>").json(sources._vocab_files(spark, sf))
+    assert words.count() > 1 and words.agg(F.max(F.size("model.vocab"))).first()[0] < 120
+
+
 def test_load_reviews_jsonl_first_rows(spark, tmp_path):
     files = [
         put(tmp_path / f"{name}-5core.json", "\n".join(json.dumps(r) for r in reviews(n)) + "\n")

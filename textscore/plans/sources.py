@@ -17,6 +17,8 @@ from textscore.sources.schemas import ALL_REVIEW_SCHEMA
 from textscore.sources import readers, writers
 
 SOURCES = [f"src{i}" for i in range(20)]
+ARRAY_BYTES = 16 << 20
+VOCAB_WORDS = 100_000
 
 
 def _review_files(spark, d, suffix: str, **options) -> str:
@@ -41,12 +43,20 @@ def load_reviews_jsonl(spark, d):
 
 @query("load_reviews_arrays", _REVIEWS)
 def load_reviews_arrays(spark, d):
-    """Each category as one JSON array, as in the default form."""
+    """Each category as JSON arrays of bounded size, as in the default form."""
+    return readers.load_reviews(spark, [_array_files(spark, d)]).drop("file", "part")
+
+
+def _array_files(spark, d) -> str:
+    """A folder for each category; its rows are dealt by their ids over arrays of about ``ARRAY_BYTES`` of text, a file each."""
     path = scratch_path(spark, "reviews")
-    rows = views.reviews(spark, d).groupBy(F.concat("type", F.lit(".json")).alias("file")).agg(
-        F.to_json(F.collect_list(F.struct("reviewText", "overall"))).alias("value"))
-    rows.write.partitionBy("file").text(path)
-    return readers.load_reviews(spark, [path]).drop("file")
+    rows = views.reviews(spark, d).withColumn("file", F.concat("type", F.lit(".json")))
+    size = F.sum(F.coalesce(F.octet_length("reviewText"), F.lit(0)) + 32)
+    parts = rows.groupBy("file").agg(F.ceil(size / ARRAY_BYTES).alias("parts"))  # a row for each category
+    dealt = rows.join(F.broadcast(parts), "file").withColumn("part", F.pmod(F.xxhash64("row_id"), "parts"))
+    arrays = dealt.groupBy("file", "part").agg(F.to_json(F.collect_list(F.struct("reviewText", "overall"))).alias("value"))
+    arrays.write.partitionBy("file", "part").text(path)
+    return path
 
 
 _ASIN = "'B' || (row_id % 97)"
@@ -165,15 +175,21 @@ def filter_load_train(spark, d):
 
 @query("vocab_load_json", "SELECT DISTINCT word, n, length(word)::INT AS rank_length FROM v_word_counts")
 def vocab_load_json(spark, d):
-    """A tokenizer file whose vocabulary is the words of the corpus with their counts as ids."""
+    """Tokenizer files of at most about ``VOCAB_WORDS`` words each, whose vocabulary is the words of the corpus with their counts as ids."""
+    vocab, merges = readers.vocab_load(spark, _vocab_files(spark, d))
+    made = merges.select(F.concat("left", "right").alias("token"), F.length(F.concat("left", "right")).alias("rank_length"))
+    return vocab.join(made, "token").select(F.col("token").alias("word"), F.col("id").cast("bigint").alias("n"), "rank_length")
+
+
+def _vocab_files(spark, d) -> str:
     path = scratch_path(spark, "tokenizer") + ".json"
     words = word_counts(views.documents(spark, d), "text").where(F.length("word") > 1)
+    parts = max(1, -(-words.count() // VOCAB_WORDS))
     pairs = F.struct(F.map_from_entries(F.collect_list(F.struct("word", F.col("n").cast("int")))).alias("vocab"),
                      F.collect_list(F.concat_ws(" ", F.substring("word", 1, 1), F.col("word").substr(F.lit(2), F.length("word")))).alias("merges"))
-    words.agg(F.to_json(F.struct(pairs.alias("model"))).alias("value")).write.text(path)
-    vocab, merges = readers.vocab_load(spark, path)
-    made = merges.select(F.concat("left", "right").alias("token"), F.length(F.concat("left", "right")).alias("rank_length"))
-    return vocab.join(made, "token").select(F.col("token").alias("word"), F.col("id").cast("bigint").alias("n"), "rank_length")
+    files = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(parts)).alias("part")).agg(F.to_json(F.struct(pairs.alias("model"))).alias("value"))
+    files.write.partitionBy("part").text(path)
+    return path
 
 
 @query("category_allowlist", "SELECT row_id, type, overall FROM v_reviews WHERE type IN ('src1', 'src3', 'src12')")
