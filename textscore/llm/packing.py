@@ -1,4 +1,4 @@
-"""Packing of documents into windows of several lengths: long windows first, their gaps filled from shorter tiers."""
+"""Packing of documents into windows of one length by best fit; only what is left of dissolved windows fills shorter ones."""
 
 from __future__ import annotations
 
@@ -124,9 +124,8 @@ class Piece:
 def pack(rests: list[Piece], atoms: list[list[int]], window: int, loose: int = LOOSE) -> list[list[Piece]]:
     """Sequences of at most ``window`` tokens that leave little of their window empty.
 
-    A remainder belongs to the tier of the smallest power of two that holds it. Tiers are packed from the longest
-    down: the longest piece opens a window, and the gap is filled with the longest pieces that still fit, which come
-    from the shorter tiers. Where windows stay open by more than ``loose`` tokens, the last of them are dissolved: their
+    All windows opened have one length, and remainders are not routed to tiers: the longest piece opens a window, and
+    the gap is filled with the longest pieces that still fit, by their exact lengths. Where windows stay open by more than ``loose`` tokens, the last of them are dissolved: their
     documents are cut into powers of two, which fill the gaps of the others. What is left of them fills windows
     exactly, the last ones shorter, and needs no padding.
     """
