@@ -66,6 +66,15 @@ def test_counts_equal_the_library(messy, nothing):
     assert token_counts.token_counts(nothing, PIECES).count() == 0
 
 
+def test_literals_of_control_and_byte_pieces_are_text(spark):
+    marks = token_counts.read_marks(PIECES)
+    assert {"<unk>", "<s>", "</s>", "<0x00>", "<0xFF>"} <= marks and len(marks) == 259
+    coder = unigram([(chr(0xF0000 + i) if p in marks else p, s) for i, (p, s) in enumerate(token_counts.read_pieces(PIECES))])
+    texts = ["<s>", "a <s>old price</s> new", "<0x0A><0x41>", "<unk> x<unk>", "plain text"]
+    rows = token_counts.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PIECES).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == {i: len(coder.encode(t).ids) for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("crossing", [False, True])
 def test_ties_and_unknown_characters_equal_the_library(crossing):
     """Few scores make many ties; without byte pieces neighbouring unknown characters are one piece."""

@@ -24,18 +24,25 @@ def read_pieces(path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
 
 
+def read_marks(path: str) -> frozenset[str]:
+    """Control, unknown and byte pieces of a file, which stand for no text of their own."""
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return frozenset(model.id_to_piece(i) for i in range(model.get_piece_size())
+                     if model.is_control(i) or model.is_unknown(i) or model.is_byte(i))
+
+
 class Counts:
     """Best score of a text under a unigram vocabulary, and the number of pieces of that segmentation.
 
     Ties follow the tokenizer: of equal scores the piece that starts first wins; a character that no piece holds on
     its own costs the worst score less ``UNKNOWN_PENALTY``; neighbouring unknown characters are one piece, or as many as they
-    have bytes where the vocabulary has all byte pieces.
+    have bytes where the vocabulary has all byte pieces. ``marks`` are pieces that are never met in a text.
     """
 
-    def __init__(self, pieces: list[tuple[str, float]]) -> None:
+    def __init__(self, pieces: list[tuple[str, float]], marks: frozenset[str] = frozenset()) -> None:
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
-            if piece:
+            if piece and piece not in marks:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         names = {p for p, _ in pieces}
@@ -116,10 +123,10 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     whole numbers add up exactly; others may differ in the last bits from a sum in text order. Repeated rows count alike; other
     columns are left out. No rows give no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(read_pieces(path))  # a vocabulary of fixed size
+    sent = docs.sparkSession.sparkContext.broadcast((read_pieces(path), read_marks(path)))  # a vocabulary of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(sent.value)
+        counts = Counts(*sent.value)
         for batch in slices(batches):
             found = [counts.of(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
