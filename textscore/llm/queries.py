@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textscore.llm.byte_bpe import corpus_bpe
 from textscore.llm.common import table
+from textscore.llm.hard_negatives import hard_negatives
 from textscore.llm.licenses import license_scan
 from textscore.llm.packing import pack_documents
+from textscore.llm.part_codes import part_codes
+from textscore.llm.postings import decontaminate
 from textscore.llm.quality_model import quality_scores
 from textscore.llm.quality_rules import quality_rules
-from textscore.llm.queries_sql import NEAR_VECTORS, QUALITY_RULES, REPEATED_STRINGS
+from textscore.llm.queries_sql import BENCHMARK_HITS, HARD_NEGATIVES, NEAR_VECTORS, PART_CODES, QUALITY_RULES, REPEATED_STRINGS
 from textscore.llm.simhash import simhash_near_dedup
 from textscore.llm.suffixes import suffix_dedup
 from textscore.llm.token_counts import token_counts
@@ -90,3 +94,22 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@in_sql(BENCHMARK_HITS)
+@query
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+
+
+@in_sql(PART_CODES)
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_codes(table(spark, sf_dir, "embeddings"), scale=4096, parts=8, entries=16, rounds=6)
+
+
+@in_sql(HARD_NEGATIVES)
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), every=100, scale=256, positives=5, negatives=5)

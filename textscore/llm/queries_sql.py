@@ -81,3 +81,62 @@ REPEATED_STRINGS = """
     removed AS (SELECT doc_id, sum(high - low)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
     SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(rest) AS kept_sha256
     FROM texts JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)"""
+
+_ITEM_WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_ITEM_WORD}')"
+
+BENCHMARK_HITS = f"""
+    WITH texts AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+    windows AS (SELECT DISTINCT item_id, w[i:i + least(len(w), 10) - 1] AS s, least(len(w), 10) AS n
+                FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0)),
+    sizes AS (SELECT DISTINCT n FROM windows),
+    runs AS (SELECT doc_id, n, i, w[i:i + n - 1] AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM texts, sizes)),
+    places AS (SELECT DISTINCT doc_id, n, i, item_id FROM runs JOIN windows USING (n, s)),
+    hits AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM places, range(10) r(k) WHERE k < n GROUP BY doc_id),
+    found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+              FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM places) GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+    FROM texts LEFT JOIN hits USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_AWAY = "list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+_ROUND = """
+    a{k} AS MATERIALIZED (
+        SELECT vec_id, label, p, v, e, away FROM (SELECT vec_id, label, p, v, e, {away} AS away FROM parts JOIN b{k} USING (p))
+        QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY away, e) = 1)"""
+_MOVE = """
+    b{n} AS MATERIALIZED (
+        SELECT p, e, coalesce(m, c) AS c FROM b{k} LEFT JOIN (
+            SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM (
+                SELECT p, e, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{k}, (SELECT unnest(range(1, 9)) AS i) GROUP BY p, e, i)
+            GROUP BY p, e) USING (p, e))"""
+
+#: Vectors of 64 components, eight parts, six rounds.
+PART_CODES = f"""
+    WITH whole AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {_FINITE}),
+    parts AS MATERIALIZED (SELECT vec_id, label, p, v[8 * p + 1:8 * p + 8] AS v FROM whole, (SELECT unnest(range(8)) AS p)),
+    b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v AS c FROM parts
+           WHERE vec_id IN (SELECT vec_id FROM whole ORDER BY vec_id LIMIT 16)),
+    {", ".join(_ROUND.format(k=k, away=_AWAY) + "," + _MOVE.format(k=k, n=k + 1) for k in range(6))},
+    {_ROUND.format(k=6, away=_AWAY)},
+    books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS digest FROM b6),
+    coded AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(away)::BIGINT AS error
+              FROM a6 GROUP BY vec_id)
+    SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, digest AS codebooks_sha256 FROM coded, books"""
+
+HARD_NEGATIVES = f"""
+    WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+               FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+    scored AS MATERIALIZED (
+        SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2]))::BIGINT AS score
+        FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0),
+    positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+                  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank,
+           id AS negative_id, positive_score, score AS negative_score
+    FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+    QUALIFY rank <= 5"""
