@@ -1,11 +1,12 @@
 import json
 import random
+import re
+from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from textscore.functions.text import ENTITY_TAGS, PADDING_TOKEN
-from textscore.operators import bpe, tokens
+from textscore.operators import bpe, pair_index, tokens
 
 tokenizers = pytest.importorskip("tokenizers")
 
@@ -91,12 +92,46 @@ def test_null_and_blank_texts(spark):
     assert got == [[], [], [], ["ab"]]
 
 
-def test_word_table_is_rewritten_during_training(spark, monkeypatch):
-    texts = made_up(3)
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    once = rules(*bpe.bpe_train(df, "text", 90))
-    monkeypatch.setattr(bpe, "MERGES_PER_TABLE", 2)
-    assert rules(*bpe.bpe_train(df, "text", 90)) == once
+def slow_rules(texts, size):
+    """Merges by counting every pair of every word again before each."""
+    words = Counter(w for t in texts for w in re.findall(r"\w+|[^\w\s]+", t))
+    words = {tuple(w): n for w, n in words.items()}
+    order = {c: i for i, c in enumerate(sorted({c for w in words for c in w}))}
+    tokens, merges = set(order), []
+    while len(tokens) < size:
+        counts = Counter()
+        for w, n in words.items():
+            for pair in zip(w, w[1:]):
+                counts[pair] += n
+        if not counts:
+            break
+        a, b = min(counts, key=lambda p: (-counts[p], order[p[0]], order[p[1]]))
+        merges.append((a, b))
+        tokens.add(a + b)
+        order.setdefault(a + b, len(order))
+        merged = Counter()
+        for w, n in words.items():
+            out, i = [], 0
+            while i < len(w):
+                if w[i:i + 2] == (a, b):
+                    out.append(a + b)
+                    i += 2
+                else:
+                    out.append(w[i])
+                    i += 1
+            merged[tuple(out)] += n
+        words = merged
+    return merges
+
+
+@pytest.mark.parametrize("limits", [{}, {"MAX_RUNS": 20}, {"MAX_GENERATIONS": 3}, {"MAX_PAIRS": 4}, {"FIRST_PAIRS": 1}, {"WORDS_PER_PART": 5},
+                                    {"MAX_PAIRS": 9, "FIRST_PAIRS": 5, "RUNS_PER_TASK": 3}])
+def test_limits_change_the_work_and_not_the_merges(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(pair_index, name, value)
+    texts = made_up(3)[:4]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    assert rules(*bpe.bpe_train(df, "text", 22))[1] == slow_rules(texts, 21)
 
 
 def test_pair_counts(spark):
@@ -130,14 +165,17 @@ def test_no_row_python_and_no_shuffle_in_encoding(spark):
     assert "ArrowEvalPython" in plan and "Exchange" not in plan and "BatchEvalPython" not in plan
 
 
-def test_frequent_symbols_merge_several_pairs_per_round(spark, monkeypatch):
-    rounds = []
-    counted = bpe._top_pairs
-    monkeypatch.setattr(bpe, "_top_pairs", lambda t: rounds.append(1) or counted(t))
-    df = spark.createDataFrame([(t,) for t in made_up(4)], "text string")
-    _, merges = bpe.bpe_train(df, "text", 60)
-    assert len(rounds) < merges.count()
-    assert merges.select(F.max("rank")).first()[0] == merges.count() - 1
+def test_rounds_merge_several_pairs_and_read_fewer_words(spark, monkeypatch):
+    monkeypatch.setattr(pair_index, "MAX_RUNS", 1500)
+    rnd = random.Random(6)
+    words = ["".join(rnd.choices("abcdefghijklmnopqrst", [30 - i for i in range(20)], k=rnd.randint(1, 9))) for _ in range(8000)]
+    df = spark.createDataFrame([(w, 1 + i % 9) for i, w in enumerate(dict.fromkeys(words))], "word string, n bigint")
+    progress = []
+    _, merges = bpe.merge_rules(df.coalesce(2), 500, (), progress)
+    read, changed = [p[1] for p in progress], [p[2] for p in progress]
+    assert len(progress) < len(merges) / 4, progress
+    assert all(c <= r for r, c in zip(read, changed))
+    assert max(read[-3:]) < 0.7 * max(read[:3]) and sum(read) < 0.5 * len(progress) * df.count()
 
 
 def test_too_few_symbols_fail_before_training(spark):

@@ -13,19 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textscore.functions.text import PADDING_TOKEN, pretokens
+from textscore.operators.pair_index import Symbols, train
 from textscore.operators.tokens import special_rows, word_counts
-from textscore.session import delete_path, parallelism, scratch_path
+from textscore.session import delete_path, scratch_path
 
 # The helpers below travel with the task, so executors need no installed copy.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-FIRST_MERGE_SYMBOL = 0xF0000
 CACHED_WORDS = 200_000
 MAX_VOCABULARY = 2_000_000
-TOP_PAIRS = 256
-MERGES_PER_TABLE = 32
-MERGES_PER_PLAN = 16
-WORDS_PER_PIECE = 10_000
 
 
 # ---------------------------------------------------------------- training
@@ -42,136 +38,25 @@ def bpe_train(
     return vocab, spark.createDataFrame(rules, "rank int, left string, right string")
 
 
-def merge_rules(words: DataFrame, vocab_size: int, special: Sequence[str]):
-    """Tokens in id order and merged pairs in rank order.
+def merge_rules(words: DataFrame, vocab_size: int, special: Sequence[str], progress: list | None = None):
+    """Tokens in id order and merged pairs in rank order, from a table of distinct words and their counts.
 
-    A word is held as a string with one code point per symbol: characters
-    stand for themselves, merged symbols take code points above all of them.
-    A merge is then a plain ``replace`` in the JVM, and the order of pair
-    strings is the order of their symbol ids, which is how ties are broken.
-
-    The text is read once, into a table of distinct words. Each round counts
-    the pairs of that table and fetches only the top of the ranking; the
-    driver keeps the vocabulary and nothing that grows with the text.
+    The text is read once, for that table; :func:`textscore.operators.pair_index.train` does the rest.
     """
-    table = _word_table(words.select(F.col("word").alias("s"), "n"))
-    alphabet = [r[0] for r in table.select(F.explode(F.array_distinct(F.split("s", "")))).distinct().collect()]
-    alphabet.sort()
-    fixed = [t for t, _ in special_rows(special)]
-    tokens = fixed + [ch for ch in alphabet if ch not in set(fixed)]
-    text_of = {ch: ch for ch in alphabet}
-    symbol_of = dict(text_of)
-    known = set(tokens)
-    next_symbol = max(FIRST_MERGE_SYMBOL, ord(alphabet[-1]) + 1 if alphabet else 0)
-    free = sys.maxunicode + 1 - next_symbol
-    if vocab_size - len(tokens) > free:
-        raise ValueError(f"vocabulary of {vocab_size} needs {vocab_size - len(tokens)} symbols above the alphabet, {free} are free")
-    merges: list[tuple[str, str]] = []
-    pending: list[tuple[str, str]] = []
-
-    while len(tokens) < vocab_size:
-        top = _top_pairs(_apply(table, pending))
-        if not top:
-            break
-        for pair in _safe_prefix(top, text_of, known):
-            if len(tokens) >= vocab_size:
-                break
-            left, right = text_of[pair[0]], text_of[pair[1]]
-            merged = left + right
-            if merged not in symbol_of:
-                symbol_of[merged] = chr(next_symbol)
-                text_of[chr(next_symbol)] = merged
-                next_symbol += 1
-            if merged not in known:
-                known.add(merged)
-                tokens.append(merged)
-            merges.append((left, right))
-            pending.append((pair, symbol_of[merged]))
-        if len(pending) >= MERGES_PER_TABLE and len(tokens) < vocab_size:
-            previous, table = table, _word_table(_apply(table, pending))
-            _forget(previous)
-            pending = []
-    _forget(table)
-    return tokens, merges
-
-
-def _word_table(words: DataFrame) -> DataFrame:
-    """Write the word table and keep it, in as many pieces as its size asks for."""
+    table = words.select(F.col("word").alias("s"), "n")
     path = scratch_path(words.sparkSession, "bpe-words")
-    words.write.parquet(path)
-    written = words.sparkSession.read.schema(words.schema).parquet(path)
-    pieces = min(parallelism(words.sparkSession), written.count() // WORDS_PER_PIECE + 1)
-    table = written.repartition(pieces).persist()
-    table.scratch = path
-    return table
-
-
-def _forget(table: DataFrame) -> None:
-    """Drop a word table, in memory and in the shared folder."""
-    table.unpersist()
-    delete_path(table.sparkSession, table.scratch)
-
-
-def _apply(table: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
-    """Replace pairs by their symbols, one merge after the other.
-
-    Literals are not part of generated code, so the code depends only on the
-    number of merges; idle ones fill it up, and few plans are ever compiled.
-    """
-    if not merges:
-        return table
-    merged = F.col("s")
-    idle = -len(merges) % MERGES_PER_PLAN
-    for pair, symbol in merges + [("", "")] * idle:
-        merged = F.replace(merged, F.lit(pair), F.lit(symbol))
-    return table.select(merged.alias("s"), "n").where(F.length("s") >= 2)
-
-
-def _top_pairs(table: DataFrame) -> list[str]:
-    """The most frequent pairs, best first: by count, then by symbol ids.
-
-    The neighbours of a word are its two-symbol blocks from the first symbol
-    on and those from the second symbol on.
-    """
-    two = F.lit("(?s)..")
-    pairs = F.concat(
-        F.regexp_extract_all("s", two, F.lit(0)),
-        F.regexp_extract_all(F.substring("s", F.lit(2), F.length("s")), two, F.lit(0)),
-    )
-    counted = (
-        table.where(F.length("s") >= 2)
-        .select("n", F.explode(pairs).alias("pair"))
-        .groupBy("pair").agg(F.sum("n").alias("total"))
-    )
-    return [r[0] for r in counted.orderBy(F.desc("total"), F.asc("pair")).limit(TOP_PAIRS).collect()]
-
-
-def _safe_prefix(ranked: list[str], text_of: dict[str, str], known: set[str]) -> list[str]:
-    """The longest start of the ranking that can be merged in one round.
-
-    As long as no symbol is the left part of one chosen pair and the right
-    part of another, chosen pairs never overlap in a word, so merging one
-    leaves the counts of the others alone. A pair that a merge creates is at
-    most as frequent as an old pair that such an overlap keeps out of the
-    prefix, and its new symbol loses every tie, so it cannot get ahead. A pair
-    of twins, or one that spells a token there is already, goes alone.
-    """
-    chosen: list[str] = []
-    lefts: set[str] = set()
-    rights: set[str] = set()
-    spelled: set[str] = set()
-    for pair in ranked:
-        left, right = pair
-        text = text_of[left] + text_of[right]
-        if left == right or text in known:
-            return chosen or [pair]
-        if left in rights or right in lefts or text in spelled:
-            return chosen
-        chosen.append(pair)
-        lefts.add(left)
-        rights.add(right)
-        spelled.add(text)
-    return chosen
+    table.write.parquet(path)
+    table = words.sparkSession.read.schema(table.schema).parquet(path)
+    alphabet = sorted(r[0] for r in table.select(F.explode(F.array_distinct(F.split("s", "")))).distinct().collect())
+    fixed = [t for t, _ in special_rows(special)]
+    symbols = Symbols(fixed + [ch for ch in alphabet if ch not in set(fixed)], alphabet)
+    wanted = vocab_size - len(symbols.tokens)
+    if wanted > symbols.room():
+        raise ValueError(f"vocabulary of {vocab_size} needs {wanted} symbols above the alphabet, {symbols.room()} are free")
+    if wanted > 0:
+        train(table, symbols, vocab_size, progress)
+    delete_path(words.sparkSession, path)
+    return symbols.tokens, symbols.merges
 
 
 # ---------------------------------------------------------------- encoding

@@ -8,7 +8,7 @@ from textscore.functions.text import ENTITY_TAGS, PADDING_TOKEN
 from textscore.operators import batches, bpe, tokens
 from textscore.plans import views
 from textscore.plans.registry import query
-from textscore.plans.views_sql import key
+from textscore.plans.views_sql import WORD, key
 from textscore.session import made_once, scratch_path, via_table
 from textscore.sources import readers, writers
 
@@ -112,10 +112,11 @@ SHORT_VOCAB = 100
 
 # A short vocabulary can be trained and applied in SQL too: the words are rewritten
 # merge by merge, with one code point per symbol as in the library.
-_SHORT = f"""
-    WITH RECURSIVE counts AS (SELECT token AS word, count(*) AS n FROM v_tokens GROUP BY token),
+def _trained_sql(tokens: str, size: int, specials: int = 1) -> str:
+    return f"""
+    WITH RECURSIVE counts AS (SELECT token AS word, count(*) AS n FROM ({tokens}) GROUP BY token),
     chars AS (SELECT DISTINCT unnest(string_split(word, '')) AS c FROM counts),
-    goal AS (SELECT {SHORT_VOCAB} - 1 - count(*) AS merges FROM chars),
+    goal AS (SELECT {size} - {specials} - count(*) AS merges FROM chars),
     w AS (
         SELECT 0 AS step, word, word AS s, n, '' AS pair FROM counts
         UNION ALL
@@ -143,6 +144,9 @@ _SHORT = f"""
 """
 
 
+_SHORT = _trained_sql("SELECT token FROM v_tokens", SHORT_VOCAB)
+
+
 def _short(spark, d):
     return made_once(
         spark, ("short vocab", views.stamp(spark, d, "documents")), lambda: bpe.bpe_train(views.reviews(spark, d), "reviewText", SHORT_VOCAB)
@@ -161,6 +165,17 @@ def bpe_merges(spark, d):
     return _short(spark, d)[1]
 
 
+ESSAY_VOCAB = 180
+_ESSAY_TOKENS = f"SELECT unnest(regexp_extract_all(essay, '{WORD}')) AS token FROM v_essays"
+
+
+@query("bpe_merges_essays", _trained_sql(_ESSAY_TOKENS, ESSAY_VOCAB, len(SPECIAL)) + """
+    SELECT (step - 1)::INT AS rank, l AS "left", r AS "right" FROM rules""")
+def bpe_merges_essays(spark, d):
+    """The essay vocabulary: entity tags are special tokens and case is kept."""
+    return bpe.bpe_train(views.essays(spark, d), "essay", ESSAY_VOCAB, SPECIAL, lowercase=False)[1]
+
+
 @query("encode_text_short", _SHORT + """,
     words AS (SELECT word, string_agg(id::VARCHAR, ' ' ORDER BY j) AS ids FROM coded GROUP BY word)
     SELECT doc_id AS row_id, string_agg(ids, ' ' ORDER BY pos) AS ids FROM v_tokens JOIN words ON token = word
