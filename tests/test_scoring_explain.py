@@ -178,7 +178,7 @@ def test_fits_learn_separable_classes(spark):
     plain = models.fit_classifier(rows, "ids", "y", size, weight="weight", reg=0.001)
     got = models.predict_classifier(rows, plain, "ids", size)
     assert got.where("y = y_pred").count() / got.count() > 0.95
-    steps = models.fit_ordinal(rows, "ids", "y", size, 3, reg=0.001)
+    steps = models.fit_ordinal(rows, "ids", "y", size, 3)
     got = models.predict_ordinal(rows, steps, "ids", size)
     assert got.where("y = y_pred").count() / got.count() > 0.95
     assert {len(r.z) for r in got.collect()} == {3}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,12 @@ from pyspark.sql.window import Window
 
 from textscore.functions.vectors import argmax
 from textscore.functions.text import PADDING_ID
+from textscore.operators import network
 from textscore.operators.batches import BATCH_SIZE, bucket_batches, pad_to_batch_max
 from textscore.operators.metrics import class_report, confusion_counts, metrics_report
-from textscore.operators.scoring import ordinal_class
-from textscore.session import via_table
+from textscore.operators.matrix import ids_of
+from textscore.operators.network import TokenModel
+from textscore.session import delete_path, path_exists, scratch_path, via_table
 from textscore.sources.writers import vocab_save
 
 
@@ -49,25 +52,21 @@ def fit_classifier(
 
 def fit_ordinal(
     df: DataFrame, ids: str, y: str, vocab_size: int, k: int, weight: str | None = None,
-    reg: float = 0.01, max_iter: int = 20,
-) -> list[Model]:
-    """K-1 binary models, one per question "is the class above j?".
+    reg: float = 1e-5, max_iter: int = 60, dim: int = 0,
+) -> TokenModel:
+    """A model that minimises the ordinal loss: squared errors of K sigmoids, one per question "is the class j or above?"."""
+    return network.fit(df, ids, y, vocab_size, k, network.ORDINAL, dim, weight, reg, max_iter)
+
 
-    The feature vectors are kept over the K-1 fits.
+def fit_network(
+    df: DataFrame, ids: str, y: str, vocab_size: int, k: int, dim: int = 32, loss: str = network.CROSS_ENTROPY,
+    weight: str | None = None, reg: float = 1e-6, max_iter: int = 60, seed: int = 0,
+) -> TokenModel:
+    """The mean-pool network ``W tanh(mean of token vectors) + b``, vectors and weights learnt together.
+
+    ``model.vectors`` and ``model.weights`` are the tables that scoring and explanations take.
     """
-    rows, _ = _features(df, ids, vocab_size)
-    rows = rows.select("features", y, *([weight] if weight else [])).persist()
-    models = []
-    for j in range(k - 1):
-        fitter = LogisticRegression(
-            featuresCol="features", labelCol="_above", family="binomial", regParam=reg, maxIter=max_iter,
-            predictionCol=f"_p{j}", rawPredictionCol=f"_raw{j}", probabilityCol=f"_prob{j}",
-        )
-        if weight:
-            fitter = fitter.setWeightCol(weight)
-        models.append(fitter.fit(rows.withColumn("_above", (F.col(y) > j).cast("double"))))
-    rows.unpersist()
-    return models
+    return network.fit(df, ids, y, vocab_size, k, loss, dim, weight, reg, max_iter, seed)
 
 
 def predict_classifier(df: DataFrame, model: Model, ids: str, vocab_size: int) -> DataFrame:
@@ -77,41 +76,36 @@ def predict_classifier(df: DataFrame, model: Model, ids: str, vocab_size: int) -
     return scored.select(*df.columns, "z", argmax(F.col("z")).alias("y_pred"))
 
 
-def predict_ordinal(df: DataFrame, models: list[Model], ids: str, vocab_size: int) -> DataFrame:
-    """Add logits ``z`` (first one constant and positive) and class ``y_pred``."""
-    scored, _ = _features(df, ids, vocab_size)
-    for m in models:
-        scored = m.transform(scored)
-    margins = [F.get(vector_to_array(f"_raw{j}"), F.lit(1)) for j in range(len(models))]
-    scored = scored.withColumn("z", F.array(F.lit(1.0), *margins))
-    return scored.select(*df.columns, "z", ordinal_class(F.col("z")).alias("y_pred"))
+def predict_ordinal(df: DataFrame, model: TokenModel, ids: str, vocab_size: int) -> DataFrame:
+    """Add logits ``z`` and class ``y_pred``."""
+    return network.apply(df, model, ids)
 
 
-ORDINAL, PLAIN = "ordinal", "plain"
+PLAIN, TOKENS = "plain", "tokens"
 
 
-def save_model(model: Model | list[Model], vocab: DataFrame, merges: DataFrame, out_dir: str) -> None:
+def save_model(model: Model | TokenModel, vocab: DataFrame, merges: DataFrame, out_dir: str) -> None:
     """A fitted model with the vocabulary that its features are counts of."""
-    steps = model if isinstance(model, list) else [model]
-    kind = ORDINAL if isinstance(model, list) else PLAIN
-    for i, step in enumerate(steps):
-        step.write().overwrite().save(f"{out_dir}/step={i}")
+    spark = vocab.sparkSession
+    kind = TOKENS if isinstance(model, TokenModel) else PLAIN
+    if kind == TOKENS:
+        network.save(spark, model, f"{out_dir}/model")
+    else:
+        model.write().overwrite().save(f"{out_dir}/model")
     vocab_save(vocab, merges, out_dir)
-    about = vocab.sparkSession.createDataFrame([(kind, len(steps))], "kind string, steps int")
-    about.write.mode("overwrite").json(f"{out_dir}/about")
+    spark.createDataFrame([(kind,)], "kind string").write.mode("overwrite").json(f"{out_dir}/about")
 
 
-def load_model(spark: SparkSession, path: str) -> tuple[Model | list[Model], DataFrame, DataFrame]:
+def load_model(spark: SparkSession, path: str) -> tuple[Model | TokenModel, DataFrame, DataFrame]:
     """Model, vocabulary and merges written by :func:`save_model`."""
-    about = spark.read.schema("kind string, steps int").json(f"{path}/about").first()
-    steps = [LogisticRegressionModel.load(f"{path}/step={i}") for i in range(about["steps"])]
-    vocab, merges = spark.read.parquet(f"{path}/vocab"), spark.read.parquet(f"{path}/merges")
-    return (steps if about["kind"] == ORDINAL else steps[0]), vocab, merges
+    about = spark.read.schema("kind string").json(f"{path}/about").first()
+    load = network.load if about["kind"] == TOKENS else lambda _, at: LogisticRegressionModel.load(at)
+    return load(spark, f"{path}/model"), spark.read.parquet(f"{path}/vocab"), spark.read.parquet(f"{path}/merges")
 
 
-def predict(df: DataFrame, model: Model | list[Model], ids: str, vocab_size: int) -> DataFrame:
-    """Logits ``z`` and class ``y_pred`` by a plain or an ordinal model."""
-    return (predict_ordinal if isinstance(model, list) else predict_classifier)(df, model, ids, vocab_size)
+def predict(df: DataFrame, model: Model | TokenModel, ids: str, vocab_size: int) -> DataFrame:
+    """Logits ``z`` and class ``y_pred`` by a plain or a token model."""
+    return (predict_ordinal if isinstance(model, TokenModel) else predict_classifier)(df, model, ids, vocab_size)
 
 
 @dataclass(frozen=True)
@@ -124,7 +118,7 @@ class Evaluation:
     report: DataFrame
 
 
-def evaluate_model(df: DataFrame, model: Model | list[Model], id: str, ids: str, y: str, vocab_size: int, k: int,
+def evaluate_model(df: DataFrame, model: Model | TokenModel, id: str, ids: str, y: str, vocab_size: int, k: int,
                    batch_size: int = BATCH_SIZE) -> Evaluation:
     """Apply a model to length-bucketed, padded batches and measure it.
 
@@ -161,47 +155,80 @@ def explain_model(df: DataFrame, model: Model, ids: str, vocab_size: int) -> Dat
     return found.withColumn("scores", scores(F.col(ids).cast("array<int>"), F.col("y_pred").cast("int")))
 
 
-def score_batches(df: DataFrame, model: PipelineModel | Model | Callable, schema: str | None = None) -> DataFrame:
-    """Apply a fitted model to every row.
+def score_batches(df: DataFrame, model: PipelineModel | Model | Callable, schema: str | None = None, id: str = "row_id",
+                  ids: str = "ids", batch: str = "batch_id") -> DataFrame:
+    """Apply a fitted model to every row, or a function to every padded batch.
 
-    A Spark ML model is transformed; a function over an iterator of pandas
-    batches runs in the executors, so any trained network can be applied.
+    A Spark ML model is transformed. A function gets the ids of one whole batch as a two-dimensional array and a mask of
+    the same shape that is true at real tokens, and gives one row of logits per document: ``id, z``. All rows of ``batch``
+    reach one call, whatever the size of Arrow batches; short rows are padded to its longest. ``schema`` is that of ``id``
+    (``row_id bigint``).
     """
     if hasattr(model, "transform"):
         return model.transform(df)
-    return df.mapInPandas(model, schema)
+
+    def scored(table: pa.Table) -> pa.Table:
+        lists = table.column("ids").combine_chunks()
+        flat, lengths = ids_of(lists)
+        real = np.arange(lengths.max(initial=0)) < lengths[:, None]
+        matrix = np.full(real.shape, PADDING_ID, np.int64)
+        matrix[real] = flat
+        z = np.asarray(model(matrix, real & (matrix != PADDING_ID)), float)
+        ends = pa.array(np.arange(len(z) + 1) * z.shape[1], pa.int32())
+        return pa.table({id: table.column("id"), "z": pa.ListArray.from_arrays(ends, pa.array(z.ravel()))})
+
+    kind = schema or f"{id} {df.schema[id].dataType.simpleString()}"
+    rows = df.select(F.col(batch).alias("batch"), F.col(id).alias("id"), F.col(ids).cast("array<int>").alias("ids"))
+    return rows.groupBy("batch").applyInArrow(scored, f"{kind}, z array<double>")
+
+
+def fit_epochs(train: DataFrame, valid: DataFrame, ids: str, y: str, vocab_size: int, k: int, loss: str, out_dir: str,
+               epochs: int = 10, metric: str = "accuracy", dim: int = 0, weight: str | None = None,
+               batch_size: int = BATCH_SIZE, reg: float = 1e-5, seed: int = 0) -> DataFrame:
+    """Validation metrics after each epoch of one run: ``(epoch, accuracy, f1, loss)``; the best model is kept.
+
+    An epoch is one step of the optimiser, which costs one pass over ``train`` (more where a step must be shortened). Its state and
+    the metrics are written to ``out_dir`` after every epoch, and a call with the same folder goes on from there. The
+    model with the strictly greatest metric above 0 is in ``out_dir/best``. ``valid`` has a column ``batch_id``.
+    """
+    spark = train.sparkSession
+    rows = network.training_rows(train, ids, y, k, weight)
+    valid = via_table(valid.select(ids, F.col(y).cast("int").alias("y_true"), "batch_id"), "valid")
+    known = spark.read.parquet(f"{out_dir}/metrics").orderBy("epoch").collect() if path_exists(spark, f"{out_dir}/metrics") else []
+    done = [(r["epoch"], r["accuracy"], r["f1"], r["loss"]) for r in known]
+    state = network.load_state(spark, f"{out_dir}/state/epoch={len(done)}") if done else network.begin(
+        rows, network.start(loss, vocab_size, k, dim, seed), reg)
+    column = 1 if metric == "accuracy" else 2
+    best = max([0.0, *(r[column] for r in done if r[column] is not None)])
+    while len(done) < epochs:
+        state = network.advance(rows, state, reg)
+        report = metrics_report(network.apply(valid, state.model, ids), k, batch_size).first()
+        row = (state.epoch, report["accuracy"], report["f1"], state.value)
+        network.save_state(spark, state, f"{out_dir}/state/epoch={state.epoch}")
+        if row[column] is not None and row[column] > best:
+            best = row[column]
+            network.save(spark, state.model, f"{out_dir}/best")
+        spark.createDataFrame([row[1:]], "accuracy double, f1 double, loss double").coalesce(1).write.mode("overwrite").parquet(
+            f"{out_dir}/metrics/epoch={state.epoch}")
+        done.append(row)
+        delete_path(spark, f"{out_dir}/state/epoch={state.epoch - 1}")
+    return spark.createDataFrame(done[:epochs], "epoch int, accuracy double, f1 double, loss double")
 
 
 def fit_epochs_table(
-    train: DataFrame, valid: DataFrame, ids: str, y: str, vocab_size: int, k: int,
-    epochs: Sequence[int] = (2, 5, 10), losses: Sequence[str] = ("cross_entropy", "ordinal"),
-    weight: str | None = None, batch_size: int = BATCH_SIZE, reg: float = 0.01,
+    train: DataFrame, valid: DataFrame, ids: str, y: str, vocab_size: int, k: int, epochs: int = 10,
+    losses: Sequence[str] = network.LOSSES, weight: str | None = None, batch_size: int = BATCH_SIZE, reg: float = 1e-5,
+    out_dir: str | None = None, dim: int = 0,
 ) -> DataFrame:
-    """Validation metrics per run and epoch: ``(run, epoch, accuracy, f1)``.
+    """Validation metrics per run and epoch: ``(run, epoch, accuracy, f1)``, a run for each loss. See :func:`fit_epochs`.
 
-    A run is a loss; an epoch is a number of passes of its optimiser over the
-    training rows. ``best_by_metric`` then picks the model to keep. ``valid`` has a
-    column ``batch_id`` that numbers its batches. Both inputs are written once and read by every fit.
+    ``best_by_metric`` names the epoch whose model is in ``out_dir/<loss>/best``.
     """
-    train = via_table(train.select(ids, y, *([weight] if weight else [])), "train")
-    valid = via_table(valid.select(ids, y, "batch_id"), "valid")
-    rows = None
-    for loss in losses:
-        for n in epochs:
-            if loss == "cross_entropy":
-                pred = predict_classifier(
-                    valid, fit_classifier(train, ids, y, vocab_size, weight, reg, n), ids, vocab_size
-                )
-            elif loss == "ordinal":
-                pred = predict_ordinal(
-                    valid, fit_ordinal(train, ids, y, vocab_size, k, weight, reg, n), ids, vocab_size
-                )
-            else:
-                raise ValueError(f"unknown loss: {loss}")
-            report = metrics_report(pred.withColumn("y_true", F.col(y)), k, batch_size)
-            row = report.select(F.lit(loss).alias("run"), F.lit(n).alias("epoch"), "accuracy", "f1")
-            rows = row if rows is None else rows.unionByName(row)
-    return rows
+    spark = train.sparkSession
+    out_dir = out_dir or scratch_path(spark, "epochs")
+    runs = [fit_epochs(train, valid, ids, y, vocab_size, k, loss, f"{out_dir}/{loss}", epochs, dim=dim, weight=weight,
+                       batch_size=batch_size, reg=reg).select(F.lit(loss).alias("run"), "epoch", "accuracy", "f1") for loss in losses]
+    return reduce(DataFrame.unionByName, runs)
 
 
 def best_by_metric(runs: DataFrame, metric: str, run: str = "run", epoch: str = "epoch") -> DataFrame:

@@ -5,14 +5,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from textscore.operators import batches, explain, labels, metrics, models, sampling, scoring
+from textscore.operators import batches, explain, labels, metrics, models, network, sampling, scoring
 from textscore.operators.tokens import pretoken_spans
 from textscore.functions.hashing import hash_int
 from textscore.plans import views
 from textscore.plans.registry import query
-from textscore.plans.tokens import VOCAB_SIZE, encoded_reviews, trained
+from textscore.plans.tokens import _PADDED, VOCAB_SIZE, encoded_reviews, trained
 from textscore.plans.views_sql import h
-from textscore.session import scratch_path
+from textscore.session import made_once, scratch_path
 from textscore.streaming.running import running_confusion_stream
 
 K = views.REVIEW_CLASSES
@@ -169,10 +169,58 @@ def fit_save_evaluate(spark, d):
 @query("fit_ordinal_evaluate", f"SELECT y AS y_true, y AS y_pred, count(*) AS n FROM ({_MARKED}) GROUP BY y")
 def fit_ordinal_evaluate(spark, d):
     rows, size = _marked_docs(spark, d)
-    fitted = models.fit_ordinal(rows, "ids", "y", size, K, reg=0.001)
+    fitted = models.fit_ordinal(rows, "ids", "y", size, K, max_iter=30)
     return models.evaluate_model(rows, fitted, "doc_id", "ids", "y", size, K, views.BATCH).confusion.where("n > 0")
 
 
+def _decided_docs(spark, d):
+    """The same with as many marks as words, so that their mean decides."""
+    words = table_size(spark, d)
+    y = (hash_int(F.col("doc_id"), "marked") % K).cast("int")
+    ids = F.concat(F.transform("ids", lambda i: i + 1), F.array_repeat(y + words + 1, F.size("ids") + 1))
+    return _docs(spark, d).select("doc_id", y.alias("y"), ids.alias("ids")), words + K + 1
+
+
+def _network(spark, d):
+    """A network fitted to decided labels, kept as its numbers."""
+    def build():
+        rows, size = _decided_docs(spark, d)
+        return models.fit_network(rows, "ids", "y", size, K, dim=8, max_iter=40)
+
+    return made_once(spark, ("network", views.stamp(spark, d, "documents"), views.stamp(spark, d, "embeddings")), build)
+
+
+@query("fit_network_evaluate", f"SELECT y AS y_true, y AS y_pred, count(*) AS n FROM ({_MARKED}) GROUP BY y")
+def fit_network_evaluate(spark, d):
+    """The mean-pool network is fitted, saved, loaded and measured on padded batches."""
+    rows, size = _decided_docs(spark, d)
+    path = scratch_path(spark, "network")
+    network.save(spark, _network(spark, d), path)
+    return models.evaluate_model(rows, network.load(spark, path), "doc_id", "ids", "y", size, K, views.BATCH).confusion.where("n > 0")
+
+
+@query("explain_network", f"SELECT doc_id, y AS y_pred, true AS adds_up FROM ({_MARKED})")
+def explain_network(spark, d):
+    """Integrated gradients over fitted vectors: scores add up to the gain of the predicted class, in every document."""
+    rows, _ = _decided_docs(spark, d)
+    model = _network(spark, d)
+    weights = model.weights(spark)
+    scored = explain.token_scores(rows, "doc_id", "ids", model.vectors(spark), weights, model.dim)
+    both = explain.ig_completeness(scored.select("doc_id", "scores", "y_pred", "z"), "doc_id", weights, model.dim)
+    sums = both.select("doc_id", (F.abs(F.col("attributed") - F.col("gain")) < 1e-6).alias("adds_up"))
+    return scored.select("doc_id", "y_pred").join(sums, "doc_id")
+
+
+@query("highlight_network", f"SELECT doc_id, '#16ce10' AS color, n AS marks FROM ({_MARKED}) JOIN (SELECT doc_id, len(words) + 1 AS n FROM v_words) USING (doc_id)")
+def highlight_network(spark, d):
+    """The tokens that decide a label get the colour of the greatest score."""
+    rows, size = _decided_docs(spark, d)
+    model = _network(spark, d)
+    colored = explain.color_lists(explain.token_scores(rows, "doc_id", "ids", model.vectors(spark), model.weights(spark), model.dim))
+    marks = explain.explode_scores(colored, "doc_id", "ids", None, "colors").where(F.col("token_id") >= size - K)
+    return marks.groupBy("doc_id", F.col("colors").alias("color")).agg(F.count(F.lit(1)).alias("marks"))
+
+
 @query("explain_model", f"SELECT doc_id, y AS y_pred, true AS adds_up FROM ({_MARKED})")
 def explain_model(spark, d):
     """Scores of the tokens and the intercept add up to the logit of the predicted class, in every document."""
@@ -184,15 +232,17 @@ def explain_model(spark, d):
     return scored.select("doc_id", "y_pred", (gap < 1e-6).alias("adds_up"))
 
 
-@query("score_batches", """
-    SELECT row_id, (list_position(z, list_max(z)) - 1)::BIGINT AS y_pred FROM v_logits""")
+@query("score_batches", _PADDED + """
+    SELECT doc_id, round(list_sum(ids)::DOUBLE / len(ids), 9) AS mean_id,
+           round(len(list_filter(ids, lambda i: i <> 0))::DOUBLE / len(ids), 9) AS filled FROM padded""")
 def score_batches(spark, d):
-    def argmax_batches(frames):
-        for frame in frames:
-            z = np.array(frame["z"].tolist()).reshape(len(frame), -1)
-            yield frame[["row_id"]].assign(y_pred=z.argmax(axis=1))
+    """A function of the caller's sees whole batches: what it gives depends on the length of the batch's longest row."""
+    def means(ids, real):
+        return np.stack((ids.sum(1) / ids.shape[1], real.sum(1) / ids.shape[1]), 1)
 
-    return models.score_batches(views.logits(spark, d).select("row_id", "z"), argmax_batches, "row_id bigint, y_pred bigint")
+    placed = batches.bucket_batches(_docs(spark, d).select("doc_id", "ids"), "ids", "doc_id", views.BATCH, shuffle=False)
+    scored = models.score_batches(placed, means, id="doc_id")
+    return scored.select("doc_id", *[F.round(F.get("z", F.lit(i)), 9).alias(c) for i, c in enumerate(("mean_id", "filled"))])
 
 
 @query("fit_epochs_table")
@@ -202,6 +252,27 @@ def fit_epochs_table(spark, d):
     return models.fit_epochs_table(train, placed, "ids", "y", VOCAB_SIZE, K)
 
 
+EPOCHS = 10
+
+
+@query("fit_epochs_best", f"""
+    SELECT run, {EPOCHS} AS epochs, y AS y_true, y AS y_pred, count(*) AS n
+    FROM ({_MARKED}), (VALUES ('cross_entropy'), ('ordinal')) r(run) GROUP BY run, y""")
+def fit_epochs_best(spark, d):
+    """Ten epochs of each loss; the best model of each is loaded and tells all rows apart."""
+    rows, size = _decided_docs(spark, d)
+    placed = batches.bucket_batches(rows, "ids", "doc_id", views.BATCH, shuffle=False)
+    path = scratch_path(spark, "epochs")
+    runs = models.fit_epochs_table(rows, placed, "ids", "y", size, K, EPOCHS, out_dir=path)
+    count = runs.groupBy("run").agg(F.count(F.lit(1)).cast("int").alias("epochs"))
+    found = None
+    for loss in network.LOSSES:
+        scored = network.apply(rows, network.load(spark, f"{path}/{loss}/best"), "ids")
+        cells = scored.groupBy(F.col("y").alias("y_true"), "y_pred").agg(F.count(F.lit(1)).alias("n")).withColumn("run", F.lit(loss))
+        found = cells if found is None else found.unionByName(cells)
+    return found.join(F.broadcast(count), "run").select("run", "epochs", "y_true", "y_pred", "n")
+
+
 @query("best_by_metric", """
     SELECT run, epoch, accuracy FROM v_runs WHERE accuracy > 0
     QUALIFY row_number() OVER (PARTITION BY run ORDER BY accuracy DESC, epoch) = 1""")
