@@ -87,3 +87,30 @@ def test_steps_are_balanced():
     steps = packing.balanced_steps(lengths, 2048)
     sums = np.bincount(steps, lengths)
     assert sums.max() - sums.min() <= 2048
+
+
+def test_long_runs_of_blanks_equal_the_library(spark):
+    library = Tokenizer.from_file(PATH)
+    texts = {2**53 + 1: "a" + " " * 1_200_000 + "b", 2**53 + 3: " " * 10 + "x", 5: "\n" * 300_000 + " y"}
+    rows = [(i, t) for i, t in texts.items()] + [(None, "no name")]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), PATH, public.PATTERN, added=True).collect()
+    expected = {i: np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4") for i, t in rows}
+    check(got, expected)
+    assert {type(r["doc_id"]) for r in got} == {int, type(None)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=80), st.integers(1, 4))
+def test_tiers_hold_every_piece_once_and_fit(lengths, tiers):
+    rests = [packing.Piece(i, 0, n, 0) for i, n in enumerate(lengths)]
+    done, long = packing.pack_tiers(rests, 64, tiers)
+    assert sorted(p.doc for s in done + long for p in s) == list(range(len(lengths)))
+    assert all(packing.total(s).bit_count() == 1 and packing.total(s) <= 64 for s in done) and all(packing.total(s) <= 64 for s in long)
+    for a, b in zip(long, long[1:]):
+        assert packing.total(a) + packing.total(b) > 32
+
+
+def test_short_tiers_fill_the_gaps_of_long_ones():
+    pieces = [packing.Piece(i, 0, n, 0) for i, n in enumerate([50, 10, 4, 30, 2, 16, 7])]
+    done, long = packing.pack_tiers(pieces, 64, 3)
+    assert sorted(sorted(p.length for p in s) for s in done) == [[2, 30], [4, 10, 50], [16]] and [[p.length for p in s] for s in long] == [[7]]

@@ -1,4 +1,4 @@
-"""Packing of documents into windows of one length by best fit; only what is left of dissolved windows fills shorter ones."""
+"""Packing of documents in tiers of window lengths: each tier packed, gaps of long windows filled from shorter tiers, steps balanced."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from textscore.llm.common import slices, sorted_groups, whole_text, written
 
@@ -24,6 +25,8 @@ END_ID = 1
 DOCS_IN_SHARD = 20_000
 LOOSE = 16
 STEP_WINDOWS = 16
+#: Windows of 2048, 1024, 512 and 256 tokens.
+TIERS = 4
 SHARD_BITS = 32
 
 
@@ -52,7 +55,8 @@ def read_added_tokens(path: str) -> list[dict]:
 class Encoder:
     """Ids of a byte-level BPE file; with ``added`` its added tokens are read in texts too, as the library does by default."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, added: list[dict]) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, added: list[dict], file: str = "") -> None:
+        self.file, self.library = file, None
         if any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in added):
             raise ValueError("added tokens that look at their neighbours are not supported")
         self.coder = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -60,15 +64,31 @@ class Encoder:
         names = sorted(self.added, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
+    def plain(self, text: str) -> list[int]:
+        """Ids of a text without added tokens.
+
+        The pattern of the engine gives up on runs of about a million blanks, as a panic that is no ``Exception``; such a text
+        goes to the library that the file belongs to.
+        """
+        try:
+            return self.coder.encode_ordinary(text)
+        except BaseException as error:
+            if type(error).__name__ != "PanicException" or not self.file:
+                raise
+        if self.library is None:
+            self.library = Tokenizer.from_str(self.file)
+            self.library.encode_special_tokens = True
+        return self.library.encode(text, add_special_tokens=False).ids
+
     def ids(self, text: str) -> list[int]:
         if not self.cut or not any(name in text for name in self.added):
-            return self.coder.encode_ordinary(text)
+            return self.plain(text)
         out: list[int] = []
         for k, part in enumerate(self.cut.split(text)):
             if k % 2:
                 out.append(self.added[part])
             elif part:
-                out += self.coder.encode_ordinary(part)
+                out += self.plain(part)
         return out
 
 
@@ -84,11 +104,13 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, path: str, pattern: s
     powers of two that it may be cut into; ``salt``: a running number, which deals rows evenly.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((read_byte_bpe(path), read_added_tokens(path) if added else []))  # a vocabulary of fixed size
+    with open(path, encoding="utf-8") as file:
+        text = file.read()
+    sent = spark.sparkContext.broadcast((read_byte_bpe(path), read_added_tokens(path) if added else [], text))  # a vocabulary of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, names = sent.value
-        coder = Encoder(ranks, pattern, names)
+        ranks, names, text = sent.value
+        coder = Encoder(ranks, pattern, names, text)
         count = 0
         for batch in slices(batches):
             rows = []
@@ -121,31 +143,72 @@ class Piece:
     crc: int
 
 
-def pack(rests: list[Piece], atoms: list[list[int]], window: int, loose: int = LOOSE) -> list[list[Piece]]:
+class Waiting:
+    """Things to be placed, by exact length."""
+
+    def __init__(self, things: list, length) -> None:
+        self.by_size: dict[int, list] = {}
+        for thing in things:
+            self.by_size.setdefault(length(thing), []).append(thing)
+        for same in self.by_size.values():
+            same.reverse()
+        self.sizes = sorted(self.by_size)
+
+    def longest(self, most: int, above: int = 0):
+        """Take the longest thing of at most ``most`` and more than ``above`` tokens, the first of equals."""
+        k = bisect_right(self.sizes, most)
+        if not k or self.sizes[k - 1] <= above:
+            return None
+        same = self.by_size[self.sizes[k - 1]]
+        thing = same.pop()
+        if not same:
+            self.sizes.pop(k - 1)
+        return thing
+
+
+def total(pieces: list[Piece]) -> int:
+    return sum(p.length for p in pieces)
+
+
+def pack_tiers(rests: list[Piece], window: int, tiers: int) -> tuple[list[list[Piece]], list[list[Piece]]]:
+    """Windows that need no padding or are of full length, and full-length windows as they came out.
+
+    A piece is routed to the shortest tier that holds it. From the longest tier on, each of its pieces opens a window of that length
+    (or goes into the gap of one), and gaps take the longest pieces that fit, from this tier and the shorter ones. A short window that came out
+    exactly full is a sequence; the others are units that fill long windows, longest first.
+    """
+    waiting = Waiting(rests, lambda p: p.length)
+    done, units, long = [], [], []
+    for k in range(tiers):
+        tier = window >> k
+        while first := waiting.longest(tier, tier // 2 if k + 1 < tiers else 0):
+            pieces, gap = [first], tier - first.length
+            while more := waiting.longest(gap):
+                pieces.append(more)
+                gap -= more.length
+            filled = tier - gap
+            (done if filled & (filled - 1) == 0 else long if k == 0 else units).append(pieces)
+    short = Waiting(units, total)
+    while first := short.longest(window):
+        pieces, gap = list(first), window - total(first)
+        while more := short.longest(gap):
+            pieces += more
+            gap -= total(more)
+        long.append(pieces)
+    return done, long
+
+
+def pack(rests: list[Piece], atoms: list[list[int]], window: int, loose: int = LOOSE, tiers: int = TIERS) -> list[list[Piece]]:
     """Sequences of at most ``window`` tokens that leave little of their window empty.
 
-    All windows opened have one length, and remainders are not routed to tiers: the longest piece opens a window, and
-    the gap is filled with the longest pieces that still fit, by their exact lengths. Where windows stay open by more than ``loose`` tokens, the last of them are dissolved: their
-    documents are cut into powers of two, which fill the gaps of the others. What is left of them fills windows
-    exactly, the last ones shorter, and needs no padding.
+    Tiers are packed first, see :func:`pack_tiers`. Where long windows stay open by more than ``loose`` tokens, the last of them are
+    dissolved: their documents are cut into powers of two, which fill the gaps of the others. What is left of them fills
+    windows exactly, the last ones shorter, and needs no padding.
     """
-    by_size: dict[int, list[Piece]] = {}
-    for piece in rests:
-        by_size.setdefault(piece.length, []).append(piece)
-    for pieces in by_size.values():
-        pieces.reverse()
-    sizes = sorted(by_size)
-    sequences, open_ = [], []
-    while sizes:
-        gap, sequence = window, []
-        while (k := bisect_right(sizes, gap)) > 0:
-            size = sizes[k - 1]
-            sequence.append(by_size[size].pop())
-            gap -= size
-            if not by_size[size]:
-                sizes.pop(k - 1)
-        filled = window - gap
-        (open_ if gap > loose and filled & (filled - 1) else sequences).append(sequence)
+    sequences, long = pack_tiers(rests, window, tiers)
+    long.sort(key=total, reverse=True)
+    open_ = [s for s in long if window - total(s) > loose and total(s) & (total(s) - 1)]
+    sequences += [s for s in long if not (window - total(s) > loose and total(s) & (total(s) - 1))]
     pool: dict[int, list[Piece]] = {}  # pieces of powers of two, by size
 
     def dissolve(pieces: list[Piece]) -> None:
@@ -157,7 +220,7 @@ def pack(rests: list[Piece], atoms: list[list[int]], window: int, loose: int = L
 
     while open_:
         sequence = open_.pop(0)
-        gap, added = window - sum(p.length for p in sequence), []
+        gap, added = window - total(sequence), []
         while gap > loose:
             fitting = [size for size, pieces in pool.items() if pieces and size <= gap]
             if fitting:
@@ -207,7 +270,7 @@ RESULT = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 def _shards(window: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for shard in sorted_groups(frames, ["shard"]):
-            shard = shard.sort_values(["id", "tokens", "salt"], kind="stable").reset_index(drop=True)
+            shard = shard.sort_values(["nameless", "id", "tokens", "salt"], kind="stable").reset_index(drop=True)
             rest = shard["rest"].to_numpy()
             full = shard["tokens"].to_numpy() - rest
             atoms = [np.frombuffer(a, "<u4").tolist() for a in shard["atoms"]]
@@ -215,7 +278,7 @@ def _shards(window: int):
                          for a, c in enumerate(np.frombuffer(crcs, "<u4"))]
             rests = [Piece(d, int(full[d]), int(rest[d]), int(shard["rest_crc"].iat[d])) for d in np.flatnonzero(rest)]
             sequences += pack(rests, atoms, window)
-            lengths = [sum(p.length for p in s) for s in sequences]
+            lengths = [total(s) for s in sequences]
             steps = balanced_steps(lengths, window)
             first = int(shard["shard"].iat[0]) << SHARD_BITS
             rows = []
@@ -226,7 +289,8 @@ def _shards(window: int):
                     rows.append((p.doc, p.start, p.length, p.crc, first + i, at, tier, first + steps[i]))
                     at += p.length
             out = pd.DataFrame(rows, columns=["doc", "start", "length", "ids_crc32", "sequence_id", "offset", "tier", "step_id"])
-            out["doc_id"] = shard["id"].array[out["doc"]]
+            doc = out["doc"].to_numpy()
+            out["doc_id"] = pd.arrays.IntegerArray(shard["id"].to_numpy()[doc], shard["nameless"].to_numpy()[doc])
             out["doc_tokens"] = shard["tokens"].to_numpy()[out.pop("doc")]
             yield out
 
@@ -247,5 +311,7 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
     rows = written(tokenized(docs, id_col, text_col, path, pattern, window, added), "tokenized")
     shards = max(1, -(-rows.count() // DOCS_IN_SHARD))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "salt", "rest_crc"), F.lit(shards)))
+    # A null among ids would make pandas hold them as floating numbers, which change large ones.
+    dealt = dealt.withColumns({"nameless": F.col("id").isNull(), "id": F.coalesce("id", F.lit(0).cast("long"))})
     dealt = dealt.repartition("shard").sortWithinPartitions("shard")
     return dealt.mapInPandas(_shards(window), RESULT).withColumnRenamed("doc_id", id_col)
