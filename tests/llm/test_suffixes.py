@@ -66,3 +66,17 @@ def test_a_hot_passage_leaves_one_copy(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     expected = [(k, *v) for k, v in sorted(brute_force(dict(rows)).items())]
     assert results(suffixes.suffix_dedup(frame)) == expected
+
+
+@pytest.mark.parametrize("first, last", [("é", "é"), ("ĩ", "è"), ("漢", "字"), ("𝄞", "𝄢"), ("a", "漢"), ("𝄞", "b")])
+def test_no_character_is_made_of_two_halves(spark, first, last):
+    shared = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(130))
+    others = {2: ["é", "ĩ"], 3: ["漢", "漣"], 4: ["𝄞", "𝅘"], 1: ["a", "z"]}
+    texts = [(1, first + shared + last)]
+    for k, a in enumerate(others[len(first.encode())]):
+        texts += [(10 + 10 * k + m, a + shared + b) for m, b in enumerate(others[len(last.encode())] + [last])]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in suffixes.without_repeats(rows).collect()}
+    assert got[1] == texts[0][1]
+    for i, text in texts[1:]:
+        assert set(got[i]) <= {text[0], text[-1]} and len(got[i]) <= 2

@@ -355,6 +355,18 @@ def _cut(text: bytes, low: np.ndarray, high: np.ndarray) -> tuple[bytes, int, in
     return b"".join(text[a:b] for a, b in zip(ends, starts)), int((high - low).sum()), len(low)
 
 
+def to_characters(text: bytes, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans moved out to the limits of UTF-8 characters, so that no two halves of characters can meet."""
+    if not len(low):
+        return low, high
+    inside = np.append((np.frombuffer(text, np.uint8) & 0xC0) == 0x80, False)
+    low, high = low.copy(), high.copy()
+    for _ in range(3):
+        low -= inside[low]
+        high += inside[high]
+    return low, high
+
+
 def with_spans(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     """``row`` (a struct of the columns ``keep``), ``text`` and ``spans``, the repeated intervals of the text."""
     rows = identified(docs, id_col, text_col, keep)
@@ -396,8 +408,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     @F.arrow_udf("string")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        each = zip(texts, _structs(spans, ("low", "high")))
-        return pa.array([_cut(t.as_py().encode("utf-8", "surrogatepass"), low, high)[0].decode("utf-8", "ignore") for t, (low, high) in each], pa.string())
+        out = []
+        for text, (low, high) in zip(texts, _structs(spans, ("low", "high"))):
+            raw = text.as_py().encode("utf-8", "surrogatepass")
+            out.append(_cut(raw, *to_characters(raw, low, high))[0].decode("utf-8"))
+        return pa.array(out, pa.string())
 
     rows = with_spans(docs, id_col, text_col, docs.columns)
     return rows.select(*[cut("text", "spans").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
