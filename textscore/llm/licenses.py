@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -60,6 +63,23 @@ def word_end(joined: str, at: int) -> int:
     return len(joined) if end < 0 else end
 
 
+def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that touch as one."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(spans):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
+
+
+def meets(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether one of the spans, which are in order and apart, overlaps."""
+    k = bisect_left(spans, (end,))
+    return k > 0 and spans[k - 1][1] > start
+
+
 class Notices:
     """Notices with their seeds in one automaton and a bounded-error pattern each.
 
@@ -112,25 +132,27 @@ class Notices:
             start = end + 1 - size
             for i, offset in places:
                 k = self.edits[i]
-                low, high = start - offset - k - 1, start - offset + len(self.notices[i][1]) + k + 1
-                spans = windows.setdefault(i, [])
-                if spans and low <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], high)
-                else:
-                    spans.append([low, high])
+                windows.setdefault(i, []).append((start - offset - k - 1, start - offset + len(self.notices[i][1]) + k + 1))
         found: list[tuple[int, int, int, int]] = []
         for i, spans in windows.items():
-            for low, high in spans:
+            for low, high in joined_spans(spans):
                 found += self.places(i, joined, max(0, low), word_end(joined, high))
+        if not found:
+            return []
+        blanks = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4") == 32)
         hits: list[Hit] = []
-        taken: list[tuple[int, int, int, str]] = []
-        for edits, start, end, i in sorted(found):
-            label, text = self.notices[i]
-            if any(start < b and a < end and (edits > e or label == other) for a, b, e, other in taken):
-                continue
-            taken.append((start, end, edits, label))
-            first = joined.count(" ", 0, start)
-            hits.append(Hit(label, first, first + joined.count(" ", start, end), edits, len(text)))
+        better: list[tuple[int, int]] = []  # taken with fewer edits, apart from each other
+        own: dict[str, list[tuple[int, int]]] = {}  # taken by label, apart from each other and in order
+        for edits, group in groupby(sorted(found), key=lambda f: f[0]):
+            for _, start, end, i in group:
+                label, text = self.notices[i]
+                mine = own.setdefault(label, [])
+                if meets(better, start, end) or meets(mine, start, end):
+                    continue
+                insort(mine, (start, end))
+                first, last = np.searchsorted(blanks, (start, end)).tolist()
+                hits.append(Hit(label, first, last, edits, len(text)))
+            better = joined_spans([span for mine in own.values() for span in mine])
         return sorted(hits, key=lambda h: (h.first_word, h.label))
 
 
