@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textscore.llm.common import written, whole_text
 
@@ -16,7 +17,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-#: A rule rejects a text whose statistic lies above the cutoff. Candidates are fixed beforehand, as the bounds need.
+#: A rule rejects a text whose statistic lies above the cutoff. Candidates are fixed beforehand, as the bounds need: level 1
+#: takes the last cutoff of every rule, which rejects least, level 2 the one before, and so on.
 RULES = {
     "symbols_per_word": (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 1.0, 2.0),
     "exclaims_per_word": (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 1.0, 2.0),
@@ -25,16 +27,17 @@ RULES = {
     "adjacent_share": (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5),
     "upper_share": (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8),
 }
+LEVELS = len(RULES["repeat_share"])
 
 
 @dataclass(frozen=True)
 class Risk:
-    """False rejections of good texts: at most ``share`` by each rule in each stratum, all at confidence ``1 - delta``.
+    """False rejections of good texts: at most ``share`` by all rules together in each stratum, for all strata at confidence ``1 - delta``.
 
-    Among cutoffs that keep to this, a good text lost weighs as much as ``cost`` bad ones caught.
+    Among levels that keep to this, a good text lost weighs as much as ``cost`` bad ones caught.
     """
 
-    share: float = 0.01
+    share: float = 0.05
     delta: float = 0.05
     cost: int = 10
 
@@ -54,12 +57,12 @@ def statistics(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) ->
         F.length(F.translate(text, BLANK_CHARS, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.length(text) - F.length(F.translate(text, "!", ""))).cast("long").alias("n_exclaims"),
-        F.octet_length(F.regexp_replace(text, "[^\\p{Lu}]+", "")).cast("long").alias("upper_bytes"),
+        F.octet_length(F.regexp_replace(text, "[^\\p{Lu}]+", "")).cast("long").alias("upper_bytes"), F.xxhash64(text).alias("text_hash"),
     )
     words = F.col("words")
     window = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
     rows = rows.select(
-        *kept, "word_chars", "n_symbols", "n_exclaims", "upper_bytes", F.size(words).cast("long").alias("n_words"),
+        *kept, "text_hash", "word_chars", "n_symbols", "n_exclaims", "upper_bytes", F.size(words).cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1))).cast("long").alias("n_adjacent"),
@@ -103,28 +106,31 @@ def log_binomial_tail(rejected: Column, trials: Column, share: float) -> Column:
     return F.when(rejected >= trials, F.lit(0.0)).otherwise(F.aggregate(steps, start, add, lambda s: s.total))
 
 
-def cutoffs(labelled: DataFrame, stratum: str, label: str, risk: Risk = Risk()) -> DataFrame:
-    """Chosen cutoff of each rule in each stratum: ``stratum, rule, cutoff`` and the counts behind it.
+def over_level(level: int) -> Column:
+    """Whether any rule rejects at a level."""
+    return F.greatest(*[(F.col(rule) > values[-level]).cast("int") for rule, values in RULES.items()]) == 1
 
-    ``labelled`` has the statistics and the labels of the holdout. For each stratum, rule and candidate, the hypothesis "more than
-    ``risk.share`` of good texts are rejected" is tested by its exact binomial tail; a candidate is certified when the
-    tail is at most ``risk.delta`` divided by the number of all tests (Bonferroni), so that all certified cutoffs hold
-    together with confidence ``1 - risk.delta``. Of the certified ones the one with the most bad texts rejected, less
-    ``risk.cost`` for each good one, is taken, then the loosest. Where none is certified, as with few labels, the rule rejects nothing.
+
+def levels(labelled: DataFrame, stratum: str, label: str, risk: Risk = Risk()) -> DataFrame:
+    """The chosen level of each stratum that has one: ``stratum, level`` and the counts behind it.
+
+    ``labelled`` has the statistics and labels of the holdout, one row per text. For each stratum the hypotheses "the rules of this level
+    together reject more than ``risk.share`` of good texts" are tested from the loosest level on by their exact binomial tails, until
+    the first that cannot be rejected. In this fixed order each test may use the whole level of its stratum, ``risk.delta`` divided by the
+    number of strata (Bonferroni), so all certified levels hold together with confidence ``1 - risk.delta``. Of the
+    certified ones the one with the most bad texts rejected, less ``risk.cost`` for each good one, is taken, the loosest of equals.
     """
-    candidates = F.explode(F.array(*[
-        F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), (F.col(rule) > c).alias("over"))
-        for rule, values in RULES.items() for c in values])).alias("test")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), over_level(n).alias("over")) for n in range(1, LEVELS + 1)])).alias("test")
     good, over = F.col(label) == 1, F.col("test.over")
-    counted = labelled.select(stratum, label, candidates).groupBy(
-        F.col(stratum), F.col("test.rule").alias("rule"), F.col("test.cutoff").alias("cutoff")).agg(
+    counted = labelled.select(stratum, label, each).groupBy(F.col(stratum), F.col("test.level").alias("level")).agg(
         F.sum(good.cast("long")).alias("good"), F.sum((good & over).cast("long")).alias("good_over"),
         F.sum((~good & over).cast("long")).alias("bad_over"))
     strata = labelled.agg(F.count_distinct(F.coalesce(F.col(stratum).cast("string"), F.lit("")))).first()[0]
-    tests = max(1, strata) * sum(map(len, RULES.values()))
-    certified = counted.where(log_binomial_tail(F.col("good_over"), F.col("good"), risk.share) <= math.log(risk.delta / tests))
-    best = F.max_by(F.struct("cutoff", "good", "good_over", "bad_over"), F.struct(F.col("bad_over") - risk.cost * F.col("good_over"), F.col("cutoff")))
-    return certified.groupBy(stratum, "rule").agg(best.alias("best")).select(stratum, "rule", "best.*")
+    passed = log_binomial_tail(F.col("good_over"), F.col("good"), risk.share) <= math.log(risk.delta / max(1, strata))
+    looser = Window.partitionBy(stratum).orderBy("level").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    certified = counted.withColumn("passed", F.min(passed.cast("int")).over(looser)).where("passed = 1")  # a row a level
+    best = F.max_by(F.struct("level", "good", "good_over", "bad_over"), F.struct(F.col("bad_over") - risk.cost * F.col("good_over"), -F.col("level")))
+    return certified.groupBy(stratum).agg(best.alias("best")).select(stratum, "best.*")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -133,18 +139,18 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     Returns ``id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` (long), ``base_failed``, ``kept``
     and ``failed_rules`` (comma-joined names of the certified rules that reject). Null and empty texts have zeros and fail the base rules.
-    The stratum null is a stratum of its own. Ids without a label, labels without a text and labels other than 0 and 1 teach nothing;
-    a repeated id teaches once per row. Other columns of ``docs`` are left out. No rows give no rows; without labels only base rules reject.
+    The stratum null is a stratum of its own. Ids without a label, labels without a text and labels other than 0 and 1 teach nothing.
+    Copies of a text in a stratum are one trial, as trials must not depend on each other, and a good one if any label says so. Other columns of ``docs`` are left out. No rows give no rows; without labels only base rules reject.
     """
     counted = written(statistics(docs, id_col, text_col, [stratum_col]), "statistics")
     rows = with_rules(counted.withColumnRenamed(f"kept_{stratum_col}", "stratum"))
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
-    holdout = rows.where(~F.col("base_failed")).join(known, "id")
-    chosen = cutoffs(holdout, "stratum", "label", risk)
-    limits = chosen.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
-    limits = limits.select(F.col("stratum").alias("of"), *[F.col(r).alias(f"limit_{r}") for r in RULES])
-    failed = F.array_compact(F.array(*[F.when(F.col(r) > F.col(f"limit_{r}"), F.lit(r)) for r in RULES]))
-    judged = rows.join(limits, rows["stratum"].eqNullSafe(limits["of"]), "left").withColumn("failed", failed)
+    holdout = rows.where(~F.col("base_failed")).join(known, "id").groupBy("stratum", "text_hash").agg(
+        F.max("label").alias("label"), *[F.first(r).alias(r) for r in RULES])
+    chosen = levels(holdout, "stratum", "label", risk).select(F.col("stratum").alias("of"), "level")
+    failed = F.array_compact(F.array(*[
+        F.when(F.col(r) > F.get(F.array(*map(F.lit, reversed(values))), F.col("level") - 1), F.lit(r)) for r, values in RULES.items()]))
+    judged = rows.join(chosen, rows["stratum"].eqNullSafe(chosen["of"]), "left").withColumn("failed", failed)
     return judged.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"), F.array_join("failed", ",").alias("failed_rules"))

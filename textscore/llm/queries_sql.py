@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textscore.llm.quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, RULES, Risk
+from textscore.llm.quality_rules import LEVELS, MAX_REPEAT_PERCENT, MIN_WORDS, RULES, Risk
 
 NEAR_VECTORS = """
     WITH RECURSIVE v AS (
@@ -22,8 +22,8 @@ _BLANK = "[\\x20\\x09-\\x0D]"
 _WORD = "[^\\x20\\x09-\\x0D]"
 _RISK = Risk()
 _TESTS = " UNION ALL ".join(
-    f"SELECT lang, quality, '{rule}' AS rule, {c}::DOUBLE AS cutoff, {rule} > {c} AS over FROM holdout" for rule, values in RULES.items() for c in values)
-_FAILED = ", ".join(f"CASE WHEN {r} > (SELECT cutoff FROM chosen c WHERE c.rule = '{r}' AND c.lang IS NOT DISTINCT FROM s.lang) THEN '{r}' END" for r in RULES)
+    f"SELECT lang, quality, {n} AS level, {' OR '.join(f'{r} > {v[-n]}' for r, v in RULES.items())} AS over FROM holdout" for n in range(1, LEVELS + 1))
+_FAILED = ", ".join(f"CASE WHEN {r} > [{', '.join(map(str, reversed(v)))}][level] THEN '{r}' END" for r, v in RULES.items())
 
 QUALITY_RULES = f"""
     WITH texts AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
@@ -36,7 +36,7 @@ QUALITY_RULES = f"""
     repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM often, range(3) r(k) WHERE n > 1 GROUP BY doc_id),
     adjacent AS (SELECT doc_id, count(*) AS n FROM windows WHERE w0 = w1 GROUP BY doc_id),
     counts AS (
-        SELECT s.doc_id, lang, len(w) AS n_words, length(regexp_replace(t, '{_BLANK}+', '', 'g')) AS word_chars,
+        SELECT s.doc_id, lang, t, len(w) AS n_words, length(regexp_replace(t, '{_BLANK}+', '', 'g')) AS word_chars,
                length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, length(regexp_replace(t, '[^!]+', '', 'g')) AS n_exclaims,
                strlen(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) AS upper_bytes, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
                coalesce(r.n, 0) AS n_repeat_words, coalesce(a.n, 0) AS n_adjacent
@@ -47,19 +47,21 @@ QUALITY_RULES = f"""
                coalesce(n_adjacent / nullif(n_words, 0), 0) AS adjacent_share, coalesce(upper_bytes / nullif(word_chars, 0), 0) AS upper_share,
                n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed
         FROM counts),
-    holdout AS (SELECT s.*, quality FROM shares s JOIN labels USING (doc_id) WHERE NOT base_failed AND quality IN (0, 1)),
+    holdout AS (
+        SELECT lang, t, max(quality) AS quality, {', '.join(f'any_value({r}) AS {r}' for r in RULES)}
+        FROM shares JOIN labels USING (doc_id) WHERE NOT base_failed AND quality IN (0, 1) GROUP BY lang, t),
     tested AS (
-        SELECT lang, rule, cutoff, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 1 AND over) AS k,
-               count(*) FILTER (quality = 0 AND over) AS bad FROM ({_TESTS}) GROUP BY lang, rule, cutoff),
+        SELECT lang, level, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 1 AND over) AS k,
+               count(*) FILTER (quality = 0 AND over) AS bad FROM ({_TESTS}) GROUP BY lang, level),
     tails AS (
-        SELECT lang, rule, cutoff, bad - {_RISK.cost} * any_value(k) AS gain, CASE WHEN any_value(k) >= any_value(good) THEN 1 ELSE
+        SELECT lang, level, bad - {_RISK.cost} * any_value(k) AS gain, CASE WHEN any_value(k) >= any_value(good) THEN 1 ELSE
                sum(exp(lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + i * ln({_RISK.share}) + (good - i) * ln(1 - {_RISK.share}))) END AS p
-        FROM tested, LATERAL (SELECT unnest(range(0, k + 1)) AS i) GROUP BY lang, rule, cutoff, bad),
-    chosen AS (
-        SELECT lang, rule, cutoff FROM tails
-        WHERE p <= {_RISK.delta} / ((SELECT count(DISTINCT coalesce(lang, '')) FROM holdout) * {sum(map(len, RULES.values()))})
-        QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY gain DESC, cutoff DESC) = 1),
-    judged AS (SELECT *, list_filter([{_FAILED}], lambda x: x IS NOT NULL) AS failed FROM shares s)
+        FROM tested, LATERAL (SELECT unnest(range(0, k + 1)) AS i) GROUP BY lang, level, bad),
+    certified AS (
+        SELECT lang, level, gain, min(CASE WHEN p <= {_RISK.delta} / (SELECT count(DISTINCT coalesce(lang, '')) FROM holdout) THEN 1 ELSE 0 END)
+               OVER (PARTITION BY lang ORDER BY level) AS passed FROM tails),
+    chosen AS (SELECT lang, level FROM certified WHERE passed = 1 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY gain DESC, level) = 1),
+    judged AS (SELECT s.*, list_filter([{_FAILED}], lambda x: x IS NOT NULL) AS failed FROM shares s LEFT JOIN chosen c ON c.lang IS NOT DISTINCT FROM s.lang)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(failed) = 0 AS kept,
            array_to_string(failed, ',') AS failed_rules FROM judged"""
 
