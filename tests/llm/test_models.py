@@ -1,8 +1,10 @@
 import math
+import random
 
 import numpy as np
 import pytest
 
+from conftest import prose
 from textscore.llm import boosted, licenses, quality_model, quality_rules, toxicity
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -284,3 +286,98 @@ def test_binomial_tail_is_exact(spark):
 def test_rules_run_without_python(messy, labelled):
     plan = quality_rules.quality_rules(messy, labelled[1])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def edit_places(text, notice, most):
+    """Ends of all places within ``most`` edits, by the full table of distances."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(notice, 1):
+        before, row = row, [i]
+        for j, t in enumerate(text, 1):
+            row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (c != t)))
+    return [j for j, d in enumerate(row) if d <= most]
+
+
+def test_notices_with_equal_parts_are_found_wherever_edits_allow():
+    rng = random.Random(8)
+    known = licenses.Notices((("x", "abcdefabcdef"),))
+    assert [h.edits for h in known.find("abcdexabcdef")] == [1] and [h.edits for h in known.find("abcdefabcdxf")] == [1]
+    for _ in range(300):
+        part = "".join(rng.choice("ab ") for _ in range(rng.randrange(4, 9))).strip() or "ab"
+        notice = " ".join((part * 3 + "".join(rng.choice("abc") for _ in range(9))).split())
+        broken = list(notice)
+        for _ in range(rng.randrange(0, 4)):
+            broken[rng.randrange(len(broken))] = rng.choice("abcd")
+        text = " ".join(["".join(rng.choice("abc ") for _ in range(20)), "".join(broken), "cab"])
+        text = " ".join(text.split())
+        known = licenses.Notices((("x", notice),))
+        most = known.edits[0]
+        ends = [j for j in edit_places(text, notice, most) if j == len(text) or text[j] == " "]
+        starts = [j for j in edit_places(text[::-1], notice[::-1], most) if j == len(text) or text[len(text) - j - 1] == " "]
+        if known.find(text):
+            assert ends and starts
+        elif broken and sum(a != b for a, b in zip(broken, notice)) <= most and " ".join("".join(broken).split()) == "".join(broken):
+            raise AssertionError((notice, text))
+
+
+def test_many_notices_in_one_text_take_time_in_proportion():
+    import time
+
+    known, times = licenses.Notices(), []
+    for n in (1_000, 20_000):
+        text = " ".join(["released under the mit license", "all rights reserved by nobody"] * n)
+        start = time.process_time()
+        hits = known.find(text)
+        times.append(time.process_time() - start)
+        assert len(hits) == 2 * n and [h.first_word for h in hits[:4]] == [0, 5, 10, 15] and hits[-1].last_word == 10 * n - 3
+    assert times[1] < 60 * times[0] + 0.5
+
+
+def slow_statistics(text):
+    words = text.encode("utf-8", "surrogatepass").split()
+    pairs, windows = list(zip(words, words[1:])), list(zip(words, words[1:], words[2:]))
+    return [sum(a == b for a, b in pairs) / len(words), 1 - len(set(windows)) / len(windows) if windows else 0.0,
+            1 - len(set(pairs)) / len(pairs) if pairs else 0.0]
+
+
+def test_statistics_of_pairs_and_windows_equal_brute_force():
+    rng = random.Random(2)
+    at = [quality_model.FEATURES.index(f) for f in ("adjacent", "windows", "pairs")]
+    texts = ["a", "a a", "a b", "a a a", "a b a", "é é \n é b"] + [" ".join(rng.choice("abcde") for _ in range(n)) for n in (5, 40, 3000)] + [prose(4, 60_000)]
+    for text in texts:
+        assert [quality_model.text_statistics(text)[i] for i in at] == slow_statistics(text)
+
+
+def test_levels_are_certified_from_the_loosest_on(spark):
+    values = quality_rules.RULES
+    rows = []
+    for lang, good, bad, at in (("en", 400, 30, 3), ("de", 60, 9, 8), ("fr", 200, 5, 1), (None, 150, 20, 2)):
+        rows += [(lang, 1, 0.0)] * good + [(lang, 0, 9.0)] * bad  # symbols above every cutoff
+        rows += [(lang, 1, values["symbols_per_word"][-at] + 1e-6)] * (good // 8)  # good texts that levels from ``at`` on reject
+    columns = [n for n in values if n != "symbols_per_word"]
+    frame = spark.createDataFrame([(*r, *[0.0] * len(columns)) for r in rows], "lang string, label int, symbols_per_word double, " + ", ".join(f"{c} double" for c in columns))
+    got = {r["lang"]: r["level"] for r in quality_rules.levels(frame, "lang", "label").collect()}
+
+    def tail(k, n):
+        return sum(math.comb(n, i) * 0.05 ** i * 0.95 ** (n - i) for i in range(k + 1))
+
+    want = {}
+    for lang, good, bad, at in (("en", 400, 30, 3), ("de", 60, 9, 8), ("fr", 200, 5, 1), (None, 150, 20, 2)):
+        n, best = good + good // 8, None
+        for level in range(1, 9):
+            k = good // 8 if level >= at else 0
+            if tail(k, n) > 0.05 / 4:
+                break
+            best = max(best or (-math.inf, 0), (bad - 10 * k, -level))
+        if best:
+            want[lang] = -best[1]
+    assert got == want and want == {"en": 1, None: 1}
+
+
+def test_copies_are_one_trial(labelled):
+    docs, labels = labelled
+    more = docs.where("doc_id % 7 <> 0").limit(1).selectExpr("explode(sequence(20000, 29000)) AS doc_id", "text", "lang", "source", "n_chars")
+    known = more.selectExpr("doc_id", "1 AS quality", "0 AS toxic", "'y' AS text")
+    few = docs.where("doc_id < 40").select(more.columns)
+    got = quality_rules.quality_rules(few.unionByName(more), labels.where("doc_id < 40").unionByName(known))
+    assert got.where("failed_rules <> ''").count() == 0  # nine thousand copies of a good text certify nothing

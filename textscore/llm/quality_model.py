@@ -45,8 +45,10 @@ def text_statistics(text: str) -> list[float]:
     body = max(1, int(len(raw) - counts[_SPACES].sum()))
     lengths = np.fromiter(map(len, words), np.int64, n)
     often = Counter(words)
-    pairs = list(zip(words, words[1:]))
-    windows = list(zip(words, words[1:], words[2:]))
+    names = dict(zip(often, range(len(often))))
+    ids = np.fromiter(map(names.__getitem__, words), np.int64, n)
+    pair_of = np.unique(ids[:-1] * len(names) + ids[1:], return_inverse=True)
+    windows = np.unique(pair_of[1][:-1] * len(names) + ids[2:])
     lines = [x for x in raw.split(b"\n") if x.strip()]
     share = counts[counts > 0] / len(raw)
 
@@ -55,8 +57,8 @@ def text_statistics(text: str) -> list[float]:
 
     return [
         float(np.log1p(n)), float(lengths.mean()), float(lengths.std()), float(np.log1p(lengths.max())), len(often) / n,
-        max(often.values()) / n, sum(a == b for a, b in pairs) / n,
-        1 - len(set(windows)) / len(windows) if windows else 0.0, 1 - len(set(pairs)) / len(pairs) if pairs else 0.0,
+        max(often.values()) / n, int((ids[:-1] == ids[1:]).sum()) / n,
+        1 - len(windows) / (n - 2) if n > 2 else 0.0, 1 - len(pair_of[0]) / (n - 1) if n > 1 else 0.0,
         float(np.log1p(len(lines))), n / max(1, len(lines)), 1 - len(set(lines)) / max(1, len(lines)), of(_UPPER), of(_DIGITS),
         float(counts[_ENDS].sum()) / n, float(counts[_COMMAS].sum()) / n, float(counts[_SYMBOLS].sum()) / n, of(_BRACKETS),
         float(counts[33]) / n, float(counts[124]) / n, float(counts[128:].sum()) / body,
@@ -79,7 +81,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     sample = label_sample(labels, id_col, label_col, FOLDS, HELD_FOLD, MAX_TRAIN)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
     rows = rows.join(F.broadcast(sample), "id").select("id", "text", "label")  # at most MAX_TRAIN rows of two numbers
-    train = rows.mapInArrow(run, "id long, label int, x array<double>").limit(MAX_TRAIN).toPandas()  # ids may repeat
+    train = rows.mapInArrow(run, "id long, label int, x array<double>")
+    train = train.orderBy(F.xxhash64("id"), "id", "x").limit(MAX_TRAIN).toPandas()  # ids may repeat
     if not len(train):
         return None
     x, y = np.stack(train["x"].to_numpy()), train["label"].to_numpy().astype(float)

@@ -405,7 +405,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     rows = written(rows.join(F.broadcast(sample), "id").select("id", "text", "label"), "sample")  # at most MAX_TRAIN rows of two numbers
     lexicon = learn_lexicon(rows)
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)  # terms of at most MAX_TRAIN texts
-    train = rows.mapInArrow(run, "id long, label int, x array<double>").limit(MAX_TRAIN).toPandas()  # ids may repeat
+    train = rows.mapInArrow(run, "id long, label int, x array<double>")
+    train = train.orderBy(F.xxhash64("id"), "id", "x").limit(MAX_TRAIN).toPandas()  # ids may repeat
     dropped(rows)
     y = train["label"].to_numpy().astype(float)
     weights = np.zeros(len(FEATURES) + 1)

@@ -103,8 +103,8 @@ def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col:
 
     Rows that link with nothing: null id, null label, null or empty vector, null or non-finite component, all zeros. They have no
     links and are their own component (null, and kept false, for a null id). Vectors of different lengths do not
-    link. Rows that repeat an id count as copies of their vector; an id with several vectors is one node whose
-    links add up. Other columns are left out. No rows give no rows.
+    link. Rows that repeat id and vector count as copies of the vector. An id with several vectors has a row for each, with the
+    links and the component of that vector: ids do not tie vectors together. Other columns are left out. No rows give no rows.
     """
     vector = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), vector.alias("vector"))
