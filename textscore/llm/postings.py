@@ -64,12 +64,20 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, size: int = WINDO
 
 @dataclass(frozen=True)
 class PositionalIndex:
-    """``postings(row, pos, term)`` of the terms asked for, ``docs(row, id, n_words)``, ``frequency(term, total)``."""
+    """``postings(row, pos, term)`` of the terms asked for, ``docs(row, id, n_words)``, ``frequency(term, total)``.
 
+    The first two are views of ``table``.
+    """
+
+    table: DataFrame
     postings: DataFrame
     docs: DataFrame
     frequency: DataFrame
 
+    def drop(self) -> None:
+        dropped(self.table)
+        dropped(self.frequency)
+
 
 def positional_index(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> PositionalIndex:
     """One pass over the texts writes the postings of ``terms`` and one closing row per document with its number of words.
@@ -87,7 +95,7 @@ def positional_index(docs: DataFrame, terms: DataFrame, id_col: str, text_col: s
     postings = table.where("term IS NOT NULL").select("row", "pos", "term")
     ends = table.where("term IS NULL").select("row", "id", F.col("pos").cast("long").alias("n_words"))
     frequency = written(postings.groupBy("term").agg(F.count(F.lit(1)).alias("total")), "frequency")
-    return PositionalIndex(postings, ends, frequency)
+    return PositionalIndex(table, postings, ends, frequency)
 
 
 def ranked_slots(slots: DataFrame, frequency: DataFrame) -> DataFrame:
@@ -133,8 +141,11 @@ def phrase_places(index: PositionalIndex, slots: DataFrame, slop: int = 0) -> Da
     near = index.postings.join(at_most(long.select("row").distinct()), "row", "left_semi")
     found = intersect(long, rest, near, slop)
     short = paired.join(at_most(first.where("length = 2").select("window")), "window", "left_semi")
-    every = single.unionByName(short).unionByName(found)
-    return every.join(at_most(first.select("window", "length")), "window").select("row", "window", "start", "length")
+    every = single.unionByName(short).unionByName(found).join(at_most(first.select("window", "length")), "window")
+    matches = written(every.select("row", "window", "start", "length"), "matches")
+    for table in (ranked, single, paired):
+        dropped(table)
+    return matches
 
 
 def covered_words(places: DataFrame) -> DataFrame:
@@ -158,11 +169,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """
     windows = item_windows(items, item_col, item_text_col, size)
     index = positional_index(docs, windows.terms, id_col, text_col)
-    places = written(phrase_places(index, windows.slots, slop), "matches")
+    places = phrase_places(index, windows.slots, slop)
+    rows = written(index.docs, "documents")
+    index.drop()
     named = places.select("row", "window").distinct().join(at_most(windows.items), "window")
     named = named.groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("found"))
     hits = covered_words(places).join(named, "row")
-    rows = index.docs.join(hits, "row", "left")
+    rows = rows.join(hits, "row", "left")
     found = F.coalesce("found", F.array().cast("array<string>"))
     return rows.select(
         F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
