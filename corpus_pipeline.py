@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textscore.llm.common import table, written
+from textscore.llm.common import dropped, table, written
 from textscore.llm.packing import pack_documents
 from textscore.llm.quality_model import keep_good
 from textscore.llm.simhash import one_of_each
 from textscore.llm.suffixes import without_repeats
 from textscore.llm.toxicity import keep_civil
+from textscore.session import drop_scratch, scratch_mark
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +53,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole of ``documents``; each stage's result is a table in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the whole of ``documents``; each stage's result is a table in the shared folder.
+
+    What a stage wrote on its way goes when its result is there, and a result when the next one is.
+    """
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
+        mark = scratch_mark()
         docs = written(stage(spark, docs, sf_dir), name)
+        drop_scratch(spark, mark, docs.scratch_path)
+        if last is not None:
+            dropped(last)
+        last = docs
     return docs
