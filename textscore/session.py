@@ -69,6 +69,19 @@ def clear_scratch(spark: SparkSession) -> int:
     return gone
 
 
+def scratch_mark() -> int:
+    """A place in the list of this session's scratch paths, for :func:`drop_scratch`."""
+    return len(_paths)
+
+
+def drop_scratch(spark: SparkSession, mark: int, keep: str) -> None:
+    """Delete the scratch paths made since ``mark`` but ``keep``, when nothing reads them any more."""
+    for path in _paths[mark:]:
+        if path != keep:
+            delete_path(spark, path)
+    _paths[mark:] = [keep]
+
+
 def via_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to shared storage and read it back, cutting its lineage."""
     path = scratch_path(df.sparkSession, name)
