@@ -119,3 +119,12 @@ def test_label_modes(spark):
     assert [r.overall for r in labels.label_reviews(reviews, score_type="binary").collect()] == [0, 1]
     with pytest.raises(NotImplementedError):
         labels.label_reviews(reviews, score_type="standardized")
+
+
+def test_rows_without_a_group_are_scaled_too(spark):
+    rows = spark.createDataFrame([(1, "a", 2), (2, "a", 6), (3, None, 1), (4, None, 3), (5, None, None), (6, "b", 7)], "id int, g string, s int")
+    got = {r.id: (r.score_std, r.g) for r in labels.standardize_by_group(rows, "s", "g").collect()}
+    assert got == {1: (-1.0, "a"), 2: (1.0, "a"), 3: (-1.0, None), 4: (1.0, None), 5: (None, None), 6: (None, "b")}
+    assert {r.id: r.label for r in labels.standardize_binarize(rows, "s", "g").collect()} == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0, 6: 0}
+    plan = labels.standardize_by_group(rows, "s", "g")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

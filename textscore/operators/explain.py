@@ -266,15 +266,28 @@ def _escape(text: str) -> str:
     return text
 
 
-def marked_text(text: str, tokens: list[str], offsets: list[dict], colors: list[str | None], full: bool) -> str:
-    """The text with a coloured mark around each token that has a colour."""
+def marked_text(text: str, shown: list[str] | None, starts: list[int], ends: list[int], colors: list[str | None]) -> str:
+    """The text with a coloured mark around each token that has a colour.
+
+    ``shown`` stands in place of the tokens' own text; then nothing is escaped, and the last token is the end.
+    """
+    full = shown is None
+    escape = _escape if full and any(c in text for c in '&<>"') else str
     out, at = [], 0
-    for token, span, color in zip(tokens, offsets, colors):
-        inner = _escape(text[span["start"]:span["end"]]) if full else token
-        gap = text[at:span["start"]]
-        out += [_escape(gap) if full else gap, inner if color is None else f'{MARK_OPEN}{color}">{inner}{MARK_CLOSE}']
-        at = span["end"]
-    return "".join([*out, _escape(text[at:])] if full else out)
+    for i, (start, end, color) in enumerate(zip(starts, ends, colors)):
+        inner = escape(text[start:end]) if full else shown[i]
+        if at < start:
+            out.append(escape(text[at:start]))
+        out.append(inner if color is None else f'{MARK_OPEN}{color}">{inner}{MARK_CLOSE}')
+        at = end
+    if full:
+        out.append(escape(text[at:]))
+    return "".join(out)
+
+
+def _flat(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """Values of a batch of lists one after the other, and where each list ends; a null list is empty."""
+    return lists.flatten(), np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
 
 
 def highlight_html(docs: DataFrame, colored: DataFrame, id: str, x: str, mode: str = "full") -> DataFrame:
@@ -302,8 +315,18 @@ def highlight_lists(docs: DataFrame, x: str, colors: str = "colors", mode: str =
 
     @F.arrow_udf("string")
     def marked(text: pa.Array, tokens: pa.Array, offsets: pa.Array, shades: pa.Array) -> pa.Array:
-        return pa.array([marked_text(row[0].as_py(), *(v.as_py() or [] for v in row[1:]), full) if row[0].is_valid else ""
-                         for row in zip(text, tokens, offsets, shades)], pa.string())
+        spans, span_at = _flat(offsets)
+        starts, ends = (spans.field(f).to_pylist() for f in ("start", "end"))
+        colored, color_at = _flat(shades)
+        colored = colored.to_pylist()
+        shown, shown_at = _flat(tokens) if not full else (None, None)
+        shown = shown.to_pylist() if not full else None
+        out = []
+        for i, t in enumerate(text.to_pylist()):
+            here = slice(span_at[i], span_at[i + 1])
+            own = None if full else shown[shown_at[i]:shown_at[i + 1]]
+            out.append("" if t is None else marked_text(t, own, starts[here], ends[here], colored[color_at[i]:color_at[i + 1]]))
+        return pa.array(out, pa.string())
 
     return docs.withColumn("html", marked(F.col(x), F.col("tokens"), F.col("offsets"), F.col(colors)))
 

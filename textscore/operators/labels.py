@@ -117,16 +117,17 @@ def standardize_by_group(
 ) -> DataFrame:
     """Scale to [-1, 1] by the least and greatest score of the group.
 
-    A group with a single score value has no range and gives NULL. With
+    A group with a single score value has no range and gives NULL; rows without a group are a group of their own. With
     ``binarize`` the scaled score becomes 1 above that threshold, else 0, also where there is no range or no score.
     """
     columns = df.columns
-    limits = pin_small(df.groupBy(by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi")))
+    limits = pin_small(df.groupBy(F.col(by).alias("_of")).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi")))
     span = (F.col("_hi") - F.col("_lo")).cast("double")
     scaled = 2 * F.try_divide((F.col(col) - F.col("_lo")).cast("double"), span) - 1
     if binarize is not None:
         scaled = F.coalesce(scaled > binarize, F.lit(False)).cast("int")
-    return df.join(limits, by).select(*[c for c in columns if c != out], scaled.alias(out))
+    # A struct is never null, so the null group is joined like the others, by a hash join.
+    return df.join(limits, F.struct(df[by]) == F.struct(limits["_of"])).select(*[df[c] for c in columns if c != out], scaled.alias(out))
 
 
 def standardize_binarize(df: DataFrame, col: str, by: str, threshold: float = 0.0, out: str = "label") -> DataFrame:
