@@ -232,3 +232,21 @@ def test_a_colour_that_is_missing_moves_no_other(marked):
     whole = {r.doc: r.html for r in explain.highlight_html(docs, colored, "doc", "text").collect()}
     some = {r.doc: r.html for r in explain.highlight_html(docs, colored.where("pos <> 1"), "doc", "text").collect()}
     assert strip(some[1]) == strip(whole[1]) and some[1].count("<mark") == whole[1].count("<mark") - 1
+
+
+def test_frequent_tokens_have_copies_by_their_share(spark, monkeypatch):
+    rows = [(i, 0 if i % 3 == 0 else 1 + i % 4 if i % 3 == 1 else 10 + i) for i in range(9000)]
+    tokens = spark.createDataFrame(rows, "pos int, token_id int")
+    pieces = 4 * scoring.parallelism(spark)
+    copies = {r.token_id: r._copies for r in scoring.copies_of_frequent(tokens).collect()}
+    assert set(copies) == {0, 1, 2, 3, 4} and copies[0] == -(-pieces // 3)
+    monkeypatch.setattr(scoring, "VECTOR_NUMBERS", 3)
+    vecs = spark.createDataFrame([(t, [float(t), 1.0]) for t in {r[1] for r in rows}], "token_id int, v array<double>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = scoring.embed_tokens(tokens, vecs)
+        assert {(r.pos, r.token_id) for r in found.where("v[0] = token_id").collect()} == set(rows) and found.count() == 9000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    with pytest.raises(Exception, match="no vector for token id"):
+        scoring.embed_tokens(tokens, vecs.where("token_id <> 3")).collect()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from textscore.functions.text import PADDING_ID
 from textscore.functions.vectors import argmax, array_sum, dot, log_sum_exp, sum_vectors
 from textscore.operators.matrix import TokenMatrix, ids_of
-from textscore.session import parallelism
+from textscore.session import parallelism, via_table
 
 VECTOR_NUMBERS = 16_000_000
 
@@ -24,17 +24,32 @@ VECTOR_NUMBERS = 16_000_000
 def lookup_vectors(tokens: DataFrame, vecs: DataFrame, spread: Column) -> DataFrame:
     """Join token rows to their vectors on ``token_id``.
 
-    ``spread`` is any column that differs between occurrences of one token;
-    it picks the copy of the vector in the salted join. A token without a vector
-    fails, as leaving it out would change every mean it is part of.
+    ``spread`` is any column that differs between occurrences of one token; it picks the copy of the vector in the join
+    of a larger matrix, where a token has as many copies as its share of all rows asks for: one, unless it is
+    frequent. A token without a vector fails, as leaving it out would change every mean it is part of.
     """
     numbers = vecs.agg(F.sum(F.size("v"))).first()[0] or 0
     if numbers <= VECTOR_NUMBERS:
         return _with_vector(tokens.join(F.broadcast(vecs), "token_id", "left"))
-    salts = min(64, parallelism(tokens.sparkSession))
-    copies = vecs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = tokens.withColumn("_salt", F.pmod(F.hash(spread), F.lit(salts)))
-    return _with_vector(salted.join(copies, ["token_id", "_salt"], "left").drop("_salt"))
+    copies = F.broadcast(copies_of_frequent(tokens))
+    one = F.coalesce("_copies", F.lit(1))
+    copied = vecs.join(copies, "token_id", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_copies")
+    salted = tokens.join(copies, "token_id", "left").withColumn("_salt", F.pmod(F.hash(spread), one)).drop("_copies")
+    return _with_vector(salted.join(copied, ["token_id", "_salt"], "left").drop("_salt"))
+
+
+def copies_of_frequent(tokens: DataFrame) -> DataFrame:
+    """``token_id, _copies`` of the tokens that hold more than a quarter of a partition's fair share of all rows.
+
+    Counts are combined on the map side. There are at most ``4 * parallelism`` such tokens, whatever the size of the table.
+    """
+    spark = tokens.sparkSession
+    counts = tokens.groupBy("token_id").agg(F.count(F.lit(1)).alias("n")).where("token_id IS NOT NULL")
+    pieces = 4 * parallelism(spark)
+    shares = via_table(counts, "token-counts")
+    rows = shares.agg(F.sum("n")).first()[0] or 0
+    frequent = shares.where(F.col("n") * pieces > rows).select("token_id", F.ceil(F.col("n") * pieces / F.lit(max(1, rows))).cast("int").alias("_copies"))
+    return spark.createDataFrame(frequent.collect(), frequent.schema)
 
 
 def _with_vector(rows: DataFrame) -> DataFrame:
