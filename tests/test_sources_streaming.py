@@ -183,3 +183,35 @@ def test_spread_small(spark):
     assert spread_small(spark.range(45, numPartitions=1), "id").rdd.getNumPartitions() == 2
     many = spark.range(100, numPartitions=5 * cores)
     assert spread_small(many, "id") is many
+
+
+def test_json_arrays_are_cut_anywhere(spark, tmp_path):
+    import json
+
+    from textscore.sources.arrays import read_json_arrays
+
+    odd = ['plain', '"', '\\', '\\"', '}', '{', '"}, {"', '\\\\"}', "}{" * 5, "é}漢", "", None, '[{"a": 1}]', "\n}\n"]
+    rows = [{"t": odd[i % len(odd)], "n": {"x": i, "deep": {"y": odd[(i * 5) % len(odd)]}}, "i": i} for i in range(40)]
+    schema = spark.createDataFrame([], "t string, n struct<x:int,deep:struct<y:string>>, i int").schema
+    folder = tmp_path / "arrays"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps(rows), encoding="utf-8")
+    (folder / "b.json").write_text(json.dumps(rows[:7], indent=3, ensure_ascii=False), encoding="utf-8")
+    (folder / "c.json").write_text("[]")
+    (folder / "d.json").write_text(json.dumps(rows[3]))
+    (folder / "e.json").write_text("")
+    want = sorted(map(repr, spark.read.schema(schema).option("multiLine", True).json(str(folder)).where("i is not null").collect()))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for size in (1 << 20, 301, 97, 31):
+            spark.conf.set(names[0], str(size))
+            spark.conf.set(names[1], "1")
+            found = read_json_arrays(spark, [str(folder)], schema)
+            got = found.collect()
+            assert sorted(repr(r.__class__(**{k: r[k] for k in ("t", "n", "i")})) for r in got) == want, size
+            order = [r["i"] for r in sorted((r for r in got if r["_file"].endswith("a.json")), key=lambda r: (r["_block"], r["_line"]))]
+            assert order == list(range(40))
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)

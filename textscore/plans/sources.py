@@ -129,6 +129,18 @@ def load_essays_json(spark, d):
     return readers.load_essays_json(spark, {"valid": path}, arrays=False)
 
 
+@query("load_essays_json_arrays", "SELECT *, 'valid' AS split FROM v_essays_clean")
+def load_essays_json_arrays(spark, d):
+    """The default form: JSON arrays, each dealt over tasks as its size asks for."""
+    path = scratch_path(spark, "essays")
+    rows = views.essays_raw(spark, d)
+    size = rows.agg(F.sum(F.octet_length("essay") + 64)).first()[0] or 0
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("essay_id"), F.lit(1 + size // ARRAY_BYTES)))
+    arrays = dealt.groupBy("part").agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    arrays.write.partitionBy("part").text(path)
+    return readers.load_essays_json(spark, {"valid": path})
+
+
 @query("read_gzip_jsonl", "SELECT reviewText, overall::DOUBLE AS overall FROM v_reviews")
 def read_gzip_jsonl(spark, d):
     path = scratch_path(spark, "reviews")

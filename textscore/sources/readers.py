@@ -13,6 +13,7 @@ from textscore.operators.clean import (
 )
 from textscore.operators.selection import RowOrder, keep_first, positions
 from textscore.session import parallelism
+from textscore.sources.arrays import read_json_arrays
 from textscore.sources.schemas import ESSAY_SCHEMA, REVIEW_SCHEMA
 
 # The review categories and the ones used if none are named.
@@ -31,8 +32,8 @@ DEFAULT_CATEGORIES = (
 )
 
 
-def _category(pattern: str) -> Column:
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+def _category(pattern: str, file: str = "_metadata.file_path") -> Column:
+    path = F.url_decode(F.replace(F.col(file), F.lit("+"), F.lit("%2B")))
     return F.regexp_extract(path, pattern, 1)
 
 
@@ -53,9 +54,12 @@ def _indexed(placed: DataFrame, index: str | None) -> DataFrame:
     return placed.drop("_file", "_block", "_line")
 
 
-def _read_reviews(spark, paths, schema: T.StructType, pattern: str, index: str | None, **options) -> DataFrame:
-    rows = _placed(spark.read.schema(schema).options(**options).json(list(paths)))
-    rows = rows.withColumn("type", _category(pattern)).where(F.col("type") != "")
+def _read_reviews(spark, paths, schema: T.StructType, pattern: str, index: str | None, arrays: bool = False) -> DataFrame:
+    if arrays:
+        rows = read_json_arrays(spark, paths, schema).withColumn("type", _category(pattern, "_file"))
+    else:
+        rows = _placed(spark.read.schema(schema).json(list(paths))).withColumn("type", _category(pattern))
+    rows = rows.where(F.col("type") != "")
     return _indexed(drop_incomplete(rows, ["reviewText", "overall"]), index)
 
 
@@ -65,14 +69,14 @@ def load_reviews(
 ) -> DataFrame:
     """Reviews from ``<category>.json`` files or folders of such name.
 
-    ``arrays`` reads a file as one JSON array; such a file cannot be split, so
-    for large input store newline JSON and pass ``arrays=False``. Files whose
+    ``arrays`` reads a file as one JSON array, by as many tasks as its size asks for; ``arrays=False`` takes newline JSON, in
+    a single pass. Files whose
     second name part is not ``json`` are left out, as are rows without text or
     score. ``index`` names a column that numbers the rows from 0 in the order of files and lines;
     ``schema`` names the fields to keep, ``ALL_REVIEW_SCHEMA`` all of them.
     """
     return _read_reviews(
-        spark, paths, schema, r"/(?:[^/=]+=)?([^/.=]+)\.json(?:\.gz)?(?:/|$)", index, multiLine=str(arrays).lower()
+        spark, paths, schema, r"/(?:[^/=]+=)?([^/.=]+)\.json(?:\.gz)?(?:/|$)", index, arrays
     )
 
 
@@ -155,7 +159,7 @@ def load_essays_json(
     Scores stay as they are; binning or scaling is chosen afterwards.
     """
     def read(path: str) -> DataFrame:
-        return spark.read.schema(schema).option("multiLine", arrays).json(path)
+        return read_json_arrays(spark, [path], schema).drop("_file", "_block", "_line") if arrays else spark.read.schema(schema).json(path)
 
     return union_sources(*[
         clean_essays(read(path)).withColumn("split", F.lit(name)) for name, path in paths.items()
