@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from textscore.session import delete_path, scratch_path
@@ -32,8 +32,9 @@ EDGE = chr(sys.maxunicode)
 FIRST_PAIRS = 8
 MAX_RUNS = 100_000
 MAX_PAIRS = 1_000_000
-WORDS_PER_PART = 200_000
+WORDS_PER_PART = 2_000_000
 MAX_GENERATIONS = 64
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 RUNS_PER_TASK = 200_000
 
 
@@ -114,13 +115,14 @@ class PairTotals:
 # ---------------------------------------------------------------- the index
 
 class PairIndex:
-    """Words under each of their pairs, in parts by a hash of the pair, as generations of files.
+    """Words in the parts that their pairs fall into by a hash, as generations of files.
 
-    A word that changed is written again under all pairs it has now, and with a null under those it lost; the latest
-    entry of a word counts. A lookup reads the parts of the pairs it asks for. Words of one symbol have no entries.
+    A word that changed is written again into all parts it belongs to now, and as a null into those it left; the latest entry
+    of a word counts. A lookup reads the parts of the pairs it asks for. A small table is one part, so its words are
+    held once. Words of one symbol have no entries.
     """
 
-    SCHEMA = "pair string, wid long, s string, n long, gen int, part int"
+    SCHEMA = "wid long, s string, n long, gen int, part int"
 
     def __init__(self, words: DataFrame):
         self.spark: SparkSession = words.sparkSession
@@ -128,19 +130,28 @@ class PairIndex:
         base = f"{self.root}-words"
         words.where(F.length("s") >= 2).select(F.monotonically_increasing_id().alias("wid"), "s", "n").write.parquet(base)
         self.words = self.spark.read.schema("wid long, s string, n long").parquet(base)
-        self.parts = 1 + self.words.count() // WORDS_PER_PART
-        self.generations = 0
+        self.base = self.words.count()
+        self.parts = 1 + self.base // WORDS_PER_PART
+        self.generations, self.changed = 0, -self.base
         self.append(self.words.withColumn("old", F.lit("")))
 
-    def append(self, words: DataFrame) -> None:
-        """Write changed words, ``wid, s, n, old``, as one generation."""
-        every = F.array_union(pairs_of(F.col("s")), pairs_of(F.col("old")))
-        rows = words.select("wid", "s", "n", F.explode(every).alias("pair"))
-        live = F.contains("s", "pair")
-        rows = rows.select("pair", "wid", F.when(live, F.col("s")).alias("s"), F.when(live, F.col("n")).alias("n"),
-                           F.pmod(F.crc32(F.col("pair").cast("binary")), F.lit(self.parts)).cast("int").alias("part"))
-        rows.sortWithinPartitions("part", "pair").write.partitionBy("part").parquet(f"{self.root}/gen={self.generations}")
+    def _parts(self, s: Column) -> Column:
+        if self.parts == 1:
+            return F.when(F.length(s) >= 2, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(pairs_of(s), lambda p: F.pmod(F.crc32(p.cast("binary")), F.lit(self.parts)).cast("int")))
+
+    def append(self, words: DataFrame) -> int:
+        """Write changed words, ``wid, s, n, old``, as one generation. Gives their number."""
+        seen = Observation()
+        words = words.observe(seen, F.count(F.lit(1)).alias("words"))
+        words = words.withColumns({"now": self._parts(F.col("s")), "before": self._parts(F.col("old"))})
+        rows = words.select("wid", "s", "n", "now", F.explode(F.array_union("now", "before")).alias("part"))
+        live = F.array_contains("now", F.col("part"))
+        rows = rows.select("wid", F.when(live, F.col("s")).alias("s"), F.when(live, F.col("n")).alias("n"), "part")
+        rows.write.partitionBy("part").parquet(f"{self.root}/gen={self.generations}")
         self.generations += 1
+        self.changed += seen.get["words"]
+        return seen.get["words"]
 
     def _latest(self, entries: DataFrame) -> DataFrame:
         age = 2 * F.col("gen") + F.col("s").isNotNull().cast("int")
@@ -153,7 +164,7 @@ class PairIndex:
     def lookup(self, pairs: list[str]) -> DataFrame:
         """Words that hold any of the pairs, as they are now: ``wid, s, n``."""
         parts = sorted({zlib.crc32(p.encode()) % self.parts for p in pairs})
-        return self._latest(self.entries().where(F.col("part").isin(parts) & F.col("pair").isin(pairs)))
+        return self._latest(self.entries().where(F.col("part").isin(parts))).mapInArrow(_holding(pairs), "wid long, s string, n long")
 
     def totals(self) -> PairTotals:
         """Count all pairs of the words as first written."""
@@ -175,29 +186,55 @@ class PairIndex:
 
 # ---------------------------------------------------------------- runs
 
+class Hits:
+    """Where any of some pairs stand in a batch of words, which are held as one string."""
+
+    def __init__(self, words: list[str], pairs: np.ndarray):
+        self.joined = EDGE + EDGE.join(words) + EDGE
+        codes = np.frombuffer(self.joined.encode("utf-32-le"), "<u4").astype(np.int64)
+        self.hit = np.isin((codes[:-1] << 21) + codes[1:], pairs)
+        self.word = np.cumsum(codes == ord(EDGE)) - 1
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the runs of symbols that stand in any of the pairs."""
+        active = np.zeros(len(self.hit) + 2, bool)
+        active[:-2] |= self.hit
+        active[1:-1] |= self.hit
+        edges = np.flatnonzero(np.diff(active.astype(np.int8)))
+        return edges[::2] + 1, edges[1::2] + 1
+
+
+def _codes(pairs: list[str]) -> np.ndarray:
+    return np.array([(ord(a) << 21) + ord(b) for a, b in pairs], np.int64)
+
+
+def _holding(pairs: list[str]):
+    """Words that hold any of the pairs."""
+    wanted = _codes(pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = Hits(batch.column("s").to_pylist(), wanted)
+            yield batch.take(pa.array(np.unique(hits.word[:-1][hits.hit])))
+
+    return run
+
+
 def _runs_of(pairs: list[str]):
     """Runs of symbols that stand in any of the pairs, with the symbol on either side, and how often each occurs.
 
     What the pairs' merges do depends on these runs only: symbols beside a run stay as they are.
     """
-    wanted = np.array([(ord(a) << 21) + ord(b) for a, b in pairs], np.int64)
+    wanted = _codes(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for batch in batches:
-            words = batch.column("s").to_pylist()
-            joined = EDGE + EDGE.join(words) + EDGE
-            codes = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.int64)
-            hit = np.isin((codes[:-1] << 21) + codes[1:], wanted)
-            active = np.zeros(len(codes) + 1, bool)
-            active[:-2] |= hit
-            active[1:-1] |= hit
-            edges = np.flatnonzero(np.diff(active.astype(np.int8)))
-            starts, ends = edges[::2] + 1, edges[1::2] + 1
-            word = np.cumsum(codes == ord(EDGE))[starts] - 1
-            n = batch.column("n").to_numpy(zero_copy_only=False)[word]
+            hits = Hits(batch.column("s").to_pylist(), wanted)
+            starts, ends = hits.runs()
+            n = batch.column("n").to_numpy(zero_copy_only=False)[hits.word[starts]]
             for a, z, times in zip(starts.tolist(), ends.tolist(), n.tolist()):
-                found[joined[a - 1:z + 1]] += times
+                found[hits.joined[a - 1:z + 1]] += times
             if len(found) > RUNS_PER_TASK:
                 yield pa.RecordBatch.from_pydict({"run": pa.array(found.keys(), pa.string()), "n": pa.array(found.values(), pa.int64())})
                 found = Counter()
@@ -281,6 +318,17 @@ def _merged(merges: list[tuple[str, str]]):
 
 
 def train(words: DataFrame, symbols: Symbols, vocab_size: int, progress: list | None = None) -> None:
+    """:func:`_train`, with shuffle files deleted as soon as a job has ended: rounds make many and read none again."""
+    conf = words.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP)
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        _train(words, symbols, vocab_size, progress)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
+
+
+def _train(words: DataFrame, symbols: Symbols, vocab_size: int, progress: list | None) -> None:
     """Grow the vocabulary to ``vocab_size`` tokens from ``words`` (``s``, ``n``).
 
     A round looks up the words that hold one of the most frequent pairs, counts their runs, and fetches those, a bounded number; the
@@ -294,10 +342,12 @@ def train(words: DataFrame, symbols: Symbols, vocab_size: int, progress: list |
     while len(symbols.tokens) < vocab_size:
         best = totals.best()
         low = totals.floor and (best is None or totals.totals[best] <= totals.floor)
-        if not counted and (stale or low) or index.generations >= MAX_GENERATIONS:
+        if not counted and (stale or low):
             index = index.compacted()
             totals, counted = index.totals(), True
             best = totals.best()
+        elif index.changed > index.base or index.generations >= MAX_GENERATIONS:
+            index = index.compacted()
         if best is None:
             break
         pairs = totals.top(wanted)
@@ -307,9 +357,9 @@ def train(words: DataFrame, symbols: Symbols, vocab_size: int, progress: list |
         wanted = 2 * len(pairs) if len(found) < MAX_RUNS // 4 else len(pairs)
         merged, stale = merge_runs(found, pairs, totals, symbols, vocab_size)
         changed = read.mapInArrow(_merged(merged), "wid long, s string, n long, old string")
-        index.append(changed)
+        written = index.append(changed)
         counted = False
         if progress is not None:
-            progress.append((len(symbols.merges), read.count(), changed.count()))
+            progress.append((len(symbols.merges), read.count(), written))
         read.unpersist()
     index.drop()
