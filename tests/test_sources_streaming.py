@@ -215,3 +215,48 @@ def test_json_arrays_are_cut_anywhere(spark, tmp_path):
     finally:
         for n, v in before.items():
             spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("ends", ["\n", "\r\n"])
+def test_quoted_tables_are_cut_anywhere(spark, tmp_path, ends):
+    from textscore.sources.quoted import read_quoted
+
+    odd = ["plain", '"two\nlines"', '"a ""quoted"" word"', '""', "", 'an inch: 5" wide', '"tab\there"', '"\n\n"', '"caf\xe9\n""\n""x"',
+           '"ends in a quote"""', '"""starts"', " blank ", '"x\n\ty\n"', "'single'", '"loose" end', '"\r\n"']
+    rows = [f"{i}\t{odd[i % len(odd)]}\t{odd[(i * 7 + 3) % len(odd)]}" for i in range(60)]
+    folder = tmp_path / "tables"
+    folder.mkdir()
+
+    def put_rows(name, rows, end=ends):
+        (folder / name).write_bytes(ends.join(rows).encode("latin-1") + (ends if end else "").encode())
+
+    put_rows("a.tsv", ["i\tt\tu", *rows])
+    put_rows("b.tsv", ["", 'i\t"t\nu"\tu', "", *rows[:9], "", "7\tx", *rows[3:5]], end="")
+    put_rows("c.tsv", ["i\tt\tu"])
+    put_rows("d.tsv", [])
+    schema = spark.createDataFrame([], "i int, t string, u string").schema
+    want = sorted(map(repr, spark.read.schema(schema).csv(
+        str(folder), sep="\t", header=True, encoding="ISO-8859-1", multiLine=True, quote='"', escape='"').collect()))
+    assert len(want) == 60 + 12
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for size in (1 << 20, 211, 53, 17):
+            spark.conf.set(names[0], str(size))
+            spark.conf.set(names[1], "1")
+            got = read_quoted(spark, str(folder), schema).collect()
+            assert sorted(repr(r.__class__(**{k: r[k] for k in ("i", "t", "u")})) for r in got) == want, size
+            order = [r["i"] for r in sorted((r for r in got if r["_file"].endswith("a.tsv")), key=lambda r: (r["_block"], r["_line"]))]
+            assert order == list(range(60))
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
+def test_open_cells_at_every_byte():
+    from textscore.sources.quoted import open_after
+
+    for line, plain, quoted in [(b"", False, True), (b"a\tb", False, True), (b'"a', True, False), (b'a"', False, False), (b'a\t"b', True, False),
+                                (b'a\t""', False, True), (b'"a"\t"b', True, True), (b'"a"x"\ty', False, False), (b'x""y', False, True),
+                                (b'"', True, False), (b'""', False, True), (b'"""', True, False), (b'\t\t"', True, False), (b'"\t"z', True, True)]:
+        assert (open_after(line, False), open_after(line, True)) == (plain, quoted), line

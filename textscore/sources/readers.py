@@ -14,6 +14,7 @@ from textscore.operators.clean import (
 from textscore.operators.selection import RowOrder, keep_first, positions
 from textscore.session import parallelism
 from textscore.sources.arrays import read_json_arrays
+from textscore.sources.quoted import read_quoted
 from textscore.sources.schemas import ESSAY_SCHEMA, REVIEW_SCHEMA
 
 # The review categories and the ones used if none are named.
@@ -121,23 +122,15 @@ def load_essays(
     spark: SparkSession, train: str | None = None, valid: str | None = None, test: str | None = None,
     schema: T.StructType = ESSAY_SCHEMA, index: str | None = None,
 ) -> DataFrame:
-    """Essay tables from TSV with a header, marked by column ``split``.
+    """Essay tables from TSV with a header, marked by column ``split``; a file is read by as many tasks as its size asks for.
 
     The training part is cleaned and its score is binned; the others are kept as
     they are, as numbers where they are numbers. ``index`` names a column that numbers the rows of
     each part from 0, after cleaning.
     """
-    def read(path: str) -> DataFrame:
-        return spark.read.schema(schema).csv(
-            path, sep="\t", header=True, encoding="ISO-8859-1", multiLine=True, quote='"', escape='"'
-        )
-
     def numbered(path: str, clean) -> DataFrame:
-        rows = read(path)
-        if not index:
-            return clean(rows)
-        keep = ["_file", "_block", "_line"]
-        return _indexed(clean(_placed(rows), keep), index)
+        rows, places = read_quoted(spark, path, schema), ["_file", "_block", "_line"]
+        return _indexed(clean(rows, places), index) if index else clean(rows.drop(*places))
 
     parts = []
     if train:
