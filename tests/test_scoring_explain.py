@@ -250,3 +250,71 @@ def test_frequent_tokens_have_copies_by_their_share(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     with pytest.raises(Exception, match="no vector for token id"):
         scoring.embed_tokens(tokens, vecs.where("token_id <> 3")).collect()
+
+
+def two_layers(rng):
+    """A network with attention over tokens and a hidden layer; the gradient by hand, checked against differences below."""
+    a, u, v = rng.normal(size=DIM), rng.normal(size=(5, DIM)), rng.normal(size=(K, 5))
+
+    def network(x, mask, target):
+        weight = np.where(mask, np.exp(np.tanh(x @ a)), 0.0)
+        share = weight / weight.sum(axis=1, keepdims=True)
+        pooled = np.einsum("ij,ijk->ik", share, x)
+        hidden = np.tanh(pooled @ u.T)
+        z = hidden @ v.T
+        if target is None:
+            return z, None
+        back = ((1 - hidden ** 2) * v[target]) @ u
+        each = np.einsum("ik,ijk->ij", back, x)
+        by_score = share * (each - (share * each).sum(axis=1, keepdims=True)) * (1 - np.tanh(x @ a) ** 2)
+        return z, share[:, :, None] * back[:, None, :] + by_score[:, :, None] * a
+
+    return network
+
+
+def test_scores_of_a_callers_network(world, spark, monkeypatch):
+    from textscore.plans.scoring import mean_pool_network
+
+    e, w, b, seqs, docs, vecs, weights = world
+    exact = {(r.doc, r.pos): r.score for r in explain.ig_scores(docs, "doc", "ids", vecs, weights, DIM).collect()}
+    for bound in (explain.PADDED_NUMBERS, 1, 60):
+        monkeypatch.setattr(explain, "PADDED_NUMBERS", bound)
+        scored = explain.network_scores(docs, "ids", vecs, mean_pool_network(w, b), DIM)
+        got = {(r.doc, r.pos): r.score for r in explain.explode_scores(scored, "doc", "ids").collect()}
+        assert got.keys() == exact.keys()
+        for place, score in got.items():
+            assert score == pytest.approx(exact[place], abs=1e-9)
+
+    rng = np.random.default_rng(11)
+    network = two_layers(rng)
+    x, mask = rng.normal(size=(2, 4, DIM)), np.array([[1, 1, 1, 1], [1, 1, 0, 0]], bool)
+    target, step = np.array([0, 2]), 1e-6
+    slope = network(x, mask, target)[1]
+    for place in [(0, 0, 0), (0, 3, 2), (1, 1, 5), (1, 2, 1)]:
+        up, down = x.copy(), x.copy()
+        up[place] += step
+        down[place] -= step
+        change = (network(up, mask, None)[0] - network(down, mask, None)[0])[place[0], target[place[0]]] / (2 * step)
+        assert slope[place] == pytest.approx(change, abs=1e-6)
+    scored = explain.network_scores(docs, "ids", vecs, network, DIM)
+    rows = explain.network_completeness(scored, "doc", DIM).collect()
+    assert len(rows) == len(seqs)
+    for r in rows:
+        assert r.attributed == pytest.approx(r.gain, abs=1e-6)
+
+
+def test_callers_network_without_tokens_and_with_named_classes(world, spark):
+    from textscore.plans.scoring import mean_pool_network
+
+    e, w, b, _, _, vecs, _ = world
+    docs = spark.createDataFrame([(0, [1, 2]), (1, []), (2, None), (3, [5])], "doc int, ids array<int>")
+    network = mean_pool_network(w, b)
+    rows = {r.doc: r for r in explain.network_scores(docs, "ids", vecs, network, DIM).collect()}
+    assert [len(rows[i].scores) for i in range(4)] == [2, 0, 0, 1]
+    assert rows[1].z is None and rows[2].y_pred is None
+    named = explain.network_scores(docs.withColumn("y_pred", F.lit(2)), "ids", vecs, network, DIM)
+    for r in explain.network_completeness(named, "doc", DIM).collect():
+        assert r.attributed == pytest.approx(logits(e, w, b, {0: [1, 2], 3: [5]}[r.doc])[2] - b[2])
+    with pytest.raises(Exception, match="gradient has shape"):
+        explain.network_scores(docs, "ids", vecs, lambda x, m, t: (np.zeros((len(x), K)), np.zeros((len(x), DIM))), DIM).collect()
+    assert explain.network_scores(docs.limit(0), "ids", vecs, network, DIM).collect() == []

@@ -258,5 +258,5 @@ def test_open_cells_at_every_byte():
 
     for line, plain, quoted in [(b"", False, True), (b"a\tb", False, True), (b'"a', True, False), (b'a"', False, False), (b'a\t"b', True, False),
                                 (b'a\t""', False, True), (b'"a"\t"b', True, True), (b'"a"x"\ty', False, False), (b'x""y', False, True),
-                                (b'"', True, False), (b'""', False, True), (b'"""', True, False), (b'\t\t"', True, False), (b'"\t"z', True, True)]:
+                                (b'"', True, False), (b'""', False, True), (b'"""', True, False), (b'\t\t"', True, False), (b'"\t"z', False, True)]:
         assert (open_after(line, False), open_after(line, True)) == (plain, quoted), line

@@ -8,6 +8,8 @@ dimensions of ``e * w * tanh(m) / (m T)``; at ``m = 0`` the fraction is 1.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,6 +29,10 @@ from textscore.session import via_table
 RED, WHITE, GREEN = (206, 35, 35), (255, 255, 255), (22, 206, 16)
 PALETTE_STEPS = 256
 PATH_STEPS = 50
+#: Numbers of a padded batch of token vectors, of which a step holds a few copies.
+PADDED_NUMBERS = 4_000_000
+#: ``(vectors, mask, target) -> (logits, gradient of the target's logit)``
+Network = Callable[[np.ndarray, np.ndarray, np.ndarray | None], tuple[np.ndarray, np.ndarray | None]]
 # What stands before and after a coloured token.
 MARK_OPEN, MARK_CLOSE = '<mark style="margin: 0; padding: 0; background-color:', "</mark>"
 
@@ -158,6 +164,87 @@ def ig_scores_numeric(docs: DataFrame, id: str, ids: str, vecs: DataFrame, weigh
     return explode_scores(token_scores(docs, id, ids, vecs, weights, dim, steps), id, ids, tokens)
 
 
+def padded_groups(lengths: np.ndarray, dim: int) -> list[np.ndarray]:
+    """Documents with tokens in groups of like length, whose padded vectors are at most ``PADDED_NUMBERS`` numbers or one document."""
+    order = np.argsort(lengths, kind="stable")
+    groups, start = [], int(np.searchsorted(lengths[order], 1))
+    for end in range(start + 1, len(order) + 1):
+        if end == len(order) or (end + 1 - start) * lengths[order[end]] * dim > PADDED_NUMBERS:
+            groups.append(order[start:end])
+            start = end
+    return groups
+
+
+def path_scores(network: Network, x: np.ndarray, mask: np.ndarray, target: np.ndarray | None, steps: int) -> tuple[np.ndarray, ...]:
+    """Scores of each token, target, logits and logits at zero of a padded batch, one node of the path at a time."""
+    z = np.asarray(network(x, mask, None)[0], float)
+    at_zero = np.asarray(network(np.zeros_like(x), mask, None)[0], float)
+    target = z.argmax(axis=1) if target is None else target
+    scores = np.zeros(mask.shape)
+    for a, weight in zip(*np.polynomial.legendre.leggauss(steps)):
+        slope = np.asarray(network((a + 1) / 2 * x, mask, target)[1], float)
+        if slope.shape != x.shape:
+            raise ValueError(f"the gradient has shape {slope.shape}, the vectors {x.shape}")
+        scores += weight / 2 * np.einsum("ijk,ijk->ij", x, slope)
+    return scores / x.shape[2], target, z, at_zero
+
+
+def network_scores(docs: DataFrame, ids: str, vecs: DataFrame, network: Network, dim: int, steps: int = PATH_STEPS) -> DataFrame:
+    """Add ``scores`` (one per token), ``y_pred``, ``z`` and ``z0`` (logits at zero vectors) for a network of the caller.
+
+    ``network(x, mask, target)`` gets padded token vectors of shape (documents, tokens, ``dim``), a mask that is true at
+    tokens, and None or a class for each document. It returns logits, and the gradient of the logit of that class by ``x``
+    (None if there is no class). The path from zero vectors is integrated by Gauss-Legendre quadrature. The target is the class of the
+    greatest logit, unless ``docs`` has a column ``y_pred``. One map without a shuffle; documents of like length meet in padded
+    batches of at most ``PADDED_NUMBERS`` numbers, or one document. Documents without tokens, whose ids are empty or null, have no scores
+    and null elsewhere, but for a given ``y_pred``. Vectors must be few enough to send to every task.
+    """
+    matrix = scoring.small_matrix(vecs, dim)
+    if matrix is None:
+        raise ValueError(f"more than {scoring.VECTOR_NUMBERS} numbers in the vectors; a network needs them in every task")
+    sent = docs.sparkSession.sparkContext.broadcast(matrix)  # at most VECTOR_NUMBERS numbers
+
+    def score(lists: pa.ListArray, given: np.ndarray | None) -> pa.StructArray:
+        flat, lengths = ids_of(lists)
+        places, begin = sent.value.places(flat), np.cumsum(lengths) - lengths
+        found, chosen, logits, zeros = np.zeros(len(flat)), [None] * len(lengths), [None] * len(lengths), [None] * len(lengths)
+        if given is not None:
+            chosen = [int(y) for y in given]
+        for group in padded_groups(lengths, dim):
+            mask = np.arange(lengths[group].max()) < lengths[group][:, None]
+            at = (begin[group][:, None] + np.arange(mask.shape[1]))[mask]
+            x = np.zeros((*mask.shape, dim))
+            x[mask] = sent.value.rows[places[at]]
+            scores, target, z, z0 = path_scores(network, x, mask, None if given is None else given[group], steps)
+            found[at] = scores[mask]
+            for i, doc in enumerate(group):
+                chosen[doc], logits[doc], zeros[doc] = int(target[i]), z[i].tolist(), z0[i].tolist()
+        ends = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
+        of_doc = [pa.array(chosen, pa.int32()), *(pa.array(v, pa.list_(pa.float64())) for v in (logits, zeros))]
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(found)), *of_doc], ["scores", "y_pred", "z", "z0"])
+
+    kind = "struct<scores:array<double>,y_pred:int,z:array<double>,z0:array<double>>"
+
+    @F.arrow_udf(kind)
+    def best(lists: pa.Array) -> pa.Array:
+        return score(lists, None)
+
+    @F.arrow_udf(kind)
+    def named(lists: pa.Array, target: pa.Array) -> pa.Array:
+        return score(lists, target.to_numpy(zero_copy_only=False).astype(np.int64))
+
+    lists = F.col(ids).cast("array<int>")
+    found = docs.withColumn("_scored", named(lists, F.col("y_pred").cast("int")) if "y_pred" in docs.columns else best(lists))
+    kept = [c for c in docs.columns if c not in ("scores", "y_pred", "z", "z0")]
+    return found.select(*kept, "_scored.scores", "_scored.y_pred", "_scored.z", "_scored.z0")
+
+
+def network_completeness(scored: DataFrame, id: str, dim: int) -> DataFrame:
+    """Sum of the attributions next to the gain in the logit since zero vectors; what differs is the error of the quadrature."""
+    gain = F.get("z", F.col("y_pred")) - F.get("z0", F.col("y_pred"))
+    return scored.where(F.size("scores") > 0).select(id, (array_sum(F.col("scores")) * dim).alias("attributed"), gain.alias("gain"))
+
+
 def ig_completeness(scored: DataFrame, id: str, weights: DataFrame, dim: int) -> DataFrame:
     """Sum of the attributions next to the gain in the logit; they are equal. Of documents with tokens."""
     at_zero = F.get(model_column(weights), F.col("y_pred"))["b"]

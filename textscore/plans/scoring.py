@@ -481,6 +481,39 @@ def ig_scores_numeric(spark, d):
     return _score_rows(_scored(spark, d, explain.PATH_STEPS))
 
 
+def mean_pool_network(w: np.ndarray, b: np.ndarray):
+    """The mean-pool network as a caller's function of padded vectors: logits, and the gradient of the target's logit."""
+    def network(x: np.ndarray, mask: np.ndarray, target: np.ndarray | None):
+        n = mask.sum(axis=1)[:, None]
+        hidden = np.tanh(np.einsum("ijk,ij->ik", x, mask) / n)
+        if target is None:
+            return hidden @ w.T + b, None
+        return hidden @ w.T + b, (w[target] * (1 - hidden ** 2) / n)[:, None, :] * mask[:, :, None]
+
+    return network
+
+
+def _scored_by_network(spark, d):
+    classes = views.class_weight(spark, d).toPandas().sort_values("class")  # a row a class
+    network = mean_pool_network(np.stack(classes["w"].to_numpy()).astype(float), classes["b"].to_numpy(float))
+    return explain.network_scores(_docs(spark, d), "ids", views.vectors(spark, d), network, DIM)
+
+
+@query("ig_scores_network", "SELECT doc_id, pos::INT AS pos, id::INT AS id, token, round(score, 9) AS score FROM v_scores")
+def ig_scores_network(spark, d):
+    """A network that the library knows nothing of but its logits and gradients; here it is the one with a closed form."""
+    rows = explain.explode_scores(_scored_by_network(spark, d), "doc_id", "ids", "words")
+    return rows.select("doc_id", "pos", F.col("token_id").alias("id"), "token", F.round("score", 9).alias("score"))
+
+
+@query("ig_network_completeness", """
+    SELECT s.doc_id, round(sum(score) * 64, 6) AS attributed, round(any_value(y.logit) - any_value(c.b), 6) AS gain
+    FROM v_scores s JOIN v_doc_pred y USING (doc_id) JOIN v_class_weight c ON c.class = y.class GROUP BY s.doc_id""")
+def ig_network_completeness(spark, d):
+    both = explain.network_completeness(_scored_by_network(spark, d), "doc_id", DIM)
+    return both.select("doc_id", F.round("attributed", 6).alias("attributed"), F.round("gain", 6).alias("gain"))
+
+
 @query("ig_completeness", """
     SELECT s.doc_id, round(sum(score) * 64, 9) AS attributed, round(any_value(y.logit) - any_value(c.b), 9) AS gain
     FROM v_scores s JOIN v_doc_pred y USING (doc_id) JOIN v_class_weight c ON c.class = y.class GROUP BY s.doc_id""")
