@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textscore.operators import bpe
 from textscore.session import pin_small, scratch_path, spread_small
 from textscore.sources import readers, writers
+from textscore.streaming import running
 from textscore.streaming.running import running_confusion_stream
 
 
@@ -260,3 +261,66 @@ def test_open_cells_at_every_byte():
                                 (b'a\t""', False, True), (b'"a"\t"b', True, True), (b'"a"x"\ty', False, False), (b'x""y', False, True),
                                 (b'"', True, False), (b'""', False, True), (b'"""', True, False), (b'\t\t"', True, False), (b'"\t"z', False, True)]:
         assert (open_after(line, False), open_after(line, True)) == (plain, quoted), line
+
+
+BATCH = "run string, batch_id bigint, y_true array<int>, y_pred array<int>, loss double"
+
+
+def expected_running(batches, k, size):
+    out, sums = {}, {}
+    for run, b, y, p, loss in sorted(batches, key=lambda r: r[:2]):
+        hits, rows, total = sums.setdefault(run, ([0] * k, [0] * k, [0.0]))
+        for t, g in zip(y, p):
+            rows[t] += 1
+            hits[t] += t == g
+        total[0] += loss
+        inverse = sum((sum(rows) + n) / (2 * h) for h, n in zip(hits, rows) if h)
+        seen = (b + 1) * size
+        out[run, b] = (sum(hits), total[0], 100 * sum(hits) / seen, total[0] / seen, k / inverse if inverse else float("inf"))
+    return out
+
+
+def test_streamed_running_metrics_in_any_order(spark, tmp_path, monkeypatch):
+    import random
+
+    monkeypatch.setattr(running, "STATE_BLOCK", 8)
+    rng = random.Random(5)
+    batches = [(run, b, [rng.randrange(3) for _ in range(4)], [rng.randrange(3) for _ in range(4)], rng.random()) for run in "ab" for b in range(20)]
+    path, folder = str(tmp_path / "in"), str(tmp_path / "kept")
+
+    def arrive(rows):
+        spark.createDataFrame(rows, BATCH).coalesce(1).write.mode("append").parquet(path)
+
+    def run():
+        stream = spark.readStream.schema(BATCH).option("maxFilesPerTrigger", 1).parquet(path)
+        rows = running.running_metrics_stream(stream, 3, 4, folder).collect()
+        return {(r.run, r.batch_id): (r.correct, r.loss, r.accuracy, r.mean_loss, r.f1) for r in rows}
+
+    mixed = rng.sample(batches, len(batches))
+    arrive(mixed[:13])
+    arrive(mixed[5:20] + mixed[:3])
+    first = run()
+    assert first.keys() == {r[:2] for r in mixed[:20]}
+    assert first == {p: pytest.approx(v) for p, v in expected_running(mixed[:20], 3, 4).items()}
+    arrive(mixed[15:])
+    arrive(mixed)
+    last = run()  # a new start, which goes on from the folder
+    assert last == {p: pytest.approx(v) for p, v in expected_running(batches, 3, 4).items()}
+    assert run() == last
+
+
+def test_running_metrics_of_no_batches_and_wrong_ones(spark, tmp_path):
+    path = tmp_path / "in"
+    path.mkdir()
+    stream = spark.readStream.schema(BATCH).parquet(str(path))
+    assert running.running_metrics_stream(stream, 3).collect() == []
+    for row in [("a", 0, [3], [0], 1.0), ("a", 0, [0, 1], [0], 1.0), ("a", 0, [None], [0], 1.0), (None, 0, [1], [1], 1.0), ("a", 0, None, [1], 1.0)]:
+        with pytest.raises(Exception, match="no class|length|null"):
+            running.batch_sums(spark.createDataFrame([row], BATCH), 3).collect()
+    rows = running.batch_sums(spark.createDataFrame([("a", 0, [], [], None)], BATCH), 3).collect()
+    assert [(r.loss, r.rows_0, r.hits_2) for r in rows] == [(0.0, 0, 0)]
+    assert running.running_rows(running.batch_sums(spark.createDataFrame([("a", 0, [1], [0], 1.0)], BATCH), 3), 3, 4).first().f1 == float("inf")
+
+
+def test_bits_are_set_once():
+    assert running.new_bits(0b101, [0, 1, 1, 3, 2]) == (0b1111, [1, 3])

@@ -12,8 +12,8 @@ from textscore.plans import views
 from textscore.plans.registry import query
 from textscore.plans.tokens import _PADDED, VOCAB_SIZE, encoded_reviews, trained
 from textscore.plans.views_sql import h
-from textscore.session import made_once, scratch_path
-from textscore.streaming.running import running_confusion_stream
+from textscore.session import made_once, scratch_path, via_table
+from textscore.streaming.running import running_confusion_stream, running_metrics_stream
 
 K = views.REVIEW_CLASSES
 DIM = views.DIM
@@ -440,6 +440,43 @@ def confusion_stream(spark, d):
     return running_confusion_stream(stream, K)
 
 
+_HIT = "y_true = list_position(z, list_max(z)) - 1"
+
+
+@query("running_metrics_stream", f"""
+    WITH batches AS (
+        SELECT row_id % 3 AS run, batch_id, avg({_NLL}) AS l, count(*) AS n,
+               {', '.join(f"sum(CASE WHEN y_true = {c} THEN 1 ELSE 0 END) AS t{c}, sum(CASE WHEN {_HIT} AND y_true = {c} THEN 1 ELSE 0 END) AS h{c}"
+                          for c in range(K))}
+        FROM v_logits GROUP BY 1, 2),
+    running AS (
+        SELECT run, batch_id, sum(l) OVER w AS loss, sum(n) OVER w AS n,
+               {', '.join(f"sum(t{c}) OVER w AS t{c}, sum(h{c}) OVER w AS h{c}" for c in range(K))}
+        FROM batches WINDOW w AS (PARTITION BY run ORDER BY batch_id)),
+    sums AS (
+        SELECT *, {' + '.join(f'h{c}' for c in range(K))} AS hits,
+               {' + '.join(f"(CASE WHEN h{c} > 0 THEN (n + t{c}) / (2.0::DOUBLE * h{c}) ELSE 0.0::DOUBLE END)" for c in range(K))} AS inverse
+        FROM running)
+    SELECT run::VARCHAR AS run, batch_id::BIGINT AS batch_id, hits::BIGINT AS correct, round(loss, 6) AS loss,
+           round(100.0::DOUBLE * hits / ((batch_id + 1) * 16), 6) AS accuracy, round(loss / ((batch_id + 1) * 16), 6) AS mean_loss,
+           round(CASE WHEN hits > 0 THEN {K} / inverse ELSE 'inf'::DOUBLE END, 6) AS f1
+    FROM sums""")
+def metrics_stream(spark, d):
+    """Batches of three runs; their files are in no order, and every fifth batch arrives twice."""
+    path = scratch_path(spark, "batches")
+    pred = scoring.predict_argmax(views.logits(spark, d)).withColumn("_loss", metrics.row_loss("cross_entropy", "z", "y_true"))
+    rows = F.collect_list(F.struct("y_true", "y_pred"))  # 16 rows at most
+    batches = pred.groupBy((F.col("row_id") % 3).cast("string").alias("run"), F.col("batch_id").cast("bigint").alias("batch_id")).agg(
+        rows.alias("rows"), F.avg("_loss").alias("loss"))
+    batches = via_table(batches.select(
+        "run", "batch_id", *[F.col(f"rows.{c}").cast("array<int>").alias(c) for c in ("y_true", "y_pred")], "loss"), "batches")
+    for part in (batches.where("batch_id % 5 = 0"), batches):
+        part.repartition(4, F.xxhash64("batch_id")).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(batches.schema).option("maxFilesPerTrigger", 3).parquet(path)
+    running = running_metrics_stream(stream, K)
+    return running.select("run", "batch_id", "correct", *[F.round(c, 6).alias(c) for c in ("loss", "accuracy", "mean_loss", "f1")])
+
+
 # ---------------------------------------------------------------- explanations
 
 def _scored(spark, d, steps=None):

@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import sys
+from collections.abc import Iterator
 
-from textscore.operators.metrics import confusion_cells, fill_grid
-from textscore.session import scratch_path
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
+
+from textscore.operators.batches import BATCH_SIZE
+from textscore.operators.metrics import confusion_cells, fill_grid, harmonic_f1
+from textscore.session import path_exists, scratch_path
+
+# The helpers below travel with the task, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Batches of a run that share one state, which is a bit for each of them, and nothing once all have been met.
+STATE_BLOCK = 4096
 
 
 def running_confusion_stream(stream: DataFrame, k: int, folder: str | None = None) -> DataFrame:
@@ -28,3 +43,91 @@ def running_confusion_stream(stream: DataFrame, k: int, folder: str | None = Non
     )
     query.awaitTermination()
     return fill_grid(spark.read.schema("y_true int, y_pred int, n bigint").parquet(cells), k)
+
+
+def new_bits(bits: int, places: list[int]) -> tuple[int, list[int]]:
+    """The bits with those of the places set, and which of the places were met for the first time."""
+    first = []
+    for i, place in enumerate(places):
+        if not bits >> place & 1:
+            bits |= 1 << place
+            first.append(i)
+    return bits, first
+
+
+def _first_of_each(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Rows of batches that this run has not had before, in a block of its batches."""
+    seen, met = state.get if state.exists else ("0", 0)
+    bits = int(seen, 16)
+    for frame in frames:
+        if met == STATE_BLOCK:
+            continue
+        bits, first = new_bits(bits, [int(b) - key[1] * STATE_BLOCK for b in frame["batch_id"]])
+        met += len(first)
+        yield frame.iloc[first]
+    state.update(("0" if met == STATE_BLOCK else f"{bits:x}", met))
+
+
+def _checked(name: str, k: int) -> Column:
+    wrong = F.size(name).isNull() | F.exists(name, lambda y: y.isNull() | ~y.between(0, k - 1))
+    return F.when(wrong, F.raise_error(F.lit(f"{name} holds what is no class from 0 to {k - 1}"))).otherwise(F.col(name))
+
+
+def batch_sums(batches: DataFrame, k: int) -> DataFrame:
+    """A small row for each row of ``run, batch_id, y_true, y_pred, loss``: hits and rows of each class, and the loss.
+
+    A label or prediction outside the classes or null, arrays of unequal lengths, and a null run or batch fail.
+    """
+    even = F.when(F.size("y_true") == F.size("y_pred"), F.arrays_zip(_checked("y_true", k).alias("t"), _checked("y_pred", k).alias("p")))
+    pairs = batches.withColumn("_pairs", F.coalesce(even, F.raise_error(F.lit("y_true and y_pred differ in length"))))
+
+    def count(c: int, hit: bool) -> Column:
+        return F.size(F.filter("_pairs", lambda r: (r["t"] == c) & (r["p"] == c) if hit else r["t"] == c)).cast("bigint")
+
+    def named(name: str) -> Column:
+        return F.coalesce(name, F.raise_error(F.lit(f"{name} is null"))).alias(name)
+
+    return pairs.select(
+        named("run"), named("batch_id"), F.floor(F.col("batch_id") / STATE_BLOCK).alias("block"), F.coalesce("loss", F.lit(0.0)).alias("loss"),
+        *[count(c, True).alias(f"hits_{c}") for c in range(k)], *[count(c, False).alias(f"rows_{c}") for c in range(k)])
+
+
+def running_rows(sums: DataFrame, k: int, batch_size: int = BATCH_SIZE) -> DataFrame:
+    """Cumulative correct rows, loss, accuracy, mean loss and f1 of each run after each of its batches, block by block."""
+    counts = [f"{kind}_{c}" for kind in ("hits", "rows") for c in range(k)] + ["loss"]
+    before = Window.partitionBy("run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    upto = Window.partitionBy("run", "block").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
+    totals = sums.groupBy("run", "block").agg(*[F.sum(c).alias(c) for c in counts])
+    starts = totals.select("run", "block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_0") for c in counts])
+    run = sums.join(starts, ["run", "block"]).select("run", "batch_id", *[(F.col(f"{c}_0") + F.sum(c).over(upto)).alias(c) for c in counts])
+    correct, rows = (sum((F.col(f"{kind}_{c}") for c in range(1, k)), F.col(f"{kind}_0")) for kind in ("hits", "rows"))
+    # 1 / f1 of a class, with its rows and all rows as the bases of its hits
+    inverse = [F.when(F.col(f"hits_{c}") > 0, (rows + F.col(f"rows_{c}")) / (2 * F.col(f"hits_{c}"))) for c in range(k)]
+    some = F.when(correct > 0, sum((F.coalesce(i, F.lit(0.0)) for i in inverse), F.lit(0.0)))
+    seen = (F.col("batch_id") + 1) * batch_size
+    return run.select("run", "batch_id", correct.alias("correct"), "loss", (100 * correct / seen).alias("accuracy"),
+                      (F.col("loss") / seen).alias("mean_loss"), harmonic_f1(F.lit(k), some).alias("f1"))
+
+
+def running_metrics_stream(stream: DataFrame, k: int, batch_size: int = BATCH_SIZE, folder: str | None = None) -> DataFrame:
+    """Run the stream over all batches that have arrived and return the running metrics of each run.
+
+    A row of ``stream`` is a batch: ``run``, ``batch_id`` from 0, ``y_true`` and ``y_pred`` as arrays of its rows, ``loss``. Batches may
+    arrive in any order and more than once; copies of a batch are equal, and one of them counts. State is a bit for each
+    batch in blocks of ``STATE_BLOCK`` batches, so a long run is spread over tasks, and ends once a block is full. What counts goes to a
+    table exactly once, and running sums are taken over that table. While a batch is missing, later ones are sums of what is there.
+    ``folder`` keeps offsets, state and that table; a later call with the same folder, also after a failure, goes on from there.
+    """
+    spark = stream.sparkSession
+    folder = folder or scratch_path(spark, "running")
+    sums = batch_sums(stream, k)
+    kept = sums.groupBy("run", "block").applyInPandasWithState(
+        _first_of_each, sums.schema, "seen string, met long", "append", GroupStateTimeout.NoTimeout)
+    query = (
+        kept.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/batches")
+        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    there = path_exists(spark, f"{folder}/batches")
+    table = spark.read.schema(sums.schema).parquet(f"{folder}/batches") if there else spark.createDataFrame([], sums.schema)
+    return running_rows(table, k, batch_size)
