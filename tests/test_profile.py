@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from textscore.corpus import Corpus
 from textscore.operators import profile
@@ -89,3 +90,60 @@ def test_describe_report(spark):
 def test_approximate_unique_words(corpus):
     got = {r.dataset: r.unique_words for r in profile.unique_words(corpus, approx=True).collect()}
     assert got["x"] == 4
+
+
+def test_sketches_of_growing_corpora(spark, tmp_path):
+    from textscore.operators import sketches
+
+    rng = np.random.default_rng(2)
+    words = [f"w{i}é" for i in range(9000)]
+    folder, read_paths = str(tmp_path / "sketches"), []
+    schema = "file string, id int, text string, score double, cat string"
+    rows = []
+    for i in range(400):
+        text = None if i % 50 == 7 else "" if i % 50 == 8 else " ".join(words[j] for j in (rng.exponential(2000, 60).astype(int) % 9000))
+        score = None if i % 40 == 3 else float(int(rng.exponential(3) ** 3))
+        rows.append((f"f{i % 4}", i, text, score, None if i % 10 == 9 else "one" if i % 3 else "two"))
+    rows += rows[:20]
+    for name in ("f0", "f1", "f2", "f3"):
+        spark.createDataFrame([r for r in rows if r[0] == name], schema).coalesce(1).write.parquet(str(tmp_path / name))
+
+    def read(paths):
+        read_paths.append([p[-2:] for p in paths])
+        found = spark.read.schema(schema).parquet(*paths).withColumn("file", F.concat(F.lit(f"{tmp_path}/"), "file"))
+        return Corpus(found, "id", "text", "score", "cat")
+
+    files = [str(tmp_path / name) for name in ("f0", "f1", "f2", "f3")]
+    assert sketches.growing_summary(sketches.read_sketches(spark, folder)).collect() == []
+    sketches.add_files(spark, files[:2], read, folder)
+    before = {r.dataset: r.n_rows for r in sketches.growing_summary(sketches.read_sketches(spark, folder)).collect()}
+    assert before["all"] == sum(r[0] in ("f0", "f1") for r in rows)
+    assert [f[-2:] for f in sketches.add_files(spark, files, read, folder)] == ["f2", "f3"]
+    assert sketches.add_files(spark, files, read, folder) == []
+    assert read_paths == [["f0", "f1"], ["f2", "f3"]]
+
+    table = sketches.read_sketches(spark, folder)
+    exact = {r.dataset: r for r in profile.corpus_summary(read(files)).collect()}
+    got = {r.dataset: r for r in sketches.growing_summary(table).collect()}
+    assert got.keys() == exact.keys() == {"all", "one", "two"}
+    for name, r in got.items():
+        assert (r.n_rows, r.mean_length, r.mean_score) == pytest.approx((exact[name].n_rows, exact[name].mean_length, exact[name].mean_score))
+        assert r.unique_words == pytest.approx(exact[name].unique_words, rel=0.02)
+        assert r.unique_chars == pytest.approx(exact[name].unique_chars, rel=0.02)
+    for r in sketches.growing_quantiles(table, (0.0, 0.1, 0.5, 0.99, 1.0)).collect():
+        scores = [x[3] for x in rows if x[3] is not None and r.dataset in ("all", x[4])]
+        assert r.n_scores == len(scores) and r.low <= r.value <= r.high
+        below, upto = np.mean(np.array(scores) < r.value), np.mean(np.array(scores) <= r.value)
+        assert below - r.rank_error - 1 / len(scores) <= r.prob <= upto + r.rank_error + 1 / len(scores)
+    plan = sketches.sketch_files(read(files), "file")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_sketches_of_rows_without_scores_or_text(spark):
+    from textscore.operators import sketches
+
+    df = spark.createDataFrame([("f", 1, None, None, "a"), ("f", 2, "x", None, "a")], "file string, id int, text string, score double, cat string")
+    table = sketches.sketch_files(Corpus(df, "id", "text", "score", "cat"), "file")
+    r = {r.dataset: r for r in sketches.growing_summary(table).collect()}["a"]
+    assert (r.n_rows, r.unique_words, r.unique_chars, r.mean_length, r.mean_score) == (2, 1, 1, 0.5, None)
+    assert sketches.growing_quantiles(table, (0.5,)).collect() == []

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textscore.operators import profile
+from textscore.corpus import reviews_corpus
+from textscore.operators import profile, sketches
 from textscore.operators.tokens import word_lists
 from textscore.plans import views
 from textscore.plans.registry import query
+from textscore.session import scratch_path, via_table
 
 BLANK = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -59,6 +61,62 @@ def corpus_summary_essays(spark, d):
     return _rounded_summary(views.essays_corpus(views.essays_clean(spark, d)))
 
 
+def _grown(spark, d):
+    """Sketches of the reviews in eight files, three of which were there when the others came."""
+    path, folder = scratch_path(spark, "reviews"), scratch_path(spark, "sketches")
+    rows = views.reviews(spark, d).withColumn("part", F.pmod(F.xxhash64("row_id"), F.lit(8)))
+    rows.select("row_id", "reviewText", "type", "overall", "part").write.partitionBy("part").parquet(path)
+    schema = "row_id bigint, reviewText string, type string, overall int, part bigint"
+
+    def read(paths):
+        found = spark.read.schema(schema).option("basePath", path).parquet(*paths)
+        return reviews_corpus(found.withColumn("file", F.concat(F.lit(f"{path}/part="), F.col("part"))))
+
+    parts = [f"{path}/part={r.part}" for r in spark.read.parquet(path).select("part").distinct().collect()]  # eight at most
+    for known in (parts[:3], parts):
+        sketches.add_files(spark, known, read, folder)
+    return sketches.read_sketches(spark, folder)
+
+
+@query("corpus_summary_growing", _WORDS + """,
+    sizes AS (
+        SELECT coalesce(type, 'all') AS dataset, count(*) AS n_rows, sum(length(reviewText))::DOUBLE / count(*) AS l,
+               avg(overall::DOUBLE) AS s
+        FROM v_reviews GROUP BY GROUPING SETS ((type), ()))
+    SELECT dataset, n_rows, TRUE AS words_close, TRUE AS chars_close, round(l, 6) AS mean_length, round(s, 6) AS mean_score
+    FROM sizes JOIN unique_w USING (dataset) JOIN unique_c USING (dataset)""")
+def corpus_summary_growing(spark, d):
+    """Distinct counts are estimates; they are held against the exact ones and must lie within 2 % of them."""
+    exact = profile.corpus_summary(views.review_corpus(spark, d)).select(
+        "dataset", F.col("unique_words").alias("w"), F.col("unique_chars").alias("c"))
+
+    def close(found, true):
+        return F.abs(F.col(found) - F.col(true)) <= 0.02 * F.col(true)
+
+    return sketches.growing_summary(_grown(spark, d)).join(exact, "dataset").select(
+        "dataset", "n_rows", close("unique_words", "w").alias("words_close"), close("unique_chars", "c").alias("chars_close"),
+        F.round("mean_length", 6).alias("mean_length"), F.round("mean_score", 6).alias("mean_score"))
+
+
+@query("score_quantiles_growing", """
+    SELECT coalesce(type, 'all') AS dataset, p AS prob, count(*) AS n_scores, TRUE AS inside
+    FROM v_reviews, (VALUES (0.1::DOUBLE), (0.25), (0.5), (0.75), (0.9)) q(p)
+    GROUP BY GROUPING SETS ((type, p), (p))""")
+def score_quantiles_growing(spark, d):
+    """Quantiles from sketches lie a stated rank error off at most: the rows below and up to each are counted."""
+    rows = views.reviews(spark, d).select("type", F.col("overall").cast("double").alias("v"))
+    found = via_table(sketches.growing_quantiles(_grown(spark, d), (0.1, 0.25, 0.5, 0.75, 0.9)), "quantiles")  # five rows a category
+    counts = rows.groupBy("type", "v").agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.groupBy("v").agg(F.sum("n").alias("n")).select(F.lit(profile.ALL).alias("dataset"), "v", "n")
+    each = counts.select(F.col("type").alias("dataset"), "v", "n").unionByName(whole)
+    ranked = found.join(each, "dataset").groupBy("dataset", "prob", "n_scores", "rank_error").agg(
+        F.sum(F.when(F.col("v") < F.col("value"), F.col("n")).otherwise(0)).alias("below"),
+        F.sum(F.when(F.col("v") <= F.col("value"), F.col("n")).otherwise(0)).alias("upto"))
+    slack = F.col("rank_error") * F.col("n_scores") + 1
+    rank = F.col("prob") * F.col("n_scores")
+    return ranked.select("dataset", "prob", "n_scores", ((F.col("below") - slack <= rank) & (rank <= F.col("upto") + slack)).alias("inside"))
+
+
 @query("unique_words", _WORDS + "SELECT dataset, unique_words FROM unique_w")
 def unique_words(spark, d):
     return profile.unique_words(views.review_corpus(spark, d))
