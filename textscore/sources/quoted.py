@@ -86,13 +86,13 @@ def starts_of(blocks: list) -> tuple[dict[tuple[str, int], tuple[bool, bool]], d
 
 
 def _rows(sent, whole: bool):
-    """Rows that lie in one block, or else the parts of those that do not. ``line`` is the place of a row's first line."""
+    """Rows that lie in one block, or else the parts of those that do not, without headers. ``line`` is the place of a row's first line."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, out, size = sent.value, [], 0
+        (starts, headers), out, size = sent.value, [], 0
         here, held, quoted, begun, line, first, returns = None, [], False, True, -1, 0, False
 
         def take(kind: str) -> int:
-            if whole != (kind == "whole"):
+            if whole != (kind == "whole") or begun and headers.get(here[0]) == (here[1], first):
                 return 0
             text = b"\n".join(held)
             out.append((*here, first, kind, text))
@@ -137,23 +137,22 @@ def read_quoted(spark: SparkSession, path: str, schema: T.StructType, encoding:
     a quoted cell is open at its end, from either state it may start in; composed in order, a row a range, this gives the state
     each range does start in. A second pass takes the parts of rows across ranges, which are joined, and the last one the
     whole rows, which go on without a shuffle. Quotes are doubled inside a quoted cell and mean nothing inside a plain one; empty lines
-    are skipped, the first row of every file is its header. The first line of a file tells whether ``\\n`` or ``\\r\\n`` ends its lines, which is ``\\n`` inside cells; the encoding has one byte a character
+    are skipped, the first row of every file is its header, which is left out where it is read. The first line of a file tells whether ``\\n`` or ``\\r\\n`` ends its lines, which is ``\\n`` inside cells; the encoding has one byte a character
     for tab, quote and line breaks. A compressed file is one range.
     """
     lines = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
     kind = "file string, block long, returns boolean, plain_ends boolean, plain_first long, quoted_ends boolean, quoted_first long"
-    starts, first = starts_of(lines.mapInArrow(_ends, kind).orderBy("file", "block").collect())  # a row for each range of a file
-    sent = spark.sparkContext.broadcast(starts)
+    found = starts_of(lines.mapInArrow(_ends, kind).orderBy("file", "block").collect())  # a row for each range of a file
+    sent = spark.sparkContext.broadcast(found)
     parts = via_table(lines.mapInArrow(_rows(sent, False), KINDS), "parts")
     begins = F.last(F.when(F.col("kind") == "head", F.struct("block", "line")), ignorenulls=True)
     in_order = Window.partitionBy("file").orderBy("block", F.when(F.col("kind") == "head", 1).otherwise(0))  # two rows a range at most
-    joined = parts.withColumn("begin", begins.over(in_order)).groupBy("file", "begin").agg(
+    joined = parts.withColumn("begin", begins.over(in_order)).where("begin IS NOT NULL").groupBy("file", "begin").agg(
         F.array_sort(F.collect_list(F.struct("block", F.decode("value", encoding).alias("value")))).alias("parts"))
     joined = joined.select("file", "begin.block", "begin.line", F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("value"))
     whole = lines.mapInArrow(_rows(sent, True), KINDS).select("file", "block", "line", F.decode("value", encoding).alias("value"))
-    headers = spark.createDataFrame([(f, *place) for f, place in first.items()], "file string, block long, line long")  # a row a file
-    rows = whole.unionByName(joined).join(headers, ["file", "block", "line"], "left_anti")
+    rows = whole.unionByName(joined)
     options = {"sep": "\t", "quote": '"', "escape": '"', "multiLine": "true"}
     cells = F.from_csv("value", schema.toDDL(), options)
     return rows.select(cells.alias("row"), F.col("file").alias("_file"), F.col("block").alias("_block"), F.col("line").alias("_line")).select(
