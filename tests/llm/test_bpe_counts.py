@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers as public
@@ -18,9 +19,11 @@ def library():
     return tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
 
 
-@pytest.mark.parametrize("block", [4 << 20, 500])
-def test_messy_rows_equal_the_library(messy, library, monkeypatch, block):
+@pytest.mark.parametrize("block,buckets", [(16 << 20, 1024), (500, 1024), (500, 3)])
+def test_messy_rows_equal_the_library(messy, library, monkeypatch, block, buckets):
+    """Also with many small blocks, and with buckets whose words go to several tasks."""
     monkeypatch.setattr(byte_bpe, "BLOCK_BYTES", block)
+    monkeypatch.setattr(byte_bpe, "MAX_BUCKETS", buckets)
     expected = []
     for r in messy.collect():
         text = r["text"] or ""
@@ -31,6 +34,23 @@ def test_messy_rows_equal_the_library(messy, library, monkeypatch, block):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, expected))
 
 
+def test_blocks_number_words_by_bucket_and_count():
+    block = byte_bpe.Block()
+    texts = [["b", "a", "b", "c"], [], ["c", "b", "d"]]
+    for i, words in enumerate(texts):
+        block.add(i, "".join(words), words)
+    cut, numbers = block.cut(2)
+    assert block.lengths == [4, 0, 3] and block.ids == [0, 1, 2]
+    assert [cut[n % 2][n // 2] for n in numbers.tolist()] == [w.encode() for words in texts for w in words]
+    assert numbers[0] == zlib.crc32(b"b") % 2  # the commonest word comes first in its bucket
+    assert byte_bpe.Block().cut(2)[1].tolist() == []
+
+
+def test_texts_are_read_once(messy):
+    plan = byte_bpe.corpus_bpe(messy, RANKS, public.PATTERN)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3 and "Union" not in plan
+
+
 def test_words_of_any_length_equal_the_library(library):
     rng = random.Random(4)
     ranks = byte_bpe.read_ranks(RANKS)

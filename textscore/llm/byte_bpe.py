@@ -1,9 +1,10 @@
 """Byte-level BPE at corpus scale: each distinct word is encoded once, and ids travel back to where the word stood.
 
-Pre-tokens are numbered within blocks of whole texts. A block sends each of its distinct words once, packed by word
-bucket, to the task of that bucket, which encodes every word it meets once; the ids go back packed the same way and
-are put in place of the numbers. Words and ids cross the network once per block and not once per occurrence, so a
-word that has a third of all occurrences is as cheap as a rare one.
+Pre-tokens are numbered within blocks of whole texts, in one pass over the texts. A block sends each of its distinct
+words once, packed by word bucket, to the task of that bucket, which encodes every word it meets once; the ids go back
+packed the same way and are put in place of the numbers. Words and ids cross the network once per block and not once
+per occurrence, so a word that has a third of all occurrences is as cheap as a rare one. The numbers go along with the
+words, in tasks of their own, so that the texts need not be read and cut a second time.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ import base64
 import hashlib
 import heapq
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from textscore.llm.common import slices, whole_text
 from textscore.session import parallelism
 
-BLOCK_BYTES = 4 << 20
-MAX_BUCKETS = 1024
+BLOCK_BYTES = 16 << 20
+MAX_BUCKETS = 1024  # pieces that the words of a block are cut into, at most
 MEMO = 500_000
 PLAIN_MERGE = 48
 NO_RANK = 1 << 62
@@ -96,98 +98,117 @@ class Block:
     """Distinct words of some whole texts, and their numbers in text order.
 
     A word's bucket is a hash of its bytes; in a bucket, words are ranked by their occurrences in the block. The
-    number of a word is rank * buckets + bucket, so that common words have small numbers.
+    number of a word is rank * buckets + bucket, so that common words have small numbers. While texts are added,
+    a word is numbered by its first occurrence, and no occurrence is held as a string.
     """
 
-    def __init__(self, name: int, ids: list, found: list[list[str]], buckets: int) -> None:
-        self.name, self.ids = name, ids
-        often = Counter()
-        for words in found:
-            often.update(words)
-        self.words: list[list[bytes]] = [[] for _ in range(buckets)]
-        number: dict[str, int] = {}
-        for word, _ in often.most_common():  # of equal counts the one that comes first
-            raw = word.encode("utf-8", "surrogatepass")
-            bucket = zlib.crc32(raw) % buckets
-            number[word] = len(self.words[bucket]) * buckets + bucket
-            self.words[bucket].append(raw)
-        self.numbers = [np.fromiter(map(number.__getitem__, words), "<u4", len(words)) for words in found]
-
-
-def blocks(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Iterator[Block]:
-    """Blocks of about ``BLOCK_BYTES``, named by their content, the same whenever a task reads the same rows."""
+    def __init__(self) -> None:
+        self.ids: list[int | None] = []
+        self.size = 0
+        self._content = xxhash.xxh64()
+        self._seen: list[np.ndarray] = []
+        self._known: dict[str, int] = defaultdict(count().__next__)
+
+    def add(self, i: int | None, text: str, words: list[str]) -> None:
+        raw = text.encode("utf-8", "surrogatepass")
+        self._content.update(f"{i} {len(raw)} ")
+        self._content.update(raw)
+        self.size += len(raw)
+        self.ids.append(i)
+        self._seen.append(np.fromiter(map(self._known.__getitem__, words), "<u4", len(words)))
+
+    @property
+    def name(self) -> int:
+        """A number made of the content, the same whenever a task reads the same rows."""
+        return self._content.intdigest() >> 1
+
+    @property
+    def lengths(self) -> list[int]:
+        return [len(numbers) for numbers in self._seen]
+
+    def cut(self, buckets: int) -> tuple[list[list[bytes]], np.ndarray]:
+        """The words of each bucket, and the numbers of all texts one after the other."""
+        seen = np.concatenate([np.zeros(0, "<u4"), *self._seen])
+        raw = [word.encode("utf-8", "surrogatepass") for word in self._known]
+        words: list[list[bytes]] = [[] for _ in range(buckets)]
+        number = np.zeros(len(raw), "<u4")
+        often = np.bincount(seen, minlength=len(raw))
+        for i in np.argsort(-often, kind="stable").tolist():  # of equal counts the one that comes first
+            bucket = zlib.crc32(raw[i]) % buckets
+            number[i] = len(words[bucket]) * buckets + bucket
+            words[bucket].append(raw[i])
+        return words, number[seen]
+
+
+def blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[Block]:
+    """Blocks of about ``BLOCK_BYTES``."""
     compiled = regex.compile(pattern)
     if compiled.groups:
         raise ValueError("the pattern must match whole words and have no groups")
-    ids, found, size, content = [], [], 0, xxhash.xxh64()
+    block = Block()
     for batch in slices(batches, 64):
         for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-            ids.append(i)
-            found.append(compiled.findall(text))
-            raw = text.encode("utf-8", "surrogatepass")
-            content.update(f"{i} {len(raw)} ")
-            content.update(raw)
-            size += len(raw)
-            if size >= BLOCK_BYTES:
-                yield Block(content.intdigest() >> 1, ids, found, buckets)
-                ids, found, size, content = [], [], 0, xxhash.xxh64()
-    if ids:
-        yield Block(content.intdigest() >> 1, ids, found, buckets)
+            block.add(i, text, compiled.findall(text))
+            if block.size >= BLOCK_BYTES:
+                yield block
+                block = Block()
+    if block.ids:
+        yield block
 
 
-SENT = "block long, bucket int, data binary"
+SENT = "block long, bucket int, task long, data binary, ids array<long>, words array<long>"
+SENT_SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("task", pa.int64()), ("data", pa.binary()),
+                         ("ids", pa.list_(pa.int64())), ("words", pa.list_(pa.int64()))])
 
 
-def sent_words(rows: DataFrame, pattern: str, buckets: int) -> DataFrame:
-    """Distinct words of each block, a packed row for each bucket."""
+def sent_blocks(rows: DataFrame, pattern: str, buckets: int, copies: int) -> DataFrame:
+    """Distinct words of each block, a packed row for each bucket, and one row as bucket ``buckets`` with the numbers of its
+    words in text order, the texts' ids and their lengths in words.
+
+    ``task`` says which rows meet: words of a bucket in ``copies`` tasks, by their block; numbers by their block.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, pattern, buckets):
-            held = [(b, words) for b, words in enumerate(block.words) if words]
+        for block in blocks(batches, pattern):
+            (cut, numbers), name = block.cut(buckets), block.name
+            held = [(b, words) for b, words in enumerate(cut) if words]
             data = [zstandard.compress(np.array([len(words), *map(len, words)], "<u4").tobytes() + b"".join(words), 3) for _, words in held]
-            yield pa.RecordBatch.from_arrays([pa.array([block.name] * len(held), pa.int64()), pa.array([b for b, _ in held], pa.int32()),
-                                              pa.array(data, pa.binary())], ["block", "bucket", "data"])
+            yield pa.RecordBatch.from_arrays([
+                pa.array([name] * (len(held) + 1), pa.int64()), pa.array([*(b for b, _ in held), buckets], pa.int32()),
+                pa.array([*(b * copies + name % copies for b, _ in held), -1 - name], pa.int64()),
+                pa.array([*data, pack_numbers(numbers)], pa.binary()), pa.array([None] * len(held) + [block.ids], pa.list_(pa.int64())),
+                pa.array([None] * len(held) + [block.lengths], pa.list_(pa.int64()))], schema=SENT_SCHEMA)
 
     return rows.mapInArrow(run, SENT)
 
 
-def encoded_words(words: DataFrame, ranks) -> DataFrame:
-    """The same rows with the ids of the words: for each word how many, then all of them. A word is encoded once in its task."""
+def encoded_words(sent: DataFrame, ranks) -> DataFrame:
+    """The same rows, words replaced by their ids: for each word how many, then all of them. A word is encoded once in its task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, memo = ranks.value, {}
-        for batch in slices(batches, 64):
-            out = []
-            for data in batch.column("data").to_pylist():
-                data = zstandard.decompress(data)
-                n = int(np.frombuffer(data, "<u4", 1)[0])
-                ends = (np.cumsum(np.frombuffer(data, "<u4", n, 4)) + 4 * (n + 1)).tolist()
-                at, ids, counts = 4 * (n + 1), [], []
-                for end in ends:
-                    word = data[at:end]
-                    at = end
-                    found = memo.get(word)
-                    if found is None:
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        found = memo[word] = encode_word(word, table)
-                    counts.append(len(found))
-                    ids += found
-                out.append(pack_numbers(np.array([n, *counts, *ids], "<u4")))
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], ["block", "bucket", "data"])
-
-    return words.repartition("bucket").mapInArrow(run, SENT)
-
-
-def sent_numbers(rows: DataFrame, pattern: str, buckets: int) -> DataFrame:
-    """Of each block one row with the numbers of its words in text order, the texts' ids and their lengths in words."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, pattern, buckets):
-            data = pack_numbers(np.concatenate([np.zeros(0, "<u4"), *block.numbers]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block.name], pa.int64()), pa.array([buckets], pa.int32()), pa.array([data], pa.binary()),
-                 pa.array([block.ids], pa.list_(pa.int64())), pa.array([[len(n) for n in block.numbers]], pa.list_(pa.int64()))],
-                ["block", "bucket", "data", "ids", "words"])
 
-    return rows.mapInArrow(run, f"{SENT}, ids array<long>, words array<long>")
+        def packed_ids(data: bytes) -> bytes:
+            data = zstandard.decompress(data)
+            n = int(np.frombuffer(data, "<u4", 1)[0])
+            ends = (np.cumsum(np.frombuffer(data, "<u4", n, 4)) + 4 * (n + 1)).tolist()
+            at, ids, counts = 4 * (n + 1), [], []
+            for end in ends:
+                word = data[at:end]
+                at = end
+                found = memo.get(word)
+                if found is None:
+                    if len(memo) >= MEMO:
+                        memo.clear()
+                    found = memo[word] = encode_word(word, table)
+                counts.append(len(found))
+                ids += found
+            return pack_numbers(np.array([n, *counts, *ids], "<u4"))
+
+        for batch in slices(batches, 16):
+            words = batch.column("ids").is_null().to_pylist()
+            out = [packed_ids(data) if w else data for w, data in zip(words, batch.column("data").to_pylist())]
+            yield batch.set_column(batch.schema.get_field_index("data"), "data", pa.array(out, pa.binary()))
+
+    return sent.repartition("task").mapInArrow(run, SENT)
 
 
 class Places:
@@ -244,20 +265,20 @@ def corpus_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     ``token_ids`` and ``decoded``. ``path`` names the file of ranks; special tokens are text. A null text counts as empty: no ids, no bytes.
     Rows that repeat an id are encoded each; a null id stays null. Other columns are left out. No rows give no rows.
 
-    The input is read twice, once for the words and once for their places, and must give a task the same rows both
-    times, as tables and files do. Blocks are named by their content, so rows that changed meanwhile fail the job
-    and never get the ids of other words.
+    The input is read once. Blocks are named by their content, so if a lost task is run again on rows that changed
+    meanwhile, the job fails and no row gets the ids of other words. The words of a block are cut into at most
+    ``MAX_BUCKETS`` pieces; where the session has more shuffle partitions than these fill, a piece has several tasks, so
+    that the share of a task does not grow with the input.
     """
     spark = docs.sparkSession
     table = read_ranks(path)
     ranks = spark.sparkContext.broadcast(table)  # a vocabulary of fixed size
     decoding = spark.sparkContext.broadcast(token_bytes(table))
-    buckets = min(MAX_BUCKETS, 2 * parallelism(spark))
+    wanted = 2 * parallelism(spark)
+    buckets = min(MAX_BUCKETS, wanted)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    words = encoded_words(sent_words(rows, pattern, buckets), ranks)
-    both = words.withColumns({"ids": F.lit(None).cast("array<bigint>"), "words": F.lit(None).cast("array<bigint>")})
-    both = both.unionByName(sent_numbers(rows, pattern, buckets))
-    dealt = both.repartition("block").sortWithinPartitions("block", "bucket")  # the numbers come last, as bucket `buckets`
+    sent = encoded_words(sent_blocks(rows, pattern, buckets, -(-wanted // buckets)), ranks)
+    dealt = sent.repartition("block").sortWithinPartitions("block", "bucket")  # the numbers come last, as bucket `buckets`
     fields = [("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     if with_ids:
         fields += [("token_ids", pa.list_(pa.int64())), ("decoded", pa.binary())]
@@ -280,25 +301,25 @@ def corpus_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, bytes] = {}  # of equal blocks, as repeated rows can make, the parts are equal too
         block, placed = None, True
-        for batch in slices(batches, 64):
+        for batch in slices(batches, 16):
             for row in batch.to_pylist():
                 if row["block"] != block:
                     if not placed:
-                        raise RuntimeError("the input changed between its two readings")
+                        raise RuntimeError("the input changed while it was read")
                     block, placed, parts = row["block"], False, {}
                 if row["ids"] is None:
                     parts[row["bucket"]] = row["data"]
                     continue
                 known, numbers = _word_ids(parts, buckets), unpack_numbers(row["data"])
                 if len(numbers) and (int(numbers.max()) >= len(known.lengths) or not known.lengths[numbers].all()):
-                    raise RuntimeError("the input changed between its two readings")
+                    raise RuntimeError("the input changed while it was read")
                 ends = np.cumsum(row["words"])
                 for at in range(0, len(ends), 256):
                     each = list(zip(row["ids"], row["words"], ends))[at:at + 256]
                     yield pa.RecordBatch.from_pylist([place(numbers[end - n:end], known, i) for i, n, end in each], schema=schema)
                 placed = True
         if not placed:
-            raise RuntimeError("the input changed between its two readings")
+            raise RuntimeError("the input changed while it was read")
 
     types = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids array<long>, decoded binary" if with_ids else "")
     return dealt.mapInArrow(run, types).withColumnRenamed("id", id_col)
