@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textscore.operators import bpe
 from textscore.session import pin_small, scratch_path, spread_small
 from textscore.sources import readers, writers
+from textscore.sources.schemas import ALL_REVIEW_SCHEMA, REVIEW_SCHEMA
 from textscore.streaming import running
 from textscore.streaming.running import running_confusion_stream
 
@@ -61,6 +62,21 @@ def test_load_reviews_jsonl_first_rows(spark, tmp_path):
     assert readers.load_reviews_jsonl(spark, files).count() == 5003
 
 
+@pytest.mark.parametrize("arrays", [True, False])
+def test_all_fields_are_read_by_default(spark, tmp_path, arrays):
+    rows = [r | {"verified": i % 2 == 0, "style": {"Format:": " CD"}, "image": ["u"], "unixReviewTime": i} for i, r in enumerate(reviews(3))]
+    text = json.dumps(rows) if arrays else "\n".join(map(json.dumps, rows))
+    got = readers.load_reviews(spark, [put(tmp_path / "books.json", text)], arrays=arrays)
+    assert set(got.columns) == {*ALL_REVIEW_SCHEMA.names, "type"}
+    found = got.where("reviewText = 'text 2'").select("asin", "verified", "style", "image", "unixReviewTime", "vote", "type").first()
+    assert tuple(found) == ("x", True, {"Format:": " CD"}, ["u"], 2, None, "books")
+    two = readers.load_reviews(spark, [put(tmp_path / "books.json", text)], REVIEW_SCHEMA, arrays=arrays)
+    assert set(two.columns) == {"reviewText", "overall", "type"} and two.count() == 3
+    if not arrays:
+        plan = got.select("reviewText", "type")._jdf.queryExecution().executedPlan().toString()
+        assert "ReadSchema: struct<reviewText:string,overall:double>" in plan
+
+
 def test_read_gzip_jsonl(spark, tmp_path):
     path = put(tmp_path / "books.json.gz", "\n".join(json.dumps(r) for r in reviews(50)), gzip.open)
     got = sorted(r.reviewText for r in readers.read_gzip_jsonl(spark, path, 7).collect())

@@ -139,8 +139,10 @@ def explain_model(df: DataFrame, model: Model, ids: str, vocab_size: int) -> Dat
 
     For a linear model on token counts the integral of gradients is closed: the score of a token is its
     coefficient in the predicted class, and scores and intercept add up to the logit. The coefficients,
-    classes x vocabulary numbers, travel to the tasks; the frame is mapped, not shuffled.
+    classes x vocabulary numbers, travel to the tasks; the frame is mapped, not shuffled. Models above
+    ``network.MAX_PARAMETERS`` numbers fail.
     """
+    network.check_size(model.coefficientMatrix.numRows * model.coefficientMatrix.numCols)
     sent = df.sparkSession.sparkContext.broadcast(model.coefficientMatrix.toArray())
 
     @F.arrow_udf("array<double>")

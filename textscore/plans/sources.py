@@ -13,7 +13,7 @@ from textscore.plans.registry import query
 from textscore.plans.tokens import trained
 from textscore.plans.views_sql import WORD, h, key, number
 from textscore.session import scratch_path
-from textscore.sources.schemas import ALL_REVIEW_SCHEMA
+from textscore.sources.schemas import REVIEW_SCHEMA
 from textscore.sources import readers, writers
 
 SOURCES = [f"src{i}" for i in range(20)]
@@ -33,18 +33,18 @@ _REVIEWS = "SELECT reviewText, overall::DOUBLE AS overall, type FROM v_reviews"
 
 @query("load_reviews", _REVIEWS)
 def load_reviews(spark, d):
-    return readers.load_reviews(spark, [_review_files(spark, d, ".json")], arrays=False).drop("file")
+    return readers.load_reviews(spark, [_review_files(spark, d, ".json")], REVIEW_SCHEMA, arrays=False).drop("file")
 
 
 @query("load_reviews_jsonl", _REVIEWS)
 def load_reviews_jsonl(spark, d):
-    return readers.load_reviews_jsonl(spark, [_review_files(spark, d, "-5core.json")]).drop("file")
+    return readers.load_reviews_jsonl(spark, [_review_files(spark, d, "-5core.json")], schema=REVIEW_SCHEMA).drop("file")
 
 
 @query("load_reviews_arrays", _REVIEWS)
 def load_reviews_arrays(spark, d):
     """Each category as JSON arrays of bounded size, as in the default form."""
-    return readers.load_reviews(spark, [_array_files(spark, d)]).drop("file", "part")
+    return readers.load_reviews(spark, [_array_files(spark, d)], REVIEW_SCHEMA).drop("file", "part")
 
 
 def _array_files(spark, d) -> str:
@@ -53,7 +53,7 @@ def _array_files(spark, d) -> str:
     rows = views.reviews(spark, d).withColumn("file", F.concat("type", F.lit(".json")))
     size = F.sum(F.coalesce(F.octet_length("reviewText"), F.lit(0)) + 32)
     parts = rows.groupBy("file").agg(F.ceil(size / ARRAY_BYTES).alias("parts"))  # a row for each category
-    dealt = rows.join(F.broadcast(parts), "file").withColumn("part", F.pmod(F.xxhash64("row_id"), "parts"))
+    dealt = rows.join(parts, "file").withColumn("part", F.pmod(F.xxhash64("row_id"), "parts"))
     arrays = dealt.groupBy("file", "part").agg(F.to_json(F.collect_list(F.struct("reviewText", "overall"))).alias("value"))
     arrays.write.partitionBy("file", "part").text(path)
     return path
@@ -73,7 +73,7 @@ def load_reviews_all_columns(spark, d):
         "vote": F.when(F.col("row_id") % 5 != 0, (F.col("row_id") % 11).cast("string")),
         "file": F.concat("type", F.lit(".json"))})
     rows.drop("type", "row_id").write.partitionBy("file").json(path)
-    loaded = readers.load_reviews(spark, [path], ALL_REVIEW_SCHEMA, arrays=False)
+    loaded = readers.load_reviews(spark, [path], arrays=False)
     return filter_columns(loaded, {"type": "src3"}).select("reviewText", "overall", "type", "asin", "verified", "vote")
 
 
@@ -88,13 +88,13 @@ def _sorted_files(spark, d, suffix: str, **options) -> str:
 
 @query("load_reviews_jsonl_first", _REVIEWS + " QUALIFY row_number() OVER (PARTITION BY type ORDER BY row_id) <= 7")
 def load_reviews_jsonl_first(spark, d):
-    return readers.load_reviews_jsonl(spark, [_sorted_files(spark, d, "-5core.json")], nrows_per_type=7).drop("file")
+    return readers.load_reviews_jsonl(spark, [_sorted_files(spark, d, "-5core.json")], nrows_per_type=7, schema=REVIEW_SCHEMA).drop("file")
 
 
 @query("load_reviews_indexed", """
     SELECT reviewText, overall::DOUBLE AS overall, type, row_number() OVER (ORDER BY type || '-', row_id) - 1 AS row_id FROM v_reviews""")
 def load_reviews_indexed(spark, d):
-    return readers.load_reviews_jsonl(spark, [_sorted_files(spark, d, "-5core.json")], index="row_id").drop("file")
+    return readers.load_reviews_jsonl(spark, [_sorted_files(spark, d, "-5core.json")], schema=REVIEW_SCHEMA, index="row_id").drop("file")
 
 
 def _essay_file(spark, d) -> str:
@@ -145,7 +145,7 @@ def load_essays_json_arrays(spark, d):
 def read_gzip_jsonl(spark, d):
     path = scratch_path(spark, "reviews")
     views.reviews(spark, d).select("reviewText", "overall").write.option("compression", "gzip").json(path)
-    return readers.read_gzip_jsonl(spark, path)
+    return readers.read_gzip_jsonl(spark, path, schema=REVIEW_SCHEMA)
 
 
 @query("read_gzip_jsonl_limit", """
@@ -154,7 +154,7 @@ def read_gzip_jsonl_limit(spark, d):
     path = scratch_path(spark, "reviews")
     rows = views.reviews(spark, d).repartitionByRange(4, "row_id").sortWithinPartitions("row_id")
     rows.select("reviewText", "overall").write.option("compression", "gzip").json(path)
-    return readers.read_gzip_jsonl(spark, path, limit=150)
+    return readers.read_gzip_jsonl(spark, path, limit=150, schema=REVIEW_SCHEMA)
 
 
 _FILTERED = "v_reviews WHERE type = 'src3' AND overall BETWEEN 4 AND 5"

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textscore.functions.text import ENTITY_TAGS, PADDING_TOKEN
@@ -10,7 +14,7 @@ from textscore.plans import views
 from textscore.plans.registry import query
 from textscore.plans.views_sql import WORD, key
 from textscore.session import made_once, scratch_path, via_table
-from textscore.sources import readers, writers
+from textscore.sources import readers, vocabularies, writers
 
 VOCAB_SIZE = 1000
 SPECIAL = (PADDING_TOKEN, *ENTITY_TAGS)
@@ -210,6 +214,18 @@ def vocab_load(spark, d):
     return _saved(spark, d, *_short(spark, d))[1]
 
 
+@query("vocab_load_or_train", _SHORT + """
+    SELECT name, trained, (step - 1)::INT AS rank, l AS "left", r AS "right"
+    FROM rules CROSS JOIN (VALUES ('own', true), ('own', false), ('reviews_tokenizer', true), ('reviews_tokenizer', false)) c(name, trained)""")
+def vocab_load_or_train(spark, d):
+    """Asked for by a name that is missing, again by that name, by the default name, and by a name that falls back to it."""
+    root, kind = scratch_path(spark, "vocabularies"), replace(vocabularies.REVIEWS, vocab_size=SHORT_VOCAB)
+    texts = lambda: views.reviews(spark, d)
+    found = [vocabularies.load_or_train(spark, root, kind, texts, "reviewText", name) for name in ("own", "own", None, "missing")]
+    return reduce(DataFrame.union, [
+        f.merges.select(F.lit(f.name).alias("name"), F.lit(f.trained).alias("trained"), "rank", "left", "right") for f in found])
+
+
 @query("encode_text")
 def encode_text(spark, d):
     return _encoded(spark, d).select(

@@ -15,7 +15,7 @@ from textscore.operators.selection import RowOrder, keep_first, positions
 from textscore.session import parallelism
 from textscore.sources.arrays import read_json_arrays
 from textscore.sources.quoted import read_quoted
-from textscore.sources.schemas import ESSAY_SCHEMA, REVIEW_SCHEMA
+from textscore.sources.schemas import ALL_REVIEW_SCHEMA, ESSAY_SCHEMA
 
 # The review categories and the ones used if none are named.
 REVIEW_CATEGORIES = (
@@ -65,7 +65,7 @@ def _read_reviews(spark, paths, schema: T.StructType, pattern: str, index: str |
 
 
 def load_reviews(
-    spark: SparkSession, paths: Sequence[str], schema: T.StructType = REVIEW_SCHEMA, arrays: bool = True,
+    spark: SparkSession, paths: Sequence[str], schema: T.StructType = ALL_REVIEW_SCHEMA, arrays: bool = True,
     index: str | None = None,
 ) -> DataFrame:
     """Reviews from ``<category>.json`` files or folders of such name.
@@ -74,7 +74,8 @@ def load_reviews(
     a single pass. Files whose
     second name part is not ``json`` are left out, as are rows without text or
     score. ``index`` names a column that numbers the rows from 0 in the order of files and lines;
-    ``schema`` names the fields to keep, ``ALL_REVIEW_SCHEMA`` all of them.
+    ``schema`` names the fields to keep: all of them by default, text and score with ``REVIEW_SCHEMA``. Fields that are
+    not used later are not parsed in either case.
     """
     return _read_reviews(
         spark, paths, schema, r"/(?:[^/=]+=)?([^/.=]+)\.json(?:\.gz)?(?:/|$)", index, arrays
@@ -83,7 +84,7 @@ def load_reviews(
 
 def load_reviews_jsonl(
     spark: SparkSession, paths: Sequence[str], nrows_per_type: int | None = None,
-    schema: T.StructType = REVIEW_SCHEMA, index: str | None = None,
+    schema: T.StructType = ALL_REVIEW_SCHEMA, index: str | None = None,
 ) -> DataFrame:
     """Reviews from newline JSON; the category is the name part before ``-``.
 
@@ -105,7 +106,7 @@ def load_reviews_jsonl(
 
 
 def read_gzip_jsonl(
-    spark: SparkSession, path: str, limit: int | None = None, schema: T.StructType = REVIEW_SCHEMA
+    spark: SparkSession, path: str, limit: int | None = None, schema: T.StructType = ALL_REVIEW_SCHEMA
 ) -> DataFrame:
     """Newline JSON in gzip, at most ``limit`` leading lines in the order of files.
 
