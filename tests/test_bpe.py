@@ -191,3 +191,21 @@ def test_a_vocabulary_of_any_size_is_not_sent(spark, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_VOCABULARY", 5)
     with pytest.raises(ValueError, match="too large"):
         bpe.encode_text(df, "text", vocab, merges)
+
+
+def test_offsets_of_pretokens_leave_the_text_behind(spark):
+    """A row per pretoken must not carry the whole text: cutting each out of it takes time with the square of its length."""
+    df = spark.createDataFrame([(1, "  Hi,\x1c İyou…  ok"), (2, None)], "id int, text string")
+    found = tokens.pretoken_offsets(df, "id", "text")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[:plan.index("Generate")]
+    assert "substring" not in plan and "text#" not in above
+    assert [(r.word, r.start, r.end) for r in found.orderBy("pos").collect()] == [
+        ("hi", 2, 4), (",\x1c", 4, 6), ("i\u0307you", 7, 11), ("…", 11, 12), ("ok", 14, 16)]
+
+
+def test_hashed_ids(spark):
+    df = spark.createDataFrame([(["a", "b", "a"],), ([],), (None,), (["é"],)], "words array<string>")
+    want = lambda w: int(__import__("hashlib").md5(w.encode()).hexdigest()[:8], 16) % 7
+    assert [r.ids for r in tokens.hashed_ids(df.coalesce(1), "words", 7).collect()] == [
+        [want("a"), want("b"), want("a")], [], None, [want("é")]]
