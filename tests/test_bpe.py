@@ -209,3 +209,9 @@ def test_hashed_ids(spark):
     want = lambda w: int(__import__("hashlib").md5(w.encode()).hexdigest()[:8], 16) % 7
     assert [r.ids for r in tokens.hashed_ids(df.coalesce(1), "words", 7).collect()] == [
         [want("a"), want("b"), want("a")], [], None, [want("é")]]
+
+
+def test_pieces_of_words_are_held_in_few_bytes():
+    letters = {ch: i for i, ch in enumerate("abcdefghij")}
+    held = bpe.PieceTable(letters, [], set(), True).pieces("abcdefghij" * 3)
+    assert len(held) == 12 * 30 and isinstance(held, bytes)
