@@ -204,14 +204,24 @@ def test_offsets_of_pretokens_leave_the_text_behind(spark):
         ("hi", 2, 4), (",\x1c", 4, 6), ("i\u0307you", 7, 11), ("…", 11, 12), ("ok", 14, 16)]
 
 
-def test_hashed_ids(spark):
-    df = spark.createDataFrame([(["a", "b", "a"],), ([],), (None,), (["é"],)], "words array<string>")
-    want = lambda w: int(__import__("hashlib").md5(w.encode()).hexdigest()[:8], 16) % 7
-    assert [r.ids for r in tokens.hashed_ids(df.coalesce(1), "words", 7).collect()] == [
-        [want("a"), want("b"), want("a")], [], None, [want("é")]]
+def test_a_round_of_training_shuffles_runs_only(spark, monkeypatch):
+    df = spark.createDataFrame([("ab" * (1 + i % 5) + "cde"[i % 3], 1 + i) for i in range(40)], "s string, n bigint")
+    table = pair_index.Words(df)
+    table.merge([("ab", "\U000F0000")])
+    plan = table.runs(["bc", "\U000F0000\U000F0000"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "wid" not in plan
+    assert all("ab" not in r.s and len(r.s) > 1 for r in table.now().collect())
+    table.drop()
 
 
 def test_pieces_of_words_are_held_in_few_bytes():
     letters = {ch: i for i, ch in enumerate("abcdefghij")}
     held = bpe.PieceTable(letters, [], set(), True).pieces("abcdefghij" * 3)
     assert len(held) == 12 * 30 and isinstance(held, bytes)
+
+
+def test_hashed_ids(spark):
+    df = spark.createDataFrame([(["a", "b", "a"],), ([],), (None,), (["é"],)], "words array<string>")
+    want = lambda w: int(__import__("hashlib").md5(w.encode()).hexdigest()[:8], 16) % 7
+    assert [r.ids for r in tokens.hashed_ids(df.coalesce(1), "words", 7).collect()] == [
+        [want("a"), want("b"), want("a")], [], None, [want("é")]]
