@@ -225,3 +225,12 @@ def test_hashed_ids(spark):
     want = lambda w: int(__import__("hashlib").md5(w.encode()).hexdigest()[:8], 16) % 7
     assert [r.ids for r in tokens.hashed_ids(df.coalesce(1), "words", 7).collect()] == [
         [want("a"), want("b"), want("a")], [], None, [want("é")]]
+
+
+def test_encoded_batches_leave_the_task_in_parts(spark):
+    df = spark.createDataFrame([(i, f"{'ab cd ' * 75_000}x{i}" if i % 2 else None) for i in range(7)], "id int, text string").coalesce(1)
+    vocab, merges = bpe.bpe_train(spark.createDataFrame([("ab cd x0123456",)], "text string"), "text", 14)
+    encoded = bpe.encode_text(df, "text", vocab, merges).selectExpr("id", "size(ids) n", "element_at(tokens, -1) last", "element_at(offsets, -1).end stop")
+    assert "ArrowEvalPython" in (plan := encoded._jdf.queryExecution().executedPlan().toString()) and ", 251" in plan  # an iterator of batches
+    got = {r.id: (r.n > 150_000, r.last, r.stop) for r in encoded.where("n > 0").collect()}
+    assert got == {i: (True, str(i), 450_002) for i in (1, 3, 5)} and encoded.count() == 7
