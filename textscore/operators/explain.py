@@ -8,7 +8,7 @@ dimensions of ``e * w * tanh(m) / (m T)``; at ``m = 0`` the fraction is 1.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from textscore.corpus import Corpus
 from textscore.functions.vectors import argmax, array_sum, dot
 from textscore.operators import scoring
-from textscore.operators.matrix import TokenMatrix, by_parts, ids_of, token_parts
+from textscore.operators.matrix import TokenMatrix, ids_of, parts_of, token_parts
 from textscore.operators.bpe import encode_text
 from textscore.operators.sampling import filter_load
 from textscore.operators.scoring import dan_logit_arrays, model_column
@@ -91,7 +91,7 @@ def score_lists(ids: pa.ListArray, target: np.ndarray | None, matrix: TokenMatri
     z = np.tanh(m) @ w.T + b
     chosen = z.argmax(axis=1) if target is None else target
     factor = w[chosen] * _slopes(m, steps) / n / w.shape[1]
-    scores = [np.einsum("ij,ij->i", matrix.rows[places[part]], factor[doc[part]]) for part in token_parts(len(places))]
+    scores = [np.einsum("ij,ij->i", matrix.take(places[part]), factor[doc[part]]) for part in token_parts(len(places))]
     ends = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
     each = pa.array(np.arange(len(lengths) + 1) * len(b), pa.int32())
     return pa.StructArray.from_arrays(
@@ -109,20 +109,25 @@ def token_scores(docs: DataFrame, id: str, ids: str, vecs: DataFrame, weights: D
     joined to the distinct tokens of each document, and one number per pair comes back.
     ``steps`` takes the integral by quadrature instead of its closed form.
     """
-    matrix = scoring.small_matrix(vecs, dim)
+    matrix = scoring.mapped_matrix(vecs, dim)
     if matrix is None:
         return _scores_by_pairs(docs, id, ids, vecs, weights, dim, steps)
     classes = weights.select("class", F.col("w").cast("array<double>").alias("w"), "b").toPandas().sort_values("class")
-    sent = docs.sparkSession.sparkContext.broadcast((matrix, np.stack(classes["w"].to_numpy()), classes["b"].to_numpy(float)))
+    model = docs.sparkSession.sparkContext.broadcast((np.stack(classes["w"].to_numpy()), classes["b"].to_numpy(float)))
     kind = "struct<scores:array<double>,y_pred:int,z:array<double>>"
 
     @F.arrow_udf(kind)
-    def best(lists: pa.Array) -> pa.Array:
-        return by_parts(lambda part: score_lists(part, None, *sent.value, steps), lists)
+    def best(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            yield from parts_of(lambda part: score_lists(part, None, matrix.value, *model.value, steps), lists)
 
     @F.arrow_udf(kind)
-    def named(lists: pa.Array, target: pa.Array) -> pa.Array:
-        return by_parts(lambda part, y: score_lists(part, y.to_numpy(zero_copy_only=False).astype(np.int64), *sent.value, steps), lists, target)
+    def named(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        def of_part(part: pa.Array, y: pa.Array) -> pa.Array:
+            return score_lists(part, y.to_numpy(zero_copy_only=False).astype(np.int64), matrix.value, *model.value, steps)
+
+        for lists, target in batches:
+            yield from parts_of(of_part, lists, target)
 
     given = "y_pred" in docs.columns
     lists = F.col(ids).cast("array<int>")
@@ -171,7 +176,9 @@ def padded_groups(lengths: np.ndarray, dim: int) -> list[np.ndarray]:
     order = np.argsort(lengths, kind="stable")
     groups, start = [], int(np.searchsorted(lengths[order], 1))
     for end in range(start + 1, len(order) + 1):
-        if end == len(order) or (end + 1 - start) * lengths[order[end]] * dim > PADDED_NUMBERS:
+        held = (end + 1 - start) * lengths[order[end]] * dim if end < len(order) else np.inf
+        # Without padding a step is much cheaper, so a group that is half full ends where the length changes.
+        if held > PADDED_NUMBERS or (2 * held > PADDED_NUMBERS and lengths[order[end]] > lengths[order[end - 1]]):
             groups.append(order[start:end])
             start = end
     return groups
@@ -185,16 +192,21 @@ def path_nodes(steps: int) -> list[tuple[float, float]]:
 
 
 def path_scores(network: Network, x: np.ndarray, mask: np.ndarray, target: np.ndarray | None, steps: int) -> tuple[np.ndarray, ...]:
-    """Scores of each token, target, logits and logits at zero of a padded batch, one node of the path at a time."""
+    """Scores of each token, target, logits and logits at zero of a padded batch, one node of the path at a time.
+
+    Gradients are added up over the path and multiplied with the vectors once; of one that is the same view for all tokens only that view is added.
+    """
     z = np.asarray(network(x, mask, None)[0], float)
     at_zero = np.asarray(network(np.zeros_like(x), mask, None)[0], float)
     target = z.argmax(axis=1) if target is None else target
-    scores, at = np.zeros(mask.shape), np.empty_like(x)
+    total, at = np.zeros((len(x), 1, x.shape[2])), np.empty_like(x)
     for a, weight in path_nodes(steps):
         slope = np.asarray(network(np.multiply(x, a, out=at), mask, target)[1], float)
         if slope.shape != x.shape:
             raise ValueError(f"the gradient has shape {slope.shape}, the vectors {x.shape}")
-        scores += weight * np.einsum("ijk,ijk->ij", x, slope)
+        slope = slope[:, :1] if slope.strides[1] == 0 else slope
+        total = total + weight * slope if total.shape[1] < slope.shape[1] else np.add(total, weight * slope, out=total)
+    scores = (x @ total.transpose(0, 2, 1))[:, :, 0] if total.shape[1] == 1 else np.einsum("ijk,ijk->ij", x, total)
     return scores / x.shape[2], target, z, at_zero
 
 
@@ -206,16 +218,14 @@ def network_scores(docs: DataFrame, ids: str, vecs: DataFrame, network: Network,
     (None if there is no class). The path from zero vectors is integrated by Gauss-Legendre quadrature. The target is the class of the
     greatest logit, unless ``docs`` has a column ``y_pred``. One map without a shuffle; documents of like length meet in padded
     batches of at most ``PADDED_NUMBERS`` numbers, or one document. Documents without tokens, whose ids are empty or null, have no scores
-    and null elsewhere, but for a given ``y_pred``. Vectors must be few enough to send to every task.
+    and null elsewhere, but for a given ``y_pred``. Tasks map the vectors from a file on their machine, however many they are.
     """
-    matrix = scoring.small_matrix(vecs, dim)
-    if matrix is None:
-        raise ValueError(f"more than {scoring.VECTOR_NUMBERS} numbers in the vectors; a network needs them in every task")
-    sent = docs.sparkSession.sparkContext.broadcast(matrix)  # at most VECTOR_NUMBERS numbers
+    sent = scoring.mapped_matrix(vecs, dim, bounded=False)
 
     def score(lists: pa.ListArray, given: np.ndarray | None) -> pa.StructArray:
         flat, lengths = ids_of(lists)
-        places, begin = sent.value.places(flat), np.cumsum(lengths) - lengths
+        matrix = sent.value
+        places, begin = matrix.places(flat), np.cumsum(lengths) - lengths
         found, chosen, logits, zeros = np.zeros(len(flat)), [None] * len(lengths), [None] * len(lengths), [None] * len(lengths)
         if given is not None:
             chosen = [int(y) for y in given]
@@ -223,7 +233,7 @@ def network_scores(docs: DataFrame, ids: str, vecs: DataFrame, network: Network,
             mask = np.arange(lengths[group].max()) < lengths[group][:, None]
             at = (begin[group][:, None] + np.arange(mask.shape[1]))[mask]
             x = np.zeros((*mask.shape, dim))
-            x[mask] = sent.value.rows[places[at]]
+            x[mask] = matrix.take(places[at])
             scores, target, z, z0 = path_scores(network, x, mask, None if given is None else given[group], steps)
             found[at] = scores[mask]
             for i, doc in enumerate(group):
@@ -235,12 +245,14 @@ def network_scores(docs: DataFrame, ids: str, vecs: DataFrame, network: Network,
     kind = "struct<scores:array<double>,y_pred:int,z:array<double>,z0:array<double>>"
 
     @F.arrow_udf(kind)
-    def best(lists: pa.Array) -> pa.Array:
-        return score(lists, None)
+    def best(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            yield from parts_of(lambda part: score(part, None), lists)
 
     @F.arrow_udf(kind)
-    def named(lists: pa.Array, target: pa.Array) -> pa.Array:
-        return score(lists, target.to_numpy(zero_copy_only=False).astype(np.int64))
+    def named(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for lists, target in batches:
+            yield from parts_of(lambda part, y: score(part, y.to_numpy(zero_copy_only=False).astype(np.int64)), lists, target)
 
     lists = F.col(ids).cast("array<int>")
     found = docs.withColumn("_scored", named(lists, F.col("y_pred").cast("int")) if "y_pred" in docs.columns else best(lists))
@@ -285,7 +297,11 @@ def bound_lists(scored: DataFrame) -> DataFrame:
         each = [pa.array(b, pa.float64(), from_pandas=True) for b in _bounds(*_numbers(lists))]
         return pa.StructArray.from_arrays(each, ["low", "mid", "high"])
 
-    bounds = F.arrow_udf(lambda lists: by_parts(of_part, lists), "struct<low:double,mid:double,high:double>")
+    @F.arrow_udf("struct<low:double,mid:double,high:double>")
+    def bounds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            yield from parts_of(of_part, lists)
+
     return scored.withColumn("_bounds", bounds("scores")).select(*scored.columns, "_bounds.*")
 
 
@@ -352,7 +368,11 @@ def shade_lists(lists: pa.ListArray, steps: int | None) -> pa.ListArray:
 
 def color_lists(scored: DataFrame, steps: int | None = PALETTE_STEPS, out: str = "colors") -> DataFrame:
     """Add the colours of all tokens of a document from its ``scores``; nothing leaves the row."""
-    shade = F.arrow_udf(lambda lists: by_parts(lambda part: shade_lists(part, steps), lists), "array<string>")
+    @F.arrow_udf("array<string>")
+    def shade(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            yield from parts_of(lambda part: shade_lists(part, steps), lists)
+
     return scored.withColumn(out, shade("scores"))
 
 
@@ -496,11 +516,12 @@ def highlight_lists(docs: DataFrame, x: str, colors: str = "colors", mode: str =
         both = pa.concat_arrays([marked, one_by_one(offsets.take(other), text.take(other), shades.take(other))])
         return both.take(pa.array(np.argsort(np.concatenate((some, other)), kind="stable")))
 
-    if full:
-        marked = F.arrow_udf(lambda text, offsets, shades: by_parts(at_once, offsets, text, shades), "string")
-        return docs.withColumn("html", marked(F.col(x), F.col("offsets"), F.col(colors)))
-    marked = F.arrow_udf(lambda text, offsets, shades, tokens: by_parts(one_by_one, offsets, text, shades, tokens), "string")
-    return docs.withColumn("html", marked(F.col(x), F.col("offsets"), F.col(colors), F.col("tokens")))
+    @F.arrow_udf("string")
+    def marked(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for text, offsets, shades, *tokens in batches:  # marks take many times the bytes of the text: they leave part by part
+            yield from parts_of(at_once if full else one_by_one, offsets, text, shades, *tokens)
+
+    return docs.withColumn("html", marked(*map(F.col, (x, "offsets", colors, *([] if full else ["tokens"])))))
 
 
 def explain_sample(

@@ -8,6 +8,9 @@ may hold a large share of all occurrences.
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,10 +18,15 @@ from pyspark.sql import functions as F
 
 from textscore.functions.text import PADDING_ID
 from textscore.functions.vectors import argmax, array_sum, dot, log_sum_exp, sum_vectors
-from textscore.operators.matrix import TokenMatrix, by_parts, ids_of
+from textscore.operators.matrix import LEAD, SentMatrix, by_parts, ids_of
 from textscore.session import parallelism, via_table
 
-VECTOR_NUMBERS = 16_000_000
+#: Numbers of vectors that tasks map from a file on their machine; more are joined to the tokens.
+VECTOR_NUMBERS = 1_000_000_000
+#: Numbers of vectors that a join keeps in each executor's memory.
+JOINED_NUMBERS = 16_000_000
+#: Numbers that the driver fetches at once; more come by partition.
+COLLECTED_NUMBERS = 4_000_000
 
 
 def lookup_vectors(tokens: DataFrame, vecs: DataFrame, spread: Column) -> DataFrame:
@@ -29,7 +37,7 @@ def lookup_vectors(tokens: DataFrame, vecs: DataFrame, spread: Column) -> DataFr
     frequent. A token without a vector fails, as leaving it out would change every mean it is part of.
     """
     numbers = vecs.agg(F.sum(F.size("v"))).first()[0] or 0
-    if numbers <= VECTOR_NUMBERS:
+    if numbers <= min(JOINED_NUMBERS, VECTOR_NUMBERS):
         return _with_vector(tokens.join(F.broadcast(vecs), "token_id", "left"))
     copies = F.broadcast(copies_of_frequent(tokens))
     one = F.coalesce("_copies", F.lit(1))
@@ -78,7 +86,7 @@ def mean_pool(docs: DataFrame, id: str, ids: str, vecs: DataFrame, dim: int, ski
     tokens; all of a document come from one row, so its sums are finished on
     the map side and the shuffle carries one row per document.
     """
-    matrix = small_matrix(vecs, dim)
+    matrix = mapped_matrix(vecs, dim)
     if matrix is not None:
         return _pool_in_place(docs, id, ids, matrix, skip_pad)
     tokens = explode_ids(docs, id, ids)
@@ -90,25 +98,48 @@ def mean_pool(docs: DataFrame, id: str, ids: str, vecs: DataFrame, dim: int, ski
     return sums.select(id, "n_tokens", F.transform("_s", lambda s: s / F.col("n_tokens")).alias("m"))
 
 
-def small_matrix(vecs: DataFrame, dim: int) -> TokenMatrix | None:
-    """The vectors as a matrix on the driver, if their numbers are few; they are counted first."""
+def mapped_matrix(vecs: DataFrame, dim: int, bounded: bool = True) -> SentMatrix | None:
+    """The vectors in every task, or None if there are more numbers than ``VECTOR_NUMBERS`` and they are ``bounded``.
+
+    They pass through the driver a few thousand rows at a time into a file, which is broadcast and mapped by the tasks; numbers
+    of single precision stay so there.
+    """
+    spark = vecs.sparkSession
     numbers = vecs.agg(F.sum(F.size("v"))).first()[0] or 0
-    if numbers > VECTOR_NUMBERS:
+    if bounded and numbers > VECTOR_NUMBERS:
         return None
-    rows = vecs.select("token_id", F.col("v").cast("array<double>").alias("v")).toPandas()
-    return TokenMatrix(rows["token_id"].to_numpy(np.int64), np.stack(rows["v"].to_numpy()) if len(rows) else np.zeros((0, dim)))
-
-
-def _pool_in_place(docs: DataFrame, id: str, ids: str, matrix: TokenMatrix, skip_pad: bool) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(matrix)  # at most VECTOR_NUMBERS numbers
-
+    single = vecs.schema["v"].dataType.simpleString() == "array<float>"
+    dtype = np.dtype(np.float32 if single else np.float64)
+    rows = vecs.select(F.col("token_id").cast("bigint").alias("id"), F.col("v").cast(f"array<{'float' if single else 'double'}>").alias("v"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lists = batch.columns
+            flat = lists.flatten()
+            sizes = lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+            if ids.null_count or flat.null_count or (sizes != dim).any():
+                raise ValueError(f"a token id is null, or a vector does not hold {dim} numbers")
+            yield pa.RecordBatch.from_pydict({"ids": [ids.to_numpy().tobytes()], "v": [flat.to_numpy().tobytes()]})
+
+    packs = rows.mapInArrow(pack, "ids binary, v binary")
+    ids = [np.zeros(0, np.int64)]
+    with tempfile.TemporaryFile() as f:
+        f.write(bytes(LEAD))
+        for row in packs.collect() if numbers <= COLLECTED_NUMBERS else packs.toLocalIterator():
+            ids.append(np.frombuffer(row["ids"], np.int64))
+            f.write(row["v"])
+        return SentMatrix(spark, np.concatenate(ids), f, dtype, dim)
+
+
+def _pool_in_place(docs: DataFrame, id: str, ids: str, sent: SentMatrix, skip_pad: bool) -> DataFrame:
     def of_part(lists: pa.Array) -> pa.Array:
         flat, lengths = ids_of(lists)
         doc = np.repeat(np.arange(len(lengths)), lengths)
         if skip_pad:
             flat, doc = flat[flat != PADDING_ID], doc[flat != PADDING_ID]
             lengths = np.bincount(doc, minlength=len(lengths))
-        means = sent.value.sums(sent.value.places(flat), doc, len(lengths)) / np.maximum(lengths, 1)[:, None]
+        matrix = sent.value
+        means = matrix.sums(matrix.places(flat), doc, len(lengths)) / np.maximum(lengths, 1)[:, None]
         ends = pa.array(np.arange(len(lengths) + 1) * means.shape[1], pa.int32())
         return pa.StructArray.from_arrays([pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(means.ravel()))], ["n_tokens", "m"])
 
