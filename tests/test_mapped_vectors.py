@@ -96,3 +96,20 @@ def test_a_gradient_that_is_one_view_for_all_tokens_is_added_as_such():
         np.testing.assert_allclose(got[0] * mask, want[0] * mask, atol=1e-14)
         at = np.arange(len(mask))
         np.testing.assert_allclose((got[0] * mask).sum(1) * 5, (got[2] - got[3])[at, got[1]], atol=1e-9)
+
+
+def test_sums_of_documents_without_tokens_are_kept_if_asked_for(spark):
+    weights = spark.createDataFrame([(0, [1.0], 0.5)], "class int, w array<double>, b double")
+    rows = [(1, [1.0, 2.0], 0, [3.5]), (2, [], 0, [0.5]), (3, None, 0, [0.5])]
+    scored = spark.createDataFrame(rows, "doc int, scores array<double>, y_pred int, z array<double>")
+    assert [tuple(r) for r in explain.ig_completeness(scored, "doc", weights, 1).collect()] == [(1, 3.0, 3.0)]
+    kept = explain.ig_completeness(scored, "doc", weights, 1, "y_pred", empty=True).collect()
+    assert sorted(map(tuple, kept)) == [(1, 0, 3.0, 3.0), (2, 0, None, None), (3, 0, None, None)]
+
+
+def test_tokens_are_scored_once_for_both_sides_of_the_join(spark, sf, monkeypatch):
+    from textscore.plans import scoring as plans
+
+    monkeypatch.setattr(plans, "_network", lambda spark, d: plans.network.start("cross_entropy", plans.table_size(spark, d) + plans.K + 1, plans.K, 8))
+    plan = plans.explain_network(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "ArrowEvalPython" not in plan
